@@ -269,6 +269,189 @@ def a13_class_weights(spark, sf_dir):
     return A.class_weights(load_corpus(spark, sf_dir), ["split"])
 
 
+# ------------------------------------------------------------------ R sampling, U set operations
+
+from graded.functions.prompts import SWEEP_TEMPLATES  # noqa: E402
+from graded.operators import sampling as R  # noqa: E402
+
+TRAIN_SQL = f"SELECT example_id, label FROM ({O.corpus(split='train')}) c"
+TEST_SQL = O.corpus(split="test")
+
+
+def _train(spark, sf_dir):
+    return load_corpus(spark, sf_dir, split="train").select("example_id", "label")
+
+
+@query("r1_undersample", O.undersample(TRAIN_SQL))
+def r1_undersample(spark, sf_dir):
+    """R1 + U1: positives UNION ALL round(0.7 N0) hash-sampled negatives."""
+    return R.undersample(_train(spark, sf_dir)).select("example_id", "label", "copy_no")
+
+
+@query("r2_oversample", O.oversample(TRAIN_SQL))
+def r2_oversample(spark, sf_dir):
+    """R2 + U2: positives twice via explode(sequence), negatives once."""
+    return R.oversample(_train(spark, sf_dir)).select("example_id", "label", "copy_no")
+
+
+@query("r3_balanced", O.balance(TRAIN_SQL))
+def r3_balanced(spark, sf_dir):
+    return R.balance(_train(spark, sf_dir)).select("example_id", "label", "copy_no")
+
+
+@query("r4_normal", f"SELECT example_id, label, 1 AS copy_no FROM ({TRAIN_SQL}) t")
+def r4_normal(spark, sf_dir):
+    return R.normal(_train(spark, sf_dir)).select("example_id", "label", "copy_no")
+
+
+def _r5_sql():
+    parts = [
+        f"SELECT 'undersample' AS strategy, label, count(*) AS n_rows FROM ({O.undersample(TRAIN_SQL)}) x GROUP BY label",
+        f"SELECT 'oversample' AS strategy, label, count(*) AS n_rows FROM ({O.oversample(TRAIN_SQL)}) x GROUP BY label",
+        f"SELECT 'balanced' AS strategy, label, count(*) AS n_rows FROM ({O.balance(TRAIN_SQL)}) x GROUP BY label",
+        f"SELECT 'normal' AS strategy, label, count(*) AS n_rows FROM ({TRAIN_SQL}) x GROUP BY label",
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@query("r5_resample_sizes", _r5_sql())
+def r5_resample_sizes(spark, sf_dir):
+    """R5 dispatcher + A15 row counts per strategy and class."""
+    train = _train(spark, sf_dir)
+    out = None
+    for st in R.STRATEGIES:
+        c = A.count_by(R.resample(train, st), ["label"]).withColumn("strategy", F.lit(st))
+        out = c if out is None else out.unionByName(c)
+    return out.select("strategy", "label", "n_rows")
+
+
+@query(
+    "r6_shuffle_index",
+    f"SELECT example_id, copy_no, row_number() OVER (ORDER BY {O.hash_key(42, 'example_id', 'copy_no')}, example_id, copy_no) - 1 AS idx "
+    f"FROM ({O.oversample(TRAIN_SQL)}) o",
+)
+def r6_shuffle_index(spark, sf_dir):
+    """Seeded permutation of the oversampled train split, 0-based index."""
+    o = R.oversample(_train(spark, sf_dir))
+    return R.shuffle_index(o, 42).select("example_id", "copy_no", "idx")
+
+
+@query("r7_head_n", f"SELECT example_id, label FROM ({TEST_SQL}) t ORDER BY example_id LIMIT 50")
+def r7_head_n(spark, sf_dir):
+    """First 50 rows of the test split by key (the limit is the feature)."""
+    return R.head_n(load_corpus(spark, sf_dir, split="test").select("example_id", "label"), 50)
+
+
+@query(
+    "r8_random_n",
+    f"SELECT example_id, label FROM (SELECT example_id, label, row_number() OVER (ORDER BY {O.hash_key(42, 'example_id')}, example_id) AS rn "
+    f"FROM ({TEST_SQL}) t) r WHERE rn <= 50",
+)
+def r8_random_n(spark, sf_dir):
+    """50 rows of the test split without replacement (seeded, exact)."""
+    return R.random_n(load_corpus(spark, sf_dir, split="test").select("example_id", "label"), 50, 42)
+
+
+def _templates_sql():
+    rows = ", ".join(f"({O.lit(n)}, {O.lit(b)}, {O.lit(p)}, {m})" for n, b, p, m in SWEEP_TEMPLATES)
+    return f"(VALUES {rows}) AS tpl(template, body, placeholder, max_new_tokens)"
+
+
+def _e6_sample_sql(n=50, seed=42):
+    return (
+        f"SELECT * FROM (SELECT c.example_id, c.text, c.label, tpl.*, row_number() OVER (PARTITION BY tpl.template "
+        f"ORDER BY {O.hash_key(seed, 'tpl.template', 'c.example_id')}, c.example_id) AS rn "
+        f"FROM ({TEST_SQL}) c, {_templates_sql()}) s WHERE rn <= {n}"
+    )
+
+
+def _e6_rows_sql():
+    full = O.strip(O.standin_digit_answer("template", "example_id", "label", "max_new_tokens"))
+    inner = f"SELECT template, example_id, text, label, {full} AS full_text FROM ({_e6_sample_sql()}) s"
+    return (
+        f"SELECT template, example_id, text, label AS true_label, {O.parse_last_digit('full_text')} AS pred_label, "
+        f"{O.reasoning('full_text')} AS reasoning FROM ({inner}) i"
+    )
+
+
+def _e6_rows(spark, sf_dir):
+    test = load_corpus(spark, sf_dir, split="test").select("example_id", "text", "label")
+    sample = R.sample_per_group(E.explode_templates(test), "template", 50, 42)
+    return E.e6_predictions(sample)
+
+
+@query("r9_e6_template_sweep_rows", _e6_rows_sql())
+def r9_e6_template_sweep_rows(spark, sf_dir):
+    """J2 + R9 + X9 + X10: every template draws its own 50 test rows; digit
+    label and reasoning of each stand-in output (S7 row shape)."""
+    return _e6_rows(spark, sf_dir)
+
+
+def _a11_sql():
+    kept = "pred_label IS NOT NULL"
+    c = (
+        f"SELECT template, count(*) FILTER (WHERE {kept}) AS n_evaluated, "
+        f"count(*) FILTER (WHERE {kept} AND true_label = pred_label) AS n_right, "
+        f"count(*) FILTER (WHERE {kept} AND true_label = 1 AND pred_label = 1) AS tp, "
+        f"count(*) FILTER (WHERE {kept} AND true_label <> 1 AND pred_label = 1) AS fp, "
+        f"count(*) FILTER (WHERE {kept} AND true_label = 1 AND pred_label <> 1) AS fn "
+        f"FROM ({_e6_rows_sql()}) r GROUP BY template"
+    )
+
+    def fmt(x):
+        return f"(CASE WHEN n_evaluated = 0 THEN 'N/A' ELSE printf('%.2f', {x}) END)"
+
+    return (
+        f"SELECT template, CAST(n_evaluated AS BIGINT) AS n_evaluated, {fmt(O.ratio('n_right', 'n_evaluated'))} AS accuracy, "
+        f"{fmt(O.ratio('tp', 'tp + fp'))} AS precision, {fmt(O.ratio('tp', 'tp + fn'))} AS recall, "
+        f"{fmt(O.ratio('2 * tp', '2 * tp + fp + fn'))} AS f1 FROM ({c}) c"
+    )
+
+
+@query("a11_e6_template_summary", _a11_sql())
+def a11_e6_template_summary(spark, sf_dir):
+    """E6 summary: per template, NULL predictions dropped, 2-decimal text."""
+    return A.template_summary(_e6_rows(spark, sf_dir))
+
+
+@query(
+    "r10_inspect_template_4",
+    f"SELECT template, example_id, pred_label, 'labelled' AS kind FROM (SELECT *, row_number() OVER (ORDER BY "
+    f"{O.hash_key(42, 'example_id')}, example_id) AS rn FROM ({_e6_rows_sql()}) r WHERE template = 'template_4' "
+    f"AND pred_label IS NOT NULL) x WHERE rn <= 5 UNION ALL SELECT template, example_id, pred_label, 'no_label' AS kind "
+    f"FROM ({_e6_rows_sql()}) r WHERE template = 'template_4' AND pred_label IS NULL",
+)
+def r10_inspect_template_4(spark, sf_dir):
+    """5 labelled rows of template_4 plus all its rows without a label."""
+    return R.inspect(_e6_rows(spark, sf_dir), "template_4", 5, 42).select("template", "example_id", "pred_label", "kind")
+
+
+@query(
+    "r11_length_batches",
+    "SELECT example_id, copy_no, idx, block, block * 50 + (row_number() OVER (PARTITION BY block ORDER BY n_tokens DESC, idx) - 1) // 8 AS batch "
+    f"FROM (SELECT *, idx // 400 AS block FROM (SELECT example_id, copy_no, n_tokens, row_number() OVER (ORDER BY "
+    f"{O.hash_key(42, 'example_id', 'copy_no')}, example_id, copy_no) - 1 AS idx FROM (SELECT o.example_id, o.copy_no, "
+    f"{O.n_words('c.text')} AS n_tokens FROM ({O.oversample(TRAIN_SQL)}) o JOIN ({O.corpus(split='train')}) c "
+    f"ON o.example_id = c.example_id) j) i) b",
+)
+def r11_length_batches(spark, sf_dir):
+    """Random blocks of 8 x 50 rows, each sorted by word count."""
+    from graded.functions.text import n_words
+
+    train = load_corpus(spark, sf_dir, split="train").withColumn("n_tokens", n_words("text"))
+    o = R.oversample(train.select("example_id", "label", "n_tokens"))
+    return R.length_batches(o, 8, 42, 50, "n_tokens").select("example_id", "copy_no", "idx", "block", "batch")
+
+
+@query(
+    "u3_distinct_classes",
+    f"SELECT split, cls, count(*) AS n_mentions FROM (SELECT split, label AS cls FROM ({_E1_ROWS}) r "
+    f"UNION ALL SELECT split, pred AS cls FROM ({_E1_ROWS}) r) u GROUP BY split, cls",
+)
+def u3_distinct_classes(spark, sf_dir):
+    return A.distinct_classes(_e1_rows(spark, sf_dir), ["split"])
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

@@ -291,3 +291,59 @@ def macro(src: str, by: list[str], label: str = "label", pred: str = "pred", wit
         f"SELECT {sel_by}{ratio('tp', 'n')} AS accuracy, sf1 / CAST(k AS DOUBLE) AS f1_macro, "
         f"sp / CAST(k AS DOUBLE) AS precision_macro, sr / CAST(k AS DOUBLE) AS recall_macro{tail}{extra} FROM ({agg}) a"
     )
+
+
+# ---------------------------------------------------------------- sampling
+
+
+def hash_key(seed, *keys: str) -> str:
+    parts = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"md5({lit(str(seed))} || ':' || {parts})"
+
+
+def py_round(x: str) -> str:
+    f = f"floor({x})"
+    return (
+        f"CAST({f} + (CASE WHEN ({x}) - {f} > 0.5 THEN 1 WHEN ({x}) - {f} < 0.5 THEN 0 "
+        f"ELSE CAST({f} AS BIGINT) % 2 END) AS BIGINT)"
+    )
+
+
+def undersample(src: str, ratio: float = 0.7, seed=42) -> str:
+    ranked = (
+        f"SELECT *, row_number() OVER (ORDER BY {hash_key(seed, 'example_id')}, example_id) AS rn, "
+        f"count(*) OVER () AS n0 FROM ({src}) s WHERE label = 0"
+    )
+    return (
+        f"SELECT example_id, label, 1 AS copy_no FROM ({src}) s WHERE label = 1 "
+        f"UNION ALL SELECT example_id, label, 1 AS copy_no FROM ({ranked}) r "
+        f"WHERE rn <= {py_round(f'CAST({float(ratio)!r} AS DOUBLE) * CAST(n0 AS DOUBLE)')}"
+    )
+
+
+def oversample(src: str, factor: int = 2) -> str:
+    return (
+        f"SELECT example_id, label, copy_no FROM ({src}) s, "
+        f"generate_series(1, CASE WHEN label = 1 THEN {int(factor)} ELSE 1 END) AS t(copy_no)"
+    )
+
+
+def balance(src: str, neg_ratio: float = 0.5, seed=42) -> str:
+    stats = (
+        f"SELECT count(*) AS nn, count(*) FILTER (WHERE label = 1) AS n1, "
+        f"CAST(floor(CAST(count(*) AS DOUBLE) * {float(neg_ratio)!r}) AS BIGINT) AS neg_t FROM ({src}) s"
+    )
+    qr = f"SELECT neg_t, (nn - neg_t) // n1 AS q, (nn - neg_t) % n1 AS r FROM ({stats}) st"
+    ranked = (
+        f"SELECT s.*, row_number() OVER (PARTITION BY label ORDER BY {hash_key(seed, 'example_id')}, example_id) AS rn "
+        f"FROM ({src}) s"
+    )
+    pos = (
+        f"SELECT example_id, label, q + (CASE WHEN rn <= r THEN 1 ELSE 0 END) AS copies "
+        f"FROM ({ranked}) x, ({qr}) p WHERE label = 1"
+    )
+    neg = f"SELECT example_id, label, 1 AS copies FROM ({ranked}) x, ({qr}) p WHERE label = 0 AND rn <= neg_t"
+    return (
+        f"SELECT example_id, label, copy_no FROM ({pos} UNION ALL {neg}) u, "
+        f"generate_series(1, copies) AS t(copy_no) WHERE copies > 0"
+    )
