@@ -452,6 +452,330 @@ def u3_distinct_classes(spark, sf_dir):
     return A.distinct_classes(_e1_rows(spark, sf_dir), ["split"])
 
 
+# ------------------------------------------------------------------ V arrays, encoding, losses; W1; V13
+
+from graded.functions import arrays as V  # noqa: E402
+from graded.functions.prompts import FINETUNE_TEMPLATE, render_prompt  # noqa: E402
+from graded.operators import chat as CH  # noqa: E402
+from graded.operators import encode as EN  # noqa: E402
+from graded.operators import windows as WN  # noqa: E402
+from graded.session import table  # noqa: E402
+
+TOKENS_RE = EN.TOKEN_SPLIT
+
+
+def _tokens_sql(x):
+    return f"list_filter(string_split_regex(lower({x}), {O.lit(TOKENS_RE)}), lambda w: w <> '')"
+
+
+def _vocab_sql(text_src):
+    counts = f"SELECT word, count(*) AS cnt FROM (SELECT unnest({_tokens_sql('text')}) AS word FROM ({text_src}) s) t GROUP BY word"
+    return f"SELECT word, cnt, CAST(row_number() OVER (ORDER BY cnt DESC, word) + 1 AS INTEGER) AS id FROM ({counts}) c"
+
+
+def _encode_sql(src, vocab_sql, key="example_id", max_len=512, text="text"):
+    toks = f"SELECT {key}, {_tokens_sql(text)} AS toks FROM ({src}) s"
+    pos = (
+        f"SELECT {key}, unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS word FROM ({toks}) t"
+    )
+    joined = (
+        f"SELECT p.{key}, p.pos, coalesce(v.id, 1) AS id FROM ({pos}) p LEFT JOIN ({vocab_sql}) v ON p.word = v.word "
+        f"WHERE p.pos < {max_len}"
+    )
+    enc = f"SELECT {key}, list(id ORDER BY pos) AS input_ids FROM ({joined}) j GROUP BY {key}"
+    return (
+        f"SELECT k.{key}, coalesce(e.input_ids, []::INTEGER[]) AS input_ids, "
+        f"list_transform(coalesce(e.input_ids, []::INTEGER[]), lambda x: 1) AS attention_mask "
+        f"FROM (SELECT {key} FROM ({src}) s) k LEFT JOIN ({enc}) e ON k.{key} = e.{key}"
+    )
+
+
+DOCS_SQL = "SELECT doc_id, text FROM documents"
+
+
+@query("v1_vocabulary", _vocab_sql(DOCS_SQL))
+def v1_vocabulary(spark, sf_dir):
+    """V1 (part 1): word vocabulary over every word of every document."""
+    return EN.build_vocabulary(table(spark, sf_dir, "documents"))
+
+
+@query("v1_encode", _encode_sql(CORPUS, _vocab_sql(DOCS_SQL), max_len=128))
+def v1_encode(spark, sf_dir):
+    """V1 (part 2): encode the labelled corpus with the document vocabulary,
+    truncated at 128 ids."""
+    vocab = EN.build_vocabulary(table(spark, sf_dir, "documents"))
+    return EN.encode(load_corpus(spark, sf_dir), vocab, max_len=128)
+
+
+_V2_PROMPTS = f"SELECT example_id, label, {O.render(O.lit(FINETUNE_TEMPLATE), 'text')} AS text FROM ({CORPUS}) c"
+_V2_TARGETS = f"SELECT example_id, {O.label_word('label')} AS text FROM ({CORPUS}) c"
+_V2_VOCAB_SRC = f"SELECT text FROM ({_V2_PROMPTS}) a UNION ALL SELECT text FROM ({_V2_TARGETS}) b"
+
+
+def _v2_sql(cap=512):
+    vocab = _vocab_sql(_V2_VOCAB_SRC)
+    p = _encode_sql(_V2_PROMPTS, vocab, max_len=cap)
+    t = _encode_sql(_V2_TARGETS, vocab, max_len=5)
+    return (
+        f"SELECT p.example_id, (p.input_ids || t.input_ids)[1:{cap}] AS input_ids, "
+        f"list_transform((p.input_ids || t.input_ids)[1:{cap}], lambda x: 1) AS attention_mask, "
+        f"(list_transform(p.input_ids, lambda x: -100) || t.input_ids)[1:{cap}] AS labels "
+        f"FROM ({p}) p JOIN ({t}) t ON p.example_id = t.example_id"
+    )
+
+
+def _v2_frames(spark, sf_dir, cap=512):
+    c = load_corpus(spark, sf_dir)
+    prompts = c.select("example_id", render_prompt(FINETUNE_TEMPLATE, "text").alias("text"))
+    targets = c.select("example_id", X.label_word("label").alias("text"))
+    vocab = EN.build_vocabulary(prompts.select("text").unionByName(targets.select("text")))
+    pe = EN.encode(prompts, vocab, max_len=cap).select("example_id", F.col("input_ids").alias("p_ids"))
+    te = EN.encode(targets, vocab, max_len=5).select("example_id", F.col("input_ids").alias("t_ids"))
+    return pe.join(te, "example_id")
+
+
+@query("v2_causal_examples", _v2_sql())
+def v2_causal_examples(spark, sf_dir):
+    """V2: prompt ++ target ids, ones mask, -100-masked prompt labels, cap 512."""
+    j = _v2_frames(spark, sf_dir)
+    ids, mask, labels = V.causal_example("p_ids", "t_ids", 512)
+    return j.select("example_id", ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"))
+
+
+def _v3_sql(n=128):
+    enc = _encode_sql(CORPUS, _vocab_sql(DOCS_SQL), max_len=n)
+    return (
+        f"SELECT example_id, input_ids || list_transform(range({n} - len(input_ids)), lambda x: 0) AS input_ids, "
+        f"list_transform(input_ids, lambda x: 1) || list_transform(range({n} - len(input_ids)), lambda x: 0) AS attention_mask "
+        f"FROM ({enc}) e"
+    )
+
+
+@query("v3_pad_fixed", _v3_sql())
+def v3_pad_fixed(spark, sf_dir):
+    """V3: encode to at most 128 ids, pad to exactly 128 with a 0/1 mask."""
+    vocab = EN.build_vocabulary(table(spark, sf_dir, "documents"))
+    enc = EN.encode(load_corpus(spark, sf_dir), vocab, max_len=128)
+    ids, mask = V.pad_to("input_ids", 128, EN.PAD_ID)
+    return enc.select("example_id", ids.alias("input_ids"), mask.alias("attention_mask"))
+
+
+_V4_TARGETS = f"SELECT example_id, {O.label_word('label', 'biased', 'niet-biased')} AS text FROM ({CORPUS}) c"
+
+
+def _v4_sql():
+    enc = _encode_sql(_V4_TARGETS, _vocab_sql(_V4_TARGETS), max_len=3)
+    padded = f"SELECT example_id, input_ids || list_transform(range(3 - len(input_ids)), lambda x: 0) AS ids FROM ({enc}) e"
+    return (
+        f"SELECT example_id, list_transform(ids, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END) AS labels, "
+        f"ids AS unmasked FROM ({padded}) p"
+    )
+
+
+@query("v4_v5_label_masks", _v4_sql())
+def v4_v5_label_masks(spark, sf_dir):
+    """V4 + V5: label words encoded and padded to 3, pad -> -100, and back."""
+    c = load_corpus(spark, sf_dir).select("example_id", X.label_word("label", "biased", "niet-biased").alias("text"))
+    enc = EN.encode(c, EN.build_vocabulary(c), max_len=3)
+    ids, _ = V.pad_to("input_ids", 3, EN.PAD_ID)
+    m = enc.select("example_id", V.mask_labels(ids, EN.PAD_ID).alias("labels"))
+    return m.withColumn("unmasked", V.unmask_labels("labels", EN.PAD_ID))
+
+
+def _emb_rows_sql():
+    pooled = (
+        "list_transform(range(8), lambda d: list_reduce(list_prepend(0.0, list_transform(range(8), "
+        "lambda p: CAST(embedding[p * 8 + d + 1] AS DOUBLE))), lambda a, b: a + b) / 8.0)"
+    )
+    logit = []
+    for row, b in zip(HEAD_W, HEAD_B):
+        terms = "list_prepend(0.0, list_transform(range(8), lambda d: CAST({w}[d + 1] AS DOUBLE) * pooled[d + 1]))".format(
+            w="[" + ", ".join(repr(float(v)) for v in row) + "]"
+        )
+        logit.append(f"list_reduce({terms}, lambda a, b: a + b) + {float(b)!r}")
+    return (
+        f"SELECT vec_id, label_bin, pooled, [{', '.join(logit)}] AS logits FROM "
+        f"(SELECT vec_id, CAST(label >= 5 AS INTEGER) AS label_bin, {pooled} AS pooled FROM embeddings) e"
+    )
+
+
+# Weights of the stand-in linear head (V8), 2 classes x 8 features.
+HEAD_W = (
+    (0.3, -0.2, 0.1, 0.0, -0.1, 0.2, -0.3, 0.1),
+    (-0.1, 0.2, -0.3, 0.3, 0.1, -0.2, 0.0, 0.2),
+)
+HEAD_B = (0.05, -0.05)
+
+
+def _emb_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id", (F.col("label") >= 5).cast("int").alias("label_bin"), V.mean_pool("embedding", 8, 8).alias("pooled"))
+    return e.withColumn("logits", V.linear_head("pooled", HEAD_W, HEAD_B))
+
+
+@query(
+    "v7_v8_p17_logits",
+    "SELECT vec_id, label_bin, list_transform(pooled, lambda x: round(x, 6)) AS pooled, "
+    "list_transform(logits, lambda x: round(x, 6)) AS logits, "
+    "CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred "
+    f"FROM ({_emb_rows_sql()}) r",
+)
+def v7_v8_p17_logits(spark, sf_dir):
+    """V7 mean pooling (8 positions x 8 dims), V8 linear head, P17 argmax."""
+    r = _emb_rows(spark, sf_dir)
+    return r.select(
+        "vec_id",
+        "label_bin",
+        F.transform("pooled", lambda x: F.round(x, 6)).alias("pooled"),
+        F.transform("logits", lambda x: F.round(x, 6)).alias("logits"),
+        V.argmax("logits").alias("pred"),
+    )
+
+
+_E7_ROWS = (
+    f"SELECT label_bin AS label, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred FROM ({_emb_rows_sql()}) r"
+)
+
+
+def _report_sql(src, by=()):
+    pc = O.per_class(src, list(by))
+    sel_by = "".join(f"{b}, " for b in by)
+    grp = f" GROUP BY {', '.join(by)}" if by else ""
+    agg = (
+        f"SELECT {sel_by}{O._ordered_sum('f1')} AS sf1, {O._ordered_sum('precision')} AS sp, {O._ordered_sum('recall')} AS sr, "
+        f"list_reduce(list_prepend(0.0, list(precision * support ORDER BY cls)), lambda a, b: a + b) AS wp, "
+        f"list_reduce(list_prepend(0.0, list(recall * support ORDER BY cls)), lambda a, b: a + b) AS wr, "
+        f"list_reduce(list_prepend(0.0, list(f1 * support ORDER BY cls)), lambda a, b: a + b) AS wf, "
+        f"count(*) AS k, sum(tp) AS tp, sum(support) AS n FROM ({pc}) p{grp}"
+    )
+    return (
+        f"SELECT {sel_by}CAST(cls AS VARCHAR) AS row, precision, recall, f1, support FROM ({pc}) p "
+        f"UNION ALL SELECT {sel_by}'accuracy' AS row, NULL AS precision, NULL AS recall, {O.ratio('tp', 'n')} AS f1, CAST(n AS BIGINT) AS support FROM ({agg}) a "
+        f"UNION ALL SELECT {sel_by}'macro avg' AS row, sp / k, sr / k, sf1 / k, CAST(n AS BIGINT) FROM ({agg}) a "
+        f"UNION ALL SELECT {sel_by}'weighted avg' AS row, CASE WHEN n = 0 THEN 0.0 ELSE wp / n END, "
+        f"CASE WHEN n = 0 THEN 0.0 ELSE wr / n END, CASE WHEN n = 0 THEN 0.0 ELSE wf / n END, CAST(n AS BIGINT) FROM ({agg}) a"
+    )
+
+
+def _e7_rows(spark, sf_dir):
+    r = _emb_rows(spark, sf_dir)
+    return r.select(F.col("label_bin").alias("label"), V.argmax("logits").alias("pred"))
+
+
+@query("e7_classifier_report", _report_sql(_E7_ROWS))
+def e7_classifier_report(spark, sf_dir):
+    """E7 + A7: classification report of the pooled linear head."""
+    return A.report(_e7_rows(spark, sf_dir))
+
+
+@query("e7_classifier_metrics", O.macro(_E7_ROWS, []))
+def e7_classifier_metrics(spark, sf_dir):
+    """Accuracy, macro P/R/F1 and micro F1 (A6 = accuracy)."""
+    return A.macro(_e7_rows(spark, sf_dir), [])
+
+
+def _loss_sql(gamma=2.0):
+    ce_rows = (
+        f"SELECT label_bin, list_max(logits) + ln(list_reduce(list_prepend(0.0, list_transform(logits, "
+        f"lambda v: exp(v - list_max(logits)))), lambda a, b: a + b)) - logits[label_bin + 1] AS ce FROM ({_emb_rows_sql()}) r"
+    )
+    w = (
+        "SELECT label_bin, CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(*) OVER () * n_c AS DOUBLE) AS w "
+        "FROM (SELECT CAST(label >= 5 AS INTEGER) AS label_bin, count(*) AS n_c FROM embeddings GROUP BY 1) t"
+    )
+    j = f"SELECT c.ce, w.w FROM ({ce_rows}) c JOIN ({w}) w ON c.label_bin = w.label_bin"
+    return (
+        f"SELECT round(avg(ce), 6) AS mean_ce, round(avg(w * pow(1.0 - exp(-ce), {gamma!r}) * ce), 6) AS focal_loss, "
+        f"round(sum(w * ce) / sum(w), 6) AS weighted_ce, count(*) AS n_rows FROM ({j}) x"
+    )
+
+
+@query("v9_v10_v11_losses", _loss_sql())
+def v9_v10_v11_losses(spark, sf_dir):
+    """V9 cross-entropy, V10 focal loss (alpha = balanced class weights via
+    J4 lookup, gamma 2), V11 weighted CE (sum w*ce / sum w)."""
+    r = _emb_rows(spark, sf_dir).withColumn("ce", V.cross_entropy("logits", "label_bin"))
+    e = table(spark, sf_dir, "embeddings").select((F.col("label") >= 5).cast("int").alias("label_bin"))
+    weights = A.class_weights(e, None, "label_bin").select(F.col("label").alias("label_bin"), F.col("weight").alias("w"))
+    j = r.join(F.broadcast(weights), "label_bin")  # J4: one row per class
+    return j.agg(
+        F.round(F.avg("ce"), 6).alias("mean_ce"),
+        F.round(F.avg(V.focal("ce", "w", 2.0)), 6).alias("focal_loss"),
+        F.round(F.sum(F.col("w") * F.col("ce")) / F.sum("w"), 6).alias("weighted_ce"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
+@query(
+    "v12_label_word_check",
+    f"SELECT w AS label_word, count(*) AS n_tokens, min(coalesce(v.id, 1)) AS first_id, "
+    f"(count(*) = 1 AND min(coalesce(v.id, 1)) <> 1) AS single_token FROM "
+    f"(SELECT w, unnest({_tokens_sql('w')}) AS word FROM (VALUES ('ja'), ('nee')) t(w)) x "
+    f"LEFT JOIN ({_vocab_sql(_V2_VOCAB_SRC)}) v ON x.word = v.word GROUP BY w",
+)
+def v12_label_word_check(spark, sf_dir):
+    """The label words must each be one known token of the vocabulary."""
+    c = load_corpus(spark, sf_dir)
+    prompts = c.select(render_prompt(FINETUNE_TEMPLATE, "text").alias("text"))
+    targets = c.select(X.label_word("label").alias("text"))
+    vocab = EN.build_vocabulary(prompts.unionByName(targets))
+    return EN.encode_words(["ja", "nee"], vocab)
+
+
+def _chat_sql(gen=False):
+    ws = (
+        "SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, "
+        "first(role ORDER BY turn) OVER (PARTITION BY conv_id) AS first_role FROM conversations"
+    )
+    sysb = "(first_role = 'system' AND rn = 1)"
+    loop_idx = "(rn - 1 - CAST(first_role = 'system' AS INTEGER))"
+    seg = (
+        f"CASE WHEN {sysb} THEN {O.lit(CH.START + CH.SYSTEM)} || text || {O.lit(CH.END)} "
+        f"WHEN role = 'user' THEN {O.lit(CH.START + CH.USER)} || {O.strip('text')} || {O.lit(CH.END)} "
+        f"WHEN role = 'assistant' THEN {O.lit(CH.START + CH.CHATBOT)} || {O.strip('text')} || {O.lit(CH.END)} ELSE '' END"
+    )
+    bad = f"(NOT {sysb} AND ((role = 'user') <> ({loop_idx} % 2 = 0)))"
+    rows = f"SELECT conv_id, turn, {seg} AS seg, {bad} AS bad FROM ({ws}) w"
+    tail = O.lit(CH.START + CH.CHATBOT) if gen else "''"
+    return (
+        f"SELECT conv_id, count(*) AS n_turns, CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN {O.lit(CH.BOS)} || "
+        f"string_agg(seg, '' ORDER BY turn) || {tail} END AS rendered, "
+        f"CASE WHEN count(*) FILTER (WHERE bad) > 0 THEN {O.lit(CH.ALTERNATION_ERROR)} END AS error FROM ({rows}) r GROUP BY conv_id"
+    )
+
+
+@query("v13_render_chat", _chat_sql(True))
+def v13_render_chat(spark, sf_dir):
+    """Conversations rendered with the stored chat template (+ generation prefix)."""
+    return CH.render_chat(table(spark, sf_dir, "conversations"), add_generation_prompt=True)
+
+
+def _w1_sql(patience=2):
+    e = (
+        "SELECT user_id AS run, value AS metric, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch FROM events"
+    )
+    p = f"SELECT *, max(metric) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_best FROM ({e}) e"
+    i = f"SELECT *, (prev_best IS NULL OR metric > prev_best) AS improved FROM ({p}) p"
+    li = (
+        f"SELECT *, max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_improve FROM ({i}) i"
+    )
+    r = f"SELECT run, count(*) AS n_epochs, min(CASE WHEN epoch - last_improve >= {patience} THEN epoch END) AS stop_epoch FROM ({li}) l GROUP BY run"
+    b = (
+        f"SELECT l.run, arg_max(l.epoch, l.epoch) AS best_epoch, arg_max(l.metric, l.epoch) AS best_metric FROM ({li}) l JOIN ({r}) r "
+        f"ON l.run = r.run WHERE l.improved AND (r.stop_epoch IS NULL OR l.epoch <= r.stop_epoch) GROUP BY l.run"
+    )
+    return (
+        f"SELECT r.run, CAST(n_epochs AS BIGINT) AS n_epochs, CAST(stop_epoch AS BIGINT) AS stop_epoch, "
+        f"CAST(best_epoch AS BIGINT) AS best_epoch, best_metric FROM ({r}) r JOIN ({b}) b ON r.run = b.run"
+    )
+
+
+@query("w1_early_stop", _w1_sql())
+def w1_early_stop(spark, sf_dir):
+    """Early-stop point and chosen epoch per run over the event log."""
+    return WN.early_stop(WN.epoch_log(table(spark, sf_dir, "events")), patience=2)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
