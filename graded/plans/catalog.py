@@ -776,6 +776,373 @@ def w1_early_stop(spark, sf_dir):
     return WN.early_stop(WN.epoch_log(table(spark, sf_dir, "events")), patience=2)
 
 
+# ------------------------------------------------------------------ J3 sweep, run tables, reports, S3-S8
+
+from graded.functions import naming as NM  # noqa: E402
+from graded.functions.prompts import choose_template, render_few_shot  # noqa: E402
+from graded.functions.text import keep_alnum_space, norm, n_words  # noqa: E402
+from graded.plans import sweep as SW  # noqa: E402
+from graded.session import shared_path  # noqa: E402
+from graded.sources import runs as RU  # noqa: E402
+
+_ABBREV_SQL = "(CASE strategy WHEN 'undersample' THEN 'us' WHEN 'oversample' THEN 'os' WHEN 'balanced' THEN 'bl' WHEN 'normal' THEN 'nm' END)"
+
+
+def _grid_sql():
+    rows = ", ".join(
+        f"({O.lit(st)}, {sd}, {O.lit(p)}, {O.lit(choose_template(p))})"
+        for st in R.STRATEGIES
+        for sd in SW.SEEDS
+        for p in SW.PROMPTS
+    )
+    return f"(VALUES {rows}) AS g(strategy, seed, prompt_name, tpl)"
+
+
+def _sweep_rows_sql(parser="lenient"):
+    base = (
+        f"SELECT c.*, g.strategy, g.seed, g.prompt_name, g.tpl, "
+        f"{O.lit(SW.MODELS_DIR + '/' + NM.CAUSAL_MODEL + '_')} || {_ABBREV_SQL} || '_seed' || CAST(g.seed AS VARCHAR) AS checkpoint_path "
+        f"FROM ({TEST_SQL}) c, {_grid_sql()}"
+    )
+    gen = (
+        f"SELECT *, {O.standin_generation('prompt', salt='checkpoint_path')} AS full_text FROM "
+        f"(SELECT *, {O.render('tpl', 'text')} AS prompt FROM ({base}) b) x"
+    )
+    if parser == "lenient":
+        ans = f"SELECT *, {O.completion_slice('full_text', 'prompt')} AS answer FROM ({gen}) g"
+        return f"SELECT *, {O.parse_lenient('answer')} AS pred FROM ({ans}) a"
+    ans = f"SELECT *, {O.narrow(O.completion_robust('full_text', 'prompt', 'text'))} AS answer FROM ({gen}) g"
+    fn = {"strict": O.parse_strict, "last_word": O.parse_last_word}[parser]
+    return f"SELECT *, {fn('answer')} AS pred FROM ({ans}) a"
+
+
+def _run_table_sql(parser="lenient"):
+    return O.evaluate(_sweep_rows_sql(parser), ["prompt_name", "checkpoint_path"])
+
+
+def _test(spark, sf_dir):
+    return load_corpus(spark, sf_dir, split="test")
+
+
+def _run_table(spark, sf_dir, parser="lenient"):
+    return SW.run_table(_test(spark, sf_dir), parser)
+
+
+@query("j3_sweep_run_table", _run_table_sql())
+def j3_sweep_run_table(spark, sf_dir):
+    """Strategy x seed x prompt grid, one A9 record per cell (test split)."""
+    return _run_table(spark, sf_dir)
+
+
+@query(
+    "p13_parse_runs",
+    "SELECT DISTINCT checkpoint_path, regexp_extract(checkpoint_path, '[^/]*$', 0) AS run_base, "
+    "nullif(regexp_extract(regexp_extract(checkpoint_path, '[^/]*$', 0), '^(.*?)_(?:clf_)?(?:us|os|bl|nm)(?:_|$)', 1), '') AS model, "
+    "nullif(regexp_extract(regexp_extract(checkpoint_path, '[^/]*$', 0), '_(us|os|bl|nm)(?:_|$)', 1), '') AS strategy_abbrev, "
+    "CASE WHEN contains(checkpoint_path, '_WL') THEN 'weighted' WHEN contains(checkpoint_path, '_focal') THEN 'focal' ELSE 'ce' END AS loss, "
+    "coalesce(CAST(nullif(regexp_extract(regexp_extract(checkpoint_path, '[^/]*$', 0), '_seed(\\d+)', 1), '') AS INTEGER), 42) AS seed "
+    f"FROM ({_run_table_sql()}) r",
+)
+def p13_parse_runs(spark, sf_dir):
+    """P12 names built in the sweep, parsed back by P13."""
+    runs = _run_table(spark, sf_dir).select("checkpoint_path").distinct()
+    parts = NM.parse_run("checkpoint_path")
+    return runs.select("checkpoint_path", *[v.alias(k) for k, v in parts.items()])
+
+
+@query(
+    "s8_list_runs",
+    f"SELECT prompt_name, checkpoint_path, f1_macro FROM ({_run_table_sql()}) r "
+    f"WHERE starts_with(checkpoint_path, {O.lit(SW.MODELS_DIR + '/' + NM.CAUSAL_MODEL + '_')}) "
+    "AND contains(checkpoint_path, 'seed42') AND NOT contains(checkpoint_path, 'WL')",
+)
+def s8_list_runs(spark, sf_dir):
+    """Runs under the models folder with ``seed42`` and without ``WL``."""
+    rt = _run_table(spark, sf_dir)
+    return RU.list_runs(rt, SW.MODELS_DIR + "/" + NM.CAUSAL_MODEL + "_").select("prompt_name", "checkpoint_path", "f1_macro")
+
+
+def _runs_by_split_sql():
+    return O.evaluate(
+        f"SELECT * FROM ({_sweep_rows_sql()}) r WHERE prompt_name = 'same'".replace(f"FROM ({TEST_SQL}) c", f"FROM ({CORPUS}) c"),
+        ["checkpoint_path", "split"],
+    )
+
+
+@query(
+    "s3_s6_run_documents",
+    "SELECT checkpoint_path, CAST(NULL AS INTEGER) AS max_samples, "
+    + ", ".join(A.A9_FIELDS)
+    + f" FROM ({_runs_by_split_sql()}) m WHERE split = 'test'",
+)
+def s3_s6_run_documents(spark, sf_dir):
+    """S3 write nested JSON documents per run (validation + test metrics),
+    read them back, S6 flatten the test metrics into the wide run table."""
+    rows = SW.sweep_rows(load_corpus(spark, sf_dir), prompts=("same",))
+    metrics = A.evaluate(rows.filter(F.col("split").isin("validation", "test")), ["checkpoint_path", "split"])
+    path = RU.write_run_result(RU.run_documents(metrics), shared_path(spark, "run_documents"))
+    return RU.collect_runs(RU.read_run_result(spark, path))
+
+
+@query(
+    "s5_run_table_csv",
+    f"SELECT prompt_name AS prompt, checkpoint_path, CAST(NULL AS INTEGER) AS max_samples, {', '.join(A.A9_FIELDS)} FROM ({_run_table_sql()}) r",
+)
+def s5_run_table_csv(spark, sf_dir):
+    """The sweep run table written as CSV (blank max_samples) and read
+    back with an explicit schema (prompt-variant table shape)."""
+    rt = _run_table(spark, sf_dir).select(
+        F.col("prompt_name").alias("prompt"), "checkpoint_path", F.lit(None).cast("int").alias("max_samples"), *A.A9_FIELDS
+    )
+    path = RU.write_run_table(rt, shared_path(spark, "run_table_csv"))
+    return RU.read_run_table(spark, path, extra=("prompt",))
+
+
+@query(
+    "s4_metric_lines",
+    "SELECT run, key, value_text FROM (SELECT 'e7' AS run, unnest(['accuracy', 'f1_macro', 'f1_micro', 'precision_macro', 'recall_macro']) AS key, "
+    "unnest([printf('%.4f', accuracy), printf('%.4f', f1_macro), printf('%.4f', f1_micro), printf('%.4f', precision_macro), printf('%.4f', recall_macro)]) AS value_text "
+    f"FROM ({O.macro(_E7_ROWS, [])}) m) x",
+)
+def s4_metric_lines(spark, sf_dir):
+    """Classifier metrics written as ``key: value`` lines (4 decimals)
+    and read back as (run, key, value_text)."""
+    m = A.macro(_e7_rows(spark, sf_dir), []).select(
+        F.lit("e7").alias("run"), "accuracy", "f1_macro", "f1_micro", "precision_macro", "recall_macro"
+    )
+    path = RU.write_metric_lines(m, shared_path(spark, "metric_lines"))
+    return RU.read_metric_lines(spark, path).select("run", "key", "value_text")
+
+
+@query("s7_predictions_parquet", _e6_rows_sql())
+def s7_predictions_parquet(spark, sf_dir):
+    """E6 prediction rows written partitioned by template, read back."""
+    path = RU.write_predictions(_e6_rows(spark, sf_dir), shared_path(spark, "predictions"))
+    return spark.read.parquet(path).select("template", "example_id", "text", "true_label", "pred_label", "reasoning")
+
+
+@query(
+    "a16_best_run_per_strategy",
+    "SELECT strategy, prompt_name, arg_max(checkpoint_path, [f1_macro, -seed]) AS best, "
+    "arg_max(seed, [f1_macro, -seed]) AS best_order, max(f1_macro) AS best_value FROM "
+    f"(SELECT r.*, s.strategy, s.seed FROM ({_run_table_sql()}) r JOIN (SELECT DISTINCT checkpoint_path, strategy, seed FROM ({_sweep_rows_sql()}) x) s "
+    "ON r.checkpoint_path = s.checkpoint_path) t GROUP BY strategy, prompt_name",
+)
+def a16_best_run_per_strategy(spark, sf_dir):
+    """Best run by macro F1 per strategy and prompt (earliest seed on ties)."""
+    rows = SW.sweep_rows(_test(spark, sf_dir))
+    rt = A.evaluate(rows, ["prompt_name", "checkpoint_path", "strategy", "seed"])
+    return A.best_by(rt, ["strategy", "prompt_name"], "checkpoint_path", "f1_macro", "seed")
+
+
+def _parsed_rt_sql():
+    return (
+        f"SELECT r.*, s.strategy, s.seed FROM ({_run_table_sql()}) r JOIN (SELECT DISTINCT checkpoint_path, strategy, seed FROM ({_sweep_rows_sql()}) x) s "
+        "ON r.checkpoint_path = s.checkpoint_path"
+    )
+
+
+@query(
+    "a17_seed_mean_std",
+    "SELECT prompt_name, strategy, count(*) AS n_seeds, round(avg(f1_macro), 9) AS f1_macro_mean, "
+    "round(stddev_samp(f1_macro), 9) AS f1_macro_std, round(avg(accuracy), 9) AS accuracy_mean, "
+    f"round(stddev_samp(accuracy), 9) AS accuracy_std FROM ({_parsed_rt_sql()}) t GROUP BY prompt_name, strategy",
+)
+def a17_seed_mean_std(spark, sf_dir):
+    """Mean and sample standard deviation over seeds per strategy."""
+    rt = A.evaluate(SW.sweep_rows(_test(spark, sf_dir)), ["prompt_name", "checkpoint_path", "strategy", "seed"])
+    return rt.groupBy("prompt_name", "strategy").agg(
+        F.count(F.lit(1)).alias("n_seeds"),
+        F.round(F.avg("f1_macro"), 9).alias("f1_macro_mean"),
+        F.round(F.stddev_samp("f1_macro"), 9).alias("f1_macro_std"),
+        F.round(F.avg("accuracy"), 9).alias("accuracy_mean"),
+        F.round(F.stddev_samp("accuracy"), 9).alias("accuracy_std"),
+    )
+
+
+@query(
+    "a18_prompt_delta",
+    "SELECT checkpoint_path, max(f1_macro) FILTER (WHERE prompt_name = 'same') AS f1_same, "
+    "max(f1_macro) FILTER (WHERE prompt_name = 'CoT') AS f1_cot, "
+    "max(f1_macro) FILTER (WHERE prompt_name = 'same') - max(f1_macro) FILTER (WHERE prompt_name = 'CoT') AS f1_delta "
+    f"FROM ({_run_table_sql()}) r GROUP BY checkpoint_path",
+)
+def a18_prompt_delta(spark, sf_dir):
+    """Per run, macro F1 with ``same`` against ``CoT`` (pivot)."""
+    rt = _run_table(spark, sf_dir)
+    pv = rt.groupBy("checkpoint_path").pivot("prompt_name", ["same", "CoT"]).agg(F.max("f1_macro"))
+    return pv.select(
+        "checkpoint_path",
+        F.col("same").alias("f1_same"),
+        F.col("CoT").alias("f1_cot"),
+        (F.col("same") - F.col("CoT")).alias("f1_delta"),
+    )
+
+
+@query(
+    "a19_parser_side_by_side",
+    "SELECT a.prompt_name, a.checkpoint_path, a.f1_macro AS f1_lenient, b.f1_macro AS f1_strict, "
+    "a.invalid_percent AS invalid_lenient, b.invalid_percent AS invalid_strict "
+    f"FROM ({_run_table_sql('lenient')}) a JOIN ({_run_table_sql('strict')}) b "
+    "ON a.prompt_name = b.prompt_name AND a.checkpoint_path = b.checkpoint_path",
+)
+def a19_parser_side_by_side(spark, sf_dir):
+    """Two evaluations (lenient vs strict parser) of the same runs, joined."""
+    a = _run_table(spark, sf_dir, "lenient")
+    b = _run_table(spark, sf_dir, "strict")
+    k = ["prompt_name", "checkpoint_path"]
+    return a.select(*k, F.col("f1_macro").alias("f1_lenient"), F.col("invalid_percent").alias("invalid_lenient")).join(
+        b.select(*k, F.col("f1_macro").alias("f1_strict"), F.col("invalid_percent").alias("invalid_strict")), k
+    )
+
+
+@query(
+    "a20_strategy_rank",
+    "SELECT prompt_name, strategy, f1_mean, rank() OVER (PARTITION BY prompt_name ORDER BY f1_mean DESC) AS rnk FROM "
+    f"(SELECT prompt_name, strategy, round(avg(f1_macro), 9) AS f1_mean FROM ({_parsed_rt_sql()}) t GROUP BY prompt_name, strategy) m",
+)
+def a20_strategy_rank(spark, sf_dir):
+    """Strategies ranked by mean macro F1 (window over 4 rows per prompt)."""
+    rt = A.evaluate(SW.sweep_rows(_test(spark, sf_dir)), ["prompt_name", "checkpoint_path", "strategy", "seed"])
+    m = rt.groupBy("prompt_name", "strategy").agg(F.round(F.avg("f1_macro"), 9).alias("f1_mean"))
+    from pyspark.sql import Window
+
+    return m.withColumn("rnk", F.rank().over(Window.partitionBy("prompt_name").orderBy(F.col("f1_mean").desc())))
+
+
+@query(
+    "a14_length_profile",
+    "SELECT split, count(*) AS n_rows, "
+    + ", ".join(
+        f"avg({O.n_words(c)}) AS avg_words_{c}, min({O.n_words(c)}) AS min_words_{c}, max({O.n_words(c)}) AS max_words_{c}, sum({O.n_words(c)}) AS sum_words_{c}"
+        for c in ("prompt", "full_text", "answer")
+    )
+    + f" FROM ({_E1_ROWS}) r GROUP BY split",
+)
+def a14_length_profile(spark, sf_dir):
+    """Word counts of prompt, full output and answer, per split."""
+    return A.length_profile(_e1_rows(spark, sf_dir), ["split"], ("prompt", "full_text", "answer"))
+
+
+def _log_sql():
+    return (
+        "SELECT checkpoint_path AS run, key, value FROM (SELECT checkpoint_path, "
+        "unnest(['eval_accuracy', 'eval_f1_macro', 'train_token_accuracy', 'eval_invalid_percent']) AS key, "
+        "unnest([accuracy, f1_macro, CAST(valid_samples AS DOUBLE) / CAST(total_samples AS DOUBLE), invalid_percent]) AS value "
+        f"FROM ({_run_table_sql()}) r WHERE prompt_name = 'same') x"
+    )
+
+
+def _log_rows(spark, sf_dir):
+    rt = _run_table(spark, sf_dir).filter(F.col("prompt_name") == "same")
+    kv = F.array(
+        F.struct(F.lit("eval_accuracy").alias("key"), F.col("accuracy").alias("value")),
+        F.struct(F.lit("eval_f1_macro").alias("key"), F.col("f1_macro").alias("value")),
+        F.struct(
+            F.lit("train_token_accuracy").alias("key"),
+            (F.col("valid_samples").cast("double") / F.col("total_samples").cast("double")).alias("value"),
+        ),
+        F.struct(F.lit("eval_invalid_percent").alias("key"), F.col("invalid_percent").alias("value")),
+    )
+    return rt.select(F.col("checkpoint_path").alias("run"), F.explode(kv).alias("kv")).select("run", "kv.*")
+
+
+@query(
+    "p15_p16_log_rows",
+    "SELECT run, CASE WHEN max(value) FILTER (WHERE key = 'eval_accuracy') IS NOT NULL THEN "
+    "'F1=' || printf('%.4f', coalesce(max(value) FILTER (WHERE key = 'eval_f1_macro'), 0.0)) || ', Acc=' || "
+    "printf('%.4f', max(value) FILTER (WHERE key = 'eval_accuracy')) END AS classification_performance, count(*) AS n_kept "
+    f"FROM ({_log_sql()}) l WHERE NOT (contains(key, 'accuracy') AND NOT contains(key, 'eval')) GROUP BY run",
+)
+def p15_p16_log_rows(spark, sf_dir):
+    """P15 drops training token accuracy from the log; P16 adds the
+    ``F1=.., Acc=..`` string per run."""
+    log = _log_rows(spark, sf_dir).filter(NM.keep_log_row("key"))
+    w = log.groupBy("run").agg(
+        F.max(F.when(F.col("key") == "eval_f1_macro", F.col("value"))).alias("f1"),
+        F.max(F.when(F.col("key") == "eval_accuracy", F.col("value"))).alias("acc"),
+        F.count(F.lit(1)).alias("n_kept"),
+    )
+    return w.select("run", NM.perf_string("f1", "acc").alias("classification_performance"), "n_kept")
+
+
+@query(
+    "p12_encoder_run_names",
+    "SELECT strategy, " + O.lit("./results/google-mt5-base_clf_") + " || " + _ABBREV_SQL
+    + " || '_f1_' || strategy || '_' || printf('%.4f', best_f1) || CASE WHEN strategy = 'normal' THEN '_focal' ELSE '' END AS model_dir "
+    f"FROM (SELECT s.strategy, max(r.f1_macro) AS best_f1 FROM ({_run_table_sql()}) r JOIN (SELECT DISTINCT checkpoint_path, strategy FROM ({_sweep_rows_sql()}) x) s "
+    "ON r.checkpoint_path = s.checkpoint_path WHERE r.prompt_name = 'same' GROUP BY s.strategy) b",
+)
+def p12_encoder_run_names(spark, sf_dir):
+    """P12 (classifier form) from the best validation-style F1 per strategy."""
+    rt = A.evaluate(SW.sweep_rows(_test(spark, sf_dir), prompts=("same",)), ["checkpoint_path", "strategy"])
+    b = rt.groupBy("strategy").agg(F.max("f1_macro").alias("best_f1"))
+    return b.select("strategy", NM.encoder_run_name("./results", "strategy", "best_f1", F.col("strategy") == "normal").alias("model_dir"))
+
+
+@query(
+    "j1_align_predictions",
+    O.evaluate(
+        f"SELECT l.split, l.label, p.pred FROM (SELECT example_id, {O.parse_lenient(O.standin_answer())} AS pred FROM ({CORPUS}) c) p "
+        f"JOIN (SELECT example_id, split, label FROM ({CORPUS}) c) l ON p.example_id = l.example_id",
+        ["split"],
+    ),
+)
+def j1_align_predictions(spark, sf_dir):
+    """Predictions and labels are separate tables joined on the row key
+    (the reference zipped two lists by position), then A9."""
+    c = load_corpus(spark, sf_dir)
+    preds = c.select("example_id", X.parse_lenient(standin.standin_answer()).alias("pred"))
+    labels = c.select("example_id", "split", "label")
+    return A.evaluate(preds.join(labels, "example_id"), ["split"])
+
+
+def _few_shot_template() -> str:
+    from graded.functions.prompts import FEW_SHOT_FOOTER, FEW_SHOT_HEADER, FEW_SHOT_LINE, FEW_SHOTS
+
+    shots = "".join(FEW_SHOT_LINE.replace("{shot}", t).replace("{label}", str(lab)) for t, lab in FEW_SHOTS)
+    return FEW_SHOT_HEADER + shots + FEW_SHOT_FOOTER
+
+
+@query("p4_few_shot_prompts", f"SELECT example_id, {O.render(O.lit(_few_shot_template()), 'text', '{item}')} AS prompt FROM ({TEST_SQL}) t")
+def p4_few_shot_prompts(spark, sf_dir):
+    """Four labelled shots before each test sentence."""
+    return _test(spark, sf_dir).select("example_id", render_few_shot("text").alias("prompt"))
+
+
+@query(
+    "p7_p8_normalise_texts",
+    f"SELECT doc_id, {O.norm('text')} AS norm_text, {O.keep_alnum_space(O.norm('text'))} AS alnum_text, {O.n_words('text')} AS n_words FROM documents",
+)
+def p7_p8_normalise_texts(spark, sf_dir):
+    """P7 strip+lower and P8 letters/digits/whitespace over whole documents."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", norm("text").alias("norm_text"), keep_alnum_space(norm("text")).alias("alnum_text"), n_words("text").alias("n_words"))
+
+
+@query(
+    "p11_null_split",
+    "SELECT template, count(*) FILTER (WHERE pred_label IS NULL) AS n_no_label, count(*) FILTER (WHERE pred_label IS NOT NULL) AS n_labelled "
+    f"FROM ({_e6_rows_sql()}) r GROUP BY template",
+)
+def p11_null_split(spark, sf_dir):
+    """Rows with and without a parsed label per template."""
+    r = _e6_rows(spark, sf_dir)
+    return r.groupBy("template").agg(
+        F.count_if(F.col("pred_label").isNull()).alias("n_no_label"),
+        F.count_if(F.col("pred_label").isNotNull()).alias("n_labelled"),
+    )
+
+
+@query(
+    "p5_p6_label_words",
+    f"SELECT example_id, label, {O.label_word('label')} AS word_ja_nee, {O.label_word('label', 'biased', 'niet-biased')} AS word_biased FROM ({CORPUS}) c",
+)
+def p5_p6_label_words(spark, sf_dir):
+    c = load_corpus(spark, sf_dir)
+    return c.select("example_id", "label", X.label_word("label").alias("word_ja_nee"), X.label_word("label", "biased", "niet-biased").alias("word_biased"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

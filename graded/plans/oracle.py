@@ -65,17 +65,23 @@ def render(template_sql: str, text: str, placeholder: str = "{text}") -> str:
 # ---------------------------------------------------------------- stand-in
 
 
-def standin_word(eid: str = "example_id", label: str = "label") -> str:
-    h1 = f"substr(md5('ans:' || CAST({eid} AS VARCHAR)), 1, 1)"
+def _ans_key(eid, salt=None):
+    if salt is None:
+        return f"'ans:' || CAST({eid} AS VARCHAR)"
+    return f"'ans:' || {salt} || ':' || CAST({eid} AS VARCHAR)"
+
+
+def standin_word(eid: str = "example_id", label: str = "label", salt=None) -> str:
+    h1 = f"substr(md5({_ans_key(eid, salt)}), 1, 1)"
     return (
         f"(CASE WHEN {h1} >= 'e' THEN 'misschien' "
         f"WHEN ({h1} < 'b') = ({label} = 1) THEN 'ja' ELSE 'nee' END)"
     )
 
 
-def standin_answer(eid: str = "example_id", label: str = "label") -> str:
-    h2 = f"substr(md5('ans:' || CAST({eid} AS VARCHAR)), 2, 1)"
-    w = standin_word(eid, label)
+def standin_answer(eid: str = "example_id", label: str = "label", salt=None) -> str:
+    h2 = f"substr(md5({_ans_key(eid, salt)}), 2, 1)"
+    w = standin_word(eid, label, salt)
     return (
         f"(CASE WHEN {h2} < '4' THEN {w} "
         f"WHEN {h2} < '8' THEN upper({w}) || '.' "
@@ -85,8 +91,8 @@ def standin_answer(eid: str = "example_id", label: str = "label") -> str:
     )
 
 
-def standin_generation(prompt: str = "prompt", eid: str = "example_id", label: str = "label") -> str:
-    return f"({prompt} || ' ' || {standin_answer(eid, label)})"
+def standin_generation(prompt: str = "prompt", eid: str = "example_id", label: str = "label", salt=None) -> str:
+    return f"({prompt} || ' ' || {standin_answer(eid, label, salt)})"
 
 
 def standin_biased_answer(eid: str = "example_id", label: str = "label") -> str:

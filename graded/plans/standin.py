@@ -17,16 +17,23 @@ def _hex(key: Column, i: int) -> Column:
     return F.substring(F.md5(key), i, 1)
 
 
-def standin_word(example_id, label) -> Column:
-    h1 = _hex(F.concat(F.lit("ans:"), _c(example_id).cast("string")), 1)
+def _ans_key(example_id, salt=None) -> Column:
+    if salt is None:
+        return F.concat(F.lit("ans:"), _c(example_id).cast("string"))
+    return F.concat(F.lit("ans:"), _c(salt), F.lit(":"), _c(example_id).cast("string"))
+
+
+def standin_word(example_id, label, salt=None) -> Column:
+    h1 = _hex(_ans_key(example_id, salt), 1)
     agree = (h1 < F.lit("b")) == (_c(label) == 1)
     return F.when(h1 >= F.lit("e"), F.lit("misschien")).when(agree, F.lit("ja")).otherwise(F.lit("nee"))
 
 
-def standin_answer(example_id="example_id", label="label") -> Column:
-    """FIXTURES §3: word, then one of five surface forms chosen by h2."""
-    h2 = _hex(F.concat(F.lit("ans:"), _c(example_id).cast("string")), 2)
-    w = standin_word(example_id, label)
+def standin_answer(example_id="example_id", label="label", salt=None) -> Column:
+    """FIXTURES §3: word, then one of five surface forms chosen by h2. A
+    ``salt`` column (a run name) gives every run of a sweep its own answers."""
+    h2 = _hex(_ans_key(example_id, salt), 2)
+    w = standin_word(example_id, label, salt)
     return (
         F.when(h2 < F.lit("4"), w)
         .when(h2 < F.lit("8"), F.concat(F.upper(w), F.lit(".")))
@@ -36,9 +43,9 @@ def standin_answer(example_id="example_id", label="label") -> Column:
     )
 
 
-def standin_generation(prompt="prompt", example_id="example_id", label="label") -> Column:
+def standin_generation(prompt="prompt", example_id="example_id", label="label", salt=None) -> Column:
     """Causal-LM style output: the prompt followed by the answer."""
-    return F.concat(_c(prompt), F.lit(" "), standin_answer(example_id, label))
+    return F.concat(_c(prompt), F.lit(" "), standin_answer(example_id, label, salt))
 
 
 def standin_biased_answer(example_id="example_id", label="label") -> Column:
