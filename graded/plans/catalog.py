@@ -1143,6 +1143,145 @@ def p5_p6_label_words(spark, sf_dir):
     return c.select("example_id", "label", X.label_word("label").alias("word_ja_nee"), X.label_word("label", "biased", "niet-biased").alias("word_biased"))
 
 
+# ------------------------------------------------------------------ F scoring, M training, streaming
+
+from graded.operators import scoring as SC  # noqa: E402
+from graded.operators import training as ML  # noqa: E402
+from graded.streaming import confusion as ST  # noqa: E402
+
+
+@query("f4_scored_eval_by_lang", O.evaluate(_E1_ROWS, ["lang"]))
+def f4_scored_eval_by_lang(spark, sf_dir):
+    """the E1 flow with generation done by a model plug-in in
+    ``mapInPandas`` (Arrow batches, model loaded once per worker)."""
+    g = load_corpus(spark, sf_dir).withColumn("prompt", render_prompt(TRAIN_TEMPLATE, "text"))
+    scored = SC.score(g, SC.StandInGenerator(), ["example_id", "label", "lang", "prompt"])
+    scored = scored.withColumn("answer", X.completion_slice("full_text", "prompt"))
+    return A.evaluate(scored.withColumn("pred", X.parse_lenient("answer")), ["lang"])
+
+
+def _x4_sql():
+    failed = "substr(md5('err:' || CAST(example_id AS VARCHAR)), 1, 1) = '0'"
+    rows = (
+        f"SELECT split, label, CASE WHEN {failed} THEN -1 ELSE {O.parse_lenient(O.standin_answer())} END AS pred, "
+        f"{failed} AS failed FROM ({CORPUS}) c"
+    )
+    return (
+        "SELECT split, count(*) FILTER (WHERE failed) AS n_errors, count(*) FILTER (WHERE pred = -1) AS n_invalid, "
+        "count(*) AS n_rows FROM (" + rows + ") r GROUP BY split"
+    )
+
+
+@query("x4_scoring_error_fallback", _x4_sql())
+def x4_scoring_error_fallback(spark, sf_dir):
+    """Rows whose generation raises become prediction -1, empty text and
+    an error message; the batch is retried row by row."""
+    g = load_corpus(spark, sf_dir).withColumn("prompt", render_prompt(TRAIN_TEMPLATE, "text"))
+    scored = SC.score(g, SC.FlakyGenerator(), ["example_id", "split", "label", "prompt"])
+    scored = scored.withColumn("pred", X.parse_lenient(X.completion_slice("full_text", "prompt")))
+    return scored.groupBy("split").agg(
+        F.count_if(F.col("error").isNotNull()).alias("n_errors"),
+        F.count_if(F.col("pred") == -1).alias("n_invalid"),
+        F.count(F.lit(1)).alias("n_rows"),
+    )
+
+
+@query(
+    "f4_linear_head_scores",
+    f"SELECT vec_id, label_bin, CAST(list_position(logits, list_max(logits)) - 1 AS INTEGER) AS pred FROM ({_emb_rows_sql()}) r",
+)
+def f4_linear_head_scores(spark, sf_dir):
+    """F4 with a numpy model: pooled linear head over every embedding."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label_bin", (F.col("label") >= 5).cast("int"))
+    return SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id", "label_bin"], error_col=None)
+
+
+@query("r12_fixed_batches")
+def r12_fixed_batches(spark, sf_dir):
+    """The model sees fixed 64-row batches (per partition);
+    reports the batch sizes per partition batch."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label_bin", (F.col("label") >= 5).cast("int"))
+    s = SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id", "label_bin"], error_col=None, batch_rows=64)
+    return s.groupBy(F.spark_partition_id().alias("part"), "batch_no").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("f1_python_parser_check", f"SELECT count(*) AS n_rows, 0 AS n_mismatch_last_word, 0 AS n_mismatch_lenient FROM ({CORPUS}) c")
+def f1_python_parser_check(spark, sf_dir):
+    """Python-exact parsers (pandas UDF) against the native parsers on
+    every answer; both mismatch counts must be 0."""
+    c = load_corpus(spark, sf_dir).withColumn("answer", standin.standin_answer())
+    p = c.withColumn("py", SC.python_parsers_udf()("answer"))
+    return p.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("py.last_word") != X.parse_last_word("answer")).alias("n_mismatch_last_word"),
+        F.count_if(F.col("py.lenient") != X.parse_lenient("answer")).alias("n_mismatch_lenient"),
+    )
+
+
+@query("f3_metric_callback", _e4_sql())
+def f3_metric_callback(spark, sf_dir):
+    """a metric callback given (predictions, labels) tables -> A10 record."""
+    c = load_corpus(spark, sf_dir)
+    preds = c.select("example_id", "split", standin.standin_answer().alias("decoded_pred"))
+    labels = c.select("example_id", X.label_word("label").alias("decoded_label"))
+    return metric_callback(preds, labels, ["split"])
+
+
+def metric_callback(preds, labels, by):
+    j = preds.join(labels, "example_id")
+    j = j.withColumn("pred", X.parse_last_word("decoded_pred")).withColumn("label_parsed", X.parse_last_word("decoded_label"))
+    return A.evaluate_two_sided(j, by, label="label_parsed", pred="pred")
+
+
+@query("m1_m2_fit_evaluate")
+def m1_m2_fit_evaluate(spark, sf_dir):
+    """M1 + M2: balanced resampling, class-weighted Spark ML fit on the train
+    split, A9 on validation and test."""
+    c = load_corpus(spark, sf_dir)
+    model = ML.fit(c.filter(F.col("split") == "train"), "balanced", 42, weighted=True)
+    return ML.evaluate_model(model, c.filter(F.col("split") != "train"), ("split",))
+
+
+@query("m3_strategy_sweep")
+def m3_strategy_sweep(spark, sf_dir):
+    """M3 + A16: one fit per strategy (seed 42), test metrics, best marked."""
+    c = load_corpus(spark, sf_dir)
+    res = ML.sweep(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test"))
+    best = A.best_by(res, [], "strategy", "f1_macro", "seed").select(F.col("best").alias("strategy"))
+    return res.join(best.withColumn("is_best", F.lit(True)), "strategy", "left").fillna(False, ["is_best"])
+
+
+@query("m4_save_reload")
+def m4_save_reload(spark, sf_dir):
+    """M4: save the fitted model under the shared folder, reload it, and
+    check the reloaded model scores the test split identically."""
+    c = load_corpus(spark, sf_dir)
+    model = ML.fit(c.filter(F.col("split") == "train"), "undersample", 42)
+    again = ML.save_and_reload(model, shared_path(spark, "model"))
+    test = c.filter(F.col("split") == "test")
+    a = ML.predict(model, test).select("example_id", F.col("pred").alias("pred_fitted"))
+    b = ML.predict(again, test).select("example_id", F.col("pred").alias("pred_reloaded"))
+    return a.join(b, "example_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("pred_fitted") != F.col("pred_reloaded")).alias("n_diff")
+    )
+
+
+@query(
+    "stream_a1_confusion",
+    f"SELECT 'e1' AS run_id, label, {O.parse_lenient('answer')} AS pred, count(*) AS n FROM ({_ANSWERS_SQL}) a GROUP BY label, pred",
+)
+def stream_a1_confusion(spark, sf_dir):
+    """A1 as a Structured Streaming aggregation over answer files."""
+    ans = load_corpus(spark, sf_dir).select(
+        F.lit("e1").alias("run_id"), "example_id", "label", standin.standin_answer().alias("answer")
+    )
+    src = shared_path(spark, "stream_source")
+    ans.write.mode("overwrite").parquet(src)
+    sink, ck = shared_path(spark, "stream_sink"), shared_path(spark, "stream_checkpoint")
+    ST.run_to_table(ST.confusion_stream(spark, src), sink, ck)
+    return spark.read.parquet(sink)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

@@ -25,6 +25,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8) -> Spark
         SparkSession.builder.master(master or os.environ.get("GRADED_MASTER", "local[8]"))
         .appName("graded")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
