@@ -17,9 +17,13 @@ WS_CLASS = (
     r"[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+# The same set as a plain string (for character-set trimming).
+WS_RANGES = ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A),
+             (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
+NON_WS_RUN = "[^" + WS_CLASS[1:-1] + "]+"
 # Characters kept by the lenient parser: letters, digits and whitespace.
 NOT_ALNUM_SPACE = r"[^\p{L}\p{N}" + WS_CLASS[1:-1] + "]"
-STRIP_PATTERN = rf"^{WS_CLASS}+|{WS_CLASS}+$"
 
 
 def _c(c) -> Column:
@@ -27,8 +31,8 @@ def _c(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``s.strip()``."""
-    return F.regexp_replace(_c(c), STRIP_PATTERN, "")
+    """Python ``s.strip()``: character-set trim, linear, no regex."""
+    return F.call_function("btrim", _c(c), F.lit(WS_CHARS))
 
 
 def strip_chars(c, chars: str) -> Column:
@@ -65,4 +69,5 @@ def words(c) -> Column:
 
 
 def n_words(c) -> Column:
-    return F.size(words(c))
+    """``len(s.split())`` without building the word array."""
+    return F.regexp_count(_c(c), F.lit(NON_WS_RUN))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
+from graded.session import materialize
 
 PAD_ID, UNK_ID = 0, 1
 FIRST_WORD_ID = 2
@@ -32,8 +33,8 @@ def tokens(c) -> Column:
     return F.filter(F.split(F.lower(_c(c)), TOKEN_SPLIT), lambda w: w != "")
 
 
-def build_vocabulary(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, cnt, id) for every word of every text."""
+def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool = True) -> DataFrame:
+    """(word, cnt, id) for every word of every text, computed once."""
     counts = (
         df.select(F.explode(tokens(text_col)).alias("word"))
         .groupBy("word")
@@ -45,13 +46,21 @@ def build_vocabulary(df: DataFrame, text_col: str = "text") -> DataFrame:
     offs = buckets.select("cnt", "c1", (F.sum("bn").over(wo) - F.col("bn")).alias("off"))
     vocab = counts.join(F.broadcast(offs), ["cnt", "c1"])
     w = Window.partitionBy("cnt", "c1").orderBy("word")
-    return vocab.select(
+    vocab = vocab.select(
         "word", "cnt", (F.col("off") + F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("int").alias("id")
     )
+    return materialize_vocabulary(vocab) if materialized else vocab
+
+
+def materialize_vocabulary(vocab: DataFrame) -> DataFrame:
+    """Compute the vocabulary once (checkpoint in the shared folder) so
+    every encode that uses it reads it instead of rebuilding it."""
+    return materialize(vocab.select("word", "cnt", "id"))
 
 
 def _lookup(tok: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Left join tokens to ids; broadcast when the vocabulary is small."""
+    """Left join tokens to ids; broadcast when the vocabulary is small
+    (size checked on the materialized table)."""
     v = vocab.select("word", "id")
     n = v.count()
     if n <= BROADCAST_VOCAB_ROWS:
@@ -66,13 +75,13 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "example_id", text_col: s
     """V1: (key, input_ids, attention_mask) truncated at ``max_len``
     (unknown words -> UNK_ID). Each re-aggregated array holds at most
     ``max_len`` ids, so no group is unbounded."""
-    tok = df.select(key, F.posexplode(tokens(text_col)).alias("pos", "word")).filter(F.col("pos") < max_len)
+    # the whole text is tokenized; only the first max_len tokens are exploded
+    # (posexplode_outer keeps texts without any token as one NULL row)
+    tok = df.select(key, F.posexplode_outer(F.slice(tokens(text_col), 1, max_len)).alias("pos", "word"))
     j = _lookup(tok, vocab).withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
-    enc = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
-    enc = enc.select(key, F.transform("_p", lambda s: s["id"]).alias(out))
-    # texts with no token at all still get a row (empty arrays)
-    keys = df.select(key)
-    enc = keys.join(enc, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    item = F.when(F.col("word").isNotNull(), F.struct("pos", "id"))
+    enc = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
+    enc = enc.select(key, F.transform("_p", lambda s: s["id"]).cast("array<int>").alias(out))
     return enc.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out)))
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
+from graded.session import materialize
 
 STRATEGIES = ("undersample", "oversample", "balanced", "normal")
 # Strategy abbreviations used in run names.
@@ -52,8 +53,11 @@ def py_round(x: Column) -> Column:
 
 
 def _bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a small derived table after checking its size (one tiny
-    job on aggregated rows); above the bound let AQE plan the join."""
+    """Broadcast a small derived table after checking its size: it is
+    computed once (checkpointed to the shared folder), counted from the
+    checkpoint, and broadcast only below the bound; above it the join is
+    left to AQE (shuffle join with skew splitting)."""
+    df = materialize(df)
     return F.broadcast(df) if df.count() <= max_rows else df
 
 

@@ -9,7 +9,7 @@ read the ``\\x{..}`` escapes identically).
 from __future__ import annotations
 
 from graded.functions.parsing import NARROW_STRIP, QUOTES, STRICT_TRAILING
-from graded.functions.text import NOT_ALNUM_SPACE, STRIP_PATTERN, WS_CLASS, char_class
+from graded.functions.text import NON_WS_RUN, NOT_ALNUM_SPACE, WS_CHARS, WS_CLASS, char_class
 from graded.sources.corpus import SPLIT_CUTS
 
 
@@ -18,7 +18,7 @@ def lit(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {lit(STRIP_PATTERN)}, '', 'g')"
+    return f"trim({x}, {lit(WS_CHARS)})"
 
 
 def norm(x: str) -> str:
@@ -35,7 +35,7 @@ def words(x: str) -> str:
 
 
 def n_words(x: str) -> str:
-    return f"len({words(x)})"
+    return f"len(regexp_extract_all({x}, {lit(NON_WS_RUN)}))"
 
 
 def ratio(num: str, den: str) -> str:
