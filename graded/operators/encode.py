@@ -55,7 +55,7 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool =
 def materialize_vocabulary(vocab: DataFrame) -> DataFrame:
     """Compute the vocabulary once (checkpoint in the shared folder) so
     every encode that uses it reads it instead of rebuilding it."""
-    return materialize(vocab.select("word", "cnt", "id"))
+    return materialize(vocab.select("word", "cnt", "id"), "vocabulary")
 
 
 def _lookup(tok: DataFrame, vocab: DataFrame) -> DataFrame:

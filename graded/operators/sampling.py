@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
-from graded.session import materialize
+from graded.session import small_table
 
 STRATEGIES = ("undersample", "oversample", "balanced", "normal")
 # Strategy abbreviations used in run names.
@@ -54,13 +54,23 @@ def py_round(x: Column) -> Column:
 
 def _bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a small derived table after checking its size: it is
-    computed once (checkpointed to the shared folder), counted from the
-    checkpoint, and broadcast only below the bound; above it the join is
-    left to AQE (shuffle join with skew splitting)."""
-    df = materialize(df)
+    computed once (cached), counted, and broadcast only below the bound;
+    above it the join is left to AQE (shuffle join with skew splitting)."""
+    df = small_table(df)
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool) -> DataFrame:
+    """Attach per-group parameters. With group keys: equi-join to the
+    (size-checked) small table. Without: the single row is a scalar
+    subquery evaluated once -- no join at all."""
+    if grouped:
+        return d.join(_bounded_broadcast(small), groups, "inner")
+    cols = [c for c in small.columns if c not in groups]
+    info = small.select(F.struct(*cols).alias("_info")).scalar()
+    return d.withColumn("_info", info).select("*", *[F.col(f"_info.{c}").alias(c) for c in cols]).drop("_info")
+
+
 def flag_top_n(
     df: DataFrame,
     groups: Sequence[str],
@@ -99,24 +109,38 @@ def flag_top_n(
         "_cum", F.sum("_cnt").over(wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
     )
     counts = counts.withColumn("_prev", F.col("_cum") - F.col("_cnt"))
-    # one row per group: cut-off bucket (NULL = keep all or none) and remainder
-    cut = counts.groupBy(*g).agg(
-        F.max("_n").alias("_n"),
-        F.max("_total").alias("_total"),
-        F.min(F.when((F.col("_prev") < F.col("_n")) & (F.col("_cum") >= F.col("_n")), F.col("_b"))).alias("_cut"),
-        F.min(F.when((F.col("_prev") < F.col("_n")) & (F.col("_cum") >= F.col("_n")), F.col("_n") - F.col("_prev"))).alias("_rem"),
-    )
-    d = d.join(_bounded_broadcast(cut), g, "inner")
-    at_cut = F.col("_b") == F.col("_cut")
-    plain = d.filter(~at_cut | F.col("_cut").isNull()).withColumn(
-        out,
-        F.when(F.col("_cut").isNull(), F.col("_n") > 0).otherwise(F.col("_b") < F.col("_cut")),
-    )
+    hit = (F.col("_prev") < F.col("_n")) & (F.col("_cum") >= F.col("_n"))
+    if groups:
+        # one row per group: cut-off bucket (NULL = keep all or none) and remainder
+        cut = counts.groupBy(*g).agg(
+            F.max("_n").alias("_n"),
+            F.max("_total").alias("_total"),
+            F.min(F.when(hit, F.col("_b"))).alias("_cut"),
+            F.min(F.when(hit, F.col("_n") - F.col("_prev"))).alias("_rem"),
+        )
+        d = _attach(d, cut, g, True)
+        at_cut = F.col("_b") == F.col("_cut")
+        keep = F.when(F.col("_cut").isNull(), F.col("_n") > 0).otherwise(F.col("_b") < F.col("_cut"))
+    else:
+        # one row per hash bucket (at most 16**bucket_hex rows, a proven
+        # bound): keep it whole, drop it, or cut inside it
+        decide = counts.select(
+            "_b",
+            F.when(F.col("_cum") <= F.col("_n"), F.lit("all"))
+            .when(hit, F.lit("cut"))
+            .otherwise(F.lit("none"))
+            .alias("_mode"),
+            (F.col("_n") - F.col("_prev")).alias("_rem"),
+        )
+        d = d.join(F.broadcast(decide), "_b", "inner")
+        at_cut = F.col("_mode") == "cut"
+        keep = F.col("_mode") == "all"
+    plain = d.filter(~at_cut | at_cut.isNull()).withColumn(out, keep)
     w = Window.partitionBy(*g).orderBy(F.col(h), *[F.col(k) for k in keys])
     edge = d.filter(at_cut).withColumn(out, F.row_number().over(w) <= F.col("_rem"))
     res = plain.unionByName(edge)
-    drop = ["_b", "_cut", "_rem", "_n", "_total"] + ([] if groups else ["_g"]) + ([h] if hash_col is None else [])
-    return res.drop(*drop)
+    drop = ["_b", "_cut", "_rem", "_n", "_total", "_mode"] + ([] if groups else ["_g"]) + ([h] if hash_col is None else [])
+    return res.drop(*[c for c in drop if c in res.columns])
 
 
 def top_n(df: DataFrame, groups: Sequence[str], n=None, seed=42, keys=("example_id",), **kw) -> DataFrame:
@@ -166,9 +190,7 @@ def balance(df: DataFrame, neg_ratio: float = 0.5, seed=42, groups: Sequence[str
     ``q, r = divmod(N - negatives, N1)``. Raises (lazily, inside the job)
     when there is no positive or too few negatives, as the reference does."""
     g = list(groups)
-    gg = g or ["_g"]
-    d = df if g else df.withColumn("_g", F.lit(0))
-    stats = d.groupBy(*gg).agg(
+    stats = (df.groupBy(*g) if g else df).agg(
         F.count(F.lit(1)).alias("_N"),
         F.count_if(F.col(label) == 1).alias("_N1"),
         F.count_if(F.col(label) == 0).alias("_N0"),
@@ -185,18 +207,17 @@ def balance(df: DataFrame, neg_ratio: float = 0.5, seed=42, groups: Sequence[str
         .otherwise(F.lit(True)),
     )
     stats = stats.select(
-        *gg,
+        *g,
         "_neg_t",
         F.when(F.col("_check"), F.floor(F.col("_pos_t") / F.col("_N1")).cast("long")).alias("_q"),
         F.pmod(F.col("_pos_t"), F.greatest(F.col("_N1"), F.lit(1))).alias("_r"),
     )
-    d = d.join(_bounded_broadcast(stats), gg, "inner")
-    pos = flag_top_n(d.filter(F.col(label) == 1), gg, seed=seed, n_col="_r")
+    d = _attach(df, stats, g, bool(g))
+    pos = flag_top_n(d.filter(F.col(label) == 1), g, seed=seed, n_col="_r")
     pos = pos.withColumn("_copies", F.col("_q") + F.col("_sel").cast("int")).drop("_sel")
-    neg = flag_top_n(d.filter(F.col(label) == 0), gg, seed=seed, n_col="_neg_t")
+    neg = flag_top_n(d.filter(F.col(label) == 0), g, seed=seed, n_col="_neg_t")
     neg = neg.filter(F.col("_sel")).withColumn("_copies", F.lit(1)).drop("_sel")
-    out = _explode_copies(pos.unionByName(neg)).drop("_q", "_r", "_neg_t")
-    return out if g else out.drop("_g")
+    return _explode_copies(pos.unionByName(neg)).drop("_q", "_r", "_neg_t")
 
 
 def normal(df: DataFrame) -> DataFrame:

@@ -67,8 +67,19 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialize(df):
-    """Compute a small derived table once and cut its lineage: an eager
-    reliable checkpoint into the shared folder (never a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df, name: str = "small"):
+    """Compute a derived table once and cut its lineage: it is written as a
+    parquet table under the shared checkpoint folder and read back (never a
+    local checkpoint or a machine-local folder). The read-back plan carries
+    real size statistics, which the broadcast decisions use."""
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def small_table(df):
+    """A table that is small by construction (one row per sampling group):
+    computed once and cached for the size check and the broadcast that
+    follows; a lost block is recomputed from lineage."""
+    return df.cache()
