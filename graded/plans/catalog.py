@@ -1282,6 +1282,66 @@ def stream_a1_confusion(spark, sf_dir):
     return spark.read.parquet(sink)
 
 
+# ------------------------------------------------------------------ V6 collate, P9/P10 valid filters
+
+
+def _r11_sql():
+    return (
+        "SELECT example_id, copy_no, idx, block, block * 50 + (row_number() OVER (PARTITION BY block ORDER BY n_tokens DESC, idx) - 1) // 8 AS batch "
+        f"FROM (SELECT *, idx // 400 AS block FROM (SELECT example_id, copy_no, n_tokens, row_number() OVER (ORDER BY "
+        f"{O.hash_key(42, 'example_id', 'copy_no')}, example_id, copy_no) - 1 AS idx FROM (SELECT o.example_id, o.copy_no, "
+        f"{O.n_words('c.text')} AS n_tokens FROM ({O.oversample(TRAIN_SQL)}) o JOIN ({O.corpus(split='train')}) c "
+        f"ON o.example_id = c.example_id) j) i) b"
+    )
+
+
+def _v6_sql():
+    enc = _encode_sql(O.corpus(split="train"), _vocab_sql(DOCS_SQL), max_len=128)
+    j = (
+        f"SELECT b.example_id, b.copy_no, b.batch, e.input_ids, e.attention_mask, "
+        f"max(len(e.input_ids)) OVER (PARTITION BY b.batch) AS longest FROM ({_r11_sql()}) b JOIN ({enc}) e ON b.example_id = e.example_id"
+    )
+    return (
+        "SELECT example_id, copy_no, batch, input_ids || list_transform(range(longest - len(input_ids)), lambda x: 0) AS input_ids, "
+        "attention_mask || list_transform(range(longest - len(attention_mask)), lambda x: 0) AS attention_mask "
+        f"FROM ({j}) j"
+    )
+
+
+@query("v6_collate_batches", _v6_sql())
+def v6_collate_batches(spark, sf_dir):
+    """V6: length-grouped batches (R11) of encoded train rows, each padded to
+    the longest row of its batch."""
+    train = load_corpus(spark, sf_dir, split="train").withColumn("n_tokens", n_words("text"))
+    batches = R.length_batches(R.oversample(train.select("example_id", "label", "n_tokens")), 8, 42, 50, "n_tokens")
+    vocab = EN.build_vocabulary(table(spark, sf_dir, "documents"))
+    enc = EN.encode(train, vocab, max_len=128)
+    j = batches.select("example_id", "copy_no", "batch").join(enc, "example_id")
+    return WN.collate(j, "batch", {"input_ids": EN.PAD_ID, "attention_mask": 0})
+
+
+@query(
+    "p9_p10_valid_filters",
+    "SELECT split, count(*) AS n_rows, count(*) FILTER (WHERE pred <> -1) AS n_valid_pred, "
+    "count(*) FILTER (WHERE pred <> -1 AND label_parsed <> -1) AS n_valid_both FROM "
+    f"(SELECT split, {O.parse_last_word(O.standin_answer())} AS pred, {O.parse_last_word(O.standin_biased_answer())} AS label_parsed "
+    f"FROM ({CORPUS}) c) r GROUP BY split",
+)
+def p9_p10_valid_filters(spark, sf_dir):
+    """P9 (prediction side valid) and P10 (both sides valid) as filters."""
+    c = load_corpus(spark, sf_dir).select(
+        "split",
+        X.parse_last_word(standin.standin_answer()).alias("pred"),
+        X.parse_last_word(standin.standin_biased_answer()).alias("label_parsed"),
+    )
+    p9 = F.col("pred") != -1
+    p10 = p9 & (F.col("label_parsed") != -1)
+    # both predicates counted in one pass over the corpus
+    return c.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(p9).alias("n_valid_pred"), F.count_if(p10).alias("n_valid_both")
+    )
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
