@@ -6,8 +6,9 @@ word); ids 0 and 1 are padding and unknown.
 
 Scale notes:
 * word counts aggregate map-side, so hot words (``the``) cost nothing extra;
-* ids come from offsets per (count, first character) bucket plus a rank
-  inside the bucket, so no window ever sees the whole vocabulary;
+* ids come from offsets per (count, first two characters) bucket plus a
+  rank inside the bucket, so no window ever sees the whole vocabulary (the
+  largest bucket, words seen once, is split by prefix);
 * the join of tokens to ids broadcasts the vocabulary only after its size
   is checked; beyond that the top-K (hot) words are broadcast and the rest
   (each rarer than the K-th word, so bounded skew) are shuffle-joined.
@@ -26,6 +27,7 @@ FIRST_WORD_ID = 2
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 BROADCAST_VOCAB_ROWS = 2_000_000
 HOT_WORDS = 100_000
+PREFIX_CHARS = 2
 
 
 def tokens(c) -> Column:
@@ -39,7 +41,7 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool =
         df.select(F.explode(tokens(text_col)).alias("word"))
         .groupBy("word")
         .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("c1", F.substring("word", 1, 1))
+        .withColumn("c1", F.substring("word", 1, PREFIX_CHARS))
     )
     buckets = counts.groupBy("cnt", "c1").agg(F.count(F.lit(1)).alias("bn"))
     wo = Window.orderBy(F.col("cnt").desc(), F.col("c1")).rowsBetween(Window.unboundedPreceding, 0)
