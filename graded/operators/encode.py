@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
-from graded.session import materialize
+from graded.session import broadcast_if_small, materialize
 
 PAD_ID, UNK_ID = 0, 1
 FIRST_WORD_ID = 2
@@ -46,7 +46,8 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool =
     buckets = counts.groupBy("cnt", "c1").agg(F.count(F.lit(1)).alias("bn"))
     wo = Window.orderBy(F.col("cnt").desc(), F.col("c1")).rowsBetween(Window.unboundedPreceding, 0)
     offs = buckets.select("cnt", "c1", (F.sum("bn").over(wo) - F.col("bn")).alias("off"))
-    vocab = counts.join(F.broadcast(offs), ["cnt", "c1"])
+    # one row per (count, prefix) bucket: aggregated rows, size-checked
+    vocab = counts.join(broadcast_if_small(offs), ["cnt", "c1"])
     w = Window.partitionBy("cnt", "c1").orderBy("word")
     vocab = vocab.select(
         "word", "cnt", (F.col("off") + F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("int").alias("id")

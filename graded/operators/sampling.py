@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
-from graded.session import small_table
+from graded.session import broadcast_if_small
 
 STRATEGIES = ("undersample", "oversample", "balanced", "normal")
 # Strategy abbreviations used in run names.
@@ -53,11 +53,7 @@ def py_round(x: Column) -> Column:
 
 
 def _bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a small derived table after checking its size: it is
-    computed once (cached), counted, and broadcast only below the bound;
-    above it the join is left to AQE (shuffle join with skew splitting)."""
-    df = small_table(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return broadcast_if_small(df, max_rows)
 
 
 def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool) -> DataFrame:
@@ -132,7 +128,7 @@ def flag_top_n(
             .alias("_mode"),
             (F.col("_n") - F.col("_prev")).alias("_rem"),
         )
-        d = d.join(F.broadcast(decide), "_b", "inner")
+        d = d.join(F.broadcast(decide), "_b", "inner")  # at most 16**bucket_hex rows
         at_cut = F.col("_mode") == "cut"
         keep = F.col("_mode") == "all"
     plain = d.filter(~at_cut | at_cut.isNull()).withColumn(out, keep)
@@ -259,6 +255,8 @@ def shuffle_index(
     offs = counts.select(
         *g, "_b", (F.sum("_cnt").over(wo.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cnt")).alias("_off")
     )
+    # without groups the offset table has at most 16**bucket_hex rows (a
+    # proven bound); with groups its size is checked first
     d = d.join(F.broadcast(offs) if not g else _bounded_broadcast(offs), [*g, "_b"], "inner")
     w = Window.partitionBy(*g, "_b").orderBy("_h", *keys)
     return d.withColumn(out, F.col("_off") + F.row_number().over(w) - 1).drop("_h", "_b", "_off")

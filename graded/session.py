@@ -83,3 +83,16 @@ def small_table(df):
     computed once and cached for the size check and the broadcast that
     follows; a lost block is recomputed from lineage."""
     return df.cache()
+
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
+    """Broadcast a derived table only after checking its size: computed once
+    (cached), counted, and hinted for broadcast below ``max_rows``; above it
+    the join is left to AQE (shuffle join with skew splitting)."""
+    from pyspark.sql import functions as F
+
+    df = small_table(df)
+    return F.broadcast(df) if df.count() <= max_rows else df
