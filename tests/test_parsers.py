@@ -121,3 +121,18 @@ def test_python_udf_agrees_with_native(spark):
         F.count_if(python_parsers_udf()("a")["lenient"] != X.parse_lenient("a")).alias("m6"),
     ).first()
     assert (r.m5, r.m6) == (0, 0)
+
+
+def test_whitespace_class_is_python_isspace(spark):
+    """Every code point: the Java class used on the Spark side, the explicit
+    class shared with the oracle and the trim set all equal str.isspace."""
+    from graded.functions.text import WS_CHARS, WS_CLASS, WS_CLASS_JAVA
+
+    cps = [c for c in range(0x110000) if not (0xD800 <= c <= 0xDFFF)]
+    py_ws = {c for c in cps if chr(c).isspace()}
+    assert {ord(c) for c in WS_CHARS} == py_ws
+    rows = [("".join(chr(c) for c in cps[i : i + 4096]),) for i in range(0, len(cps), 4096)]
+    df = spark.createDataFrame(rows, "s string")
+    for pat in (WS_CLASS_JAVA, WS_CLASS):
+        got = df.select(F.array_join(F.regexp_extract_all("s", F.lit("(" + pat + ")"), 1), "").alias("k")).collect()
+        assert {ord(ch) for r in got for ch in r.k} == py_ws
