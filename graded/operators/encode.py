@@ -43,6 +43,8 @@ def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool =
         .agg(F.count(F.lit(1)).alias("cnt"))
         .withColumn("c1", F.substring("word", 1, PREFIX_CHARS))
     )
+    # tokenize the texts once: both the bucket offsets and the ids read this
+    counts = materialize(counts, "word_counts")
     buckets = counts.groupBy("cnt", "c1").agg(F.count(F.lit(1)).alias("bn"))
     wo = Window.orderBy(F.col("cnt").desc(), F.col("c1")).rowsBetween(Window.unboundedPreceding, 0)
     offs = buckets.select("cnt", "c1", (F.sum("bn").over(wo) - F.col("bn")).alias("off"))

@@ -175,7 +175,7 @@ def _explode_copies(df: DataFrame) -> DataFrame:
     # sequence(1, 0) is [1, 0] (trap T2): filter first
     return (
         df.filter(F.col("_copies") > 0)
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
         .drop("_copies")
     )
 

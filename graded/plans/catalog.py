@@ -998,7 +998,7 @@ def a19_parser_side_by_side(spark, sf_dir):
 
 @query(
     "a20_strategy_rank",
-    "SELECT prompt_name, strategy, f1_mean, rank() OVER (PARTITION BY prompt_name ORDER BY f1_mean DESC) AS rnk FROM "
+    "SELECT prompt_name, strategy, f1_mean, CAST(rank() OVER (PARTITION BY prompt_name ORDER BY f1_mean DESC) AS INTEGER) AS rnk FROM "
     f"(SELECT prompt_name, strategy, round(avg(f1_macro), 9) AS f1_mean FROM ({_parsed_rt_sql()}) t GROUP BY prompt_name, strategy) m",
 )
 def a20_strategy_rank(spark, sf_dir):
@@ -1014,7 +1014,8 @@ def a20_strategy_rank(spark, sf_dir):
     "a14_length_profile",
     "SELECT split, count(*) AS n_rows, "
     + ", ".join(
-        f"avg({O.n_words(c)}) AS avg_words_{c}, min({O.n_words(c)}) AS min_words_{c}, max({O.n_words(c)}) AS max_words_{c}, sum({O.n_words(c)}) AS sum_words_{c}"
+        f"avg({O.n_words(c)}) AS avg_words_{c}, CAST(min({O.n_words(c)}) AS INTEGER) AS min_words_{c}, "
+        f"CAST(max({O.n_words(c)}) AS INTEGER) AS max_words_{c}, CAST(sum({O.n_words(c)}) AS BIGINT) AS sum_words_{c}"
         for c in ("prompt", "full_text", "answer")
     )
     + f" FROM ({_E1_ROWS}) r GROUP BY split",
@@ -1205,7 +1206,10 @@ def r12_fixed_batches(spark, sf_dir):
     return s.groupBy(F.spark_partition_id().alias("part"), "batch_no").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("f1_python_parser_check", f"SELECT count(*) AS n_rows, 0 AS n_mismatch_last_word, 0 AS n_mismatch_lenient FROM ({CORPUS}) c")
+@query(
+    "f1_python_parser_check",
+    f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch_last_word, CAST(0 AS BIGINT) AS n_mismatch_lenient FROM ({CORPUS}) c",
+)
 def f1_python_parser_check(spark, sf_dir):
     """Python-exact parsers (pandas UDF) against the native parsers on
     every answer; both mismatch counts must be 0."""

@@ -35,7 +35,7 @@ def words(x: str) -> str:
 
 
 def n_words(x: str) -> str:
-    return f"len(regexp_extract_all({x}, {lit(NON_WS_RUN)}))"
+    return f"CAST(len(regexp_extract_all({x}, {lit(NON_WS_RUN)})) AS INTEGER)"
 
 
 def ratio(num: str, den: str) -> str:
@@ -329,7 +329,7 @@ def undersample(src: str, ratio: float = 0.7, seed=42) -> str:
 
 def oversample(src: str, factor: int = 2) -> str:
     return (
-        f"SELECT example_id, label, copy_no FROM ({src}) s, "
+        f"SELECT example_id, label, CAST(copy_no AS INTEGER) AS copy_no FROM ({src}) s, "
         f"generate_series(1, CASE WHEN label = 1 THEN {int(factor)} ELSE 1 END) AS t(copy_no)"
     )
 
@@ -350,6 +350,6 @@ def balance(src: str, neg_ratio: float = 0.5, seed=42) -> str:
     )
     neg = f"SELECT example_id, label, 1 AS copies FROM ({ranked}) x, ({qr}) p WHERE label = 0 AND rn <= neg_t"
     return (
-        f"SELECT example_id, label, copy_no FROM ({pos} UNION ALL {neg}) u, "
+        f"SELECT example_id, label, CAST(copy_no AS INTEGER) AS copy_no FROM ({pos} UNION ALL {neg}) u, "
         f"generate_series(1, copies) AS t(copy_no) WHERE copies > 0"
     )
