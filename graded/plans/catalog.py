@@ -1346,6 +1346,27 @@ def p9_p10_valid_filters(spark, sf_dir):
     )
 
 
+# ------------------------------------------------------------------ S1 stored corpora
+
+
+from graded.sources.corpus import read_labelled_corpus, write_labelled_corpus  # noqa: E402
+
+
+@query("s1_corpus_json_test_split", f"SELECT example_id, text, label FROM ({TEST_SQL}) t")
+def s1_corpus_json_test_split(spark, sf_dir):
+    """S1 from a stored JSON corpus partitioned by split: the test-split
+    filter prunes the other folders (PartitionFilters at the scan)."""
+    path = write_labelled_corpus(load_corpus(spark, sf_dir), shared_path(spark, "corpus_json"), "json")
+    return read_labelled_corpus(spark, path, "json", split="test").select("example_id", "text", "label")
+
+
+@query("s1_corpus_csv_train_split", f"SELECT example_id, text, label FROM ({O.corpus(split='train')}) t")
+def s1_corpus_csv_train_split(spark, sf_dir):
+    """S1 from a stored CSV corpus (header, quoted multi-line texts)."""
+    path = write_labelled_corpus(load_corpus(spark, sf_dir), shared_path(spark, "corpus_csv"), "csv")
+    return read_labelled_corpus(spark, path, "csv", split="train").select("example_id", "text", "label")
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 

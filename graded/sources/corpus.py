@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graded.session import table
 
@@ -60,3 +61,32 @@ def load_corpus(
 def by_class(df: DataFrame, label: int, col: str = "label") -> DataFrame:
     """Class filter."""
     return df.filter(F.col(col) == label)
+
+
+CORPUS_SCHEMA = T.StructType(
+    [
+        T.StructField("example_id", T.LongType(), False),
+        T.StructField("text", T.StringType(), True),
+        T.StructField("label", T.IntegerType(), True),
+        T.StructField("split", T.StringType(), True),
+    ]
+)
+
+
+def write_labelled_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """Store a corpus partitioned by split (one folder per split)."""
+    w = df.select("example_id", "text", "label", "split").write.mode("overwrite").partitionBy("split").format(fmt)
+    if fmt == "csv":
+        w = w.option("header", True).option("escape", '"')
+    w.save(path)
+    return path
+
+
+def read_labelled_corpus(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None) -> DataFrame:
+    """S1 for stored corpora (parquet, json or csv) with an explicit schema;
+    the split filter prunes whole partition folders."""
+    r = spark.read.format(fmt).schema(CORPUS_SCHEMA)
+    if fmt == "csv":
+        r = r.option("header", True).option("multiLine", True).option("escape", '"')
+    df = r.load(path)
+    return df if split is None else df.filter(F.col("split") == split)
