@@ -21,7 +21,7 @@ from graded.operators.encode import TOKEN_SPLIT
 from graded.session import broadcast_if_small
 
 
-def text_pipeline(weight_col: str | None = None, num_features: int = 1 << 18, max_iter: int = 30, reg: float = 0.01) -> Pipeline:
+def text_pipeline(weight_col: str | None = None, num_features: int = 1 << 16, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_SPLIT, gaps=True, toLowercase=True)
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
     idf = IDF(inputCol="tf", outputCol="features")
@@ -44,7 +44,13 @@ def fit(train: DataFrame, strategy: str = "normal", seed: int = 42, weighted: bo
     data = data.withColumn("label", F.col("label").cast("double"))
     if weighted:
         data = with_class_weights(data)
-    return text_pipeline("weight" if weighted else None).fit(data)
+    # the pipeline passes over the data several times (IDF, then every
+    # optimizer iteration): keep the resampled frame while fitting
+    data = data.select("text", "label", *(["weight"] if weighted else [])).persist()
+    try:
+        return text_pipeline("weight" if weighted else None).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
