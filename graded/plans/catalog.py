@@ -1367,6 +1367,37 @@ def s1_corpus_csv_train_split(spark, sf_dir):
     return read_labelled_corpus(spark, path, "csv", split="train").select("example_id", "text", "label")
 
 
+# ------------------------------------------------------------------ D17: empty groups
+
+
+def _splits_sql():
+    return "(VALUES ('train'), ('validation'), ('test')) AS s(split)"
+
+
+def _e1_test_only_sql():
+    counts = (
+        "SELECT s.split, coalesce(c.total_samples, 0) AS total_samples, coalesce(c.n_invalid, 0) AS n_invalid, "
+        "coalesce(c.n11, 0) AS n11, coalesce(c.n10, 0) AS n10, coalesce(c.n01, 0) AS n01, coalesce(c.n00, 0) AS n00 "
+        f"FROM {_splits_sql()} LEFT JOIN (SELECT split, count(*) AS total_samples, "
+        "count(*) FILTER (WHERE pred = -1) AS n_invalid, count(*) FILTER (WHERE label = 1 AND pred = 1) AS n11, "
+        "count(*) FILTER (WHERE label = 1 AND pred = 0) AS n10, count(*) FILTER (WHERE label = 0 AND pred = 1) AS n01, "
+        f"count(*) FILTER (WHERE label = 0 AND pred = 0) AS n00 FROM ({_E1_ROWS}) r WHERE split = 'test' GROUP BY split) c "
+        "ON s.split = c.split"
+    )
+    return O._a9_from_counts(counts, ["split"])
+
+
+@query("e1_eval_test_only", _e1_test_only_sql())
+def e1_eval_test_only(spark, sf_dir):
+    """E1 with ``test_only``: splits without rows still get a record (scores
+    0, invalid 100, total 0), the reference's empty-list contract (D17)."""
+    from graded.sources.corpus import SPLITS
+
+    rows = _e1_rows(spark, sf_dir).filter(F.col("split") == "test")
+    groups = spark.createDataFrame([(s_,) for s_ in SPLITS], "split string")
+    return A.evaluate(rows, ["split"], groups=groups)
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
