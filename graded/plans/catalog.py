@@ -773,7 +773,7 @@ def _w1_sql(patience=2):
 @query("w1_early_stop", _w1_sql())
 def w1_early_stop(spark, sf_dir):
     """Early-stop point and chosen epoch per run over the event log."""
-    return WN.early_stop(WN.epoch_log(table(spark, sf_dir, "events")), patience=2)
+    return WN.early_stop(WN.epoch_log(table(spark, sf_dir, "events")), patience=2, quantile_chunks=64)
 
 
 # ------------------------------------------------------------------ J3 sweep, run tables, reports, S3-S8

@@ -67,6 +67,26 @@ def test_early_stop_matches_brute_force(spark):
     # chunking at a finer grain gives the same answer (two-level scan)
     got2 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, "minute").collect()}
     assert got2 == exp
+    # row-balanced chunks from per-run time quantiles give the same answer
+    got3 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, quantile_chunks=8).collect()}
+    assert got3 == exp
+
+
+def test_early_stop_hot_run_in_one_hour(spark):
+    """One run with most rows inside a single hour: quantile chunks split it
+    and still agree with the brute force."""
+    import datetime as dt
+    import random
+
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1, 10, 0, 0)
+    rows = [(1, base + dt.timedelta(seconds=rnd.randint(0, 3599)), i, float(rnd.randint(0, 50))) for i in range(3000)]
+    rows += [(2, base + dt.timedelta(hours=h), 10_000 + h, float(h % 7)) for h in range(40)]
+    log = spark.createDataFrame(rows, "run long, ts timestamp_ntz, event_id long, metric double")
+    exp = _brute_early_stop(rows, 3)
+    for kw in ({}, {"quantile_chunks": 16}):
+        got = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 3, **kw).collect()}
+        assert got == exp
 
 
 def test_causal_example_cap(spark):
