@@ -129,7 +129,7 @@ for _p, _fn in (("lenient", O.parse_lenient), ("strict", O.parse_strict), ("last
 
 
 _ROBUST_SQL = (
-    f"SELECT example_id, label, {O.narrow(O.completion_robust('full_text', 'prompt', 'text'))} AS answer "
+    f"SELECT example_id, split, label, {O.narrow(O.completion_robust('full_text', 'prompt', 'text'))} AS answer "
     f"FROM ({GEN_SQL}) g"
 )
 
@@ -144,7 +144,7 @@ def x2_x3_robust_extraction(spark, sf_dir):
 # ------------------------------------------------------------------ E2-E5
 
 
-_E2_ROWS = f"SELECT split, label, {O.parse_strict('answer')} AS pred FROM ({_ROBUST_SQL.replace('SELECT example_id, label,', 'SELECT example_id, split, label,')}) r"
+_E2_ROWS = f"SELECT split, label, {O.parse_strict('answer')} AS pred FROM ({_ROBUST_SQL}) r"
 
 
 @query("e2_eval_strict", O.evaluate(_E2_ROWS, ["split"]))
@@ -798,11 +798,11 @@ def _grid_sql():
     return f"(VALUES {rows}) AS g(strategy, seed, prompt_name, tpl)"
 
 
-def _sweep_rows_sql(parser="lenient"):
+def _sweep_rows_sql(parser="lenient", src=TEST_SQL):
     base = (
         f"SELECT c.*, g.strategy, g.seed, g.prompt_name, g.tpl, "
         f"{O.lit(SW.MODELS_DIR + '/' + NM.CAUSAL_MODEL + '_')} || {_ABBREV_SQL} || '_seed' || CAST(g.seed AS VARCHAR) AS checkpoint_path "
-        f"FROM ({TEST_SQL}) c, {_grid_sql()}"
+        f"FROM ({src}) c, {_grid_sql()}"
     )
     gen = (
         f"SELECT *, {O.standin_generation('prompt', salt='checkpoint_path')} AS full_text FROM "
@@ -864,7 +864,7 @@ def s8_list_runs(spark, sf_dir):
 
 def _runs_by_split_sql():
     return O.evaluate(
-        f"SELECT * FROM ({_sweep_rows_sql()}) r WHERE prompt_name = 'same'".replace(f"FROM ({TEST_SQL}) c", f"FROM ({CORPUS}) c"),
+        f"SELECT * FROM ({_sweep_rows_sql(src=CORPUS)}) r WHERE prompt_name = 'same'",
         ["checkpoint_path", "split"],
     )
 
