@@ -48,6 +48,12 @@ FINETUNE_TEMPLATE = (
     + 'De zin is: "{text}"'
 )
 
+# Prompt-variant evaluation (E3) has its own wording for "same" and "CoT".
+_LABEL_ASK = "Geef de volgende zin een label: 'ja' voor biased of 'nee' voor niet-biased. "
+_CLOSE_WITH_LABEL = "Sluit je antwoordt altijd af met het label, 'nee' (niet-biased) of 'ja' (biased). "
+VARIANT_SAME_TEMPLATE = _DEFINITION + _LABEL_ASK + _CLOSE_WITH_LABEL + 'De zin is: "{text}"'
+VARIANT_COT_TEMPLATE = _DEFINITION + _LABEL_ASK + "Denk hardop en stap-voor-stap. " + _CLOSE_WITH_LABEL + 'De zin is: "{text}"'
+
 _SWEEP_HEAD = (
     "Je bent een expert op het gebied van bias, stereotypering en discriminatie detectie.\n"
     "Je taak is om zinnen te classificeren volgens de volgende definitie:\n"
@@ -131,13 +137,15 @@ def render_prompt(template, text, placeholder: str = "{text}") -> Column:
     return F.replace(tpl, F.lit(placeholder), _c(text))
 
 
-def choose_template(name: str) -> str:
-    """``same`` -> training template, ``cot`` (any case) -> CoT,
-    anything else is itself a template."""
+def choose_template(name: str, family: str = "current") -> str:
+    """``same`` -> the family's training-style template, ``cot`` (any
+    case) -> its chain-of-thought template, anything else is itself a
+    template. Families: ``current`` (E1) and ``variants`` (E3)."""
+    same, cot = (TRAIN_TEMPLATE, COT_TEMPLATE) if family == "current" else (VARIANT_SAME_TEMPLATE, VARIANT_COT_TEMPLATE)
     if name == "same":
-        return TRAIN_TEMPLATE
+        return same
     if name.lower() == "cot":
-        return COT_TEMPLATE
+        return cot
     return name
 
 

@@ -159,7 +159,7 @@ def _e3_sql():
     for p in ("same", "CoT"):
         gen = (
             f"SELECT *, {O.standin_generation('prompt')} AS full_text FROM "
-            f"(SELECT *, {O.render(O.lit(choose_template(p)), 'text')} AS prompt FROM ({CORPUS}) c) g"
+            f"(SELECT *, {O.render(O.lit(choose_template(p, 'variants')), 'text')} AS prompt FROM ({CORPUS}) c) g"
         )
         parts.append(
             f"SELECT {O.lit(p)} AS prompt_name, split, label, "

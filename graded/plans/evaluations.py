@@ -49,7 +49,9 @@ def e2_strict(corpus: DataFrame, by=("split",)) -> DataFrame:
 def e3_prompt_variants(corpus: DataFrame, prompts=("same", "CoT"), by=("split",)) -> DataFrame:
     """For each prompt variant, X2 -> X3 -> X6 -> A9. Rows fan out over
     the (fixed, small) list of prompts with ``explode``; no join."""
-    arr = F.array(*[F.struct(F.lit(p).alias("prompt_name"), F.lit(choose_template(p)).alias("tpl")) for p in prompts])
+    arr = F.array(
+        *[F.struct(F.lit(p).alias("prompt_name"), F.lit(choose_template(p, "variants")).alias("tpl")) for p in prompts]
+    )
     g = corpus.select("*", F.explode(arr).alias("p")).select("*", "p.prompt_name", "p.tpl").drop("p")
     g = g.withColumn("prompt", render_prompt(F.col("tpl"), "text")).withColumn(
         "full_text", standin.standin_generation("prompt")

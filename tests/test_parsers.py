@@ -136,3 +136,16 @@ def test_whitespace_class_is_python_isspace(spark):
     for pat in (WS_CLASS_JAVA, WS_CLASS):
         got = df.select(F.array_join(F.regexp_extract_all("s", F.lit("(" + pat + ")"), 1), "").alias("k")).collect()
         assert {ord(ch) for r in got for ch in r.k} == py_ws
+
+
+def test_choose_template_families():
+    from graded.functions import prompts as P
+
+    assert P.choose_template("same") == P.TRAIN_TEMPLATE
+    assert P.choose_template("COT") == P.COT_TEMPLATE
+    assert P.choose_template("same", "variants") == P.VARIANT_SAME_TEMPLATE
+    assert P.choose_template("cot", "variants") == P.VARIANT_COT_TEMPLATE
+    assert P.choose_template("Zin: {text}") == "Zin: {text}"
+    assert P.max_new_tokens_for(P.TRAIN_TEMPLATE) == 6 and P.max_new_tokens_for(P.COT_TEMPLATE) == 200
+    for t in (P.TRAIN_TEMPLATE, P.COT_TEMPLATE, P.VARIANT_SAME_TEMPLATE, P.VARIANT_COT_TEMPLATE, P.FINETUNE_TEMPLATE):
+        assert t.count("{text}") == 1
