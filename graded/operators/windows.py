@@ -24,25 +24,43 @@ def epoch_log(events: DataFrame) -> DataFrame:
     )
 
 
-def _chunk_by_quantiles(log: DataFrame, k: int) -> DataFrame:
-    """Row-balanced chunks: per run, k-1 approximate quantiles of the time
-    (microseconds, time-zone free) are the chunk boundaries, so a run that is
-    dense in time is still cut into pieces of about run_rows / k rows. The
-    boundary table has one row per run and is size-checked before it is
-    broadcast (else AQE splits the hot run's partitions)."""
+def _chunk_by_quantiles(log: DataFrame, k: int, min_chunk_rows: int) -> DataFrame:
+    """Row-balanced chunks for long runs. Rows are counted per run (partial
+    aggregation); only runs longer than ``min_chunk_rows`` are sketched:
+    k-1 approximate quantiles of the time (microseconds, time-zone free) are
+    their candidate boundaries, of which every (k / k_run)-th is used, with
+    k_run the power of two that brings chunks near ``min_chunk_rows`` rows
+    (at most k). Shorter runs stay one chunk. Both helper tables have one row
+    per (long) run and are size-checked before being broadcast."""
     from datetime import datetime
 
     from graded.session import broadcast_if_small
 
+    k = 1 << max(1, (k - 1).bit_length())  # a power of two
     micros = F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast(log.schema["ts"].dataType), F.col("ts"))
     d = log.withColumn("_us", micros)
+    sizes = d.groupBy("run").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > min_chunk_rows)
+    need = F.least(F.lit(k), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_rows") / F.lit(float(min_chunk_rows))))).cast("int"))
+    long_runs = broadcast_if_small(sizes.select("run", (F.lit(k) / need).cast("int").alias("_step")))
     pct = F.array(*[F.lit(i / k) for i in range(1, k)])
-    bounds = d.groupBy("run").agg(F.percentile_approx("_us", pct, 10_000).alias("_bounds"))
-    d = d.join(broadcast_if_small(bounds), "run")
-    return d.withColumn("_chunk", F.size(F.filter("_bounds", lambda b: b < F.col("_us")))).drop("_bounds", "_us")
+    bounds = (
+        d.join(long_runs, "run")
+        .groupBy("run", "_step")
+        .agg(F.percentile_approx("_us", pct, 10_000).alias("_all"))
+        .select("run", F.filter("_all", lambda b, i: (i + 1) % F.col("_step") == 0).alias("_bounds"))
+    )
+    d = d.join(broadcast_if_small(bounds), "run", "left")
+    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col("_us"))))
+    return d.withColumn("_chunk", chunk).drop("_bounds", "_us")
 
 
-def early_stop(log: DataFrame, patience: int = 2, chunk_unit: str = "hour", quantile_chunks: int | None = None) -> DataFrame:
+def early_stop(
+    log: DataFrame,
+    patience: int = 2,
+    chunk_unit: str = "hour",
+    quantile_chunks: int | None = None,
+    min_chunk_rows: int = 100_000,
+) -> DataFrame:
     """Per run, epochs numbered by (ts, event_id); an evaluation improves
     when its metric beats every earlier one (the first always does); stop at
     the first epoch with ``patience`` non-improving evaluations in a row;
@@ -50,7 +68,7 @@ def early_stop(log: DataFrame, patience: int = 2, chunk_unit: str = "hour", quan
     equal maxima). Output: run, n_epochs, stop_epoch (NULL if never),
     best_epoch, best_metric."""
     if quantile_chunks:
-        d = _chunk_by_quantiles(log, quantile_chunks)
+        d = _chunk_by_quantiles(log, quantile_chunks, min_chunk_rows)
     else:
         # chunk = the hour of ts: monotone in (ts, event_id), for TIMESTAMP and TIMESTAMP_NTZ alike
         d = log.withColumn("_chunk", F.date_trunc(chunk_unit, F.col("ts")))

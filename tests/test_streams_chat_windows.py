@@ -68,7 +68,7 @@ def test_early_stop_matches_brute_force(spark):
     got2 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, "minute").collect()}
     assert got2 == exp
     # row-balanced chunks from per-run time quantiles give the same answer
-    got3 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, quantile_chunks=8).collect()}
+    got3 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, quantile_chunks=8, min_chunk_rows=5).collect()}
     assert got3 == exp
 
 
@@ -84,7 +84,7 @@ def test_early_stop_hot_run_in_one_hour(spark):
     rows += [(2, base + dt.timedelta(hours=h), 10_000 + h, float(h % 7)) for h in range(40)]
     log = spark.createDataFrame(rows, "run long, ts timestamp_ntz, event_id long, metric double")
     exp = _brute_early_stop(rows, 3)
-    for kw in ({}, {"quantile_chunks": 16}):
+    for kw in ({}, {"quantile_chunks": 16, "min_chunk_rows": 100}, {"quantile_chunks": 64}):
         got = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 3, **kw).collect()}
         assert got == exp
 
