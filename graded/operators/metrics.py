@@ -136,17 +136,11 @@ def macro(df: DataFrame, by=None, label: str = "label", pred: str = "pred", with
 
 def report(df: DataFrame, by=None, label: str = "label", pred: str = "pred") -> DataFrame:
     """Classification report in long form: one row per class, then
-    ``accuracy``, ``macro avg`` and ``weighted avg`` rows."""
+    ``accuracy``, ``macro avg`` and ``weighted avg`` rows. One aggregated
+    row per group carries the per-class list; a single ``explode`` emits all
+    report rows (no union, so the input is read once)."""
     by = _by(by)
     pc = per_class(df, by, label, pred)
-    class_rows = pc.select(
-        *by,
-        F.col("cls").cast("string").alias("row"),
-        "precision",
-        "recall",
-        "f1",
-        "support",
-    )
     agg = _agg(
         pc,
         by,
@@ -160,31 +154,36 @@ def report(df: DataFrame, by=None, label: str = "label", pred: str = "pred") ->
     def wsum(field):
         return F.aggregate(F.col("cl"), F.lit(0.0), lambda acc, x: acc + x[field] * x["support"])
 
-    acc_row = agg.select(
-        *by,
-        F.lit("accuracy").alias("row"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        ratio(F.col("tp"), F.col("n")).alias("f1"),
-        F.col("n").alias("support"),
-    )
-    macro_row = agg.select(
-        *by,
-        F.lit("macro avg").alias("row"),
-        (_ordered_sum(F.col("cl"), "precision") / k).alias("precision"),
-        (_ordered_sum(F.col("cl"), "recall") / k).alias("recall"),
-        (_ordered_sum(F.col("cl"), "f1") / k).alias("f1"),
-        F.col("n").alias("support"),
+    def row(name, p, r, f):
+        return F.struct(
+            F.lit(name).alias("row"),
+            p.cast("double").alias("precision"),
+            r.cast("double").alias("recall"),
+            f.cast("double").alias("f1"),
+            F.col("n").cast("long").alias("support"),
+        )
+
+    class_rows = F.transform(
+        "cl",
+        lambda x: F.struct(
+            x["cls"].cast("string").alias("row"),
+            x["precision"].alias("precision"),
+            x["recall"].alias("recall"),
+            x["f1"].alias("f1"),
+            x["support"].cast("long").alias("support"),
+        ),
     )
-    weighted_row = agg.select(
-        *by,
-        F.lit("weighted avg").alias("row"),
-        F.when(n == 0, 0.0).otherwise(wsum("precision") / n).alias("precision"),
-        F.when(n == 0, 0.0).otherwise(wsum("recall") / n).alias("recall"),
-        F.when(n == 0, 0.0).otherwise(wsum("f1") / n).alias("f1"),
-        F.col("n").alias("support"),
+    summary = F.array(
+        row("accuracy", F.lit(None), F.lit(None), ratio(F.col("tp"), F.col("n"))),
+        row("macro avg", _ordered_sum(F.col("cl"), "precision") / k, _ordered_sum(F.col("cl"), "recall") / k, _ordered_sum(F.col("cl"), "f1") / k),
+        row(
+            "weighted avg",
+            F.when(n == 0, 0.0).otherwise(wsum("precision") / n),
+            F.when(n == 0, 0.0).otherwise(wsum("recall") / n),
+            F.when(n == 0, 0.0).otherwise(wsum("f1") / n),
+        ),
     )
-    return class_rows.unionByName(acc_row).unionByName(macro_row).unionByName(weighted_row)
+    return agg.select(*by, F.explode(F.concat(class_rows, summary)).alias("r")).select(*by, "r.*")
 
 
 # ---------------------------------------------------------------- A9
