@@ -152,16 +152,12 @@ def _with_copy(df: DataFrame, copy_no=1) -> DataFrame:
 
 
 def undersample(df: DataFrame, ratio: float = 0.7, seed=42, groups: Sequence[str] = (), label: str = "label") -> DataFrame:
-    """All positives + round(ratio * N0) negatives, without replacement."""
-    pos = _with_copy(df.filter(F.col(label) == 1))
-    neg = flag_top_n(
-        df.filter(F.col(label) == 0),
-        list(groups),
-        seed=seed,
-        n_from_total=lambda t: py_round(F.lit(float(ratio)) * t.cast("double")),
-    )
-    neg = _with_copy(neg.filter(F.col("_sel")).drop("_sel"))
-    return pos.unionByName(neg)
+    """All positives + round(ratio * N0) negatives, without replacement.
+    Both classes go through one grouped pass (target = all positives)."""
+    lab = F.col(label)
+    target = lambda t: F.when(lab == 1, t).otherwise(py_round(F.lit(float(ratio)) * t.cast("double")))
+    out = flag_top_n(df.filter(lab.isin(0, 1)), [*groups, label], seed=seed, n_from_total=target)
+    return _with_copy(out.filter(F.col("_sel")).drop("_sel"))
 
 
 def oversample(df: DataFrame, factor: int = 2, label: str = "label") -> DataFrame:
@@ -208,12 +204,14 @@ def balance(df: DataFrame, neg_ratio: float = 0.5, seed=42, groups: Sequence[str
         F.when(F.col("_check"), F.floor(F.col("_pos_t") / F.col("_N1")).cast("long")).alias("_q"),
         F.pmod(F.col("_pos_t"), F.greatest(F.col("_N1"), F.lit(1))).alias("_r"),
     )
-    d = _attach(df, stats, g, bool(g))
-    pos = flag_top_n(d.filter(F.col(label) == 1), g, seed=seed, n_col="_r")
-    pos = pos.withColumn("_copies", F.col("_q") + F.col("_sel").cast("int")).drop("_sel")
-    neg = flag_top_n(d.filter(F.col(label) == 0), g, seed=seed, n_col="_neg_t")
-    neg = neg.filter(F.col("_sel")).withColumn("_copies", F.lit(1)).drop("_sel")
-    return _explode_copies(pos.unionByName(neg)).drop("_q", "_r", "_neg_t")
+    d = _attach(df, stats, g, bool(g)).filter(F.col(label).isin(0, 1))
+    # one grouped pass over both classes: positives draw r extra copies,
+    # negatives draw neg_t rows
+    d = d.withColumn("_target", F.when(F.col(label) == 1, F.col("_r")).otherwise(F.col("_neg_t")))
+    d = flag_top_n(d, [*g, label], seed=seed, n_col="_target")
+    copies = F.when(F.col(label) == 1, F.col("_q") + F.col("_sel").cast("int")).otherwise(F.col("_sel").cast("int"))
+    d = d.withColumn("_copies", copies).drop("_sel", "_target")
+    return _explode_copies(d).drop("_q", "_r", "_neg_t")
 
 
 def normal(df: DataFrame) -> DataFrame:
