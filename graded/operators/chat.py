@@ -50,7 +50,7 @@ def render_chat(turns: DataFrame, add_generation_prompt: bool = False) -> DataFr
     )
     body = F.concat(
         F.lit(BOS),
-        F.array_join(F.transform("_segs", lambda s: s["_seg"]), ""),
+        F.array_join(F.col("_segs._seg"), ""),
         F.lit(START + CHATBOT if add_generation_prompt else ""),
     )
     ok = F.col("_n_bad") == 0

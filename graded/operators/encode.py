@@ -32,7 +32,8 @@ PREFIX_CHARS = 2
 
 def tokens(c) -> Column:
     """Lower-cased letter/digit runs of the whole text."""
-    return F.filter(F.split(F.lower(_c(c)), TOKEN_SPLIT), lambda w: w != "")
+    # array_remove is code-generated; a filter lambda would be interpreted
+    return F.array_remove(F.split(F.lower(_c(c)), TOKEN_SPLIT), "")
 
 
 def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool = True) -> DataFrame:
@@ -86,7 +87,7 @@ def encode(df: DataFrame, vocab: DataFrame, key: str = "example_id", text_col: s
     j = _lookup(tok, vocab).withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
     item = F.when(F.col("word").isNotNull(), F.struct("pos", "id"))
     enc = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
-    enc = enc.select(key, F.transform("_p", lambda s: s["id"]).cast("array<int>").alias(out))
+    enc = enc.select(key, F.col("_p.id").cast("array<int>").alias(out))
     return enc.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out)))
 
 
