@@ -224,24 +224,9 @@ def _binary_scores() -> dict[str, Column]:
     return s
 
 
-def evaluate(
-    df: DataFrame,
-    by=None,
-    label: str = "label",
-    pred: str = "pred",
-    groups: DataFrame | None = None,
-) -> DataFrame:
-    """The 13-field evaluation record per group.
-
-    Kept rows are ``pred != -1``. No kept row -> all scores 0, invalid 100,
-    valid 0. With ``groups`` (a table of group keys) empty groups are kept
-    too and get total 0 (the reference's empty-list contract, D17).
-    """
-    by = _by(by)
-    counts = _agg(df, by, *binary_counts(label, pred))
-    if groups is not None:
-        counts = groups.select(*by).join(counts, by, "left")
-        counts = counts.fillna(0, subset=["total_samples", "n_invalid", "n11", "n10", "n01", "n00"])
+def _a9_select(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The 13-field record from per-group counts (total_samples, n_invalid,
+    n11, n10, n01, n00)."""
     s = _binary_scores()
     valid = F.col("total_samples") - F.col("n_invalid")
     none_valid = valid == 0
@@ -269,6 +254,49 @@ def evaluate(
     )
 
 
+def evaluate(
+    df: DataFrame,
+    by=None,
+    label: str = "label",
+    pred: str = "pred",
+    groups: DataFrame | None = None,
+) -> DataFrame:
+    """The 13-field evaluation record per group.
+
+    Kept rows are ``pred != -1``. No kept row -> all scores 0, invalid 100,
+    valid 0. With ``groups`` (a table of group keys) empty groups are kept
+    too and get total 0 (the reference's empty-list contract, D17).
+    """
+    by = _by(by)
+    counts = _agg(df, by, *binary_counts(label, pred))
+    if groups is not None:
+        counts = groups.select(*by).join(counts, by, "left")
+        counts = counts.fillna(0, subset=["total_samples", "n_invalid", "n11", "n10", "n01", "n00"])
+    return _a9_select(counts, by)
+
+
+def evaluate_confusion(conf: DataFrame, by=None, label: str = "label", pred: str = "pred", n: str = "n") -> DataFrame:
+    """A9 from a confusion table (by..., label, pred, n), e.g. the output of
+    A1 or of the streaming confusion count."""
+    by = _by(by)
+    lab, prd, cnt = F.col(label), F.col(pred), F.col(n)
+
+    def s(cond):
+        return F.sum(F.when(cond, cnt).otherwise(F.lit(0))).cast("long")
+
+    counts = _agg(
+        conf,
+        by,
+        F.sum(cnt).cast("long").alias("total_samples"),
+        s(prd == -1).alias("n_invalid"),
+        s((lab == 1) & (prd == 1)).alias("n11"),
+        s((lab == 1) & (prd == 0)).alias("n10"),
+        s((lab == 0) & (prd == 1)).alias("n01"),
+        s((lab == 0) & (prd == 0)).alias("n00"),
+    )
+    return _a9_select(counts, by)
+
+
 def evaluate_counts(counts: DataFrame, by=None) -> DataFrame:
     """A9 fed with a count table (by..., tp, fp, fn, tn, invalid) instead of
     rows; used for the published golden confusion counts."""
@@ -282,33 +310,7 @@ def evaluate_counts(counts: DataFrame, by=None) -> DataFrame:
         F.col("fp").alias("n01"),
         F.col("tn").alias("n00"),
     )
-    # Re-expand the counts as weighted rows would cost a fan-out; compute
-    # directly instead with the same expressions.
-    s = _binary_scores()
-    valid = F.col("total_samples") - F.col("n_invalid")
-    none_valid = valid == 0
-
-    def sc(x):
-        return F.when(none_valid, F.lit(0.0)).otherwise(x)
-
-    return c.select(
-        *by,
-        sc(s["accuracy"]).alias("accuracy"),
-        sc(s["f1_macro"]).alias("f1_macro"),
-        sc(s["precision_macro"]).alias("precision_macro"),
-        sc(s["recall_macro"]).alias("recall_macro"),
-        sc(s["f1_0"]).alias("f1_class_0_not_biased"),
-        sc(s["f1_1"]).alias("f1_class_1_biased"),
-        sc(s["p_0"]).alias("precision_class_0_not_biased"),
-        sc(s["p_1"]).alias("precision_class_1_biased"),
-        sc(s["r_0"]).alias("recall_class_0_not_biased"),
-        sc(s["r_1"]).alias("recall_class_1_biased"),
-        F.when(none_valid, F.lit(100.0))
-        .otherwise(F.col("n_invalid").cast("double") / F.col("total_samples").cast("double") * 100.0)
-        .alias("invalid_percent"),
-        F.col("total_samples").cast("long").alias("total_samples"),
-        valid.cast("long").alias("valid_samples"),
-    )
+    return _a9_select(c, by)
 
 
 # ---------------------------------------------------------------- A8 / A10

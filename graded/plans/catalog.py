@@ -1398,6 +1398,12 @@ def e1_eval_test_only(spark, sf_dir):
     return A.evaluate(rows, ["split"], groups=groups)
 
 
+@query("stream_a9_eval", O.evaluate(f"SELECT 'e1' AS run_id, label, {O.parse_lenient('answer')} AS pred FROM ({_ANSWERS_SQL}) a", ["run_id"]))
+def stream_a9_eval(spark, sf_dir):
+    """A9 per run from the streaming confusion counts (A1 state -> metrics)."""
+    return A.evaluate_confusion(stream_a1_confusion(spark, sf_dir), ["run_id"])
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
