@@ -475,13 +475,13 @@ def _vocab_sql(text_src):
 
 def _encode_sql(src, vocab_sql, key="example_id", max_len=512, text="text"):
     toks = f"SELECT {key}, {_tokens_sql(text)} AS toks FROM ({src}) s"
+    # positions 0 .. min(len, max_len) - 1 via a lateral series and list
+    # indexing (DuckDB's join of unnested strings hits an internal error)
     pos = (
-        f"SELECT {key}, unnest(generate_series(0, len(toks) - 1)) AS pos, unnest(toks) AS word FROM ({toks}) t"
-    )
-    joined = (
-        f"SELECT p.{key}, p.pos, coalesce(v.id, 1) AS id FROM ({pos}) p LEFT JOIN ({vocab_sql}) v ON p.word = v.word "
-        f"WHERE p.pos < {max_len}"
+        f"SELECT t.{key}, g.pos, t.toks[g.pos + 1] AS word FROM ({toks}) t, "
+        f"generate_series(0, least(len(t.toks), {max_len}) - 1) AS g(pos)"
     )
+    joined = f"SELECT p.{key}, p.pos, coalesce(v.id, 1) AS id FROM ({pos}) p LEFT JOIN ({vocab_sql}) v ON p.word = v.word"
     enc = f"SELECT {key}, list(id ORDER BY pos) AS input_ids FROM ({joined}) j GROUP BY {key}"
     return (
         f"SELECT k.{key}, coalesce(e.input_ids, []::INTEGER[]) AS input_ids, "
@@ -710,7 +710,8 @@ def v9_v10_v11_losses(spark, sf_dir):
     "v12_label_word_check",
     f"SELECT w AS label_word, count(*) AS n_tokens, min(coalesce(v.id, 1)) AS first_id, "
     f"(count(*) = 1 AND min(coalesce(v.id, 1)) <> 1) AS single_token FROM "
-    f"(SELECT w, unnest({_tokens_sql('w')}) AS word FROM (VALUES ('ja'), ('nee')) t(w)) x "
+    f"(SELECT t.w, t.toks[g.i] AS word FROM (SELECT w, {_tokens_sql('w')} AS toks FROM (VALUES ('ja'), ('nee')) v(w)) t, "
+    f"generate_series(1, len(t.toks)) AS g(i)) x "
     f"LEFT JOIN ({_vocab_sql(_V2_VOCAB_SRC)}) v ON x.word = v.word GROUP BY w",
 )
 def v12_label_word_check(spark, sf_dir):
