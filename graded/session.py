@@ -63,8 +63,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
+# Tables whose rows carry long texts: CPU-heavy per-row work follows the scan.
+TEXT_TABLES = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
+
+
+def spread_small(df):
+    """Spread an under-partitioned input over the cluster's cores before
+    CPU-heavy text work (a single file with one row group is read by one
+    task). A no-op at scale, where the scan already has more partitions
+    than cores; the round-robin exchange is deterministic on retry."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def materialize(df, name: str = "small"):
