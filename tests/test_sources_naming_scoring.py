@@ -106,3 +106,25 @@ def test_streaming_confusion_matches_batch(spark):
     got = {(r.label, r.pred): r.n for r in entry.queries()["stream_a1_confusion"](spark, SF001).collect()}
     exp = {(r.label, r.pred): r.n for r in entry.queries()["a1_confusion_lenient"](spark, SF001).collect()}
     assert got == exp
+
+
+def test_spread_small_only_spreads_small_inputs(spark):
+    from graded.session import spread_small
+
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.range(100).coalesce(1)
+    assert spread_small(small).rdd.getNumPartitions() == cores
+    big = spark.range(100).repartition(cores * 2)
+    assert spread_small(big) is big
+
+
+def test_parquet_corpus_round_trip_prunes_splits(spark):
+    from graded.sources.corpus import load_corpus, read_labelled_corpus, write_labelled_corpus
+
+    c = load_corpus(spark, SF001)
+    path = write_labelled_corpus(c, shared_path(spark, "t_corpus"))
+    test = read_labelled_corpus(spark, path, split="test")
+    plan = test._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "(split" in plan
+    exp = {(r.example_id, r.label) for r in c.filter("split = 'test'").collect()}
+    assert {(r.example_id, r.label) for r in test.collect()} == exp
