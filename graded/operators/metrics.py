@@ -202,8 +202,8 @@ def binary_counts(label: str = "label", pred: str = "pred") -> list[Column]:
     ]
 
 
-def _binary_scores() -> dict[str, Column]:
-    n11, n10, n01, n00 = (F.col(c) for c in ("n11", "n10", "n01", "n00"))
+def _binary_scores(prefix: str = "") -> dict[str, Column]:
+    n11, n10, n01, n00 = (F.col(prefix + c) for c in ("n11", "n10", "n01", "n00"))
     p0, p1 = (n00 + n10 + n01) > 0, (n11 + n10 + n01) > 0
     s = {
         "f1_0": ratio(2 * n00, 2 * n00 + n10 + n01),
@@ -224,34 +224,42 @@ def _binary_scores() -> dict[str, Column]:
     return s
 
 
-def _a9_select(counts: DataFrame, by: list[str]) -> DataFrame:
-    """The 13-field record from per-group counts (total_samples, n_invalid,
-    n11, n10, n01, n00)."""
-    s = _binary_scores()
-    valid = F.col("total_samples") - F.col("n_invalid")
+def _a9_columns(prefix: str = "") -> dict[str, Column]:
+    """The 13 fields from counts ``total_samples`` and ``{prefix}n_invalid``,
+    ``{prefix}n11`` ... ``{prefix}n00``."""
+    s = _binary_scores(prefix)
+    total = F.col("total_samples")
+    invalid = F.col(prefix + "n_invalid")
+    valid = total - invalid
     none_valid = valid == 0
 
     def sc(c):
         return F.when(none_valid, F.lit(0.0)).otherwise(c)
 
-    return counts.select(
-        *by,
-        sc(s["accuracy"]).alias("accuracy"),
-        sc(s["f1_macro"]).alias("f1_macro"),
-        sc(s["precision_macro"]).alias("precision_macro"),
-        sc(s["recall_macro"]).alias("recall_macro"),
-        sc(s["f1_0"]).alias("f1_class_0_not_biased"),
-        sc(s["f1_1"]).alias("f1_class_1_biased"),
-        sc(s["p_0"]).alias("precision_class_0_not_biased"),
-        sc(s["p_1"]).alias("precision_class_1_biased"),
-        sc(s["r_0"]).alias("recall_class_0_not_biased"),
-        sc(s["r_1"]).alias("recall_class_1_biased"),
-        F.when(none_valid, F.lit(100.0))
-        .otherwise(F.col("n_invalid").cast("double") / F.col("total_samples").cast("double") * 100.0)
-        .alias("invalid_percent"),
-        F.col("total_samples").cast("long").alias("total_samples"),
-        valid.cast("long").alias("valid_samples"),
-    )
+    return {
+        "accuracy": sc(s["accuracy"]),
+        "f1_macro": sc(s["f1_macro"]),
+        "precision_macro": sc(s["precision_macro"]),
+        "recall_macro": sc(s["recall_macro"]),
+        "f1_class_0_not_biased": sc(s["f1_0"]),
+        "f1_class_1_biased": sc(s["f1_1"]),
+        "precision_class_0_not_biased": sc(s["p_0"]),
+        "precision_class_1_biased": sc(s["p_1"]),
+        "recall_class_0_not_biased": sc(s["r_0"]),
+        "recall_class_1_biased": sc(s["r_1"]),
+        "invalid_percent": F.when(none_valid, F.lit(100.0)).otherwise(
+            invalid.cast("double") / total.cast("double") * 100.0
+        ),
+        "total_samples": total.cast("long"),
+        "valid_samples": valid.cast("long"),
+    }
+
+
+def _a9_select(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The 13-field record from per-group counts (total_samples, n_invalid,
+    n11, n10, n01, n00)."""
+    cols = _a9_columns()
+    return counts.select(*by, *[cols[f].alias(f) for f in A9_FIELDS])
 
 
 def evaluate(
@@ -275,6 +283,30 @@ def evaluate(
     return _a9_select(counts, by)
 
 
+def evaluate_multi(df: DataFrame, by, preds: dict[str, str], label: str = "label", fields=("f1_macro", "invalid_percent")) -> DataFrame:
+    """A9 for several prediction columns of the same rows in ONE aggregation
+    and one projection (e.g. two parsers over one sweep); output columns are
+    ``{field}_{name}`` for every prediction ``name``."""
+    by = _by(by)
+    lab = F.col(label)
+    aggs = [F.count(F.lit(1)).alias("total_samples")]
+    for name, col in preds.items():
+        p = F.col(col)
+        aggs += [
+            F.count_if(p == -1).alias(f"{name}__n_invalid"),
+            F.count_if((lab == 1) & (p == 1)).alias(f"{name}__n11"),
+            F.count_if((lab == 1) & (p == 0)).alias(f"{name}__n10"),
+            F.count_if((lab == 0) & (p == 1)).alias(f"{name}__n01"),
+            F.count_if((lab == 0) & (p == 0)).alias(f"{name}__n00"),
+        ]
+    counts = _agg(df, by, *aggs)
+    out = []
+    for name in preds:
+        cols = _a9_columns(f"{name}__")
+        out += [cols[f].alias(f"{f}_{name}") for f in fields]
+    return counts.select(*by, *out)
+
+
 def evaluate_confusion(conf: DataFrame, by=None, label: str = "label", pred: str = "pred", n: str = "n") -> DataFrame:
     """A9 from a confusion table (by..., label, pred, n), e.g. the output of
     A1 or of the streaming confusion count."""

@@ -988,12 +988,24 @@ def a18_prompt_delta(spark, sf_dir):
     "ON a.prompt_name = b.prompt_name AND a.checkpoint_path = b.checkpoint_path",
 )
 def a19_parser_side_by_side(spark, sf_dir):
-    """Two evaluations (lenient vs strict parser) of the same runs, joined."""
-    a = _run_table(spark, sf_dir, "lenient")
-    b = _run_table(spark, sf_dir, "strict")
-    k = ["prompt_name", "checkpoint_path"]
-    return a.select(*k, F.col("f1_macro").alias("f1_lenient"), F.col("invalid_percent").alias("invalid_lenient")).join(
-        b.select(*k, F.col("f1_macro").alias("f1_strict"), F.col("invalid_percent").alias("invalid_strict")), k
+    """Two evaluations (lenient vs strict parser) of the same runs,
+    side by side; both are computed in one pass over one sweep."""
+    rows = SW.sweep_rows_two_parsers(_test(spark, sf_dir))
+    m = A.evaluate_multi(rows, ["prompt_name", "checkpoint_path"], {"lenient": "pred_lenient", "strict": "pred_strict"})
+    return m.select(
+        "prompt_name",
+        "checkpoint_path",
+        "f1_macro_lenient",
+        "f1_macro_strict",
+        "invalid_percent_lenient",
+        "invalid_percent_strict",
+    ).withColumnsRenamed(
+        {
+            "f1_macro_lenient": "f1_lenient",
+            "f1_macro_strict": "f1_strict",
+            "invalid_percent_lenient": "invalid_lenient",
+            "invalid_percent_strict": "invalid_strict",
+        }
     )
 
 

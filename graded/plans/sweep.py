@@ -56,3 +56,11 @@ def run_table(corpus: DataFrame, parser: str = "lenient", by_split: bool = False
     """A9 per (prompt, checkpoint[, split]) in one aggregation."""
     by = ["prompt_name", "checkpoint_path"] + (["split"] if by_split else [])
     return A.evaluate(sweep_rows(corpus, parser, **grid), by)
+
+
+def sweep_rows_two_parsers(corpus: DataFrame, **grid) -> DataFrame:
+    """One sweep, both evaluation paths on every row: X1 -> lenient and
+    X2 -> X3 -> strict."""
+    g = sweep_rows(corpus, "lenient", **grid).withColumnRenamed("pred", "pred_lenient")
+    g = g.withColumn("answer_robust", X.narrow(X.completion_robust("full_text", "prompt", "text")))
+    return g.withColumn("pred_strict", X.parse_strict("answer_robust"))
