@@ -1,0 +1,235 @@
+"""Secret scans with an incremental blob ledger (DataFrame functions only).
+
+Every version of a text is addressed by the SHA-256 of its UTF-8 bytes. The
+ledger, a Parquet table in the shared folder, holds one row per blob and scan:
+which rule versions ran and what they found. A scan reads the ledger, runs
+over a blob only those rule versions that have not seen it, appends the
+outcome, and joins findings back to every path (row) that holds the blob. A
+changed rule gets a new version, so it alone runs again.
+
+A finding is a span of code points, end exclusive. Each rule takes the
+leftmost non-overlapping matches of its pattern; a match shorter than the
+rule's least length is dropped after matching.
+
+Nulls: a null text counts as empty; a null id stays null. Repeated rows stay
+repeated rows. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import fresh_path
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``group``: the group whose length must reach ``least`` characters."""
+
+    kind: str
+    pattern: str
+    group: int = 0
+    least: int = 1
+
+    @property
+    def version(self) -> str:
+        body = f"{self.pattern}|{self.group}|{self.least}"
+        return f"{self.kind}@{hashlib.sha256(body.encode()).hexdigest()[:12]}"
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+KEYWORDS = ("password", "passwd", "secret", "token")
+_KEYS = "|".join([*map(_either_case, KEYWORDS), "[Aa][Pp][Ii]_?[Kk][Ee][Yy]"])
+
+#: The base rules, in the order in which kinds with one start are listed. A
+#: run of a class taken greedily from its leftmost character is the whole run,
+#: so the least length of `access` and `hex` may stand in the pattern; that of
+#: `assign` may not, since a short match still uses up its characters.
+BASE_RULES = (
+    Rule(
+        "assign",
+        rf"""({_KEYS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+        group=2,
+        least=6,
+    ),
+    Rule("access", r"AKIA[A-Z0-9]{16,}"),
+    Rule("hex", r"[0-9a-f]{24,}"),
+)
+
+SPAN = "struct<start:int,end:int,kind:string,rule:string>"
+
+
+def spans_of(text: Column, rule: Rule) -> Column:
+    """Array of a rule's spans in a text. The text between matches and the
+    matches themselves alternate, so running lengths give the offsets."""
+    pattern = F.lit(rule.pattern)
+    parts = F.arrays_zip(
+        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
+        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)).alias(
+            "hit"
+        ),
+        F.transform(
+            F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)
+        ).alias("value"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        found = F.struct(
+            begin.alias("start"),
+            (begin + x["hit"]).alias("end"),
+            F.lit(rule.kind).alias("kind"),
+            F.lit(rule.version).alias("rule"),
+        )
+        kept = x["value"] >= rule.least  # null after the last gap: no match there
+        return F.struct(
+            (begin + F.coalesce(x["hit"], F.lit(0))).alias("at"),
+            F.when(kept, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
+        )
+
+    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _ledger(spark, path: str) -> DataFrame | None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath):
+        return None
+    schema = f"blob string, rules array<string>, found array<{SPAN}>"
+    return spark.read.schema(schema).parquet(path)
+
+
+def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """Bring the ledger at ``ledger_path`` up to date for these texts and
+    rules; returns it for these rules: one row per blob, with ``found``, its
+    spans by start, then by the order of the rules."""
+    spark = docs.sparkSession
+    versions = [r.version for r in rules]
+    blobs = (
+        docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
+        .select(blob_of(F.col("text")).alias("blob"), "text")
+        .dropDuplicates(["blob"])
+    )
+    ledger = _ledger(spark, ledger_path)
+    wanted = F.array(*[F.lit(v) for v in versions])
+    if ledger is None:
+        todo = blobs.withColumn("rules", wanted)
+    else:
+        seen = ledger.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+        todo = (
+            blobs.join(seen, "blob", "left")
+            .withColumn("rules", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
+            .where(F.size("rules") > 0)
+        )
+    found = F.concat(
+        *[
+            F.when(
+                F.array_contains("rules", r.version), spans_of(F.col("text"), r)
+            ).otherwise(F.array().cast(f"array<{SPAN}>"))
+            for r in rules
+        ]
+    )
+    todo.select("blob", "rules", found.alias("found")).write.mode("append").parquet(ledger_path)
+
+    # a blob has one row per scan in which it had unseen rules
+    current = _ledger(spark, ledger_path).where(F.arrays_overlap("rules", wanted))
+    found = F.filter("found", lambda x: F.array_contains(wanted, x["rule"]))
+    ordered = F.sort_array(
+        F.transform(
+            found,
+            lambda x: F.struct(
+                x["start"].alias("start"),
+                F.array_position(wanted, x["rule"]).alias("rank"),
+                x["end"].alias("end"),
+                x["kind"].alias("kind"),
+            ),
+        )
+    )
+    return (
+        current.groupBy("blob")
+        .agg(F.flatten(F.collect_list("found")).alias("found"))
+        .select("blob", ordered.alias("found"))
+    )
+
+
+def as_text(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    if kinds is not None:
+        names = F.array(*[F.lit(k) for k in kinds])
+        found = F.filter(found, lambda x: F.array_contains(names, x["kind"]))
+    return F.array_join(
+        F.transform(
+            found,
+            lambda x: F.concat_ws(
+                ":", x["kind"], x["start"].cast("string"), x["end"].cast("string")
+            ),
+        ),
+        ",",
+    )
+
+
+def find(docs: DataFrame, ledger_path: str | None = None, rules=BASE_RULES) -> DataFrame:
+    """One row per path: doc_id, blob, found (its spans)."""
+    ledger = scan(docs, ledger_path or fresh_path(docs.sparkSession, "secret-ledger"), rules)
+    paths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob_of(F.col("text")).alias("blob"))
+    return paths.join(ledger, "blob", "left").select("doc_id", "blob", "found")
+
+
+def report(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
+    """Counts per base kind, the digest of the base spans, and all spans."""
+    base = tuple(r.kind for r in BASE_RULES)
+    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return find(docs, ledger_path).select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in base],
+        F.sha2(as_text(F.col("found"), base).cast("binary"), 256).alias("base_sha256"),
+        as_text(F.col("found")).alias("spans"),
+    )
+
+
+MASK = "[secret]"
+
+
+def redact(docs: DataFrame, ledger_path: str | None = None, mask: str = MASK) -> DataFrame:
+    """The same rows and columns with every found span replaced by ``mask``
+    (spans that overlap or touch are one), and ``n_chars`` set anew if there
+    is such a column. Texts without findings, null ones too, stay as they are."""
+    ledger = scan(docs, ledger_path or fresh_path(docs.sparkSession, "secret-ledger"))
+    hits = ledger.where(F.size("found") > 0).select(
+        F.col("blob").alias("__blob"), F.col("found").alias("__found")
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["start"] > acc["at"]
+        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
+        first = (acc["at"] == 0) & (x["start"] == 0)
+        out = F.when(fresh | first, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+
+    clean = F.aggregate(
+        "__found",
+        start,
+        step,
+        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+    )
+    hit = F.col("__found").isNotNull()
+    joined = docs.withColumn("__blob", blob_of(F.col("text"))).join(hits, "__blob", "left")
+    out = joined.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        size = F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", size)
+    return out.select(*docs.columns)
