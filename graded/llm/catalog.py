@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracle, secrets, syncmers
+from . import bpe, oracle, secrets, syncmers, wavelet
 from .common import read_table
 
 
@@ -14,13 +14,30 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed tokenizer file lies, on every machine alike."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.write_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
+    "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
+    "op9_wavelet_shards": op9_wavelet_shards,
 }
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
         base = "file://" + tempfile.mkdtemp(prefix="graded-llm-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -87,3 +88,21 @@ def range_of(key: Column, bounds: list[int], width: int = 128) -> Column:
 def range_count(spark: SparkSession) -> int:
     """How many key ranges to make: a few per shuffle partition."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python
+    tasks also run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_graded_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="graded-package-"), "graded_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    sc.addPyFile(archive)
+    sc._graded_shipped = True
