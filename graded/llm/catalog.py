@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, oracle, secrets, syncmers, wavelet
+from . import bpe, oracle, secrets, simhash, syncmers, wavelet
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -37,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
+    "op8_simhash_components": op8_simhash_components,
     "op9_wavelet_shards": op9_wavelet_shards,
 }
 
