@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graded.llm import secrets
+from graded.llm import secret_scan
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret found in a text is masked."""
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 STAGES = [("secret scans", secret_scans)]

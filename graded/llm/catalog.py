@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, oracle, secrets, simhash, syncmers, wavelet
+from . import bpe, oracle, secret_scan, simhash, syncmers, toxicity, wavelet
 from .common import read_table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(read_table(spark, sf_dir, "documents"))
+    return secret_scan.report(read_table(spark, sf_dir, "documents"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +42,7 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_secret_scan": op3_secret_scan,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_syncmer_fingerprints": op7_syncmer_fingerprints,

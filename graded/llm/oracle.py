@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import BASE_RULES
+from .secret_scan import BASE_RULES
 
 
 def _spans_sql(rank: int, rule) -> str:
