@@ -16,7 +16,7 @@ def put_file(folder: str, name: str, parts: list[bytes]) -> None:
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
     temporary = f"{path}/.{name}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(temporary) as out:
+    with fs.open_output_stream(temporary, compression=None) as out:
         for part in parts:
             out.write(part)
     fs.move(temporary, f"{path}/{name}")
@@ -24,5 +24,5 @@ def put_file(folder: str, name: str, parts: list[bytes]) -> None:
 
 def get_file(folder: str, name: str) -> bytes:
     fs, path = pafs.FileSystem.from_uri(folder)
-    with fs.open_input_stream(f"{path}/{name}") as f:
+    with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
         return f.read()

@@ -44,4 +44,23 @@ def _secrets_sql() -> str:
     """
 
 
-SQL: dict[str, str] = {"op3_secret_scan": _secrets_sql()}
+def _warc_sql() -> str:
+    digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    part = lambda at: (  # noqa: E731  40 bits of the digest as 8 digits
+        f"list_aggregate(list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda b: "
+        f"substr('{digits}', 1 + (((('0x' || substr(h, {at}, 10))::BIGINT) >> b) & 31)::INT, 1)), "
+        f"'string_agg', '')"
+    )
+    return f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS h FROM p),
+    r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS response FROM d)
+    SELECT page_id, payload_bytes,
+           {part(1)} || {part(11)} || {part(21)} || {part(31)} AS payload_digest,
+           CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> response THEN response END AS refers_to
+    FROM r
+    """
+
+
+SQL: dict[str, str] = {"op2_warc_archives": _warc_sql(), "op3_secret_scan": _secrets_sql()}
