@@ -254,7 +254,7 @@ def _bpe(path: str) -> Bpe:
     return _LOADED[path]
 
 
-BATCH = 1000  # texts encoded at a time
+BATCH = 2000  # texts encoded at a time
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, oracle, secret_scan, simhash, syncmers, toxicity, warc, wavelet
+from . import bpe, linkgraph, oracle, secret_scan, simhash, syncmers, templates, toxicity, warc, wavelet
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -45,14 +49,20 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.write_and_read(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_archives": op2_warc_archives,
     "op3_secret_scan": op3_secret_scan,
+    "op5_template_decontamination": op5_template_decontamination,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
     "op8_simhash_components": op8_simhash_components,
     "op9_wavelet_shards": op9_wavelet_shards,
+    "op10_link_graph_filter": op10_link_graph_filter,
 }
 
 

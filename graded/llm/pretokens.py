@@ -40,16 +40,18 @@ class _Memory:
         if len(self.young) > self._size:
             self._old, self.young = self.young, {}
 
-    def recall(self, keys: set[str]) -> set[str]:
+    def recall(self, keys: list[str]) -> list[str]:
         """Move keys known to the old half to the young one; the others."""
-        young, old, rest = self.young, self._old, set()
+        if not self._old:
+            return keys
+        old = self._old.get
+        found = list(map(old, keys))
+        self.young.update([(k, x) for k, x in zip(keys, found, strict=True) if x is not None])
+        return [k for k, x in zip(keys, found, strict=True) if x is None]
+
+    def forget(self, keys: list[str]) -> None:
         for k in keys:
-            ids = old.get(k)
-            if ids is None:
-                rest.add(k)
-            else:
-                young[k] = ids
-        return rest
+            self.young.pop(k, None)
 
 
 class ChunkEncoder:
@@ -89,18 +91,17 @@ class ChunkEncoder:
                 return True
         return False
 
-    def _learn(self, cuts: list[list[str]]) -> dict[str, bytes]:
-        """Ids of all pieces of these texts or chunks."""
+    def _learn(self, cuts: list[list[str]]) -> list[bytes]:
+        """Ids of these cut texts or chunks."""
         self._pieces.turn()
         known = self._pieces.young
-        fresh = set()
-        for cut in cuts:
-            fresh.update(cut)
-        of = dict(self._specials)
-        todo = list(self._pieces.recall({p for p in fresh if p not in known and p not in of}))
-        for p, ids in zip(todo, self._encode_pieces(todo), strict=True):
-            (known if len(p) <= KEEP else of)[p] = ids
-        return _Both(of, known)
+        known.update(self._specials)
+        fresh = {p for cut in cuts for p in cut if p not in known}
+        todo = self._pieces.recall(list(fresh))
+        known.update(zip(todo, self._encode_pieces(todo), strict=True))
+        out = [known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut]) for cut in cuts]
+        self._pieces.forget([p for p in todo if len(p) > KEEP])
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more
@@ -123,15 +124,12 @@ class ChunkEncoder:
         heads += [_PIECES.findall(distinct[at[starts[n]]]) for n in first]
 
         ids = list(map(known.get, distinct))
-        todo = list(self._chunks.recall({c for c, x in zip(distinct, ids, strict=True) if x is None}))
-        cuts = [_PIECES.findall(" " + c) for c in todo]
-        of = self._learn([*cuts, *heads])
-        long: dict[str, bytes] = {}
-        for c, cut in zip(todo, cuts, strict=True):
-            (known if len(c) <= KEEP else long)[c] = b"".join([of[p] for p in cut])
-        look = _Both(long, known)
-        ids = [look[c] if x is None else x for c, x in zip(distinct, ids, strict=True)]
-        ids += [b"".join([of[p] for p in cut]) for cut in heads]
+        todo = self._chunks.recall([c for c, x in zip(distinct, ids, strict=True) if x is None])
+        learnt = self._learn([*map(_cut_chunk, todo), *heads])
+        known.update(zip(todo, learnt))
+        ids = [known[c] if x is None else x for c, x in zip(distinct, ids, strict=True)]
+        ids += learnt[len(todo) :]
+        self._chunks.forget([c for c in todo if len(c) > KEEP])
         at[starts[np.array([*odd, *first], dtype=np.int64)]] = len(distinct) + np.arange(len(texts))
         flat, ends = gather(ids, at, 4, "<u4")
         return flat, np.concatenate([[0], ends])[starts]
@@ -150,15 +148,14 @@ def gather(parts: list[bytes], at: np.ndarray, width: int, dtype: str) -> tuple[
     return items[shift], ends
 
 
-class _Both(dict):
-    """A small mapping in front of a large one."""
-
-    def __init__(self, front: dict, rest: dict):
-        super().__init__(front)
-        self._rest = rest
-
-    def __missing__(self, key):
-        return self._rest[key]
+def _cut_chunk(chunk: str) -> list[str]:
+    """Pieces of a chunk and the space before it. A run of letters is one
+    piece, and a full stop or comma after it another."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+        return [" " + chunk[:-1], chunk[-1]]
+    return _PIECES.findall(" " + chunk)
 
 
 def read_tokenizer(path: str) -> dict:

@@ -28,6 +28,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -209,14 +210,17 @@ class LibraryEncoder:
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        ids = [e.ids for e in found]
+        ends = (4 * np.cumsum([len(x) for x in ids], dtype=np.int64)).tolist()
+        raw = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self._chunks.encode(texts)
 
 
 _LOADED: dict[str, LibraryEncoder] = {}  # one per worker and path
-BATCH = 1000  # texts encoded at a time
+BATCH = 2000  # texts encoded at a time
 END_ID = 0
 
 
