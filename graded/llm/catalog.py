@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linkgraph, oracle, secret_scan, simhash, syncmers, templates, toxicity, warc, wavelet
+from . import bpe, linkgraph, oracle, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
 from .common import read_table
 
 
@@ -29,6 +29,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op5_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_archives": op2_warc_archives,
     "op3_secret_scan": op3_secret_scan,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_template_decontamination": op5_template_decontamination,
     "op6_bpe_round_trip": op6_bpe_round_trip,
     "op7_syncmer_fingerprints": op7_syncmer_fingerprints,
