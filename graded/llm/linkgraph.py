@@ -8,7 +8,9 @@ with the longer host, then a block.
 Urls without a rule get their host's verdict. The nodes are hosts and the
 domains above them; an edge is a hyperlink from a page's host to the host it
 links to, weighted by the number of links, or joins a host and the domain one
-label above it (both ways, weight 1: who runs a domain runs what is below it).
+label above it (both ways, weight 1: who runs a domain runs what is below it;
+nobody runs all of a top-level domain, so domains of one label have no edges
+of this kind).
 Two personalised PageRanks run over it in Spark: trust starts from hosts whose
 pages an allow rule accepts, and flows along edges; distrust starts from hosts
 whose pages a block rule rejects, and flows against them (linking to a
@@ -103,8 +105,9 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def _above(host: Column) -> Column:
-    """The domain one label above a host, or null."""
-    return F.when(host.contains("."), F.regexp_replace(host, r"^[^.]*\.", ""))
+    """The domain one label above a host, if it has two labels at least."""
+    above = F.regexp_replace(host, r"^[^.]*\.", "")
+    return F.when(host.contains(".") & above.contains("."), above)
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
