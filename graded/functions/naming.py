@@ -15,6 +15,11 @@ ABBREVS = ("us", "os", "bl", "nm")
 DEFAULT_SEED = 42
 
 
+def fixed_decimals(value, places: int) -> Column:
+    """A number with a fixed count of decimals and no thousands separators."""
+    return F.replace(F.format_number(_c(value), places), F.lit(","), F.lit(""))
+
+
 def strategy_abbrev(strategy) -> Column:
     s = _c(strategy)
     return (
@@ -44,7 +49,7 @@ def encoder_run_name(output_dir: str, strategy, best_f1, focal=None) -> Column:
         F.lit("_f1_"),
         _c(strategy),
         F.lit("_"),
-        F.format_number(_c(best_f1), 4),
+        fixed_decimals(best_f1, 4),
         tail,
     )
 
@@ -82,8 +87,8 @@ def perf_string(f1, acc) -> Column:
         _c(acc).isNotNull(),
         F.concat(
             F.lit("F1="),
-            F.format_number(F.coalesce(_c(f1), F.lit(0.0)), 4),
+            fixed_decimals(F.coalesce(_c(f1), F.lit(0.0)), 4),
             F.lit(", Acc="),
-            F.format_number(_c(acc), 4),
+            fixed_decimals(acc, 4),
         ),
     )

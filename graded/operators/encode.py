@@ -6,12 +6,12 @@ word); ids 0 and 1 are padding and unknown.
 
 Scale notes:
 * word counts aggregate map-side, so hot words (``the``) cost nothing extra;
-* ids come from offsets per (count, first two characters) bucket plus a
-  rank inside the bucket, so no window ever sees the whole vocabulary (the
-  largest bucket, words seen once, is split by prefix);
-* the join of tokens to ids broadcasts the vocabulary only after its size
-  is checked; beyond that the top-K (hot) words are broadcast and the rest
-  (each rarer than the K-th word, so bounded skew) are shuffle-joined.
+* the counts are range-partitioned by (count descending, word); a word's id is
+  its place in its partition plus the sizes of the partitions before it, one
+  number per partition. No window sees words;
+* the ``HOT_WORDS`` most frequent words (of at most ``HOT_CHARS`` characters:
+  a bounded table) are broadcast to the tokens. Only tokens that this leaves
+  open are shuffled, and each of their words is rarer than the hot ones.
 """
 
 from __future__ import annotations
@@ -20,14 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
-from graded.session import broadcast_if_small, materialize
+from graded.session import materialize
 
 PAD_ID, UNK_ID = 0, 1
 FIRST_WORD_ID = 2
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-BROADCAST_VOCAB_ROWS = 2_000_000
 HOT_WORDS = 100_000
-PREFIX_CHARS = 2
+HOT_CHARS = 64
+ROW_BITS = 33  # of monotonically_increasing_id: the place in a partition
 
 
 def tokens(c) -> Column:
@@ -38,22 +38,26 @@ def tokens(c) -> Column:
 
 def build_vocabulary(df: DataFrame, text_col: str = "text", materialized: bool = True) -> DataFrame:
     """(word, cnt, id) for every word of every text, computed once."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = (
-        df.select(F.explode(tokens(text_col)).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("c1", F.substring("word", 1, PREFIX_CHARS))
+        df.select(F.explode(tokens(text_col)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
     )
-    # tokenize the texts once: both the bucket offsets and the ids read this
-    counts = materialize(counts, "word_counts")
-    buckets = counts.groupBy("cnt", "c1").agg(F.count(F.lit(1)).alias("bn"))
-    wo = Window.orderBy(F.col("cnt").desc(), F.col("c1")).rowsBetween(Window.unboundedPreceding, 0)
-    offs = buckets.select("cnt", "c1", (F.sum("bn").over(wo) - F.col("bn")).alias("off"))
-    # one row per (count, prefix) bucket: aggregated rows, size-checked
-    vocab = counts.join(broadcast_if_small(offs), ["cnt", "c1"])
-    w = Window.partitionBy("cnt", "c1").orderBy("word")
-    vocab = vocab.select(
-        "word", "cnt", (F.col("off") + F.row_number().over(w) - 1 + FIRST_WORD_ID).cast("int").alias("id")
+    order = [F.col("cnt").desc(), F.col("word")]
+    # written once: places in partitions must not change between the two uses
+    placed = materialize(
+        counts.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "word_counts",
+    ).withColumn("_part", F.shiftright("_at", ROW_BITS))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_at") - F.shiftleft(F.col("_part"), ROW_BITS)
+    # one row per partition
+    vocab = placed.join(F.broadcast(offsets), "_part").select(
+        "word", "cnt", (F.col("_off") + place + FIRST_WORD_ID).cast("int").alias("id")
     )
     return materialize_vocabulary(vocab) if materialized else vocab
 
@@ -64,27 +68,36 @@ def materialize_vocabulary(vocab: DataFrame) -> DataFrame:
     return materialize(vocab.select("word", "cnt", "id"), "vocabulary")
 
 
-def _lookup(tok: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Left join tokens to ids; broadcast when the vocabulary is small
-    (size checked on the materialized table)."""
+def _lookup(tok: DataFrame, vocab: DataFrame, hot_words: int | None = None) -> DataFrame:
+    """Left join tokens to ids. Hot words are looked up by broadcast; only
+    tokens of other words are shuffled."""
     v = vocab.select("word", "id")
-    n = v.count()
-    if n <= BROADCAST_VOCAB_ROWS:
-        return tok.join(F.broadcast(v), "word", "left")
-    hot = v.filter(F.col("id") < FIRST_WORD_ID + HOT_WORDS)
-    cold = v.filter(F.col("id") >= FIRST_WORD_ID + HOT_WORDS).withColumnRenamed("id", "id_cold")
-    j = tok.join(F.broadcast(hot), "word", "left").join(cold, "word", "left")
-    return j.withColumn("id", F.coalesce("id", "id_cold")).drop("id_cold")
-
-
-def encode(df: DataFrame, vocab: DataFrame, key: str = "example_id", text_col: str = "text", max_len: int = 512, out: str = "input_ids") -> DataFrame:
+    is_hot = (F.col("id") < FIRST_WORD_ID + (HOT_WORDS if hot_words is None else hot_words)) & (
+        F.length("word") <= HOT_CHARS
+    )
+    j = tok.join(F.broadcast(v.filter(is_hot)), "word", "left")
+    open_ = F.col("id").isNull() & F.col("word").isNotNull()
+    found = j.filter(~open_)
+    rest = j.filter(open_).drop("id").join(v.filter(~is_hot), "word", "left")
+    return found.unionByName(rest)
+
+
+def encode(
+    df: DataFrame,
+    vocab: DataFrame,
+    key: str = "example_id",
+    text_col: str = "text",
+    max_len: int = 512,
+    out: str = "input_ids",
+    hot_words: int | None = None,
+) -> DataFrame:
     """V1: (key, input_ids, attention_mask) truncated at ``max_len``
     (unknown words -> UNK_ID). Each re-aggregated array holds at most
     ``max_len`` ids, so no group is unbounded."""
     # the whole text is tokenized; only the first max_len tokens are exploded
     # (posexplode_outer keeps texts without any token as one NULL row)
     tok = df.select(key, F.posexplode_outer(F.slice(tokens(text_col), 1, max_len)).alias("pos", "word"))
-    j = _lookup(tok, vocab).withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
+    j = _lookup(tok, vocab, hot_words).withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
     item = F.when(F.col("word").isNotNull(), F.struct("pos", "id"))
     enc = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_p"))
     enc = enc.select(key, F.col("_p.id").cast("array<int>").alias(out))

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graded.functions.naming import fixed_decimals
+
 # Field names of the 13-field evaluation record.
 A9_FIELDS = (
     "accuracy",
@@ -415,7 +417,7 @@ def template_summary(df: DataFrame, by="template", label: str = "true_label", pr
     )
 
     def fmt(x):
-        return F.when(F.col("n_evaluated") == 0, F.lit("N/A")).otherwise(F.format_number(x, 2))
+        return F.when(F.col("n_evaluated") == 0, F.lit("N/A")).otherwise(fixed_decimals(x, 2))
 
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select(

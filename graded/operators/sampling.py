@@ -25,15 +25,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
-from graded.session import broadcast_if_small
 
 STRATEGIES = ("undersample", "oversample", "balanced", "normal")
 # Strategy abbreviations used in run names.
 STRAT_ABBREV = {"undersample": "us", "oversample": "os", "balanced": "bl", "normal": "nm"}
 
-# A small bounded table (at most this many rows) may be broadcast.
-BROADCAST_ROWS = 200_000
-
 
 def hash_key(seed, *keys) -> Column:
     """md5 of ``seed:key1:key2...`` (hex string)."""
@@ -52,16 +48,13 @@ def py_round(x: Column) -> Column:
     return (f + F.when(d > 0.5, 1).when(d < 0.5, 0).otherwise(F.pmod(f, F.lit(2)))).cast("long")
 
 
-def _bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return broadcast_if_small(df, max_rows)
-
-
 def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool) -> DataFrame:
-    """Attach per-group parameters. With group keys: equi-join to the
-    (size-checked) small table. Without: the single row is a scalar
-    subquery evaluated once -- no join at all."""
+    """Attach per-group parameters. With group keys: an equi-join to the table
+    of one row per group, which AQE broadcasts or shuffles by its measured
+    size. Without: the single row is a scalar subquery evaluated once -- no
+    join at all."""
     if grouped:
-        return d.join(_bounded_broadcast(small), groups, "inner")
+        return d.join(small, groups, "inner")
     cols = [c for c in small.columns if c not in groups]
     info = small.select(F.struct(*cols).alias("_info")).scalar()
     return d.withColumn("_info", info).select("*", *[F.col(f"_info.{c}").alias(c) for c in cols]).drop("_info")
@@ -106,36 +99,31 @@ def flag_top_n(
     )
     counts = counts.withColumn("_prev", F.col("_cum") - F.col("_cnt"))
     hit = (F.col("_prev") < F.col("_n")) & (F.col("_cum") >= F.col("_n"))
-    if groups:
-        # one row per group: cut-off bucket (NULL = keep all or none) and remainder
-        cut = counts.groupBy(*g).agg(
-            F.max("_n").alias("_n"),
-            F.max("_total").alias("_total"),
-            F.min(F.when(hit, F.col("_b"))).alias("_cut"),
-            F.min(F.when(hit, F.col("_n") - F.col("_prev"))).alias("_rem"),
-        )
-        d = _attach(d, cut, g, True)
-        at_cut = F.col("_b") == F.col("_cut")
-        keep = F.when(F.col("_cut").isNull(), F.col("_n") > 0).otherwise(F.col("_b") < F.col("_cut"))
-    else:
-        # one row per hash bucket (at most 16**bucket_hex rows, a proven
-        # bound): keep it whole, drop it, or cut inside it
-        decide = counts.select(
-            "_b",
-            F.when(F.col("_cum") <= F.col("_n"), F.lit("all"))
-            .when(hit, F.lit("cut"))
-            .otherwise(F.lit("none"))
-            .alias("_mode"),
-            (F.col("_n") - F.col("_prev")).alias("_rem"),
-        )
-        d = d.join(F.broadcast(decide), "_b", "inner")  # at most 16**bucket_hex rows
-        at_cut = F.col("_mode") == "cut"
-        keep = F.col("_mode") == "all"
-    plain = d.filter(~at_cut | at_cut.isNull()).withColumn(out, keep)
-    w = Window.partitionBy(*g).orderBy(F.col(h), *[F.col(k) for k in keys])
-    edge = d.filter(at_cut).withColumn(out, F.row_number().over(w) <= F.col("_rem"))
-    res = plain.unionByName(edge)
-    drop = ["_b", "_cut", "_rem", "_n", "_total", "_mode"] + ([] if groups else ["_g"]) + ([h] if hash_col is None else [])
+    # one row per group: the bucket that holds the n-th row (NULL: the group
+    # has n rows or fewer, or n is 0) and how many rows of it count
+    cut = counts.groupBy(*g).agg(
+        F.max("_n").alias("_n"),
+        F.max("_total").alias("_total"),
+        F.min(F.when(hit, F.col("_b"))).alias("_cut"),
+        F.min(F.when(hit, F.col("_n") - F.col("_prev"))).alias("_rem"),
+    )
+    # the n-th (h, keys) itself, from the rows of that bucket alone: the keys
+    # are read, no texts
+    place = F.struct(F.col(h).alias("h"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    in_cut = d.select(*g, "_b", place.alias("_place")).join(
+        cut.select(*g, F.col("_cut").alias("_b"), "_rem").where("_b is not null"), [*g, "_b"]
+    )
+    nth = Window.partitionBy(*g).orderBy("_place")
+    last = (
+        in_cut.withColumn("_rn", F.row_number().over(nth))
+        .where(F.col("_rn") == F.col("_rem"))
+        .select(*g, F.col("_place").alias("_last"))
+    )
+    limits = cut.select(*g, "_n").join(last, g, "left")
+    d = _attach(d, limits, g, bool(groups))
+    keep = F.when(F.col("_last").isNull(), F.col("_n") > 0).otherwise(place <= F.col("_last"))
+    res = d.withColumn(out, keep)
+    drop = ["_b", "_n", "_last"] + ([] if groups else ["_g"]) + ([h] if hash_col is None else [])
     return res.drop(*[c for c in drop if c in res.columns])
 
 

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from graded.operators import metrics as A
 from graded.operators import sampling as R
 from graded.operators.encode import TOKEN_SPLIT
-from graded.session import broadcast_if_small
 
 
 def text_pipeline(weight_col: str | None = None, num_features: int = 1 << 16, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
@@ -35,7 +34,7 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     """M2 / A13 + J4: attach balanced class weights as ``weight``; the
     weight table has one row per class, so broadcasting it is bounded."""
     w = A.class_weights(train, None, label).select(F.col("label").alias(label), F.col("weight"))
-    return train.join(broadcast_if_small(w), label)
+    return train.join(F.broadcast(w), label)  # one row per class
 
 
 def fit(train: DataFrame, strategy: str = "normal", seed: int = 42, weighted: bool = False) -> PipelineModel:

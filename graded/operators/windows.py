@@ -1,11 +1,11 @@
 """Window operators: W1 early stopping over an epoch log, V6 batch collate.
 
 W1 is a per-run prefix scan. A run can be very long (assume one run holds a
-third of all rows), so the scan is done in two levels: rows are cut into
-chunks that are contiguous in the ordering key (per-run time quantiles, or
-a fixed time unit); per-chunk summaries (row count, max metric, last
-improvement) are scanned over the small chunk table, and the row-level
-windows only ever span one chunk of one run.
+third of all rows), so rows are range-partitioned by (run, ts, event_id): a
+chunk is what one partition holds of one run, however long the run is, and
+rows with one timestamp can be in different chunks. Row-level windows span one
+chunk. Across chunks only two numbers per chunk are scanned (rows and best
+metric). Everything else follows from the rows that improved.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.arrays import IGNORE_INDEX, pad_to_col
+from graded.session import materialize
 
 
 def epoch_log(events: DataFrame) -> DataFrame:
@@ -24,96 +25,72 @@ def epoch_log(events: DataFrame) -> DataFrame:
     )
 
 
-def _chunk_by_quantiles(log: DataFrame, k: int, min_chunk_rows: int) -> DataFrame:
-    """Row-balanced chunks for long runs. Rows are counted per run (partial
-    aggregation); only runs longer than ``min_chunk_rows`` are sketched:
-    k-1 approximate quantiles of the time (microseconds, time-zone free) are
-    their candidate boundaries, of which every (k / k_run)-th is used, with
-    k_run the power of two that brings chunks near ``min_chunk_rows`` rows
-    (at most k). Shorter runs stay one chunk. Both helper tables have one row
-    per (long) run and are size-checked before being broadcast."""
-    from datetime import datetime
-
-    from graded.session import broadcast_if_small
-
-    k = 1 << max(1, (k - 1).bit_length())  # a power of two
-    micros = F.timestamp_diff("MICROSECOND", F.lit(datetime(1970, 1, 1)).cast(log.schema["ts"].dataType), F.col("ts"))
-    d = log.withColumn("_us", micros)
-    sizes = d.groupBy("run").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > min_chunk_rows)
-    need = F.least(F.lit(k), F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_rows") / F.lit(float(min_chunk_rows))))).cast("int"))
-    long_runs = broadcast_if_small(sizes.select("run", (F.lit(k) / need).cast("int").alias("_step")))
-    pct = F.array(*[F.lit(i / k) for i in range(1, k)])
-    bounds = (
-        d.join(long_runs, "run")
-        .groupBy("run", "_step")
-        .agg(F.percentile_approx("_us", pct, 10_000).alias("_all"))
-        .select("run", F.filter("_all", lambda b, i: (i + 1) % F.col("_step") == 0).alias("_bounds"))
-    )
-    d = d.join(broadcast_if_small(bounds), "run", "left")
-    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col("_us"))))
-    return d.withColumn("_chunk", chunk).drop("_bounds", "_us")
-
-
-def early_stop(
-    log: DataFrame,
-    patience: int = 2,
-    chunk_unit: str = "hour",
-    quantile_chunks: int | None = None,
-    min_chunk_rows: int = 100_000,
-) -> DataFrame:
+def early_stop(log: DataFrame, patience: int = 2) -> DataFrame:
     """Per run, epochs numbered by (ts, event_id); an evaluation improves
     when its metric beats every earlier one (the first always does); stop at
     the first epoch with ``patience`` non-improving evaluations in a row;
     the chosen epoch is the last improvement up to the stop (earliest of
     equal maxima). Output: run, n_epochs, stop_epoch (NULL if never),
-    best_epoch, best_metric."""
-    if quantile_chunks:
-        d = _chunk_by_quantiles(log, quantile_chunks, min_chunk_rows)
-    else:
-        # chunk = the hour of ts: monotone in (ts, event_id), for TIMESTAMP and TIMESTAMP_NTZ alike
-        d = log.withColumn("_chunk", F.date_trunc(chunk_unit, F.col("ts")))
-    wc = Window.partitionBy("run", "_chunk").orderBy("ts", "event_id")
-    d = d.withColumn("_rn", F.row_number().over(wc))
-    d = d.withColumn(
-        "_prev_in_chunk", F.max("metric").over(wc.rowsBetween(Window.unboundedPreceding, -1))
+    best_epoch, best_metric.
+
+    With improvements at epochs e1 < e2 < ..., the run stops ``patience``
+    epochs after the first of them that the next one (or the end) leaves that
+    long alone, and that improvement is the best epoch."""
+    spark = log.sparkSession
+    order = ["run", "ts", "event_id"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # written once, so that a row's chunk is the same wherever it is used
+    d = materialize(
+        log.select(*order, "metric")
+        .repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .withColumn("_chunk", F.spark_partition_id()),
+        "epoch_chunks",
     )
-    chunks = d.groupBy("run", "_chunk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("metric").alias("_cmax"))
-    wr = Window.partitionBy("run").orderBy("_chunk")
+    in_chunk = Window.partitionBy("run", "_chunk").orderBy("ts", "event_id")
+    before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_rn", F.row_number().over(in_chunk)).withColumn("_prev", F.max("metric").over(before))
+    # only rows that beat what came before them in their chunk can improve
+    able = d.filter(F.col("_prev").isNull() | (F.col("metric") > F.col("_prev")))
+
+    chunks = d.groupBy("run", "_chunk").agg(F.count(F.lit(1)).alias("_rows"), F.max("metric").alias("_best"))
+    earlier = Window.partitionBy("run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.select(
         "run",
         "_chunk",
-        (F.sum("_cnt").over(wr.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_cnt")).alias("_off"),
-        F.max("_cmax").over(wr.rowsBetween(Window.unboundedPreceding, -1)).alias("_prefix_max"),
-    )
-    d = d.join(chunks, ["run", "_chunk"])
-    d = d.withColumn("epoch", F.col("_off") + F.col("_rn"))
-    prev_best = F.greatest(F.col("_prefix_max"), F.col("_prev_in_chunk"))  # NULLs ignored
-    d = d.withColumn("_improved", prev_best.isNull() | (F.col("metric") > prev_best))
-    # last improvement epoch at or before each row: within chunk, then across chunks
-    d = d.withColumn(
-        "_li_in_chunk",
-        F.max(F.when(F.col("_improved"), F.col("epoch"))).over(wc.rowsBetween(Window.unboundedPreceding, 0)),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_off"),
+        F.max("_best").over(earlier).alias("_best_before"),
+        F.sum("_rows").over(Window.partitionBy("run")).alias("n_epochs"),
     )
-    chunk_li = d.groupBy("run", "_chunk").agg(F.max(F.when(F.col("_improved"), F.col("epoch"))).alias("_cli"))
-    chunk_li = chunk_li.select(
-        "run", "_chunk", F.max("_cli").over(wr.rowsBetween(Window.unboundedPreceding, -1)).alias("_prefix_li")
+    best = F.greatest("_best_before", "_prev")  # NULLs ignored
+    hits = (
+        able.join(chunks, ["run", "_chunk"])
+        .filter(best.isNull() | (F.col("metric") > best))
+        .select("run", "_chunk", "n_epochs", (F.col("_off") + F.col("_rn")).alias("epoch"), "metric")
     )
-    d = d.join(chunk_li, ["run", "_chunk"])
-    d = d.withColumn("_last_improve", F.greatest("_li_in_chunk", "_prefix_li"))
-    d = d.withColumn("_stop_here", (F.col("epoch") - F.col("_last_improve")) >= patience)
-    per_run = d.groupBy("run").agg(
-        F.count(F.lit(1)).alias("n_epochs"),
-        F.min(F.when(F.col("_stop_here"), F.col("epoch"))).alias("stop_epoch"),
+    # the next improvement: in the same chunk, else the first of a later one
+    firsts = hits.groupBy("run", "_chunk").agg(F.min("epoch").alias("_first"))
+    later = Window.partitionBy("run").orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("run", "_chunk", F.min("_first").over(later).alias("_later"))
+    by_epoch = Window.partitionBy("run", "_chunk").orderBy("epoch")
+    after = F.coalesce(F.lead("epoch").over(by_epoch), F.col("_later"), F.col("n_epochs") + 1)
+    alone = (
+        hits.join(firsts, ["run", "_chunk"])
+        .withColumn("_alone", after > F.col("epoch") + patience)
+        .groupBy("run")
+        .agg(
+            F.max("n_epochs").alias("n_epochs"),
+            F.min(F.when(F.col("_alone"), F.struct("epoch", "metric"))).alias("_stop"),
+            F.max(F.struct("epoch", "metric")).alias("_last"),
+        )
     )
-    imp = d.filter("_improved").select("run", "epoch", "metric").join(per_run, "run")
-    imp = imp.filter(F.col("stop_epoch").isNull() | (F.col("epoch") <= F.col("stop_epoch")))
-    best = imp.groupBy("run").agg(F.max_by(F.struct("epoch", "metric"), "epoch").alias("_b"))
-    return per_run.join(best, "run").select(
+    chosen = F.coalesce("_stop", "_last")
+    return alone.select(
         "run",
         F.col("n_epochs").cast("long").alias("n_epochs"),
-        F.col("stop_epoch").cast("long").alias("stop_epoch"),
-        F.col("_b.epoch").cast("long").alias("best_epoch"),
-        F.col("_b.metric").alias("best_metric"),
+        (F.col("_stop.epoch") + patience).cast("long").alias("stop_epoch"),
+        chosen["epoch"].cast("long").alias("best_epoch"),
+        chosen["metric"].alias("best_metric"),
     )
 
 

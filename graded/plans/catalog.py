@@ -774,7 +774,7 @@ def _w1_sql(patience=2):
 @query("w1_early_stop", _w1_sql())
 def w1_early_stop(spark, sf_dir):
     """Early-stop point and chosen epoch per run over the event log."""
-    return WN.early_stop(WN.epoch_log(table(spark, sf_dir, "events")), patience=2, quantile_chunks=64)
+    return WN.early_stop(WN.epoch_log(table(spark, sf_dir, "events")), patience=2)
 
 
 # ------------------------------------------------------------------ J3 sweep, run tables, reports, S3-S8
@@ -901,8 +901,9 @@ def s5_run_table_csv(spark, sf_dir):
 
 @query(
     "s4_metric_lines",
-    "SELECT run, key, value_text FROM (SELECT 'e7' AS run, unnest(['accuracy', 'f1_macro', 'f1_micro', 'precision_macro', 'recall_macro']) AS key, "
-    "unnest([printf('%.4f', accuracy), printf('%.4f', f1_macro), printf('%.4f', f1_micro), printf('%.4f', precision_macro), printf('%.4f', recall_macro)]) AS value_text "
+    "SELECT run, key, value_text FROM (SELECT 'e7' AS run, unnest(['accuracy', 'f1_macro', 'f1_micro', 'precision_macro', 'recall_macro', 'total_chars']) AS key, "
+    "unnest([printf('%.4f', accuracy), printf('%.4f', f1_macro), printf('%.4f', f1_micro), printf('%.4f', precision_macro), printf('%.4f', recall_macro), "
+    "printf('%.4f', (SELECT sum(n_chars) FROM documents)::DOUBLE)]) AS value_text "
     f"FROM ({O.macro(_E7_ROWS, [])}) m) x",
 )
 def s4_metric_lines(spark, sf_dir):
@@ -911,6 +912,9 @@ def s4_metric_lines(spark, sf_dir):
     m = A.macro(_e7_rows(spark, sf_dir), []).select(
         F.lit("e7").alias("run"), "accuracy", "f1_macro", "f1_micro", "precision_macro", "recall_macro"
     )
+    # a value above 1,000 has no thousands separators
+    total = table(spark, sf_dir, "documents").agg(F.sum("n_chars").cast("double").alias("t")).select("t").scalar()
+    m = m.withColumn("total_chars", total)
     path = RU.write_metric_lines(m, shared_path(spark, "metric_lines"))
     return RU.read_metric_lines(spark, path).select("run", "key", "value_text")
 
@@ -1207,32 +1211,37 @@ def x4_scoring_error_fallback(spark, sf_dir):
 def f4_linear_head_scores(spark, sf_dir):
     """F4 with a numpy model: pooled linear head over every embedding."""
     e = table(spark, sf_dir, "embeddings").withColumn("label_bin", (F.col("label") >= 5).cast("int"))
-    return SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id", "label_bin"], error_col=None)
+    return SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id", "label_bin"]).drop("error")
 
 
-@query("r12_fixed_batches")
+@query(
+    "r12_fixed_batches",
+    "SELECT idx // 64 AS batch_no, count(*) AS n_rows, min(idx % 64) AS first_row, max(idx % 64) AS last_row FROM (SELECT row_number() OVER "
+    f"(ORDER BY {O.hash_key(42, 'example_id', 'copy_no')}, example_id, copy_no) - 1 AS idx FROM ({O.oversample(TRAIN_SQL)}) o) x GROUP BY 1",
+)
 def r12_fixed_batches(spark, sf_dir):
-    """The model sees fixed 64-row batches (per partition);
-    reports the batch sizes per partition batch."""
-    e = table(spark, sf_dir, "embeddings").withColumn("label_bin", (F.col("label") >= 5).cast("int"))
-    s = SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id", "label_bin"], error_col=None, batch_rows=64)
-    return s.groupBy(F.spark_partition_id().alias("part"), "batch_no").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Fixed 64-row batches of the shuffled train split, by R6's index."""
+    idx = F.col("idx")
+    rows = R.shuffle_index(R.oversample(_train(spark, sf_dir)), 42)
+    return rows.groupBy(F.floor(idx / 64).alias("batch_no")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(idx % 64).alias("first_row"), F.max(idx % 64).alias("last_row")
+    )
+
+
+def _text_sizes(row: dict) -> dict:
+    text = row["text"] or ""
+    return {"n_lines": text.count("\n") + 1, "n_bytes": len(text.encode())}
 
 
 @query(
-    "f1_python_parser_check",
-    f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_mismatch_last_word, CAST(0 AS BIGINT) AS n_mismatch_lenient FROM ({CORPUS}) c",
+    "f1_row_map",
+    "SELECT doc_id, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS n_lines, "
+    "strlen(coalesce(text, ''))::BIGINT AS n_bytes FROM documents",
 )
-def f1_python_parser_check(spark, sf_dir):
-    """Python-exact parsers (pandas UDF) against the native parsers on
-    every answer; both mismatch counts must be 0."""
-    c = load_corpus(spark, sf_dir).withColumn("answer", standin.standin_answer())
-    p = c.withColumn("py", SC.python_parsers_udf()("answer"))
-    return p.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("py.last_word") != X.parse_last_word("answer")).alias("n_mismatch_last_word"),
-        F.count_if(F.col("py.lenient") != X.parse_lenient("answer")).alias("n_mismatch_lenient"),
-    )
+def f1_row_map(spark, sf_dir):
+    """a Python row function over every whole text, in Arrow batches."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return SC.map_rows(d, _text_sizes, "n_lines long, n_bytes long", ["doc_id"])
 
 
 @query("f3_metric_callback", _e4_sql())
@@ -1268,7 +1277,7 @@ def m3_strategy_sweep(spark, sf_dir):
     return res.join(best.withColumn("is_best", F.lit(True)), "strategy", "left").fillna(False, ["is_best"])
 
 
-@query("m4_save_reload")
+@query("m4_save_reload", f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_diff FROM ({TEST_SQL}) t")
 def m4_save_reload(spark, sf_dir):
     """M4: save the fitted model under the shared folder, reload it, and
     check the reloaded model scores the test split identically."""
@@ -1380,6 +1389,31 @@ def s1_corpus_csv_train_split(spark, sf_dir):
     return read_labelled_corpus(spark, path, "csv", split="train").select("example_id", "text", "label")
 
 
+def _framed(text, key):
+    """Every sort of text that a CSV file could alter."""
+    return (
+        F.when(key % 7 == 0, F.concat(F.lit("  "), text, F.lit("\t ")))
+        .when(key % 7 == 1, F.lit(""))
+        .when(key % 7 == 2, F.lit(None).cast("string"))
+        .when(key % 7 == 3, F.concat(F.lit('"'), text, F.lit('\\')))
+        .otherwise(text)
+    )
+
+
+@query(
+    "s1_corpus_csv_odd_texts",
+    "SELECT example_id, CASE example_id % 7 WHEN 0 THEN '  ' || text || chr(9) || ' ' WHEN 1 THEN '' WHEN 2 THEN NULL "
+    f"WHEN 3 THEN '\"' || text || chr(92) ELSE text END AS text, label, split FROM ({CORPUS}) c",
+)
+def s1_corpus_csv_odd_texts(spark, sf_dir):
+    """S1 as CSV: outer blanks, quotes, backslashes, empty and missing texts
+    come back as they were."""
+    c = load_corpus(spark, sf_dir)
+    c = c.withColumn("text", _framed(F.col("text"), F.col("example_id")))
+    path = write_labelled_corpus(c, shared_path(spark, "corpus_csv_odd"), "csv")
+    return read_labelled_corpus(spark, path, "csv").select("example_id", "text", "label", "split")
+
+
 # ------------------------------------------------------------------ D17: empty groups
 
 

@@ -51,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="graded-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
@@ -63,26 +65,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-# Tables whose rows carry long texts: CPU-heavy per-row work follows the scan.
-TEXT_TABLES = ("documents",)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str):
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread_small(df) if name in TEXT_TABLES else df
-
-
-def spread_small(df):
-    """Spread an under-partitioned input over the cluster's cores before
-    CPU-heavy text work (a single file with one row group is read by one
-    task). A no-op at scale, where the scan already has more partitions
-    than cores; the round-robin exchange is deterministic on retry."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave as is
-        return df
-    return df.repartition(target) if parts < target else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def materialize(df, name: str = "small"):
@@ -96,21 +80,8 @@ def materialize(df, name: str = "small"):
     return spark.read.parquet(path)
 
 
-def small_table(df):
-    """A table that is small by construction (one row per sampling group):
-    computed once and cached for the size check and the broadcast that
-    follows; a lost block is recomputed from lineage."""
-    return df.cache()
-
-
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df, max_rows: int = BROADCAST_ROWS):
-    """Broadcast a derived table only after checking its size: computed once
-    (cached), counted, and hinted for broadcast below ``max_rows``; above it
-    the join is left to AQE (shuffle join with skew splitting)."""
-    from pyspark.sql import functions as F
-
-    df = small_table(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete every written table that :func:`shared_path` named, when no
+    result that reads one is needed any more (end of a job, test or bench)."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables")
+    base.getFileSystem(spark._jsc.hadoopConfiguration()).delete(base, True)

@@ -63,6 +63,17 @@ def by_class(df: DataFrame, label: int, col: str = "label") -> DataFrame:
     return df.filter(F.col(col) == label)
 
 
+#: Texts come back as they were: outer blanks kept, and an empty text told
+#: from a missing one. A multi-line file is read by one task, so a large corpus
+#: is stored as parquet or JSON.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "nullValue": "\\N",
+}
+
 CORPUS_SCHEMA = T.StructType(
     [
         T.StructField("example_id", T.LongType(), False),
@@ -76,9 +87,7 @@ CORPUS_SCHEMA = T.StructType(
 def write_labelled_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Store a corpus partitioned by split (one folder per split)."""
     w = df.select("example_id", "text", "label", "split").write.mode("overwrite").partitionBy("split").format(fmt)
-    if fmt == "csv":
-        w = w.option("header", True).option("escape", '"')
-    w.save(path)
+    w.options(**({**CSV_OPTIONS, "emptyValue": '""'} if fmt == "csv" else {})).save(path)
     return path
 
 
@@ -86,7 +95,5 @@ def read_labelled_corpus(spark: SparkSession, path: str, fmt: str = "parquet", s
     """S1 for stored corpora (parquet, json or csv) with an explicit schema;
     the split filter prunes whole partition folders."""
     r = spark.read.format(fmt).schema(CORPUS_SCHEMA)
-    if fmt == "csv":
-        r = r.option("header", True).option("multiLine", True).option("escape", '"')
-    df = r.load(path)
+    df = r.options(**({**CSV_OPTIONS, "multiLine": True, "emptyValue": ""} if fmt == "csv" else {})).load(path)
     return df if split is None else df.filter(F.col("split") == split)

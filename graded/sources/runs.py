@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graded.functions.naming import fixed_decimals
 from graded.operators.metrics import A9_FIELDS
 
 RUN_TABLE_SCHEMA = T.StructType(
@@ -71,7 +72,7 @@ def write_metric_lines(metrics: DataFrame, path: str, run_col: str = "run") -> s
         run_col,
         F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv"),
     )
-    lines = long.select(run_col, F.concat(F.col("kv.k"), F.lit(": "), F.format_number("kv.v", 4)).alias("value"))
+    lines = long.select(run_col, F.concat(F.col("kv.k"), F.lit(": "), fixed_decimals("kv.v", 4)).alias("value"))
     lines.write.mode("overwrite").partitionBy(run_col).text(path)
     return path
 

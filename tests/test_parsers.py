@@ -112,17 +112,6 @@ def test_argmax_first_on_ties(spark):
     assert df.select(V.argmax("v").alias("i")).first().i == 1
 
 
-def test_python_udf_agrees_with_native(spark):
-    from graded.operators.scoring import python_parsers_udf
-
-    df = one_col(spark, [c[0] for c in CASES if c[0] is not None] + ["a\u001cja", " ja "])
-    r = df.select(
-        F.count_if(python_parsers_udf()("a")["last_word"] != X.parse_last_word("a")).alias("m5"),
-        F.count_if(python_parsers_udf()("a")["lenient"] != X.parse_lenient("a")).alias("m6"),
-    ).first()
-    assert (r.m5, r.m6) == (0, 0)
-
-
 def test_whitespace_class_is_python_isspace(spark):
     """Every code point: the Java class used on the Spark side, the explicit
     class shared with the oracle and the trim set all equal str.isspace."""

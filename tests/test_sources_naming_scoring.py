@@ -92,12 +92,69 @@ def test_scorer_matches_native_standin_and_isolates_errors(spark):
 
 
 def test_fixed_batches(spark):
-    from graded.plans.catalog import HEAD_B, HEAD_W
+    """Batches are carried over the edges of Arrow batches."""
+    import numpy as np
 
-    e = spark.read.parquet(f"{SF001}/embeddings.parquet").repartition(3)
-    s = SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id"], error_col=None, batch_rows=64)
-    sizes = s.groupBy(F.spark_partition_id().alias("p"), "batch_no").count().collect()
-    assert max(r["count"] for r in sizes) <= 64 and sum(r["count"] for r in sizes) == e.count()
+    df = spark.range(0, 25_000, 1, 1).selectExpr("id", "transform(sequence(1, 4), i -> double(i + id % 3)) embedding")
+    head = SC.LinearHead(np.eye(2), [0.0, 0.0], positions=2, dim=2)
+    s = SC.score(df, head, ["id"], batch_rows=64)
+    sizes = sorted(r["count"] for r in s.groupBy("batch_no").count().collect())
+    assert sizes == [40] + [64] * 390 and s.filter("error is not null").count() == 0
+
+
+def test_heads_that_differ_in_pooling_only_are_two_models(spark):
+    import numpy as np
+
+    w, b = np.eye(2), [0.0, 0.0]
+    rows = spark.createDataFrame([(0, [5.0, 0.0, 0.0, 6.0])], "id int, embedding array<double>").coalesce(1)
+    near = SC.LinearHead(w, b, positions=2, dim=2)
+    far = SC.LinearHead(np.array([[1.0, 0, 0, 0], [0, 0, 0, 1.0]]), b, positions=1, dim=4)
+    assert near.cache_key() != far.cache_key() == SC.LinearHead(far.weights, b, 1, 4).cache_key()
+    assert SC.LinearHead(w, b, 1, 2).cache_key() != SC.LinearHead(w, b, 2, 2).cache_key()
+    assert SC.score(rows, near, ["id"]).first().pred == SC.score(rows, far, ["id"]).first().pred == 1
+
+
+def test_failing_rows_are_found_by_halving():
+    import pandas as pd
+
+    class Model:
+        fallback = {"n": -7}
+        calls = 0
+
+        def predict(self, batch):
+            self.calls += 1
+            if (batch["x"] == 13).any():
+                raise ValueError("thirteen")
+            return pd.DataFrame({"n": batch["x"] * 2})
+
+    m = Model()
+    out = SC._predict_safely(m, pd.DataFrame({"x": range(64)}), ["n"])
+    assert out["n"].tolist() == [-7 if x == 13 else 2 * x for x in range(64)]
+    assert out["_error"].notna().sum() == 1 and m.calls <= 13
+
+
+def test_row_map(spark):
+    df = spark.createDataFrame([(1, "a\nb", 3), (2, None, 4)], "id long, text string, other int")
+    out = SC.map_rows(df, lambda r: {"n": len(r["text"] or ""), "up": (r["text"] or "").upper()}, "n long, up string", ["id"])
+    assert sorted(map(tuple, out.collect())) == [(1, 3, "A\nB"), (2, 0, "")]
+
+
+def test_numbers_have_no_thousands_separators(spark):
+    m = spark.createDataFrame([("r1", 1234567.5)], "run string, big double")
+    path = RU.write_metric_lines(m, shared_path(spark, "t_lines"))
+    assert [r.value for r in spark.read.text(path).collect()] == ["big: 1234567.5000"]
+    p = spark.createDataFrame([(1234.5, 1000.0)], "f1 double, acc double")
+    assert p.select(NM.perf_string("f1", "acc").alias("s")).first().s == "F1=1234.5000, Acc=1000.0000"
+
+
+def test_csv_corpus_keeps_texts(spark):
+    from graded.sources.corpus import read_labelled_corpus, write_labelled_corpus
+
+    texts = ["  lead and trail  ", "tab\t", "", None, '"quoted", and \\', "a\nb", "\\", "x\\N", " ", '""', ","]
+    df = spark.createDataFrame([(i, t, 1, "train") for i, t in enumerate(texts)], "example_id long, text string, label int, split string")
+    path = write_labelled_corpus(df, shared_path(spark, "t_csv"), "csv")
+    got = {r.example_id: r.text for r in read_labelled_corpus(spark, path, "csv").collect()}
+    assert got == dict(enumerate(texts))
 
 
 def test_streaming_confusion_matches_batch(spark):
@@ -108,16 +165,6 @@ def test_streaming_confusion_matches_batch(spark):
     assert got == exp
 
 
-def test_spread_small_only_spreads_small_inputs(spark):
-    from graded.session import spread_small
-
-    cores = spark.sparkContext.defaultParallelism
-    small = spark.range(100).coalesce(1)
-    assert spread_small(small).rdd.getNumPartitions() == cores
-    big = spark.range(100).repartition(cores * 2)
-    assert spread_small(big) is big
-
-
 def test_parquet_corpus_round_trip_prunes_splits(spark):
     from graded.sources.corpus import load_corpus, read_labelled_corpus, write_labelled_corpus
 

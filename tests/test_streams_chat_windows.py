@@ -64,29 +64,57 @@ def test_early_stop_matches_brute_force(spark):
     exp = _brute_early_stop(rows, 2)
     got = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2).collect()}
     assert got == exp
-    # chunking at a finer grain gives the same answer (two-level scan)
-    got2 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, "minute").collect()}
-    assert got2 == exp
-    # row-balanced chunks from per-run time quantiles give the same answer
-    got3 = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 2, quantile_chunks=8, min_chunk_rows=5).collect()}
-    assert got3 == exp
 
 
-def test_early_stop_hot_run_in_one_hour(spark):
-    """One run with most rows inside a single hour: quantile chunks split it
-    and still agree with the brute force."""
+def test_early_stop_hot_run_and_equal_timestamps(spark):
+    """One run with most rows, many of them at one timestamp, is cut into many
+    chunks and still agrees with the brute force."""
     import datetime as dt
     import random
 
     rnd = random.Random(3)
     base = dt.datetime(2024, 1, 1, 10, 0, 0)
-    rows = [(1, base + dt.timedelta(seconds=rnd.randint(0, 3599)), i, float(rnd.randint(0, 50))) for i in range(3000)]
+    rows = [(1, base + dt.timedelta(seconds=rnd.randint(0, 3)), i, float(rnd.randint(0, 50))) for i in range(3000)]
     rows += [(2, base + dt.timedelta(hours=h), 10_000 + h, float(h % 7)) for h in range(40)]
+    rows += [(3, base, 20_000 + i, float(i)) for i in range(500)]  # improves all the time
+    rows += [(4, base, 30_000, 1.0)]
     log = spark.createDataFrame(rows, "run long, ts timestamp_ntz, event_id long, metric double")
-    exp = _brute_early_stop(rows, 3)
-    for kw in ({}, {"quantile_chunks": 16, "min_chunk_rows": 100}, {"quantile_chunks": 64}):
-        got = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in WN.early_stop(log, 3, **kw).collect()}
-        assert got == exp
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            for patience in (1, 3, 10):
+                found = WN.early_stop(log, patience).collect()
+                got = {r.run: (r.n_epochs, r.stop_epoch, r.best_epoch, r.best_metric) for r in found}
+                assert got == _brute_early_stop(rows, patience)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_vocabulary_with_few_hot_words(spark):
+    """Ids by frequency, and encoding with hot words looked up by broadcast
+    and all others by a shuffle of the tokens they leave open."""
+    from collections import Counter
+
+    from graded.operators import encode as E
+
+    texts = [(1, "de de de kat zit op de mat"), (2, "kat kat mat é x" + "y" * 200), (3, ""), (4, None), (5, "nieuw")]
+    df = spark.createDataFrame(texts, "example_id long, text string")
+    known = df.filter("example_id <> 5")
+    vocab = E.build_vocabulary(known)
+    counts = Counter(w for _, t in texts[:3] for w in t.split())
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    ids = {w: i + E.FIRST_WORD_ID for i, w in enumerate(order)}
+    assert {r.word: r.id for r in vocab.collect()} == ids
+    want = {i: [ids.get(w, E.UNK_ID) for w in (t or "").split()] for i, t in texts}
+    for hot in (0, 1, 3, 10_000):
+        got = {r.example_id: list(r.input_ids) for r in E.encode(df, vocab, hot_words=hot).collect()}
+        assert got == want
+    plan = E.build_vocabulary(known, materialized=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    # the shuffle on words sits above the filter that keeps open tokens only
+    shuffled = E._lookup(df.selectExpr("example_id", "explode(split(text, ' ')) word"), vocab, 1)
+    assert "isnull(id" in shuffled._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_causal_example_cap(spark):
