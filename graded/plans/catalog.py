@@ -376,8 +376,26 @@ def _e6_rows_sql():
 
 def _e6_rows(spark, sf_dir):
     test = load_corpus(spark, sf_dir, split="test").select("example_id", "text", "label")
-    sample = R.sample_per_group(E.explode_templates(test), "template", 50, 42)
-    return E.e6_predictions(sample)
+    # ids and labels are sampled; only the sampled rows meet their texts
+    ids = E.explode_templates(test.select("example_id", "label"))
+    sample = R.sample_per_group(ids, "template", 50, 42)
+    return E.e6_predictions(sample.join(test.select("example_id", "text"), "example_id"))
+
+
+def _e6_all_sql():
+    """Prediction rows of every example under every template."""
+    full = O.strip(O.standin_digit_answer("template", "example_id", "label", "max_new_tokens"))
+    rows = f"SELECT c.example_id, c.text, c.label, tpl.* FROM ({CORPUS}) c, {_templates_sql()}"
+    inner = f"SELECT template, example_id, text, label, {full} AS full_text FROM ({rows}) s"
+    return (
+        f"SELECT template, example_id, text, label AS true_label, {O.parse_last_digit('full_text')} AS pred_label, "
+        f"{O.reasoning('full_text')} AS reasoning FROM ({inner}) i"
+    )
+
+
+def _e6_all(spark, sf_dir):
+    c = load_corpus(spark, sf_dir).select("example_id", "text", "label")
+    return E.e6_predictions(E.explode_templates(c))
 
 
 @query("r9_e6_template_sweep_rows", _e6_rows_sql())
@@ -919,10 +937,10 @@ def s4_metric_lines(spark, sf_dir):
     return RU.read_metric_lines(spark, path).select("run", "key", "value_text")
 
 
-@query("s7_predictions_parquet", _e6_rows_sql())
+@query("s7_predictions_parquet", _e6_all_sql())
 def s7_predictions_parquet(spark, sf_dir):
     """E6 prediction rows written partitioned by template, read back."""
-    path = RU.write_predictions(_e6_rows(spark, sf_dir), shared_path(spark, "predictions"))
+    path = RU.write_predictions(_e6_all(spark, sf_dir), shared_path(spark, "predictions"))
     return spark.read.parquet(path).select("template", "example_id", "text", "true_label", "pred_label", "reasoning")
 
 
@@ -1122,10 +1140,10 @@ def _few_shot_template() -> str:
     return FEW_SHOT_HEADER + shots + FEW_SHOT_FOOTER
 
 
-@query("p4_few_shot_prompts", f"SELECT example_id, {O.render(O.lit(_few_shot_template()), 'text', '{item}')} AS prompt FROM ({TEST_SQL}) t")
+@query("p4_few_shot_prompts", f"SELECT example_id, {O.render(O.lit(_few_shot_template()), 'text', '{item}')} AS prompt FROM ({CORPUS}) t")
 def p4_few_shot_prompts(spark, sf_dir):
-    """Four labelled shots before each test sentence."""
-    return _test(spark, sf_dir).select("example_id", render_few_shot("text").alias("prompt"))
+    """Four labelled shots before each sentence of the corpus."""
+    return load_corpus(spark, sf_dir).select("example_id", render_few_shot("text").alias("prompt"))
 
 
 @query(
@@ -1141,11 +1159,12 @@ def p7_p8_normalise_texts(spark, sf_dir):
 @query(
     "p11_null_split",
     "SELECT template, count(*) FILTER (WHERE pred_label IS NULL) AS n_no_label, count(*) FILTER (WHERE pred_label IS NOT NULL) AS n_labelled "
-    f"FROM ({_e6_rows_sql()}) r GROUP BY template",
+    f"FROM ({_e6_all_sql()}) r GROUP BY template",
 )
 def p11_null_split(spark, sf_dir):
-    """Rows with and without a parsed label per template."""
-    r = _e6_rows(spark, sf_dir)
+    """Rows with and without a parsed label per template, over every
+    example (X9 and X10 at full size)."""
+    r = _e6_all(spark, sf_dir)
     return r.groupBy("template").agg(
         F.count_if(F.col("pred_label").isNull()).alias("n_no_label"),
         F.count_if(F.col("pred_label").isNotNull()).alias("n_labelled"),
@@ -1368,6 +1387,84 @@ def p9_p10_valid_filters(spark, sf_dir):
     )
 
 
+# ------------------------------------------------------------------ token losses, plug-in tokenizer, padded labels
+
+from graded.operators import losses as LS  # noqa: E402
+
+# positions x vocabulary of the stand-in logits; two label tokens with weights
+TOKENS, VOCAB, TOKEN_WEIGHTS, TOKEN_GAMMA = 8, 8, {2: 0.6, 5: 3.5}, 2.0
+
+
+def _token_losses_sql():
+    rows = (
+        "SELECT CASE WHEN (vec_id + 2 * p) % 3 = 0 THEN -100 ELSE (vec_id + p) % 8 END AS y, "
+        "list_transform(range(8), lambda v: CAST(embedding[p * 8 + v + 1] AS DOUBLE)) AS lg "
+        "FROM embeddings, (SELECT unnest(range(8)) AS p) q"
+    )
+    ce = (
+        "SELECT y, CASE WHEN y = -100 THEN 0.0 ELSE list_max(lg) + ln(list_sum(list_transform(lg, lambda v: exp(v - list_max(lg))))) "
+        f"- lg[y + 1] END AS ce FROM ({rows}) r"
+    )
+    w = "CASE y " + " ".join(f"WHEN {t} THEN {x!r}::DOUBLE" for t, x in TOKEN_WEIGHTS.items()) + " ELSE 1.0 END"
+    return (
+        "SELECT count(*) AS n_tokens, count(*) FILTER (WHERE y <> -100) AS n_kept, "
+        f"round(avg(w * pow(1.0 - exp(-ce), {TOKEN_GAMMA!r}) * ce), 6) AS focal_loss, "
+        f"round(sum(w * ce) FILTER (WHERE y <> -100) / sum(w) FILTER (WHERE y <> -100), 6) AS weighted_ce FROM (SELECT *, {w} AS w FROM ({ce}) c) x"
+    )
+
+
+@query("v10_v11_token_losses", _token_losses_sql())
+def v10_v11_token_losses(spark, sf_dir):
+    """V10 and V11 over tokens: logits per position, label tokens weighted,
+    ignored labels out of the weighted mean."""
+    e = table(spark, sf_dir, "embeddings")
+    lg = F.transform(
+        F.sequence(F.lit(0), F.lit(TOKENS - 1)),
+        lambda p: F.transform(F.slice("embedding", p * VOCAB + 1, VOCAB), lambda v: v.cast("double")),
+    )
+    y = F.transform(
+        F.sequence(F.lit(0), F.lit(TOKENS - 1)),
+        lambda p: F.when((F.col("vec_id") + 2 * p) % 3 == 0, F.lit(V.IGNORE_INDEX)).otherwise(
+            ((F.col("vec_id") + p) % VOCAB).cast("int")
+        ),
+    )
+    out = LS.token_losses(e.select(lg.alias("lg"), y.alias("y")), "lg", "y", TOKEN_WEIGHTS, TOKEN_GAMMA)
+    return out.withColumn("focal_loss", F.round("focal_loss", 6)).withColumn("weighted_ce", F.round("weighted_ce", 6))
+
+
+@query(
+    "v1_plugin_tokenizer",
+    "SELECT doc_id, list_transform(range(least(strlen(coalesce(text, '')), 512)), lambda i: "
+    "CAST(('0x' || substr(hex(encode(coalesce(text, ''))), 2 * i + 1, 2)) AS INTEGER) + 3) AS input_ids FROM documents",
+)
+def v1_plugin_tokenizer(spark, sf_dir):
+    """V1 with a tokenizer plugged into the scorer (here: UTF-8 bytes)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return SC.score(d, SC.ByteTokenizer(), ["doc_id"]).select("doc_id", "input_ids")
+
+
+def _v6_labels_sql():
+    enc = _encode_sql(O.corpus(split="train"), _vocab_sql(DOCS_SQL), max_len=128)
+    j = (
+        f"SELECT b.example_id, b.copy_no, b.batch, e.input_ids, max(len(e.input_ids)) OVER (PARTITION BY b.batch) AS longest "
+        f"FROM ({_r11_sql()}) b JOIN ({enc}) e ON b.example_id = e.example_id"
+    )
+    return (
+        "SELECT example_id, copy_no, batch, input_ids || list_transform(range(longest - len(input_ids)), lambda x: -100) AS labels "
+        f"FROM ({j}) j"
+    )
+
+
+@query("v6_collate_labels", _v6_labels_sql())
+def v6_collate_labels(spark, sf_dir):
+    """V6 for labels: padded with the ignore index, not the padding id."""
+    train = load_corpus(spark, sf_dir, split="train").withColumn("n_tokens", n_words("text"))
+    batches = R.length_batches(R.oversample(train.select("example_id", "label", "n_tokens")), 8, 42, 50, "n_tokens")
+    enc = EN.encode(train, EN.build_vocabulary(table(spark, sf_dir, "documents")), max_len=128, out="labels")
+    j = batches.select("example_id", "copy_no", "batch").join(enc.select("example_id", "labels"), "example_id")
+    return WN.collate(j, "batch", {"labels": EN.PAD_ID})
+
+
 # ------------------------------------------------------------------ S1 stored corpora
 
 
