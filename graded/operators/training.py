@@ -18,16 +18,23 @@ from pyspark.sql import functions as F
 from graded.operators import metrics as A
 from graded.operators import sampling as R
 from graded.operators.encode import TOKEN_SPLIT
+from graded.session import materialize
 
 
-def text_pipeline(weight_col: str | None = None, num_features: int = 1 << 16, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
+def featurizer(num_features: int = 1 << 16) -> PipelineModel:
+    """Tokens and hashed term counts: nothing to fit, so it is computed once
+    however many models are fitted on it."""
     tok = RegexTokenizer(inputCol="text", outputCol="tokens", pattern=TOKEN_SPLIT, gaps=True, toLowercase=True)
     tf = HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features)
+    return PipelineModel([tok, tf])
+
+
+def classifier(weight_col: str | None = None, max_iter: int = 20, reg: float = 0.01) -> Pipeline:
     idf = IDF(inputCol="tf", outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="label", maxIter=max_iter, regParam=reg)
     if weight_col:
         lr.setWeightCol(weight_col)
-    return Pipeline(stages=[tok, tf, idf, lr])
+    return Pipeline(stages=[idf, lr])
 
 
 def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
@@ -37,21 +44,29 @@ def with_class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     return train.join(F.broadcast(w), label)  # one row per class
 
 
-def fit(train: DataFrame, strategy: str = "normal", seed: int = 42, weighted: bool = False) -> PipelineModel:
-    """M1 (+M2): resample the train split, then fit the pipeline."""
-    data = R.resample(train, strategy, seed)
+def fit_features(features: DataFrame, strategy: str = "normal", seed: int = 42, weighted: bool = False) -> PipelineModel:
+    """M1 (+M2) on featurized rows: resample, then fit IDF and classifier."""
+    data = R.resample(features, strategy, seed)
     data = data.withColumn("label", F.col("label").cast("double"))
     if weighted:
         data = with_class_weights(data)
-    # the pipeline passes over the data several times (IDF, then every
-    # optimizer iteration): keep the resampled frame while fitting
-    data = data.select("text", "label", *(["weight"] if weighted else [])).persist()
+    # the fit passes over the data several times (IDF, then every optimizer
+    # iteration): keep the resampled frame while fitting
+    data = data.select("tf", "label", *(["weight"] if weighted else [])).persist()
     try:
-        return text_pipeline("weight" if weighted else None).fit(data)
+        return classifier("weight" if weighted else None).fit(data)
     finally:
         data.unpersist()
 
 
+def fit(train: DataFrame, strategy: str = "normal", seed: int = 42, weighted: bool = False) -> PipelineModel:
+    """M1 (+M2): featurize, resample the train split, fit; the model takes
+    texts."""
+    prepare = featurizer()
+    features = prepare.transform(train).drop("text", "tokens")
+    return PipelineModel([*prepare.stages, *fit_features(features, strategy, seed, weighted).stages])
+
+
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return out.withColumn("pred", F.col("prediction").cast("int"))
@@ -63,15 +78,25 @@ def evaluate_model(model: PipelineModel, df: DataFrame, by=("split",)) -> DataFr
 
 def sweep(train: DataFrame, evaluate_on: DataFrame, strategies=R.STRATEGIES, seeds=(42,), weighted: bool = False) -> DataFrame:
     """M3: one fit per (strategy, seed) cell; cell metrics are unioned. The
-    loop is over a handful of parameter cells, each a distributed fit."""
+    loop is over a handful of parameter cells, each a distributed fit; texts
+    are featurized once for all of them. A cell whose fit fails is a row with
+    its error as status and no metrics."""
+    prepare = featurizer()
+    features = materialize(prepare.transform(train).drop("text", "tokens"), "train_features")
+    held = materialize(prepare.transform(evaluate_on).drop("text", "tokens"), "eval_features")
     out = None
     for st in strategies:
         for sd in seeds:
-            m = fit(train, st, sd, weighted)
-            e = evaluate_model(m, evaluate_on, ()).select(
-                F.lit(st).alias("strategy"), F.lit(sd).alias("seed"), "*"
-            )
-            out = e if out is None else out.unionByName(e)
+            try:
+                model, status = fit_features(features, st, sd, weighted), "ok"
+            except Exception as e:  # noqa: BLE001 - the other cells go on
+                model, status = None, f"failed: {type(e).__name__}"
+            cell = [F.lit(st).alias("strategy"), F.lit(sd).alias("seed"), F.lit(status).alias("status")]
+            if model is None:
+                e = train.sparkSession.range(1).select(*cell)
+            else:
+                e = evaluate_model(model, held, ()).select(*cell, "*")
+            out = e if out is None else out.unionByName(e, allowMissingColumns=True)
     return out
 
 

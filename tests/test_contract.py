@@ -68,3 +68,20 @@ def test_standin_expected_counts(spark, sf, parser):
     n = {(r.label, r.pred): r.n for r in q.collect()}
     got = (n.get((1, 1), 0), n.get((0, 1), 0), n.get((1, 0), 0), n.get((0, 0), 0), n.get((1, -1), 0), n.get((0, -1), 0))
     assert got == EXPECTED[(sf, parser)]
+
+
+def test_a_failed_sweep_cell_is_a_row(spark):
+    from graded.operators import training as ML
+    from graded.sources.corpus import load_corpus
+
+    c = load_corpus(spark, SF001)
+    train, test = c.filter("split = 'train'"), c.filter("split = 'test'")
+    rows = {r.strategy: r for r in ML.sweep(train, test, ("undersample", "no such strategy")).collect()}
+    assert rows["undersample"].status == "ok" and rows["undersample"].total_samples == test.count()
+    assert rows["no such strategy"].status.startswith("failed: ") and rows["no such strategy"].total_samples is None
+
+
+def test_queries_leave_no_caches_behind(spark):
+    for name in ("r1_undersample", "r3_balanced", "w1_early_stop", "v1_encode", "m3_strategy_sweep"):
+        entry.queries()[name](spark, SF001).count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
