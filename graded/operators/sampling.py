@@ -50,11 +50,12 @@ def py_round(x: Column) -> Column:
 
 def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool) -> DataFrame:
     """Attach per-group parameters. With group keys: an equi-join to the table
-    of one row per group, which AQE broadcasts or shuffles by its measured
-    size. Without: the single row is a scalar subquery evaluated once -- no
-    join at all."""
+    of one row per group; dealt out by its keys first, so that AQE has its
+    measured size and broadcasts it unless there are very many groups.
+    Without: the single row is a scalar subquery evaluated once -- no join at
+    all."""
     if grouped:
-        return d.join(small, groups, "inner")
+        return d.join(small.repartition(*groups), groups, "inner")
     cols = [c for c in small.columns if c not in groups]
     info = small.select(F.struct(*cols).alias("_info")).scalar()
     return d.withColumn("_info", info).select("*", *[F.col(f"_info.{c}").alias(c) for c in cols]).drop("_info")
