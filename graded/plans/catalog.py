@@ -152,13 +152,13 @@ def e2_eval_strict(spark, sf_dir):
     return E.e2_strict(load_corpus(spark, sf_dir), by=("split",))
 
 
-def _e3_sql():
+def _e3_sql(prompts=("same", "CoT")):
     from graded.functions.prompts import choose_template
 
     parts = []
-    for p in ("same", "CoT"):
+    for p in prompts:
         gen = (
-            f"SELECT *, {O.standin_generation('prompt')} AS full_text FROM "
+            f"SELECT *, {O.standin_generation('prompt', salt='md5(prompt)')} AS full_text FROM "
             f"(SELECT *, {O.render(O.lit(choose_template(p, 'variants')), 'text')} AS prompt FROM ({CORPUS}) c) g"
         )
         parts.append(
@@ -173,6 +173,16 @@ def e3_eval_prompt_variants(spark, sf_dir):
     return E.e3_prompt_variants(load_corpus(spark, sf_dir), by=("split",))
 
 
+# a prompt of the user's own: anything that names no built-in template
+CUSTOM_PROMPT = 'Lees deze zin: "{text}" Is de zin bevooroordeeld? Antwoord met ja of nee.'
+
+
+@query("p3_custom_prompt", _e3_sql(("same", CUSTOM_PROMPT)))
+def p3_custom_prompt(spark, sf_dir):
+    """P3 with a custom prompt next to a built-in one."""
+    return E.e3_prompt_variants(load_corpus(spark, sf_dir), prompts=("same", CUSTOM_PROMPT), by=("split",))
+
+
 def _e4_sql():
     rows = (
         f"SELECT split, {O.parse_last_word(O.standin_answer())} AS pred, "
@@ -824,7 +834,7 @@ def _sweep_rows_sql(parser="lenient", src=TEST_SQL):
         f"FROM ({src}) c, {_grid_sql()}"
     )
     gen = (
-        f"SELECT *, {O.standin_generation('prompt', salt='checkpoint_path')} AS full_text FROM "
+        f"SELECT *, {O.standin_generation('prompt', salt="(checkpoint_path || ':' || md5(tpl))")} AS full_text FROM "
         f"(SELECT *, {O.render('tpl', 'text')} AS prompt FROM ({base}) b) x"
     )
     if parser == "lenient":

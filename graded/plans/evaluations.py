@@ -54,7 +54,7 @@ def e3_prompt_variants(corpus: DataFrame, prompts=("same", "CoT"), by=("split",)
     )
     g = corpus.select("*", F.explode(arr).alias("p")).select("*", "p.prompt_name", "p.tpl").drop("p")
     g = g.withColumn("prompt", render_prompt(F.col("tpl"), "text")).withColumn(
-        "full_text", standin.standin_generation("prompt")
+        "full_text", standin.standin_generation("prompt", salt=F.md5("prompt"))
     )
     g = g.withColumn("answer", X.narrow(X.completion_robust("full_text", "prompt", "text")))
     g = g.withColumn("pred", X.parse_lenient("answer"))

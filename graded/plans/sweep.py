@@ -39,12 +39,18 @@ def grid_array(strategies=STRATEGIES, seeds=SEEDS, prompts=PROMPTS):
     )
 
 
+def cell_salt():
+    """Answers differ by run and by prompt template, so a template that is
+    mixed up shows in the metrics."""
+    return F.concat(F.col("checkpoint_path"), F.lit(":"), F.md5("tpl"))
+
+
 def sweep_rows(corpus: DataFrame, parser: str = "lenient", **grid) -> DataFrame:
     """Every example under every grid cell, with its parsed prediction."""
     g = corpus.select("*", F.explode(grid_array(**grid)).alias("cell")).select("*", "cell.*").drop("cell")
     g = g.withColumn("checkpoint_path", causal_run_name(MODELS_DIR, "strategy", "seed"))
     g = g.withColumn("prompt", render_prompt(F.col("tpl"), "text"))
-    g = g.withColumn("full_text", standin.standin_generation("prompt", salt=F.col("checkpoint_path")))
+    g = g.withColumn("full_text", standin.standin_generation("prompt", salt=cell_salt()))
     if parser == "lenient":
         g = g.withColumn("answer", X.completion_slice("full_text", "prompt"))
         return g.withColumn("pred", X.parse_lenient("answer"))
