@@ -172,12 +172,15 @@ def write_archives(
     ).withColumn("digest", base32_sha1(F.col("payload")))
     sizes = rows.select("key", F.octet_length("payload").cast("long").alias("n"))
     bounds = payload_ranges(sizes, range_bytes)
-    shared = (
+    # a written table, so that Spark can split the rows of a hot payload in the
+    # join: a side that is an aggregate's own output can't be dealt anew
+    shared = written(
         rows.where(F.octet_length("payload") >= least)
         .groupBy("digest")
         .agg(F.max("key").alias("response"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "response")
+        .select("digest", "response"),
+        "warc-shared",
     )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
