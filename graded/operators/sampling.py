@@ -120,8 +120,10 @@ def flag_top_n(
         .where(F.col("_rn") == F.col("_rem"))
         .select(*g, F.col("_place").alias("_last"))
     )
-    limits = cut.select(*g, "_n").join(last, g, "left")
-    d = _attach(d, limits, g, bool(groups))
+    if groups:
+        d = _attach(d, cut.select(*g, "_n").join(last, g, "left"), g, True)
+    else:
+        d = _attach(_attach(d, cut.select(*g, "_n"), g, False), last, g, False)
     keep = F.when(F.col("_last").isNull(), F.col("_n") > 0).otherwise(place <= F.col("_last"))
     res = d.withColumn(out, keep)
     drop = ["_b", "_n", "_last"] + ([] if groups else ["_g"]) + ([h] if hash_col is None else [])
