@@ -24,34 +24,27 @@ _PIECES = regex.compile(PATTERN)
 # white space after a space, or a space that ends the text
 _ODD_SPACE = regex.compile(r" (?:\s|$)")
 KEEP = 64  # characters; longer chunks are rare and aren't remembered
-MEMORY = 400_000  # remembered chunks, then the memory starts anew
+MEMORY = 800_000  # remembered chunks and pieces
 
 
 class _Memory:
-    """A bounded mapping of what was seen last: when the young half is full it
-    becomes the old half; what is asked for again moves back to the young."""
+    """A bounded mapping: it takes what comes until it is full, and keeps it.
+    The strings that most texts share come early."""
 
     def __init__(self, size: int):
-        self.young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self._size = size
 
-    def turn(self) -> None:
-        if len(self.young) > self._size:
-            self._old, self.young = self.young, {}
-
-    def recall(self, keys: list[str]) -> list[str]:
-        """Move keys known to the old half to the young one; the others."""
-        if not self._old:
-            return keys
-        old = self._old.get
-        found = list(map(old, keys))
-        self.young.update([(k, x) for k, x in zip(keys, found, strict=True) if x is not None])
-        return [k for k, x in zip(keys, found, strict=True) if x is None]
+    def learn(self, keys: list[str], ids: list[bytes]) -> list[str]:
+        """Add ids; returns the keys that must be forgotten after use."""
+        room = self._size - len(self.known)
+        self.known.update(zip(keys, ids, strict=True))
+        return [k for n, k in enumerate(keys) if n >= room or len(k) > KEEP]
 
     def forget(self, keys: list[str]) -> None:
+        pop = self.known.pop
         for k in keys:
-            self.young.pop(k, None)
+            pop(k)
 
 
 class ChunkEncoder:
@@ -59,7 +52,7 @@ class ChunkEncoder:
 
     ``encode_pieces`` maps a list of distinct pieces to a list of such bytes.
     ``specials`` maps the strings of special tokens to their ids. At most
-    twice ``memory`` chunks, and as many pieces, are remembered."""
+    ``memory`` chunks, and as many pieces, are remembered."""
 
     def __init__(
         self,
@@ -93,21 +86,18 @@ class ChunkEncoder:
 
     def _learn(self, cuts: list[list[str]]) -> list[bytes]:
         """Ids of these cut texts or chunks."""
-        self._pieces.turn()
-        known = self._pieces.young
+        known = self._pieces.known
         known.update(self._specials)
-        fresh = {p for cut in cuts for p in cut if p not in known}
-        todo = self._pieces.recall(list(fresh))
-        known.update(zip(todo, self._encode_pieces(todo), strict=True))
+        todo = list({p for cut in cuts for p in cut if p not in known})
+        extra = self._pieces.learn(todo, self._encode_pieces(todo))
         out = [known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut]) for cut in cuts]
-        self._pieces.forget([p for p in todo if len(p) > KEEP])
+        self._pieces.forget(extra)
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more
         entry than texts: the last is the number of ids)."""
-        self._chunks.turn()
-        known = self._chunks.young
+        known = self._chunks.known
         odd = [n for n, t in enumerate(texts) if _ODD_SPACE.search(t) or self._has_special(t)]
         plain = list(texts)
         for n in odd:
@@ -124,12 +114,12 @@ class ChunkEncoder:
         heads += [_PIECES.findall(distinct[at[starts[n]]]) for n in first]
 
         ids = list(map(known.get, distinct))
-        todo = self._chunks.recall([c for c, x in zip(distinct, ids, strict=True) if x is None])
+        todo = [c for c, x in zip(distinct, ids, strict=True) if x is None]
         learnt = self._learn([*map(_cut_chunk, todo), *heads])
-        known.update(zip(todo, learnt))
+        extra = self._chunks.learn(todo, learnt[: len(todo)])
         ids = [known[c] if x is None else x for c, x in zip(distinct, ids, strict=True)]
         ids += learnt[len(todo) :]
-        self._chunks.forget([c for c in todo if len(c) > KEEP])
+        self._chunks.forget(extra)
         at[starts[np.array([*odd, *first], dtype=np.int64)]] = len(distinct) + np.arange(len(texts))
         flat, ends = gather(ids, at, 4, "<u4")
         return flat, np.concatenate([[0], ends])[starts]
