@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 
 @dataclass(frozen=True)
@@ -157,10 +157,12 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE_RULES
             ),
         )
     )
-    return (
+    # a written table, so that Spark can split a hot blob's paths in a join
+    return written(
         current.groupBy("blob")
         .agg(F.flatten(F.collect_list("found")).alias("found"))
-        .select("blob", ordered.alias("found"))
+        .select("blob", ordered.alias("found")),
+        "secret-findings",
     )
 
 
