@@ -37,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, fresh_path, ship_package, sort_key
+from .common import NULL_KEY, fresh_path, ship_package, sort_key, written
 
 PASSAGE = 50  # words
-SPAN = 24  # grams that a minimiser is taken from
+SPAN = 32  # grams that a minimiser is taken from
 GRAM = 5  # words
 LEFT = SPAN - 1
 RIGHT = PASSAGE - LEFT
@@ -346,8 +346,10 @@ def intervals(docs: DataFrame) -> DataFrame:
     # documents, not rows, are counted: a suffix that repeats in one document
     # alone stays out (the smallest and the largest document differ)
     doc = F.struct("key", "tie")
-    repeated = (
-        kept.groupBy("hash").agg(F.min(doc).alias("low"), F.max(doc).alias("high")).where("low != high").select("hash")
+    # (a written table, so that Spark can split a hot hash's rows in the join)
+    repeated = written(
+        kept.groupBy("hash").agg(F.min(doc).alias("low"), F.max(doc).alias("high")).where("low != high").select("hash"),
+        "suffix-hashes",
     )
     places = (
         kept.join(repeated, "hash", "left_semi")
