@@ -223,6 +223,9 @@ class Bpe:
         cuts = (4 * starts).tolist()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
+    def forget(self) -> None:
+        self._chunks.forget()
+
     def decode_bytes(self, ids: list[bytes]) -> list[bytes]:
         """UTF-8 of each list of ids; bytes that aren't UTF-8 become
         replacement characters."""
@@ -254,7 +257,7 @@ def _bpe(path: str) -> Bpe:
     return _LOADED[path]
 
 
-BATCH = 2000  # texts encoded at a time
+BATCH = 1000  # texts encoded at a time
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
@@ -272,6 +275,7 @@ def encode_table(docs: DataFrame, tokenizer: str) -> DataFrame:
             for keys, texts in _runs(batch):
                 ids = [np.frombuffer(b, dtype="<u4").astype(np.int32) for b in bpe.encode(texts)]
                 yield pa.record_batch([keys, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -24,7 +24,7 @@ _PIECES = regex.compile(PATTERN)
 # white space after a space, or a space that ends the text
 _ODD_SPACE = regex.compile(r" (?:\s|$)")
 KEEP = 64  # characters; longer chunks are rare and aren't remembered
-MEMORY = 800_000  # remembered chunks and pieces
+MEMORY = 400_000  # remembered chunks, and as many pieces
 
 
 class _Memory:
@@ -67,6 +67,11 @@ class ChunkEncoder:
         self._chunks = _Memory(memory)
         self._pieces = _Memory(memory)
 
+    def forget(self) -> None:
+        """Empty the memories: a worker that lives on has other tasks' data to hold."""
+        self._chunks.known = {}
+        self._pieces.known = {}
+
     def _cut(self, text: str) -> list[str]:
         if not self._has_special(text):
             return _PIECES.findall(text)

@@ -43,8 +43,8 @@ LITERALS = 4  # of a window that are no placeholders, at least
 LEAST = 5  # tokens of an item
 SHARE = 0.5  # of an item's windows
 BITS = 24  # the bitmap has 2^BITS bits (2 MB)
-MEMORY = 400_000  # remembered tokens, then the memory starts anew
-BATCH = 2000  # texts at a time
+MEMORY = 100_000  # remembered tokens, then the memory starts anew
+BATCH = 1000  # texts at a time
 
 LITERAL, NUMBER, NAME, UNIT, MEASURE = range(5)
 #: Words that are units after a number.
