@@ -17,9 +17,12 @@ also share the ``j`` words before them are one passage of ``PASSAGE`` words.
 The largest ``j`` and the smallest are how far the match extends to the left
 and to the right. The intervals of a document are joined to spans.
 
-A run may be cut by the edge of a range (or of a chunk in a task). The rows of
-the runs at the edges, at most ``EDGE`` on each side, meet again in a second
-comparison.
+A run may be cut by the edge of a range. All rows of the runs at the edges meet
+again in a second comparison. Runs of more than ``EDGE`` rows don't take part
+in the sort: there the hash of every passage of ``PASSAGE`` words is made whose
+first minimiser begins such a run, and passages of two documents or more are
+found by a count of those hashes, however large the run. (A passage's first
+minimiser depends on its words alone, so equal passages go the same way.)
 
 Nulls: a null text has no words; a null doc_id counts as an id of its own that
 sorts first. Rows that repeat an id and a text are one document. Texts shorter
@@ -44,9 +47,9 @@ SPAN = 32  # grams that a minimiser is taken from
 GRAM = 5  # words
 LEFT = SPAN - 1
 RIGHT = PASSAGE - LEFT
-EDGE = 2000  # rows
-CHUNK = 30_000  # rows compared at a time, unless one run is longer
-LONGEST = 200_000  # rows of a run after which a chunk is cut within it
+EDGE = 2000  # rows of a run that is sorted; larger ones are counted by hashes
+CHUNK = 30_000  # rows compared at a time, and at least one run
+BITS = 24  # the bitmap of large runs has 2^BITS bits (2 MB)
 MEMORY = 400_000  # remembered words, then the memory starts anew
 BATCH = 2000  # texts at a time
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,11 +101,11 @@ def words_of(text: str) -> list[str]:
     return [w for w in split.flatten().to_pylist() if w]
 
 
-def kept_suffixes(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Word indices at which suffixes are kept."""
+def minimisers(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, minimiser's word) of every ``SPAN`` grams of one text."""
     n = len(code) - GRAM + 1
     if n < SPAN:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     gram = np.zeros(n, dtype=np.uint64)
     for j in range(GRAM):
         gram = gram * BASE + code[j : j + n]
@@ -110,8 +113,12 @@ def kept_suffixes(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
     lowest = np.lib.stride_tricks.sliding_window_view(gram, SPAN)
     first = np.arange(len(lowest))
     inside = owner[first] == owner[first + SPAN + GRAM - 2]
-    picked = np.unique(first[inside] + lowest[inside].argmin(axis=1))
-    return picked
+    return first[inside], first[inside] + lowest[inside].argmin(axis=1)
+
+
+def kept_suffixes(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Word indices at which suffixes are kept."""
+    return np.unique(minimisers(code, owner)[1])
 
 
 def prefix_hashes(code: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -156,6 +163,83 @@ def sample(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, tie long, pos int, hash long")
 
 
+def _bitmap(hashes: DataFrame) -> np.ndarray | None:
+    """Bits of the leading ``BITS`` bits of each hash; None without hashes.
+    At most 2^BITS / 64 rows are collected, whatever the number of hashes."""
+    spot = F.shiftrightunsigned("hash", 64 - BITS)
+    cells = (
+        hashes.groupBy(F.shiftright(spot, 6).alias("cell"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(hash, {64 - BITS}) & 63))")).alias("bits"))
+        .collect()
+    )
+    out = np.zeros(2 ** (BITS - 6), dtype=np.uint64)
+    for c in cells:
+        out[c["cell"]] = np.int64(c["bits"]).view(np.uint64)
+    return out if cells else None
+
+
+def passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """key, tie, start (word), one, two (a hash of 128 bits): every passage of
+    ``PASSAGE`` words whose first minimiser's ``RIGHT`` words are in the bitmap.
+    A bit set by another hash gives passages more to count, not wrong ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            for a in range(0, batch.num_rows, BATCH):
+                some = batch.slice(a, BATCH)
+                code, owner = words.codes([t or "" for t in some.column(2).to_pylist()])
+                start, at = minimisers(code, owner)
+                fits = start + PASSAGE <= len(code)
+                start, at = start[fits], at[fits]
+                fits = owner[start] == owner[start + PASSAGE - 1]
+                start, at = start[fits], at[fits]
+                spot = (prefix_hashes(code, at, RIGHT) >> np.uint64(64 - BITS)).astype(np.int64)
+                start = start[(bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0]
+                begins = np.searchsorted(owner, np.arange(some.num_rows))
+                one = prefix_hashes(code, start, PASSAGE).view(np.int64)
+                two = prefix_hashes(_mix(code), start, PASSAGE).view(np.int64)
+                for b in np.array_split(np.arange(len(start)), len(start) // 50_000 + 1):
+                    who = pa.array(owner[start[b]])
+                    yield pa.record_batch(
+                        [
+                            some.column(0).take(who),
+                            some.column(1).take(who),
+                            pa.array((start[b] - begins[owner[start[b]]]).astype(np.int32)),
+                            pa.array(one[b]),
+                            pa.array(two[b]),
+                        ],
+                        ["key", "tie", "start", "one", "two"],
+                    )
+
+    return rows.mapInArrow(run, "key long, tie long, start int, one long, two long")
+
+
+def counted_passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """key, tie, start, end, partner: the passages of large runs that two
+    documents or more have."""
+    made = passages(rows, bitmap)
+    # (a written table, so that Spark can split a hot passage's rows in the join)
+    repeated = written(
+        made.groupBy("one", "two")
+        .agg(
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+            (F.min("tie") != F.max("tie")).alias("texts"),
+        )
+        .where("low != high or texts")
+        .select("one", "two", "low", "high"),
+        "hot-passages",
+    )
+    return made.join(repeated, ["one", "two"]).select(
+        "key",
+        "tie",
+        "start",
+        (F.col("start") + PASSAGE).alias("end"),
+        F.when(F.col("key") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("partner"),
+    )
+
+
 SUFFIX = "key long, tie long, pos int, right string, left string"
 
 
@@ -279,12 +363,10 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[
     def edge_rows(table: pa.Table, common: np.ndarray, front: bool) -> pa.RecordBatch:
         """The rows of the run at the front or at the back."""
         cuts = np.flatnonzero(common[1:] < RIGHT) + 1
-        n = table.num_rows
         if front:
-            some = table.slice(0, min(EDGE, int(cuts[0]) if len(cuts) else n))
+            some = table.slice(0, int(cuts[0]) if len(cuts) else table.num_rows)
         else:
-            begin = max(n - EDGE, int(cuts[-1]) if len(cuts) else 0)
-            some = table.slice(begin)
+            some = table.slice(int(cuts[-1]) if len(cuts) else 0)
         some = some.combine_chunks()
         nothing = pa.nulls(some.num_rows)
         return pa.record_batch(
@@ -310,10 +392,9 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[
         cut = table.num_rows
         if not final:
             cuts = np.flatnonzero(common[1:] < RIGHT) + 1
-            if len(cuts):
-                cut = int(cuts[-1])
-            elif table.num_rows < LONGEST:
+            if not len(cuts):
                 return [], table
+            cut = int(cuts[-1])
         out = []
         if edges and first_run:
             out.append(edge_rows(table.slice(0, cut), common[:cut], True))
@@ -321,9 +402,7 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[
         out.append(spans(table.slice(0, cut), right[:cut], codes))
         if edges and final:
             out.append(edge_rows(table, common, False))
-        # a run that is cut here goes on with its last rows
-        keep = cut if cut < table.num_rows or final else max(0, cut - EDGE)
-        return out, table.slice(keep)
+        return out, table.slice(cut)
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -348,11 +427,14 @@ def intervals(docs: DataFrame) -> DataFrame:
     doc = F.struct("key", "tie")
     # (a written table, so that Spark can split a hot hash's rows in the join)
     repeated = written(
-        kept.groupBy("hash").agg(F.min(doc).alias("low"), F.max(doc).alias("high")).where("low != high").select("hash"),
+        kept.groupBy("hash")
+        .agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.count("*").alias("n"))
+        .where("low != high")
+        .select("hash", "n"),
         "suffix-hashes",
     )
     places = (
-        kept.join(repeated, "hash", "left_semi")
+        kept.join(repeated.where(F.col("n") <= EDGE), "hash", "left_semi")
         .groupBy("key", "tie")
         .agg(F.collect_list("pos").alias("places"))  # a text's own minimisers
     )
@@ -379,7 +461,9 @@ def intervals(docs: DataFrame) -> DataFrame:
         .mapInArrow(lambda it: _compare_sorted(it, False), schema)
     )
     columns = ["key", "tie", "start", "end", "partner"]
-    return out.where("start is not null").select(*columns).unionAll(again.select(*columns))
+    found = out.where("start is not null").select(*columns).unionAll(again.select(*columns))
+    large = _bitmap(repeated.where(F.col("n") > EDGE))
+    return found if large is None else found.unionAll(counted_passages(rows, large))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -161,6 +161,29 @@ def test_repeated_passages_equal_all_windows(spark, monkeypatch, partitions, chu
     assert all(r.n_words >= suffixes.PASSAGE and r.partner_id != r.doc_id for r in found)
 
 
+@pytest.mark.parametrize("n,edge,partitions", [(300, 20, 8), (12_000, 2000, 3)])
+def test_repeats_that_extend_left_of_a_large_run(spark, monkeypatch, n, edge, partitions):
+    """A notice in most rows; pairs also share the words before it, and what
+    follows sorts them far apart. (The workers import the module anew, so that
+    only a run above the true EDGE shows a cut made there.)"""
+    monkeypatch.setattr(suffixes, "EDGE", edge)
+    rng = random.Random(partitions)
+    notice = messy.words(rng, 40)
+    rows = [(i, f"{messy.words(rng, 6)} {notice} {messy.words(rng, 20)}") for i in range(n)]
+    for i in range(n, n + 60, 2):
+        before = messy.words(rng, 10 + i % 3)
+        rows += [(i + k, f"{messy.words(rng, 5)} {before} {notice} {messy.words(rng, 20)}") for k in range(2)]
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = suffixes.repeated_passages(messy.documents(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    got = {(r.doc_id, q) for r in found for q in range(r.start_word, r.end_word)}
+    assert got == plain_repeats(rows) and len({i for i, _ in got}) >= 60
+    assert {r.doc_id: r.partner_id for r in found if r.doc_id >= n} == {i: i ^ 1 for i in range(n, n + 60)}
+
+
 def test_repeats_need_two_documents(spark):
     rng = random.Random(4)
     p = messy.words(rng, 80)
