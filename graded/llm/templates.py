@@ -8,8 +8,11 @@ at least ``LITERALS`` of them literal, is a template; equal templates are
 found by a hash join. A re-parameterised question keeps its templates.
 
 An item and a document match if at least ``SHARE`` of the item's windows occur
-in the document, and the slots are consistent: over all matched windows, each
-value in the item is replaced by one and the same value in the document.
+in the document, and the slots are consistent: each value in the item is
+replaced by one and the same value in the document. That is so over all matched
+windows, or else over those of one occurrence: windows at one distance from
+their places in the item are one alignment, and alignments no further apart than
+the item is long are one occurrence as far as their values agree.
 
 An item of fewer than ``WINDOW`` tokens is one window of its own length; items
 of fewer than ``LEAST`` tokens, or without a window with enough literals, say
@@ -27,6 +30,7 @@ columns are ignored. Empty tables give an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,6 +198,51 @@ def _keyed(rows: DataFrame, name: str) -> DataFrame:
     )
 
 
+def _mapping(slots: list[dict], known: dict) -> dict | None:
+    """``known`` and the replacements in ``slots``, or None if they disagree."""
+    out = dict(known)
+    for s in slots:
+        if out.setdefault((s["kind"], s["ours"]), s["theirs"]) != s["theirs"]:
+            return None
+    return out
+
+
+def best_occurrence(alignments: list[dict], reach: int) -> tuple[int, int]:
+    """(matched windows of the item, first token) of the occurrence with the
+    most windows; ``alignments``: offset, windows, first, slots. An alignment
+    that disagrees with itself is none."""
+    found = {}  # all of them agree, wherever they lie
+    for a in alignments:
+        found = None if found is None else _mapping(a["slots"], found)
+    if found is not None:
+        return len({w for a in alignments for w in a["windows"]}), min(a["first"] for a in alignments)
+    usable = sorted((a for a in alignments if _mapping(a["slots"], {}) is not None), key=lambda a: a["offset"])
+    offsets = [a["offset"] for a in usable]
+    best = (0, 0)
+    for middle in usable:
+        near = usable[bisect_left(offsets, middle["offset"] - reach) : bisect_right(offsets, middle["offset"] + reach)]
+        known, windows, first = {}, set(), middle["first"]
+        for a in sorted(near, key=lambda a: abs(a["offset"] - middle["offset"])):
+            if (more := _mapping(a["slots"], known)) is not None:
+                known, first = more, min(first, a["first"])
+                windows.update(a["windows"])
+        if (len(windows), -first) > (best[0], -best[1]):
+            best = len(windows), first
+    return best
+
+
+FOUND = "key long, tie long, item long, item_tie long, n_windows long, n_matched long, first int"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["key", "tie", "item", "item_tie", "n_windows"]
+    for batch in batches:
+        reach = batch["length"].to_pylist()
+        best = [best_occurrence(batch["alignments"][n].as_py(), reach[n]) for n in range(batch.num_rows)]
+        more = [pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.int32())]
+        yield pa.record_batch([*(batch[c] for c in names), *more], [*names, "n_matched", "first"])
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """key, tie (a document), item, item_tie, n_windows, n_matched, share,
     first (token at which the first match begins) of every match."""
@@ -202,7 +251,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     ours = written(_windows(_keyed(items, "item_id"), sizes, True, None), "templates").dropDuplicates(
         ["key", "tie", "hash", "pos"]
     )
-    totals = ours.groupBy("key", "tie").agg(F.countDistinct("pos").alias("n_windows"))
+    totals = ours.groupBy(F.col("key").alias("item"), F.col("tie").alias("item_tie")).agg(
+        F.countDistinct("pos").alias("n_windows"), F.max(F.col("pos") + F.col("size")).alias("length")
+    )
     # at most 2^BITS / 64 rows, whatever the number of items
     spot = F.shiftrightunsigned("hash", 64 - BITS)
     cells = (
@@ -231,22 +282,25 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.arrays_zip("kinds", "item_slots", "slots"),
         lambda x: F.struct(x["kinds"].alias("kind"), x["item_slots"].alias("ours"), x["slots"].alias("theirs")),
     )
-    found = (
-        pairs.groupBy("key", "tie", "item", "item_tie")
+    who = ["key", "tie", "item", "item_tie"]
+    alignments = pairs.groupBy(*who, (F.col("pos") - F.col("item_pos")).alias("offset")).agg(
+        F.collect_set("item_pos").alias("windows"),
+        F.min("pos").alias("first"),
+        F.array_distinct(F.flatten(F.collect_set(slot))).alias("slots"),
+    )
+    candidates = (
+        alignments.groupBy(*who)
         .agg(
-            F.count_distinct("item_pos").alias("n_matched"),
-            F.min("pos").alias("first"),
-            # as many as an item has slots, times the values they take
-            F.array_distinct(F.flatten(F.collect_set(slot))).alias("slots"),
+            F.size(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("n_any"),
+            # as many as places where some of the item is found
+            F.collect_list(F.struct("offset", "windows", "first", "slots")).alias("alignments"),
         )
-        .withColumn("sources", F.array_distinct(F.transform("slots", lambda x: F.struct(x["kind"], x["ours"]))))
-        .where(F.size("sources") == F.size("slots"))
+        .join(totals, ["item", "item_tie"])
+        .where(F.col("n_any") / F.col("n_windows") >= SHARE)
     )
     return (
-        found.join(
-            totals.select(F.col("key").alias("item"), F.col("tie").alias("item_tie"), "n_windows"),
-            ["item", "item_tie"],
-        )
+        candidates.select(*who, "n_windows", "length", "alignments")
+        .mapInArrow(_occurrences, FOUND)
         .withColumn("share", F.col("n_matched") / F.col("n_windows"))
         .where(F.col("share") >= SHARE)
         .select("key", "tie", "item", "item_tie", "n_windows", "n_matched", "share", "first")

@@ -239,6 +239,28 @@ def test_templates_catch_new_parameters(spark):
     assert templates.contaminated(docs, none).count() == 0 and templates.drop_contaminated(docs, none).count() == len(rows)
 
 
+def test_templates_are_consistent_by_occurrence(spark):
+    rng = random.Random(5)
+    filler = lambda n: messy.words(rng, n)
+    twice = "the price of item 1 is 5 dollars here and the price of item 2 is 7 dollars here so what will both of them cost today"
+    other = ITEMS[0][1].replace("12", "40").replace("Anna", "Olga")
+    broken = other.replace("for 40 apples", "for 41 apples")
+    rows = [
+        (1, f"{filler(30)}. {twice} {filler(9)}"),
+        (2, f"{filler(30)}. {twice.replace('1', '3').replace('5', '6').replace('and', 'and also')}"),
+        (3, f"{filler(30)}. {ITEMS[0][1]} {filler(50)}. {other}"),
+        (4, f"{filler(5)}. {other} {filler(50)}. Then Olga Hill buys 77 apples and 9 pears for 20 euros in the city"),
+        (5, f"{filler(30)}. {broken} {filler(50)}. {broken.replace('41', '42')}"),
+        (6, filler(60)),
+    ]
+    frame = spark.createDataFrame([(0, ITEMS[0][1]), (1, twice)], "item_id long, text string")
+    found = templates.contaminated(messy.documents(spark, rows), frame).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 1), (3, 0), (4, 0)}
+    by = {r.doc_id: r for r in found}
+    assert by[1].share == by[3].share == 1.0 > by[4].share > 0.9 and by[1].first_token == by[3].first_token == 30
+    assert 0.5 <= by[2].share < 1
+
+
 def test_templates_against_plain_windows(spark):
     """Random texts of few words: every window's match is found, hashed or not."""
     rng = random.Random(9)
