@@ -14,9 +14,11 @@ windows, or else over those of one occurrence: windows at one distance from
 their places in the item are one alignment, and alignments no further apart than
 the item is long are one occurrence as far as their values agree.
 
-An item of fewer than ``WINDOW`` tokens is one window of its own length; items
-of fewer than ``LEAST`` tokens, or without a window with enough literals, say
-too little to match anything.
+An item of fewer than ``WINDOW`` tokens is one window of its own length. An item
+of fewer than ``LEAST`` tokens, or without a window with enough literals, says
+too little for templates: its windows are compared by their values, with signs
+and operators, so its copies are found and nothing else. Items of fewer than
+``EXACT`` tokens match nothing.
 
 Documents' windows are many and rarely match. They are first tested against a
 bitmap of the items' window hashes, of a fixed size whatever the number of
@@ -44,7 +46,8 @@ from .common import NULL_KEY, ship_package, sort_key, written
 
 WINDOW = 8  # tokens
 LITERALS = 4  # of a window that are no placeholders, at least
-LEAST = 5  # tokens of an item
+LEAST = 5  # tokens of a template
+EXACT = 3  # tokens of an item
 SHARE = 0.5  # of an item's windows
 BITS = 24  # the bitmap has 2^BITS bits (2 MB)
 MEMORY = 100_000  # remembered tokens, then the memory starts anew
@@ -62,11 +65,14 @@ UNITS = frozenset(
 _EDGES = re.compile(r"^\W+|\W+$")
 _NUMBER = re.compile(r"^[-+]?[$€£]?\d+(?:[.,:/]\d+)*$")
 _MEASURE = re.compile(r"^[-+]?\d+(?:[.,]\d+)*([^\W\d_]+|%)$")
+_SIGN = re.compile(r"[-+$€£]+(?=\d)")
+_OPERATOR = re.compile(r"[-+*/=<>^%×÷−]+$")
 _END = re.compile(r"[.!?:][\"')\]]*$")
 
 
-def token_of(raw: str) -> tuple[int, int, int, str]:
-    """(hash of the literal, kind by itself, flags, value) of a raw token.
+def token_of(raw: str) -> tuple[int, int, int, str, int]:
+    """(hash of the literal, kind by itself, flags, value, hash of the value
+    with its sign, or of an operator) of a raw token.
     Flags: 1 could be a name, 2 could be a unit, 4 ends a sentence, 8 empty."""
     ends = 4 if _END.search(raw) else 0
     bare = _EDGES.sub("", raw)
@@ -74,7 +80,7 @@ def token_of(raw: str) -> tuple[int, int, int, str]:
         bare = raw
     value = bare.lower()
     if not bare:
-        return 0, LITERAL, ends | 8, ""
+        return 0, LITERAL, ends | 8, "", _short_hash(raw) if _OPERATOR.match(raw) else 0
     kind, flags = LITERAL, ends
     if _NUMBER.match(bare):
         kind = NUMBER
@@ -85,18 +91,24 @@ def token_of(raw: str) -> tuple[int, int, int, str]:
             flags |= 1
         if value in UNITS:
             flags |= 2
-    return xxhash.xxh64_intdigest(value.encode()) >> 4, kind, flags, value
+    sign = _SIGN.search(raw[: raw.index(bare) + 1]) if bare[0].isdigit() else None
+    return _short_hash(value), kind, flags, value, _short_hash((sign[0] if sign else "") + value)
+
+
+def _short_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) >> 4
 
 
 class Canonical:
     """Canonical tokens of texts, in one array for all of them."""
 
     def __init__(self):
-        self._memory: dict[str, tuple[int, int, int, str]] = {}
+        self._memory: dict[str, tuple[int, int, int, str, int]] = {}
 
     def tokens(self, texts: list[str]):
         """code (hash of the canonical token), literal, value number, text
-        number of each token, and the list of values."""
+        number of each token, the list of values, and for each token the hashes
+        of its exact value and of the operators before it."""
         split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
@@ -109,28 +121,30 @@ class Canonical:
         parsed = [known[raw] for raw in distinct]
         at = coded.indices.to_numpy().astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
-        table = np.array([(h, k, f) for h, k, f, _ in parsed], dtype=np.int64).reshape(-1, 3)
+        table = np.array([(h, k, f, e) for h, k, f, _, e in parsed], dtype=np.int64).reshape(-1, 4)
         flags = table[at, 2]
         kept = np.flatnonzero(flags & 8 == 0)
         # a token begins a sentence if it is the first or follows an end;
         # a token of punctuation alone may be that end
         before_ends = np.concatenate([[True], (flags[:-1] & 4 > 0) | (owner[1:] != owner[:-1])])
         starts = before_ends[kept]
+        passed = np.cumsum(np.where(flags & 8 > 0, table[at, 3], 0).view(np.uint64), dtype=np.uint64)[kept]
+        between = np.diff(passed, prepend=passed[:1])
         at, owner, flags = at[kept], owner[kept], flags[kept]
         kind = table[at, 1]
         kind[(flags & 1 > 0) & ~starts & (kind == LITERAL)] = NAME
         after_number = np.concatenate([[False], (kind[:-1] == NUMBER) & (owner[1:] == owner[:-1])]) if len(at) else kind > 0
         kind[(flags & 2 > 0) & after_number & (kind == LITERAL)] = UNIT
         code = np.where(kind == LITERAL, table[at, 0], -kind).astype(np.uint64)
-        return code, kind, at, owner, [p[3] for p in parsed]
+        return code, kind, at, owner, [p[3] for p in parsed], table[at, 3].view(np.uint64), between
 
 
 def window_hashes(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int):
-    """(hash, whether it is a template) of the window at each token but the
-    last ``size - 1``. Windows lie in one text."""
+    """(hash, literals, whether it lies in one text) of the window at each
+    token but the last ``size - 1``."""
     n = len(code) - size + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int8), np.zeros(0, dtype=bool)
     out = np.full(n, np.uint64(size), dtype=np.uint64)
     literals = np.zeros(n, dtype=np.int8)
     for j in range(size):
@@ -138,20 +152,36 @@ def window_hashes(code: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: i
         out += code[j : j + n]
         out ^= out >> np.uint64(29)
         literals += kind[j : j + n] == LITERAL
-    return out, (owner[:n] == owner[size - 1 :]) & (literals >= min(LITERALS, size))
+    return out, literals, owner[:n] == owner[size - 1 :]
+
+
+def exact_hashes(value: np.ndarray, between: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the values, and the operators between them, of the windows that
+    begin at ``at``."""
+    out = np.full(len(at), np.uint64(size + 1000), dtype=np.uint64)
+    for j in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += value[at + j]
+        if j:
+            out += between[at + j] * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _spot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-WINDOWS = "key long, tie long, hash long, size int, pos int, kinds array<int>, slots array<string>"
+WINDOWS = "key long, tie long, hash long, size int, pos int, kinds array<int>, slots array<string>, exact boolean"
 
 
-def _windows(rows: DataFrame, sizes: list[int], whole: bool, bitmap: np.ndarray | None) -> DataFrame:
+def _windows(
+    rows: DataFrame, sizes: list[int], whole: bool, bitmap: np.ndarray | None, exact_sizes: frozenset[int] = frozenset()
+) -> DataFrame:
     """Templates of each text: their hash, position, and their slots' kinds and
-    values. ``whole``: a text of fewer tokens than ``WINDOW`` is one window;
-    else windows of all ``sizes`` are made."""
+    values. ``whole``: a text of fewer tokens than ``WINDOW`` is one window, and
+    a text without templates has exact windows, without slots; else windows of
+    all ``sizes`` are made, and exact ones of ``exact_sizes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
@@ -159,33 +189,51 @@ def _windows(rows: DataFrame, sizes: list[int], whole: bool, bitmap: np.ndarray
             for a in range(0, batch.num_rows, BATCH):
                 some = batch.slice(a, BATCH)
                 texts = [t or "" for t in some.column(2).to_pylist()]
-                code, kind, at, owner, values = canonical.tokens(texts)
+                code, kind, at, owner, values, value, between = canonical.tokens(texts)
                 begins = np.searchsorted(owner, np.arange(len(texts)))
                 lengths = np.bincount(owner, minlength=len(texts))
                 for size in sizes:
-                    hashes, good = window_hashes(code, kind, owner, size)
+                    hashes, literals, inside = window_hashes(code, kind, owner, size)
                     if whole:
                         fits = (lengths >= size) if size == WINDOW else (lengths == size)
-                        good &= fits[owner[: len(good)]]
-                    if bitmap is not None:
-                        spot = _spot(hashes)
-                        good &= (bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
-                    for b in np.array_split(np.flatnonzero(good), max(1, int(good.sum()) // 50_000)):
-                        if not len(b):
-                            continue
-                        slots = [[(int(kind[i]), values[at[i]]) for i in range(w, w + size) if kind[i] != LITERAL] for w in b.tolist()]
-                        yield pa.record_batch(
-                            [
-                                some.column(0).take(pa.array(owner[b])),
-                                some.column(1).take(pa.array(owner[b])),
-                                pa.array(hashes[b].view(np.int64)),
-                                pa.array(np.full(len(b), size, dtype=np.int32)),
-                                pa.array((b - begins[owner[b]]).astype(np.int32)),
-                                pa.array([[k for k, _ in s] for s in slots], pa.list_(pa.int32())),
-                                pa.array([[v for _, v in s] for s in slots], pa.list_(pa.string())),
-                            ],
-                            ["key", "tie", "hash", "size", "pos", "kinds", "slots"],
-                        )
+                        inside &= fits[owner[: len(inside)]]
+                    found = np.flatnonzero(inside & (literals >= min(LITERALS, size))) if size >= LEAST else np.zeros(0, dtype=np.int64)
+                    if whole:
+                        templated = np.bincount(owner[found], minlength=len(texts)) > 0
+                        few = np.flatnonzero(inside & ~templated[owner[: len(inside)]])
+                    elif size in exact_sizes:
+                        # what stands before a window can make its first token
+                        # a literal or not, so one literal more than in an item
+                        few = np.flatnonzero(inside & (literals <= LITERALS))
+                    else:
+                        few = found[:0]
+                    for exact, w, h in (
+                        (False, found, hashes[found]),
+                        (True, few, exact_hashes(value, between, few, size)),
+                    ):
+                        if bitmap is not None:
+                            spot = _spot(h)
+                            passed = (bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
+                            w, h = w[passed], h[passed]
+                        for c in np.array_split(np.arange(len(w)), max(1, len(w) // 50_000)):
+                            if len(c):
+                                yield batch_of(some, size, exact, w[c], h[c], kind, at, owner, values, begins)
+
+    def batch_of(some, size, exact, b, hashes, kind, at, owner, values, begins):
+        slots = [[(int(kind[i]), values[at[i]]) for i in range(w, w + size) if kind[i] != LITERAL and not exact] for w in b.tolist()]
+        return pa.record_batch(
+            [
+                some.column(0).take(pa.array(owner[b])),
+                some.column(1).take(pa.array(owner[b])),
+                pa.array(hashes.view(np.int64)),
+                pa.array(np.full(len(b), size, dtype=np.int32)),
+                pa.array((b - begins[owner[b]]).astype(np.int32)),
+                pa.array([[k for k, _ in s] for s in slots], pa.list_(pa.int32())),
+                pa.array([[v for _, v in s] for s in slots], pa.list_(pa.string())),
+                pa.array(np.full(len(b), exact)),
+            ],
+            ["key", "tie", "hash", "size", "pos", "kinds", "slots", "exact"],
+        )
 
     return rows.mapInArrow(run, WINDOWS)
 
@@ -247,7 +295,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """key, tie (a document), item, item_tie, n_windows, n_matched, share,
     first (token at which the first match begins) of every match."""
     ship_package(docs.sparkSession)
-    sizes = list(range(LEAST, WINDOW + 1))
+    sizes = list(range(EXACT, WINDOW + 1))
     ours = written(_windows(_keyed(items, "item_id"), sizes, True, None), "templates").dropDuplicates(
         ["key", "tie", "hash", "pos"]
     )
@@ -265,8 +313,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     for c in cells:
         bitmap[c["cell"]] = np.int64(c["bits"]).view(np.uint64)
     # windows of short items are looked for in documents only if there are any
-    found_sizes = {r["size"] for r in ours.select("size").distinct().collect()}
-    theirs = _windows(_keyed(docs, "doc_id"), sorted(found_sizes), False, bitmap)
+    kinds = [tuple(r) for r in ours.select("size", "exact").distinct().collect()]
+    exact_sizes = frozenset(size for size, exact in kinds if exact)
+    theirs = _windows(_keyed(docs, "doc_id"), sorted({size for size, _ in kinds}), False, bitmap, exact_sizes)
     pairs = theirs.join(
         ours.select(
             "hash",

@@ -261,6 +261,22 @@ def test_templates_are_consistent_by_occurrence(spark):
     assert 0.5 <= by[2].share < 1
 
 
+def test_items_without_templates_match_word_for_word(spark):
+    rng = random.Random(6)
+    table = "12 15 3.5 77 $20 19 1,000 8 9 10 11 12"
+    benchmark = ["What is 12 plus 7", "Who wrote Hamlet?", "3 + 4 = 7", table, "-5 and 6 7"]
+    frame = spark.createDataFrame(list(enumerate(benchmark)), "item_id long, text string")
+    filler = messy.words(rng, 20)
+    rows = [(i, f"{filler}. {t} {filler}") for i, t in enumerate(benchmark)]
+    rows += [(10 + i, f"{filler} ({t.upper()}). {filler}") for i, t in enumerate(benchmark)]
+    rows += [(20, f"{filler} what is 12 plus 8 {filler}"), (21, f"{filler} 3 - 4 = 7 {filler}"), (22, f"{filler} 3, 4, 7")]
+    rows += [(23, "who wrote"), (24, table.replace("77", "78").replace("8 9", "9 8")), (25, "5 and 6 7"), (26, f"{filler} {table}")]
+    docs = messy.documents(spark, rows)
+    got = {(r.doc_id, r.item_id) for r in templates.contaminated(docs, frame).collect()}
+    assert got == {(i, i) for i in range(5)} | {(10 + i, i) for i in range(5)} | {(26, 3)}
+    assert sorted(r.doc_id for r in templates.drop_contaminated(docs, frame).collect()) == [20, 21, 22, 23, 24, 25]
+
+
 def test_templates_against_plain_windows(spark):
     """Random texts of few words: every window's match is found, hashed or not."""
     rng = random.Random(9)
