@@ -6,8 +6,9 @@ words inside it, ordered by their 64-bit hash. A k-mer is a *closed syncmer*
 when its smallest inner substring is its first or its last one. Whether a
 k-mer is chosen depends on its own words alone, so an edit changes only the
 anchors that overlap it, and the same passage gives the same anchors wherever
-it stands. A text of fewer than ``K`` words has its whole word sequence as its
-only anchor; a text without words has none.
+it stands. A text without a closed syncmer (all of fewer than ``K`` words, some
+of a few more) has its whole word sequence as its only anchor; a text without
+words has none.
 
 ``anchors`` returns every anchor with its position, for positional matching.
 ``sketch`` keeps the ``SKETCH`` smallest distinct anchor hashes of a text (all
@@ -67,7 +68,8 @@ def anchor_hashes(text: Column, k: int = K, s: int = S) -> Column:
         )
         few = F.array(F.xxhash64(h))
         none = F.array().cast("array<bigint>")
-        return F.when(n >= k, many).when(n > 0, few).otherwise(none)
+        chosen = _let(many, lambda m: F.when(F.exists(m, lambda x: x.isNotNull()), m).otherwise(few))
+        return F.when(n >= k, chosen).when(n > 0, few).otherwise(none)
 
     return _let(words, with_words)
 

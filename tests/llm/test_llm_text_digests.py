@@ -230,3 +230,12 @@ def test_fingerprints_and_edits(spark):
     assert syncmers.fingerprints_with_edits(messy.empty(spark)).count() == 0
     one = syncmers.fingerprints_with_edits(messy.documents(spark, [(3, "a b c d e f g h")])).collect()
     assert one[0].near_next == 1.0  # its own successor
+
+
+def test_every_text_with_words_has_an_anchor(spark):
+    rng = random.Random(8)
+    rows = [(i, messy.words(rng, 4 + i % 4)) for i in range(200)]
+    got = syncmers.fingerprints_with_edits(messy.documents(spark, rows)).collect()
+    assert len({r.fingerprint for r in got} - {""}) == len(rows)
+    assert all(r.near_next == 0.0 for r in got)
+    assert syncmers.anchors(messy.documents(spark, rows)).select("doc_id").distinct().count() == len(rows)
