@@ -10,10 +10,10 @@ it stands. A text without a closed syncmer (all of fewer than ``K`` words, some
 of a few more) has its whole word sequence as its only anchor; a text without
 words has none.
 
-``anchors`` returns every anchor with its position, for positional matching.
-``sketch`` keeps the ``SKETCH`` smallest distinct anchor hashes of a text (all
-of them in a text with fewer); two sketches give an estimate of the share of
-anchors that two texts have in common.
+``anchors`` returns every anchor with its position. A fingerprint is a digest of
+them all. Texts are compared by positions: an anchor is common to two texts if it
+stands at the same distance behind the same anchor in both (the first anchor of a
+text, if it is the first in both), and each is matched once.
 
 Nulls: a null text counts as empty; rows with a null id are kept. Repeated
 rows stay repeated rows. Extra columns are ignored.
@@ -28,7 +28,6 @@ from .common import key_bounds, range_count, range_of, sort_key
 
 K = 5  # words of a k-mer
 S = 2  # words of an inner substring
-SKETCH = 64  # hashes kept in a fingerprint
 SPACE = r"[\x09-\x0D\x20]+"
 
 
@@ -79,31 +78,50 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sketch(text: Column, k: int = K, s: int = S, size: int = SKETCH) -> Column:
-    """The ``size`` smallest distinct anchor hashes, ascending."""
-    found = F.array_compact(anchor_hashes(text, k, s))
-    return F.slice(F.sort_array(F.array_distinct(found)), 1, size)
+def fingerprint(found: Column) -> Column:
+    """SHA-256 of all anchors and their places, from :func:`anchor_hashes`; an
+    empty string without anchors."""
+    listed = F.array_join(F.transform(found, lambda h: F.coalesce(F.hex(h), F.lit(""))), ",")
+    return F.when(F.size(found) > 0, F.sha2(listed.cast("binary"), 256)).otherwise("")
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated share of anchors two texts have in common, 0 to 1 (twice the
-    common ones over the sum of both; 1 for two texts without words). Exact
-    when both texts have at most ``size`` anchors together."""
-    union = F.slice(F.sort_array(F.array_distinct(F.concat(a, b))), 1, size)
-    jaccard = _let(
-        union,
-        lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u),
-    )
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0))
-        .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .otherwise(_let(jaccard, lambda j: 2 * j / (1 + j)))
+def links(found: Column) -> Column:
+    """One hash per anchor, of the anchor, the one before it, their distance,
+    and how many equal ones the text has before; from :func:`anchor_hashes`."""
+    none = F.array().cast("array<bigint>")
+    places = F.array_compact(F.transform(found, lambda h, i: F.when(h.isNotNull(), i)))
+
+    def linked(hashes: Column, at: Column) -> Column:
+        # (what lies before the first is null, and nulls aren't hashed)
+        return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i - 1), F.get(at, i) - F.get(at, i - 1)))
+
+    def numbered(same: Column) -> Column:
+        """``same`` is sorted; equal hashes are numbered from 0."""
+        n = F.size(same)
+        begins = F.filter(
+            F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(same, i) != F.get(same, i - 1))
+        )
+        numbers = _let(
+            begins,
+            lambda b: F.flatten(
+                F.transform(b, lambda x, k: F.sequence(F.lit(0), F.coalesce(F.get(b, k + 1), n) - x - 1))
+            ),
+        )
+        return F.when(n > 0, _let(numbers, lambda m: F.transform(same, lambda h, i: F.xxhash64(h, F.get(m, i))))).otherwise(none)
+
+    return _let(
+        _let(F.array_compact(found), lambda hashes: _let(places, lambda at: F.sort_array(linked(hashes, at)))),
+        numbered,
     )
 
 
-def as_text(sk: Column) -> Column:
-    """A fingerprint as a string: 16 hex digits per hash."""
-    return F.array_join(F.transform(sk, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+def likeness(a: Column, b: Column) -> Column:
+    """Share of anchors two texts have in common, 0 to 1 (twice the common ones
+    over the sum of both; 1 for two texts without words), from their
+    :func:`links`."""
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(
+        2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+    )
 
 
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
@@ -160,15 +178,15 @@ def _is_bound(bounds: list[int]) -> Column:
 def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprint of each text, of the text whose last floor(n_chars / 4)
     code points are replaced by the first as many (or all) of the next
-    document, and how alike they and the next document's fingerprint are."""
+    document, and how alike it is to the edited text and to the next one."""
     base = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    ).withColumn("sk", sketch(F.col("text")))
+    )
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     rows = (
-        with_next(base, ["text", "sk"])
+        with_next(base, ["text"])
         .withColumn("n_chars", n.cast("long"))
         .withColumn(
             "edited",
@@ -181,17 +199,25 @@ def fingerprints_with_edits(docs: DataFrame) -> DataFrame:
             "doc_id",
             "n_chars",
             F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-            "sk",
-            sketch(F.col("edited")).alias("edited_sk"),
-            F.col("next_row.sk").alias("next_sk"),
+            anchor_hashes(F.col("text")).alias("own"),
+            anchor_hashes(F.col("edited")).alias("edit"),
+            anchor_hashes(F.col("next_row.text")).alias("next"),
+        )
+        .select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            fingerprint(F.col("own")).alias("fingerprint"),
+            fingerprint(F.col("edit")).alias("edited_fingerprint"),
+            *(links(F.col(c)).alias(c) for c in ("own", "edit", "next")),
         )
     )
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("sk")).alias("fingerprint"),
-        as_text(F.col("edited_sk")).alias("edited_fingerprint"),
-        likeness(F.col("sk"), F.col("edited_sk")).alias("near_edited"),
-        likeness(F.col("sk"), F.col("next_sk")).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("own"), F.col("edit")).alias("near_edited"),
+        likeness(F.col("own"), F.col("next")).alias("near_next"),
     )

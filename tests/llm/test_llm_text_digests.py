@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import messy
 import numpy as np
@@ -239,3 +240,37 @@ def test_every_text_with_words_has_an_anchor(spark):
     assert len({r.fingerprint for r in got} - {""}) == len(rows)
     assert all(r.near_next == 0.0 for r in got)
     assert syncmers.anchors(messy.documents(spark, rows)).select("doc_id").distinct().count() == len(rows)
+
+
+def plain_links(found):
+    """Counter of (anchor before, distance, anchor) of (pos, anchor) pairs."""
+    before = [None, *found]
+    return Counter((b and b[1], b and a[0] - b[0], a[1]) for b, a in zip(before, found, strict=False))
+
+
+def test_likeness_counts_all_anchors_by_position(spark):
+    rng = random.Random(9)
+    shared = messy.words(rng, 400, 10**6)
+    first, second = messy.words(rng, 9000, 10**6).split(), messy.words(rng, 9000, 10**6).split()
+    changed = list(first)
+    changed[4000] = "changed"
+    rows = [
+        (1, " ".join(first[:5000]) + f" {shared} " + " ".join(first[5000:])),
+        (2, f"{shared} " + " ".join(second)),
+        (3, " ".join(first)),
+        (4, " ".join(changed)),
+        (5, " ".join(reversed(changed))),
+        (6, messy.words(rng, 300, 2)),
+        (7, messy.words(rng, 300, 2)),
+        (8, ""),
+    ]
+    docs = messy.documents(spark, rows)
+    got = {r.doc_id: r for r in syncmers.fingerprints_with_edits(docs).collect()}
+    anchors = {i: [] for i, _ in rows}
+    for r in syncmers.anchors(docs).collect():
+        anchors[r.doc_id].append((r.pos, r.anchor))
+    for i in range(1, 8):
+        a, b = plain_links(sorted(anchors[i])), plain_links(sorted(anchors[i + 1]))
+        assert got[i].near_next == pytest.approx(2 * (a & b).total() / (a.total() + b.total()))
+    assert 0.03 < got[1].near_next < 0.05 and 0.99 < got[3].near_next < 1 and got[4].near_next < 0.01
+    assert got[3].fingerprint != got[4].fingerprint and got[8].fingerprint == ""
