@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linkgraph, oracle, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
+from . import bpe, lexical, linkgraph, oracle, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
 from .common import read_table
 
 
@@ -57,6 +57,10 @@ def op10_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkgraph.filter_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_archives": op2_warc_archives,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_components": op8_simhash_components,
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_link_graph_filter": op10_link_graph_filter,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 

@@ -63,4 +63,41 @@ def _warc_sql() -> str:
     """
 
 
-SQL: dict[str, str] = {"op2_warc_archives": _warc_sql(), "op3_secret_scan": _secrets_sql()}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LEXICAL = rf"""
+    WITH runs AS (
+      SELECT row_number() OVER () AS row_no, doc_id,
+             regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+      FROM documents),
+    docs AS (SELECT row_no, doc_id, len(terms)::BIGINT AS n, terms FROM runs WHERE len(terms) > 0),
+    totals AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+    items AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark),
+    tf AS (
+      SELECT row_no, term, count(*)::BIGINT AS tf
+      FROM (SELECT row_no, unnest(terms) AS term FROM docs)
+      WHERE term IN (SELECT term FROM items) GROUP BY row_no, term),
+    weights AS (
+      SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf, totals GROUP BY term, big_n),
+    parts AS (
+      SELECT row_no, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS part
+      FROM tf JOIN docs USING (row_no) JOIN weights USING (term), totals),
+    scores AS (
+      SELECT item_id, row_no, any_value(doc_id) AS doc_id, sum(part)::BIGINT AS score
+      FROM items JOIN parts USING (term) GROUP BY item_id, row_no),
+    ranks AS (
+      SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank,
+             doc_id, score
+      FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 10
+    """
+
+
+SQL: dict[str, str] = {
+    "op2_warc_archives": _warc_sql(),
+    "op3_secret_scan": _secrets_sql(),
+    "op11_lexical_search": LEXICAL,
+}
