@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lexical, linkgraph, oracle, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
+from . import bpe, lexical, linkgraph, oracle, phrases, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
 from .common import read_table
 
 
@@ -61,6 +61,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_archives": op2_warc_archives,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_wavelet_shards": op9_wavelet_shards,
     "op10_link_graph_filter": op10_link_graph_filter,
     "op11_lexical_search": op11_lexical_search,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 
 

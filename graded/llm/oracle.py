@@ -96,8 +96,51 @@ LEXICAL = rf"""
     """
 
 
+PHRASES = rf"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents),
+    split AS (
+      SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split),
+    counts AS (
+      SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*)::BIGINT AS f
+      FROM places, (SELECT unnest([1, 2, 3, 4]) AS k)
+      WHERE i + k - 1 <= len(w) GROUP BY ALL),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+    candidates AS (
+      SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+    cuts AS (
+      SELECT c.*, cut, array_to_string(w[1:cut], ' ') AS one, array_to_string(w[cut + 1:], ' ') AS two
+      FROM candidates c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
+    scored AS (
+      SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r,
+             ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+      FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.one
+                  JOIN counts y ON y.lang = c.lang AND y.phrase = c.two),
+    weakest AS (
+      SELECT * FROM scored
+      QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    longer AS (
+      SELECT lang, inner_phrase, max(a) AS f
+      FROM (SELECT lang, a, array_to_string(w[i:i + size - 1], ' ') AS inner_phrase
+            FROM candidates, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS size)
+            WHERE size < k AND i + size - 1 <= k)
+      GROUP BY lang, inner_phrase),
+    ranks AS (
+      SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, phrase) AS rank,
+             phrase, a, l, r, n, score
+      FROM weakest s JOIN totals USING (lang)
+      LEFT JOIN longer o ON o.lang = s.lang AND o.inner_phrase = s.phrase
+      WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * a)
+    SELECT * FROM ranks WHERE rank <= 2000
+    """
+
+
 SQL: dict[str, str] = {
     "op2_warc_archives": _warc_sql(),
     "op3_secret_scan": _secrets_sql(),
     "op11_lexical_search": LEXICAL,
+    "op12_phrase_collocations": PHRASES,
 }
