@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lexical, linkgraph, oracle, phrases, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
+from . import bpe, lexical, linkgraph, oracle, phrases, pii, secret_scan, simhash, suffixes, syncmers, templates, toxicity, warc, wavelet
 from .common import read_table
 
 
@@ -65,6 +65,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_warc_archives": op2_warc_archives,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_link_graph_filter": op10_link_graph_filter,
     "op11_lexical_search": op11_lexical_search,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_personal_data": op13_personal_data,
 }
 
 
