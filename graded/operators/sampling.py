@@ -61,29 +61,10 @@ def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool) ->
     return d.withColumn("_info", info).select("*", *[F.col(f"_info.{c}").alias(c) for c in cols]).drop("_info")
 
 
-def flag_top_n(
-    df: DataFrame,
-    groups: Sequence[str],
-    n: Column | int | None = None,
-    seed=42,
-    keys: Sequence[str] = ("example_id",),
-    out: str = "_sel",
-    n_from_total=None,
-    bucket_hex: int = 4,
-    hash_col: str | None = None,
-    n_col: str | None = None,
-) -> DataFrame:
-    """Add boolean ``out``: row is among the n smallest (h, keys) of its group.
-
-    ``n`` is an int; or ``n_col`` names a per-group column already on the
-    rows; or ``n_from_total(total_col) -> Column`` derives n from the group
-    size. Sizes and bucket counts come from one aggregation pass.
-    """
-    g = list(groups) or ["_g"]
-    d = df if groups else df.withColumn("_g", F.lit(0))
-    h = hash_col or "_h"
-    if hash_col is None:
-        d = d.withColumn(h, hash_key(seed, *keys))
+def _cuts(d: DataFrame, g: list[str], h: str, keys: Sequence[str], n, n_from_total, bucket_hex: int, n_col: str | None):
+    """Where each group's n smallest (h, keys) end: the rows with their bucket,
+    the place of a row, (group, ``_n``), and (group, ``_last``: the place of the
+    n-th row; no row for a group that has n rows or fewer)."""
     d = d.withColumn("_b", F.substring(F.col(h), 1, bucket_hex))
     extra = [F.max(n_col).alias("_ncol")] if n_col else []
     counts = d.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"), *extra)
@@ -120,6 +101,33 @@ def flag_top_n(
         .where(F.col("_rn") == F.col("_rem"))
         .select(*g, F.col("_place").alias("_last"))
     )
+    return d, place, cut, last
+
+
+def flag_top_n(
+    df: DataFrame,
+    groups: Sequence[str],
+    n: Column | int | None = None,
+    seed=42,
+    keys: Sequence[str] = ("example_id",),
+    out: str = "_sel",
+    n_from_total=None,
+    bucket_hex: int = 4,
+    hash_col: str | None = None,
+    n_col: str | None = None,
+) -> DataFrame:
+    """Add boolean ``out``: row is among the n smallest (h, keys) of its group.
+
+    ``n`` is an int; or ``n_col`` names a per-group column already on the
+    rows; or ``n_from_total(total_col) -> Column`` derives n from the group
+    size. Sizes and bucket counts come from one aggregation pass.
+    """
+    g = list(groups) or ["_g"]
+    d = df if groups else df.withColumn("_g", F.lit(0))
+    h = hash_col or "_h"
+    if hash_col is None:
+        d = d.withColumn(h, hash_key(seed, *keys))
+    d, place, cut, last = _cuts(d, g, h, keys, n, n_from_total, bucket_hex, n_col)
     if groups:
         d = _attach(d, cut.select(*g, "_n").join(last, g, "left"), g, True)
     else:
@@ -223,6 +231,85 @@ def resample(df: DataFrame, strategy: str, seed=42, groups: Sequence[str] = (),
     raise ValueError(f"Unsupported strategy: {strategy!r}")
 
 
+# ------------------------------------------------- copies instead of rows
+
+
+def cell_copies(
+    df: DataFrame,
+    cells: Sequence[tuple[str, int]],
+    ratio: float = 0.7,
+    factor: int = 2,
+    neg_ratio: float = 0.5,
+    key: str = "example_id",
+    label: str = "label",
+    out: str = "copies",
+) -> DataFrame:
+    """R1-R5 for many (strategy, seed) cells at once, as a column: ``out`` is an
+    array with the number of copies of the row in each cell's sample (0: not in
+    it), the same that :func:`resample` gives as rows. Rows are neither copied
+    nor moved: all cells' cut-off places come from one grouped pass over keys
+    and labels, as one row, and each row compares its own hashes with them.
+
+    A cell whose sample can't be drawn (R3 without a positive or with too few
+    negatives) has 0 copies everywhere; rows of other labels have 0 too."""
+    for strategy, _ in cells:
+        if strategy not in STRATEGIES:
+            raise ValueError(f"Unsupported strategy: {strategy!r}")
+    lab = F.col(label)
+    n1, n0 = F.count_if(lab == 1), F.count_if(lab == 0)
+    sizes = df.agg(F.struct(n1.alias("n1"), n0.alias("n0"), F.count(F.lit(1)).alias("n")).alias("s"))
+    keys = df.where(lab.isin(0, 1)).select(key, label).withColumn("_s", sizes.scalar())
+    s = {c: F.col(f"_s.{c}").cast("long") for c in ("n1", "n0", "n")}
+    neg_t = F.floor(s["n"].cast("double") * F.lit(float(neg_ratio))).cast("long")
+    pos_t = s["n"] - neg_t
+    drawn = [(i, strategy, seed) for i, (strategy, seed) in enumerate(cells) if strategy in ("undersample", "balanced")]
+    target = (
+        F.when(F.col("_strategy") == "undersample", F.when(lab == 1, s["n1"]).otherwise(py_round(F.lit(float(ratio)) * s["n0"].cast("double"))))
+        .when(lab == 1, F.pmod(pos_t, F.greatest(s["n1"], F.lit(1))))
+        .otherwise(neg_t)
+    )
+    cuts = None
+    if drawn:
+        spec = F.array(*[F.struct(F.lit(i).alias("_cell"), F.lit(st).alias("_strategy"), F.lit(sd).alias("_seed")) for i, st, sd in drawn])
+        d = keys.select("*", F.explode(spec).alias("_c")).select("*", "_c.*").withColumn("_target", target)
+        d = d.withColumn("_h", hash_key(F.col("_seed"), key))
+        g = ["_cell", label]
+        _, _, cut, last = _cuts(d, g, "_h", (key,), None, None, 4, "_target")
+        both = cut.select(*g, "_n").join(last, g, "left")  # a row per cell and class
+        cuts = both.agg(
+            F.struct(
+                *[
+                    F.max(F.when((F.col("_cell") == i) & (lab == y), F.struct("_n", "_last"))).alias(f"c{i}_{y}")
+                    for i, _, _ in drawn
+                    for y in (0, 1)
+                ]
+            ).alias("c")
+        )
+    d = df.withColumn("_s", sizes.scalar())
+    if cuts is not None:
+        d = d.withColumn("_cuts", cuts.scalar())
+
+    def inside(i: int, y: int, seed: int) -> Column:
+        cut = F.col(f"_cuts.c{i}_{y}")
+        place = F.struct(hash_key(seed, key).alias("h"), F.col(key).alias("k0"))
+        kept = F.when(cut["_last"].isNull(), cut["_n"] > 0).otherwise(place <= cut["_last"])
+        return F.coalesce(kept.cast("long"), F.lit(0))
+
+    def copies(i: int, strategy: str, seed: int) -> Column:
+        if strategy == "normal":
+            return F.when(lab.isin(0, 1), 1)
+        if strategy == "oversample":
+            return F.when(lab == 1, int(factor)).when(lab == 0, 1)
+        if strategy == "undersample":
+            return F.when(lab == 1, 1).when(lab == 0, inside(i, 0, seed))
+        full = F.floor(pos_t / s["n1"]).cast("long")
+        can = (s["n1"] > 0) & (neg_t <= s["n0"])
+        return F.when(can & (lab == 1), full + inside(i, 1, seed)).when(can & (lab == 0), inside(i, 0, seed))
+
+    made = [F.coalesce(copies(i, st, sd).cast("int"), F.lit(0)) for i, (st, sd) in enumerate(cells)]
+    return d.withColumn(out, F.array(*made)).drop("_s", "_cuts")
+
+
 # ---------------------------------------------------------------- R6-R11
 
 

@@ -811,55 +811,41 @@ from graded.functions import naming as NM  # noqa: E402
 from graded.functions.prompts import choose_template, render_few_shot  # noqa: E402
 from graded.functions.text import keep_alnum_space, norm, n_words  # noqa: E402
 from graded.plans import sweep as SW  # noqa: E402
-from graded.session import shared_path  # noqa: E402
+from graded.plans import sweep_sql as SWS  # noqa: E402
+from graded.session import materialize, shared_path  # noqa: E402
 from graded.sources import runs as RU  # noqa: E402
 
 _ABBREV_SQL = "(CASE strategy WHEN 'undersample' THEN 'us' WHEN 'oversample' THEN 'os' WHEN 'balanced' THEN 'bl' WHEN 'normal' THEN 'nm' END)"
 
 
-def _grid_sql():
-    rows = ", ".join(
-        f"({O.lit(st)}, {sd}, {O.lit(p)}, {O.lit(choose_template(p))})"
-        for st in R.STRATEGIES
-        for sd in SW.SEEDS
-        for p in SW.PROMPTS
-    )
-    return f"(VALUES {rows}) AS g(strategy, seed, prompt_name, tpl)"
-
-
-def _sweep_rows_sql(parser="lenient", src=TEST_SQL):
-    base = (
-        f"SELECT c.*, g.strategy, g.seed, g.prompt_name, g.tpl, "
-        f"{O.lit(SW.MODELS_DIR + '/' + NM.CAUSAL_MODEL + '_')} || {_ABBREV_SQL} || '_seed' || CAST(g.seed AS VARCHAR) AS checkpoint_path "
-        f"FROM ({src}) c, {_grid_sql()}"
-    )
-    gen = (
-        f"SELECT *, {O.standin_generation('prompt', salt="(checkpoint_path || ':' || md5(tpl))")} AS full_text FROM "
-        f"(SELECT *, {O.render('tpl', 'text')} AS prompt FROM ({base}) b) x"
+def _sweep_rows_sql(parser="lenient", src=TEST_SQL, prompts=SW.PROMPTS):
+    name = f"{O.lit(SW.MODELS_DIR + '/' + NM.CAUSAL_MODEL + '_')} || {_ABBREV_SQL} || '_seed' || CAST(seed AS VARCHAR)"
+    rows = (
+        f"SELECT *, {name} AS checkpoint_path, {SWS.spoken('margin')} AS answer FROM "
+        f"({SWS.margins(SW.grid(), src, prompts)}) m"
     )
     if parser == "lenient":
-        ans = f"SELECT *, {O.completion_slice('full_text', 'prompt')} AS answer FROM ({gen}) g"
-        return f"SELECT *, {O.parse_lenient('answer')} AS pred FROM ({ans}) a"
-    ans = f"SELECT *, {O.narrow(O.completion_robust('full_text', 'prompt', 'text'))} AS answer FROM ({gen}) g"
+        return f"SELECT *, {O.parse_lenient('answer')} AS pred FROM ({rows}) a"
     fn = {"strict": O.parse_strict, "last_word": O.parse_last_word}[parser]
-    return f"SELECT *, {fn('answer')} AS pred FROM ({ans}) a"
+    return f"SELECT *, {fn('narrowed')} AS pred FROM (SELECT *, {O.narrow('answer')} AS narrowed FROM ({rows}) a) n"
 
 
 def _run_table_sql(parser="lenient"):
-    return O.evaluate(_sweep_rows_sql(parser), ["prompt_name", "checkpoint_path"])
+    return O.evaluate(_sweep_rows_sql(parser), SW.CELL)
 
 
 def _test(spark, sf_dir):
     return load_corpus(spark, sf_dir, split="test")
 
 
-def _run_table(spark, sf_dir, parser="lenient"):
-    return SW.run_table(_test(spark, sf_dir), parser)
+def _run_table(spark, sf_dir, parser="lenient", prompts=SW.PROMPTS):
+    return SW.run_table(_test(spark, sf_dir), SW.fit(load_corpus(spark, sf_dir)), parser, prompts)
 
 
-@query("j3_sweep_run_table", _run_table_sql())
+@query("j3_sweep_run_table", f"SELECT *, 'ok' AS status FROM ({_run_table_sql()}) r")
 def j3_sweep_run_table(spark, sf_dir):
-    """Strategy x seed x prompt grid, one A9 record per cell (test split)."""
+    """Strategy x seed x prompt grid, a model fitted for every (strategy,
+    seed) on the train split, one A9 record per cell (test split)."""
     return _run_table(spark, sf_dir)
 
 
@@ -893,7 +879,7 @@ def s8_list_runs(spark, sf_dir):
 
 def _runs_by_split_sql():
     return O.evaluate(
-        f"SELECT * FROM ({_sweep_rows_sql(src=CORPUS)}) r WHERE prompt_name = 'same'",
+        _sweep_rows_sql(src=f"SELECT * FROM ({CORPUS}) c WHERE split <> 'train'", prompts=("same",)),
         ["checkpoint_path", "split"],
     )
 
@@ -907,8 +893,9 @@ def _runs_by_split_sql():
 def s3_s6_run_documents(spark, sf_dir):
     """S3 write nested JSON documents per run (validation + test metrics),
     read them back, S6 flatten the test metrics into the wide run table."""
-    rows = SW.sweep_rows(load_corpus(spark, sf_dir), prompts=("same",))
-    metrics = A.evaluate(rows.filter(F.col("split").isin("validation", "test")), ["checkpoint_path", "split"])
+    c = load_corpus(spark, sf_dir)
+    rows = SW.sweep_rows(c.where(F.col("split") != "train"), SW.fit(c), prompts=("same",))
+    metrics = A.evaluate(rows, ["checkpoint_path", "split"])
     path = RU.write_run_result(RU.run_documents(metrics), shared_path(spark, "run_documents"))
     return RU.collect_runs(RU.read_run_result(spark, path))
 
@@ -957,33 +944,22 @@ def s7_predictions_parquet(spark, sf_dir):
 @query(
     "a16_best_run_per_strategy",
     "SELECT strategy, prompt_name, arg_max(checkpoint_path, [f1_macro, -seed]) AS best, "
-    "arg_max(seed, [f1_macro, -seed]) AS best_order, max(f1_macro) AS best_value FROM "
-    f"(SELECT r.*, s.strategy, s.seed FROM ({_run_table_sql()}) r JOIN (SELECT DISTINCT checkpoint_path, strategy, seed FROM ({_sweep_rows_sql()}) x) s "
-    "ON r.checkpoint_path = s.checkpoint_path) t GROUP BY strategy, prompt_name",
+    f"arg_max(seed, [f1_macro, -seed]) AS best_order, max(f1_macro) AS best_value FROM ({_run_table_sql()}) t GROUP BY strategy, prompt_name",
 )
 def a16_best_run_per_strategy(spark, sf_dir):
-    """Best run by macro F1 per strategy and prompt (earliest seed on ties)."""
-    rows = SW.sweep_rows(_test(spark, sf_dir))
-    rt = A.evaluate(rows, ["prompt_name", "checkpoint_path", "strategy", "seed"])
-    return A.best_by(rt, ["strategy", "prompt_name"], "checkpoint_path", "f1_macro", "seed")
-
-
-def _parsed_rt_sql():
-    return (
-        f"SELECT r.*, s.strategy, s.seed FROM ({_run_table_sql()}) r JOIN (SELECT DISTINCT checkpoint_path, strategy, seed FROM ({_sweep_rows_sql()}) x) s "
-        "ON r.checkpoint_path = s.checkpoint_path"
-    )
+    """Best fitted run by macro F1 per strategy and prompt (earliest seed on ties)."""
+    return A.best_by(_run_table(spark, sf_dir), ["strategy", "prompt_name"], "checkpoint_path", "f1_macro", "seed")
 
 
 @query(
     "a17_seed_mean_std",
     "SELECT prompt_name, strategy, count(*) AS n_seeds, round(avg(f1_macro), 9) AS f1_macro_mean, "
     "round(stddev_samp(f1_macro), 9) AS f1_macro_std, round(avg(accuracy), 9) AS accuracy_mean, "
-    f"round(stddev_samp(accuracy), 9) AS accuracy_std FROM ({_parsed_rt_sql()}) t GROUP BY prompt_name, strategy",
+    f"round(stddev_samp(accuracy), 9) AS accuracy_std FROM ({_run_table_sql()}) t GROUP BY prompt_name, strategy",
 )
 def a17_seed_mean_std(spark, sf_dir):
-    """Mean and sample standard deviation over seeds per strategy."""
-    rt = A.evaluate(SW.sweep_rows(_test(spark, sf_dir)), ["prompt_name", "checkpoint_path", "strategy", "seed"])
+    """Mean and sample standard deviation over the seeds' fits per strategy."""
+    rt = _run_table(spark, sf_dir)
     return rt.groupBy("prompt_name", "strategy").agg(
         F.count(F.lit(1)).alias("n_seeds"),
         F.round(F.avg("f1_macro"), 9).alias("f1_macro_mean"),
@@ -1022,7 +998,7 @@ def a18_prompt_delta(spark, sf_dir):
 def a19_parser_side_by_side(spark, sf_dir):
     """Two evaluations (lenient vs strict parser) of the same runs,
     side by side; both are computed in one pass over one sweep."""
-    rows = SW.sweep_rows_two_parsers(_test(spark, sf_dir))
+    rows = SW.two_parsers(_test(spark, sf_dir), SW.fit(load_corpus(spark, sf_dir)))
     m = A.evaluate_multi(rows, ["prompt_name", "checkpoint_path"], {"lenient": "pred_lenient", "strict": "pred_strict"})
     return m.select(
         "prompt_name",
@@ -1044,11 +1020,11 @@ def a19_parser_side_by_side(spark, sf_dir):
 @query(
     "a20_strategy_rank",
     "SELECT prompt_name, strategy, f1_mean, CAST(rank() OVER (PARTITION BY prompt_name ORDER BY f1_mean DESC) AS INTEGER) AS rnk FROM "
-    f"(SELECT prompt_name, strategy, round(avg(f1_macro), 9) AS f1_mean FROM ({_parsed_rt_sql()}) t GROUP BY prompt_name, strategy) m",
+    f"(SELECT prompt_name, strategy, round(avg(f1_macro), 9) AS f1_mean FROM ({_run_table_sql()}) t GROUP BY prompt_name, strategy) m",
 )
 def a20_strategy_rank(spark, sf_dir):
     """Strategies ranked by mean macro F1 (window over 4 rows per prompt)."""
-    rt = A.evaluate(SW.sweep_rows(_test(spark, sf_dir)), ["prompt_name", "checkpoint_path", "strategy", "seed"])
+    rt = _run_table(spark, sf_dir)
     m = rt.groupBy("prompt_name", "strategy").agg(F.round(F.avg("f1_macro"), 9).alias("f1_mean"))
     from pyspark.sql import Window
 
@@ -1116,13 +1092,11 @@ def p15_p16_log_rows(spark, sf_dir):
     "p12_encoder_run_names",
     "SELECT strategy, " + O.lit("./results/google-mt5-base_clf_") + " || " + _ABBREV_SQL
     + " || '_f1_' || strategy || '_' || printf('%.4f', best_f1) || CASE WHEN strategy = 'normal' THEN '_focal' ELSE '' END AS model_dir "
-    f"FROM (SELECT s.strategy, max(r.f1_macro) AS best_f1 FROM ({_run_table_sql()}) r JOIN (SELECT DISTINCT checkpoint_path, strategy FROM ({_sweep_rows_sql()}) x) s "
-    "ON r.checkpoint_path = s.checkpoint_path WHERE r.prompt_name = 'same' GROUP BY s.strategy) b",
+    f"FROM (SELECT strategy, max(f1_macro) AS best_f1 FROM ({_run_table_sql()}) r WHERE prompt_name = 'same' GROUP BY strategy) b",
 )
 def p12_encoder_run_names(spark, sf_dir):
     """P12 (classifier form) from the best validation-style F1 per strategy."""
-    rt = A.evaluate(SW.sweep_rows(_test(spark, sf_dir), prompts=("same",)), ["checkpoint_path", "strategy"])
-    b = rt.groupBy("strategy").agg(F.max("f1_macro").alias("best_f1"))
+    b = _run_table(spark, sf_dir, prompts=("same",)).groupBy("strategy").agg(F.max("f1_macro").alias("best_f1"))
     return b.select("strategy", NM.encoder_run_name("./results", "strategy", "best_f1", F.col("strategy") == "normal").alias("model_dir"))
 
 
@@ -1192,41 +1166,50 @@ def p5_p6_label_words(spark, sf_dir):
 
 # ------------------------------------------------------------------ F scoring, M training, streaming
 
+from graded.operators import bayes as B  # noqa: E402
 from graded.operators import scoring as SC  # noqa: E402
+from graded.operators import stored as SM  # noqa: E402
 from graded.operators import training as ML  # noqa: E402
 from graded.streaming import confusion as ST  # noqa: E402
 
 
-@query("f4_scored_eval_by_lang", O.evaluate(_E1_ROWS, ["lang"]))
-def f4_scored_eval_by_lang(spark, sf_dir):
-    """the E1 flow with generation done by a model plug-in in
-    ``mapInPandas`` (Arrow batches, model loaded once per worker)."""
-    g = load_corpus(spark, sf_dir).withColumn("prompt", render_prompt(TRAIN_TEMPLATE, "text"))
-    scored = SC.score(g, SC.StandInGenerator(), ["example_id", "label", "lang", "prompt"])
-    scored = scored.withColumn("answer", X.completion_slice("full_text", "prompt"))
-    return A.evaluate(scored.withColumn("pred", X.parse_lenient("answer")), ["lang"])
+STORED_CELL = ("undersample", 42)
 
 
-def _x4_sql():
-    failed = "substr(md5('err:' || CAST(example_id AS VARCHAR)), 1, 1) = '0'"
-    rows = (
-        f"SELECT split, label, CASE WHEN {failed} THEN -1 ELSE {O.parse_lenient(O.standin_answer())} END AS pred, "
-        f"{failed} AS failed FROM ({CORPUS}) c"
-    )
-    return (
-        "SELECT split, count(*) FILTER (WHERE failed) AS n_errors, count(*) FILTER (WHERE pred = -1) AS n_invalid, "
-        "count(*) AS n_rows FROM (" + rows + ") r GROUP BY split"
-    )
+def _stored_rows_sql():
+    """Answers of the stored model over the whole corpus; a text beyond its
+    context (or none) has no answer."""
+    rows = SWS.margins([STORED_CELL], CORPUS, ("same",))
+    failed = f"(text IS NULL OR len({SWS.tokens('text')}) > {SM.MAX_WORDS})"
+    answers = f"SELECT *, {failed} AS failed, CASE WHEN {failed} THEN '' ELSE {SWS.spoken('margin')} END AS answer FROM ({rows}) m"
+    return f"SELECT *, {O.parse_lenient('answer')} AS pred FROM ({answers}) a"
+
+
+def _stored_rows(spark, sf_dir):
+    c = load_corpus(spark, sf_dir)
+    train = c.where(F.col("split") == "train").select("example_id", "label", "text")
+    path = SM.store(B.fit_sweep(train, [STORED_CELL]), 0, shared_path(spark, "stored_model"), choose_template("same"))
+    scored = SM.scored(c, SM.plug_in(spark, path), ["example_id", "split", "label", "lang"])
+    return scored.withColumn("pred", X.parse_lenient("answer"))
+
 
+@query("f4_scored_eval_by_lang", O.evaluate(_stored_rows_sql(), ["lang"]))
+def f4_scored_eval_by_lang(spark, sf_dir):
+    """F4 + M4: a fitted model is stored in the shared folder, loaded once per
+    worker and run over the whole corpus in Arrow batches; A9 per language."""
+    return A.evaluate(_stored_rows(spark, sf_dir), ["lang"])
 
-@query("x4_scoring_error_fallback", _x4_sql())
+
+@query(
+    "x4_scoring_error_fallback",
+    "SELECT split, count(*) FILTER (WHERE failed) AS n_errors, count(*) FILTER (WHERE pred = -1) AS n_invalid, "
+    f"count(*) AS n_rows FROM ({_stored_rows_sql()}) r GROUP BY split",
+)
 def x4_scoring_error_fallback(spark, sf_dir):
-    """Rows whose generation raises become prediction -1, empty text and
-    an error message; the batch is retried row by row."""
-    g = load_corpus(spark, sf_dir).withColumn("prompt", render_prompt(TRAIN_TEMPLATE, "text"))
-    scored = SC.score(g, SC.FlakyGenerator(), ["example_id", "split", "label", "prompt"])
-    scored = scored.withColumn("pred", X.parse_lenient(X.completion_slice("full_text", "prompt")))
-    return scored.groupBy("split").agg(
+    """Rows on which the stored model fails (no text, or more words than
+    its context) become prediction -1, empty text and an error message; a
+    failing batch is halved until they stand alone."""
+    return _stored_rows(spark, sf_dir).groupBy("split").agg(
         F.count_if(F.col("error").isNotNull()).alias("n_errors"),
         F.count_if(F.col("pred") == -1).alias("n_invalid"),
         F.count(F.lit(1)).alias("n_rows"),
@@ -1288,22 +1271,64 @@ def metric_callback(preds, labels, by):
     return A.evaluate_two_sided(j, by, label="label_parsed", pred="pred")
 
 
-@query("m1_m2_fit_evaluate")
+HELD_SQL = f"SELECT * FROM ({CORPUS}) c WHERE split <> 'train'"
+
+
+@query(
+    "m1_m2_fit_evaluate",
+    O.evaluate(
+        f"SELECT *, {SWS.decide('margin')} AS pred FROM ({SWS.margins([('balanced', 42)], HELD_SQL, weighted=True)}) m", ["split"]
+    ),
+)
 def m1_m2_fit_evaluate(spark, sf_dir):
-    """M1 + M2: balanced resampling, class-weighted Spark ML fit on the train
-    split, A9 on validation and test."""
+    """M1 + M2: balanced resampling, class-weighted naive Bayes fitted on the
+    train split, A9 on validation and test."""
+    c = load_corpus(spark, sf_dir)
+    train = c.where(F.col("split") == "train").select("example_id", "label", "text")
+    model = B.fit_sweep(train, [("balanced", 42)], weighted=True)
+    rows = B.margins(c.where(F.col("split") != "train"), model, ["example_id", "split", "label"])
+    return A.evaluate(rows.withColumn("pred", B.decide("margin")), ["split"])
+
+
+@query("m1_logistic_regression")
+def m1_logistic_regression(spark, sf_dir):
+    """M1 + M2 with Spark ML: balanced resampling, class-weighted logistic
+    regression on the train split, A9 on validation and test."""
     c = load_corpus(spark, sf_dir)
     model = ML.fit(c.filter(F.col("split") == "train"), "balanced", 42, weighted=True)
     return ML.evaluate_model(model, c.filter(F.col("split") != "train"), ("split",))
 
 
-@query("m3_strategy_sweep")
+def _m3_sql():
+    rows = f"SELECT *, {SWS.decide('margin')} AS pred FROM ({SWS.margins(SW.grid(), TEST_SQL)}) m"
+    place = " ".join(f"WHEN strategy = {O.lit(st)} AND seed = {sd} THEN {i}" for i, (st, sd) in enumerate(SW.grid()))
+    return (
+        f"SELECT *, 'ok' AS status, row_number() OVER (ORDER BY f1_macro DESC, CASE {place} END) = 1 AS is_best "
+        f"FROM ({O.evaluate(rows, ['strategy', 'seed'])}) e"
+    )
+
+
+@query("m3_strategy_sweep", _m3_sql())
 def m3_strategy_sweep(spark, sf_dir):
-    """M3 + A16: one fit per strategy (seed 42), test metrics, best marked."""
+    """M3 + A16: a fit for every strategy and seed, all in one pass, test
+    metrics of each; the best is marked (the first of the grid on ties), and a
+    cell without a model is a row with its status."""
+    models = SW.fit(load_corpus(spark, sf_dir))
+    rows = B.margins(_test(spark, sf_dir), models, ["example_id", "label"])
+    done = A.evaluate(rows.withColumn("pred", B.decide("margin")), ["strategy", "seed"])
+    cells = materialize(models.cells.select("cell", "strategy", "seed", "status").join(done, ["strategy", "seed"], "left"), "m3_cells")
+    best = A.best_by(cells.where("status = 'ok'"), [], "cell", "f1_macro", "cell").select("best").scalar()
+    return cells.withColumn("is_best", F.col("cell") == best).drop("cell")
+
+
+@query("m3_logistic_regression_sweep")
+def m3_logistic_regression_sweep(spark, sf_dir):
+    """M3 + A16 with Spark ML: one fit per strategy (seed 42), test metrics,
+    best marked (the first strategy by name on ties)."""
     c = load_corpus(spark, sf_dir)
-    res = ML.sweep(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test"))
-    best = A.best_by(res, [], "strategy", "f1_macro", "seed").select(F.col("best").alias("strategy"))
-    return res.join(best.withColumn("is_best", F.lit(True)), "strategy", "left").fillna(False, ["is_best"])
+    res = materialize(ML.sweep(c.filter(F.col("split") == "train"), c.filter(F.col("split") == "test")), "m3_logistic")
+    top = res.agg(F.max_by("strategy", F.struct("f1_macro", *[(F.col("strategy") == s).alias(s) for s in sorted(R.STRATEGIES)])).alias("s"))
+    return res.withColumn("is_best", F.col("strategy") == top.scalar())
 
 
 @query("m4_save_reload", f"SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_diff FROM ({TEST_SQL}) t")

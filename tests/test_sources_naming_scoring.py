@@ -2,6 +2,7 @@
 pluggable scorer (F4, X4, R12) and the streaming confusion count."""
 
 import pytest
+import standins
 from pyspark.sql import functions as F
 
 from graded.functions import naming as NM
@@ -80,12 +81,13 @@ def test_scorer_matches_native_standin_and_isolates_errors(spark):
     from graded.plans import standin
     from graded.sources.corpus import load_corpus
 
+    spark.sparkContext.addPyFile(standins.__file__)
     g = load_corpus(spark, SF001).withColumn("prompt", render_prompt(TRAIN_TEMPLATE, "text"))
     native = g.select("example_id", standin.standin_generation("prompt").alias("native"))
-    scored = SC.score(g, SC.StandInGenerator(), ["example_id"])
+    scored = SC.score(g, standins.StandInGenerator(), ["example_id"])
     j = scored.join(native, "example_id")
     assert j.filter(F.col("full_text") != F.col("native")).count() == 0
-    flaky = SC.score(g, SC.FlakyGenerator(), ["example_id"])
+    flaky = SC.score(g, standins.FlakyGenerator(), ["example_id"])
     bad = flaky.filter(F.col("error").isNotNull())
     assert bad.count() > 0 and bad.filter(F.col("full_text") != "").count() == 0
     assert flaky.count() == g.count()
