@@ -5,20 +5,22 @@ truncated at ``LONGEST`` words or where its piece ends; a node's total is how
 often its phrase occurs. It is never held as a whole:
 
 1. *Vertical partitioning.* A first pass counts the prefixes of two words, by
-   hash, in 2^``CELL_BITS`` cells, and the words themselves. Cells are dealt
-   into groups of at most ``BUDGET`` suffixes (the memory budget of a subtree).
-   A cell above the budget is split by longer prefixes (the hash of the whole
-   truncated suffix). A cell below ``LEAST`` holds no phrase that is often
-   enough, so its suffixes are left out, and a suffix is cut where its next
-   two words lie in such a cell: exact, since a phrase isn't more frequent than
-   any part of it. (Cells of several prefixes only keep more than needed.)
+   hash, in 2^``PAIR_BITS`` cells, and those of one word in 2^``WORD_BITS``.
+   Cells of pairs are dealt into groups of at most ``BUDGET`` suffixes (the
+   memory budget of a subtree). A cell above the budget is split by longer
+   prefixes (the hash of the whole truncated suffix). A cell below ``LEAST``
+   holds no phrase that is often enough, so its suffixes are left out, and a
+   suffix is cut where its next two words lie in such a cell: exact, since a
+   phrase isn't more frequent than any part of it. (Cells that several prefixes
+   share only keep more than needed.)
 2. *Subtrees.* A second pass sends every suffix to its group, equal ones of a
-   chunk as one row with a count. Each group is sorted on its own, and the
-   leaf totals give the totals of all nodes above them.
+   chunk once with a count, packed into one row per task and group. Words go
+   to groups of their own. Each group is sorted on its own, and the leaf totals
+   give the totals of all nodes above them.
 3. The counts of all groups (parts of them, for split cells) are added up, and
    phrases are scored and ranked from the small table of frequent ones.
 
-What is broadcast is two numbers per cell, whatever the size of the input.
+What is broadcast is a number per cell, whatever the size of the input.
 
 Nulls: a null text is empty, a null lang is ``und``; doc_id isn't read. Repeated
 rows count as often as they stand there. Empty tables give no rows. Extra
@@ -28,6 +30,8 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +47,13 @@ LONGEST = 4  # words of a phrase
 LEAST = 30  # occurrences of a candidate
 COVERED = (80, 100)  # share of its occurrences in a longer phrase that drops one
 BEST = 2000  # phrases of a lang
-CELL_BITS = 22
-BLOCK_BITS = 14  # cells are counted in blocks of as many
-BUDGET = 1 << 15  # suffixes of a group
+PAIR_BITS = 23
+WORD_BITS = 22
+PAIRS, CELLS = 1 << PAIR_BITS, (1 << PAIR_BITS) + (1 << WORD_BITS)
+BLOCK = 1 << 15  # cells are counted in blocks of as many
+BUDGET = 1 << 16  # suffixes of a group
 CHUNK = 1 << 22  # bytes of text at a time, and at least one piece
+HELD = 1 << 25  # bytes of suffixes that a task packs at a time
 WORDS = 400_000  # words counted in a task before the counts are passed on
 PARTS = 64  # parts that the counts of a block are summed in at first
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,11 +90,10 @@ class Chunk:
         kind = self.distinct.type
         empty = pc.index(self.distinct, pa.scalar(b"", kind)).as_py()
         end = pc.index(self.distinct, pa.scalar(b"\n", kind)).as_py()
-        self.special = [x for x in (empty, end) if x >= 0]
         word = (code != empty) & (code != end)
         self.lang = lang
         self.words = code[word].astype(np.int64)
-        self.piece = np.cumsum(code == end)[word]
+        self.piece = np.cumsum(code == end, dtype=np.int32)[word]
         self._hashes = self._hash()
 
     def _hash(self) -> np.ndarray:
@@ -107,46 +113,50 @@ class Chunk:
             out[: len(out) - j][same] = self.words[j:][same]
         return out
 
-    def cells(self, second: np.ndarray) -> np.ndarray:
+    def pair_cells(self, second: np.ndarray) -> np.ndarray:
         """Cell of each word and the one after it; -1 without one."""
         pair = _mix(self._hashes[self.words] * BASE + self._hashes[second])
-        return np.where(second >= 0, (pair >> np.uint64(64 - CELL_BITS)).astype(np.int64), -1)
+        return np.where(second >= 0, (pair >> np.uint64(64 - PAIR_BITS)).astype(np.int64), -1)
 
-    def counts(self) -> tuple[pa.Array, np.ndarray]:
-        """Distinct words and how often each occurs (0: no word)."""
-        return self.distinct, np.bincount(self.words, minlength=len(self.distinct))
+    def word_cells(self) -> np.ndarray:
+        """Cell of each distinct word."""
+        return PAIRS + (self._hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
-    def suffixes(self, base: np.ndarray, splits: np.ndarray):
+    def counts(self) -> np.ndarray:
+        """How often each distinct word occurs (0: no word)."""
+        return np.bincount(self.words, minlength=len(self.distinct))
+
+    def suffixes(self, dealt: Dealt) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         """(group, suffix, occurrences) of every suffix whose first two words
-        are in a cell that has a group (``base`` >= 0)."""
+        are in a cell that has a group."""
         second = self.after(1)
-        cell = self.cells(second)
-        open_ = np.append((cell >= 0) & (base[cell] >= 0), [False] * LONGEST)
+        cell = self.pair_cells(second)
         n = len(self.words)
+        open_ = np.append((cell >= 0) & (dealt.base[cell] >= 0), [False] * LONGEST)
         parts = [self.words, second]
         deep = open_[:n]
         for j in range(2, LONGEST):
             deep = deep & open_[j - 1 : n + j - 1]
             parts.append(np.where(deep, self.after(j), -1))
         at = np.flatnonzero(open_[:n])
-        parts = [p[at] for p in parts]
-        order = np.lexsort(parts[::-1])
-        parts = [p[order] for p in parts]
-        new = np.zeros(len(at), bool)
-        new[:1] = True
-        for p in parts:
-            new[1:] |= p[1:] != p[:-1]
+        # (two numbers of 32 bits in one key)
+        keys = [((parts[i][at] + 1) << 32) | (parts[i + 1][at] + 1) for i in range(0, LONGEST, 2)]
+        order = np.lexsort(keys[::-1])
+        new = np.ones(len(at), bool)
+        new[1:] = False
+        for k in keys:
+            k = k[order]
+            new[1:] |= k[1:] != k[:-1]
         begin = np.flatnonzero(new)
         times = np.diff(np.append(begin, len(at)))
-        parts = [p[begin] for p in parts]
-        cell = cell[at][order][begin]
-        mixed = np.zeros(len(begin), np.uint64)
+        first = at[order[begin]]
+        parts = [p[first] for p in parts]
+        mixed = np.zeros(len(first), np.uint64)
         for p in parts:
             mixed = _mix(mixed * BASE + np.where(p >= 0, self._hashes[p], np.uint64(0)))
-        group = base[cell] + (mixed % splits[cell].astype(np.uint64)).astype(np.int64)
         words = [self.distinct.take(pa.array(p, mask=p < 0)) for p in parts]
         joined = pc.binary_join_element_wise(*words, pa.scalar(b" ", words[0].type), null_handling="skip")
-        return group, joined, times
+        return dealt.groups(cell[first], mixed), joined, times
 
 
 def _segments(text: bytes) -> Iterator[bytes]:
@@ -181,89 +191,119 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
 
 
-def _names(words: pa.Array) -> pa.Array:
-    return words.cast(pa.large_string()).cast(pa.string())
+# ------------------------------------------------- vertical partitioning
 
 
-PREFIXES = "lang string, word string, n long, block int, part int, cells binary"
+def _packed(counts: np.ndarray) -> bytes:
+    """Numbers, compressed byte by byte of them: the high ones are mostly 0."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def prefixes(rows: DataFrame) -> DataFrame:
-    """Counts of words (lang, word, n) and of cells (block, part, cells: as
-    many numbers as a block has, compressed), parts of the sums of each."""
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, dict[bytes, int]] = {}
-        cells = np.zeros(1 << CELL_BITS, np.int64)
 
-        def told() -> Iterator[pa.RecordBatch]:
-            for lang, found in words.items():
-                names, n = list(found), np.fromiter(found.values(), np.int64, len(found))
-                for a in range(0, len(names), 50_000):
-                    some = _names(pa.array(names[a : a + 50_000], pa.large_binary()))
-                    yield _filled(len(some), lang=pa.array([lang] * len(some)), word=some, n=pa.array(n[a : a + 50_000]))
-            words.clear()
+PREFIXES = "lang string, n long, block int, part int, cells binary"
 
+
+def prefixes(rows: DataFrame) -> DataFrame:
+    """Parts of sums: words of a lang (lang, n), and the cells of a block
+    (block, part, cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, int] = {}
+        cells = np.zeros(CELLS, np.int32)
         for batch in batches:
             for chunk in chunks(batch):
-                distinct, n = chunk.counts()
-                of = words.setdefault(chunk.lang, {})
-                for word, times in zip(distinct.to_pylist(), n.tolist()):
-                    if times:
-                        of[word] = of.get(word, 0) + times
-                cell = chunk.cells(chunk.after(1))
-                cells += np.bincount(cell[cell >= 0], minlength=len(cells))
-                if sum(map(len, words.values())) > WORDS:
-                    yield from told()
-        yield from told()
-        pack = zstandard.ZstdCompressor(level=1)
-        blocks = cells.reshape(-1, 1 << BLOCK_BITS)
-        full = np.flatnonzero(blocks.any(axis=1))
-        part = int(_mix(cells[:: 1 << 8].view(np.uint64)).sum(dtype=np.uint64) % np.uint64(PARTS))
-        for a in range(0, len(full), 64):
-            some = full[a : a + 64]
-            yield _filled(
-                len(some),
-                block=pa.array(some, pa.int32()),
-                part=pa.array([part] * len(some), pa.int32()),
-                cells=pa.array([pack.compress(blocks[b].tobytes()) for b in some]),
+                words[chunk.lang] = words.get(chunk.lang, 0) + len(chunk.words)
+                pair = chunk.pair_cells(chunk.after(1))
+                cell, times = np.unique(pair[pair >= 0], return_counts=True)
+                cells[cell] += times.astype(np.int32)
+                np.add.at(cells, chunk.word_cells(), chunk.counts().astype(np.int32))
+        n = len(words)
+        yield pa.record_batch(
+            [pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+            names,
+        )
+        blocks = cells.reshape(-1, BLOCK)
+        part = int(cells.sum(dtype=np.int64)) % PARTS
+        for b in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.record_batch(
+                [pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([_packed(blocks[b])])],
+                names,
             )
 
+    names = ["lang", "n", "block", "part", "cells"]
     return rows.mapInArrow(run, PREFIXES)
 
 
-def _filled(size: int, /, **columns: pa.Array) -> pa.RecordBatch:
-    """A batch of ``PREFIXES`` with nulls in the other columns."""
-    kinds = {"lang": pa.string(), "word": pa.string(), "n": pa.int64(), "block": pa.int32(), "part": pa.int32(), "cells": pa.binary()}
-    return pa.record_batch([columns.get(c, pa.nulls(size, k)) for c, k in kinds.items()], list(kinds))
-
-
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the cells of rows that stand in order of (block, part)."""
-    pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
     now, total = None, None
 
     def row() -> pa.RecordBatch:
         return pa.record_batch(
-            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([pack.compress(total.tobytes())])],
-            ["block", "part", "cells"],
+            [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([_packed(total)])], ["block", "part", "cells"]
         )
 
     for batch in batches:
         for block, part, cells in zip(*(c.to_pylist() for c in batch.columns)):
-            counts = np.frombuffer(unpack.decompress(cells), np.int64)
             if now == (block, part):
-                total = total + counts
+                total += _unpacked(cells)
                 continue
             if now is not None:
                 yield row()
-            now, total = (block, part), counts
+            now, total = (block, part), _unpacked(cells).copy()
     if now is not None:
         yield row()
 
 
-def cell_counts(counted: DataFrame) -> np.ndarray:
-    """Suffixes of every cell: 2^``CELL_BITS`` numbers, whatever the input."""
+class Dealt:
+    """Where prefixes go: the first group of each cell of pairs (-1: none),
+    the cells that are split with their numbers of groups, and the cells of
+    words that are frequent enough."""
+
+    def __init__(self, least: int, budget: int):
+        self.least, self.budget = least, budget
+        self.base = np.full(PAIRS, -1, np.int32)
+        self.split_cells, self.splits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.words = np.zeros(CELLS - PAIRS, bool)
+        self.n_whole = self.n_pairs = self.n_words = 0
+
+    def deal(self, pairs: np.ndarray, words: np.ndarray) -> Dealt:
+        """From the occurrences in every cell."""
+        whole = np.flatnonzero((pairs >= self.least) & (pairs <= self.budget))
+        self.base[whole] = (np.cumsum(pairs[whole]) - 1) // self.budget  # at most twice the budget
+        self.n_whole = int(self.base[whole[-1]]) + 1 if len(whole) else 0
+        hot = np.flatnonzero((pairs >= self.least) & (pairs > self.budget))
+        self.split_cells, self.splits = hot, -(-pairs[hot] // self.budget)
+        ends = self.n_whole + np.cumsum(self.splits)
+        self.base[hot] = ends - self.splits
+        self.n_pairs = int(ends[-1]) if len(hot) else self.n_whole
+        self.words = words >= self.least
+        self.n_words = int(-(-words[self.words].sum() // self.budget))
+        return self
+
+    def groups(self, cell: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """Group of a suffix in a cell, from a hash of all its words."""
+        group = self.base[cell].astype(np.int64)
+        if len(self.split_cells):
+            at = np.minimum(np.searchsorted(self.split_cells, cell), len(self.splits) - 1)
+            split = self.split_cells[at] == cell
+            group[split] += (mixed[split] % self.splits[at[split]].astype(np.uint64)).astype(np.int64)
+        return group
+
+    def word_groups(self, hashes: np.ndarray) -> np.ndarray:
+        return self.n_pairs + (hashes % np.uint64(max(1, self.n_words))).astype(np.int64)
+
+    def whole(self, group: int) -> bool:
+        """Whether all suffixes with the prefixes of a group are in it."""
+        return group < self.n_whole
+
+
+def vertical_partitioning(counted: DataFrame, least: int, budget: int) -> Dealt:
+    """As many numbers as there are cells, whatever the input, are collected."""
     shape = "block int, part int, cells binary"
     rows = counted.where("block is not null").select("block", "part", "cells")
     for part in ("part", "0"):
@@ -273,129 +313,163 @@ def cell_counts(counted: DataFrame) -> np.ndarray:
             .sortWithinPartitions("block", "part")
             .mapInArrow(_added, shape)
         )
-    out = np.zeros((1 << (CELL_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.int64)
-    unpack = zstandard.ZstdDecompressor()
-    for row in rows.collect():
-        out[row["block"]] = np.frombuffer(unpack.decompress(bytes(row["cells"])), np.int64)
-    return out.ravel()
-
-
-def deal(cells: np.ndarray, least: int, budget: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """First group of each cell (-1: none) and its number of groups; and how
-    many groups there are that no cell is split over: those come first."""
-    base = np.full(len(cells), -1, np.int64)
-    splits = np.ones(len(cells), np.int64)
-    whole = np.flatnonzero((cells >= least) & (cells <= budget))
-    base[whole] = (np.cumsum(cells[whole]) - 1) // budget  # at most twice the budget
-    n_whole = int(base[whole[-1]]) + 1 if len(whole) else 0
-    hot = np.flatnonzero((cells >= least) & (cells > budget))
-    splits[hot] = -(-cells[hot] // budget)
-    base[hot] = n_whole + np.cumsum(splits[hot]) - splits[hot]
-    return base, splits, n_whole
-
-
-def suffixes(rows: DataFrame, base: np.ndarray, splits: np.ndarray) -> DataFrame:
-    """grp, lang, suffix, n."""
-    base, splits = base.astype(np.int32), splits.astype(np.int32)
+    cells = np.zeros((CELLS // BLOCK, BLOCK), np.int64)
+    for row in rows.toLocalIterator():
+        cells[row["block"]] = _unpacked(bytes(row["cells"]))
+    cells = cells.ravel()
+    return Dealt(least, budget).deal(cells[:PAIRS], cells[PAIRS:])
+
+
+# ------------------------------------------------------------- subtrees
+
+
+def packed(suffix: pa.Array, n: np.ndarray) -> bytes:
+    """Some suffixes (large_binary) with their occurrences, compressed."""
+    offsets = np.frombuffer(suffix.buffers()[1], np.int64, len(suffix) + 1, 8 * suffix.offset)
+    data = suffix.buffers()[2]
+    raw = data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes() if data is not None else b""
+    sizes = np.diff(offsets).astype("<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(n).to_bytes(8, "little"), sizes, n.astype("<i8").tobytes(), raw]))
+
+
+def unpacked(raw: bytes) -> tuple[pa.Array, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    size = int.from_bytes(raw[:8], "little")
+    sizes = np.frombuffer(raw, "<u4", size, 8)
+    n = np.frombuffer(raw, "<i8", size, 8 + 4 * size)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    text = pa.LargeStringArray.from_buffers(size, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[8 + 12 * size :]))
+    return text, n
+
+
+def suffixes(rows: DataFrame, dealt: Dealt) -> DataFrame:
+    """grp, lang, packed (suffixes of the group, and how often each occurs)."""
+
+    def told(lang: str, held: list) -> Iterator[pa.RecordBatch]:
+        group = np.concatenate([h[0] for h in held])
+        order = np.argsort(group, kind="stable")
+        group, n = group[order], np.concatenate([h[2] for h in held])[order]
+        suffix = pa.concat_arrays([h[1] for h in held]).take(pa.array(order))
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
+        end = np.append(begin[1:], len(group))
+        for a in range(0, len(begin), 1000):
+            some = list(zip(begin[a : a + 1000], end[a : a + 1000]))
+            yield pa.record_batch(
+                [
+                    pa.array(group[begin[a : a + 1000]]),
+                    pa.array([lang] * len(some)),
+                    pa.array([packed(suffix.slice(x, y - x), n[x:y]) for x, y in some], pa.binary()),
+                ],
+                ["grp", "lang", "packed"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        words: dict[str, dict[bytes, int]] = {}
+        size: dict[str, int] = {}
+
+        def counted(lang: str) -> Iterator[pa.RecordBatch]:
+            found = words.pop(lang)
+            names = pa.array(list(found), pa.large_binary())
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))
+            yield from told(lang, [(dealt.word_groups(hashes), names, np.fromiter(found.values(), np.int64, len(found)))])
+
         for batch in batches:
             for chunk in chunks(batch):
-                if not len(chunk.words):
-                    continue
-                group, suffix, n = chunk.suffixes(base, splits)
-                for a in range(0, len(group), 100_000):
-                    some = _names(suffix.slice(a, 100_000))
-                    yield pa.record_batch(
-                        [pa.array(group[a : a + 100_000]), pa.array([chunk.lang] * len(some)), some, pa.array(n[a : a + 100_000])],
-                        ["grp", "lang", "suffix", "n"],
-                    )
-
-    return rows.mapInArrow(run, "grp long, lang string, suffix string, n long")
-
-
-def subtree(lang: pa.Array, suffix: pa.Array, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Nodes of the tree of some truncated suffixes (with their occurrences),
-    from 2 words on: depth, the number of a suffix that has the node's phrase
-    as its prefix, and the node's total."""
-    split = pc.split_pattern(suffix.cast(pa.large_string()), " ")
+                lang = chunk.lang
+                n = chunk.counts()
+                some = np.flatnonzero((n > 0) & dealt.words[chunk.word_cells() - PAIRS])
+                of = words.setdefault(lang, {})
+                for word, times in zip(chunk.distinct.take(pa.array(some)).to_pylist(), n[some].tolist()):
+                    of[word] = of.get(word, 0) + times
+                if len(of) > WORDS:
+                    yield from counted(lang)
+                found = chunk.suffixes(dealt)
+                held.setdefault(lang, []).append(found)
+                size[lang] = size.get(lang, 0) + found[1].nbytes
+                if sum(size.values()) > HELD:
+                    for lang in list(held):
+                        yield from told(lang, held.pop(lang))
+                    size.clear()
+        for lang in list(held):
+            yield from told(lang, held.pop(lang))
+        for lang in list(words):
+            yield from counted(lang)
+
+    return rows.mapInArrow(run, "grp long, lang string, packed binary")
+
+
+def subtree(suffix: pa.Array, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Nodes of the tree of some truncated suffixes (with their occurrences):
+    depth, the number of a suffix that has the node's phrase as its prefix,
+    and the node's total. A word that stands alone is a tree of its own."""
+    split = pc.split_pattern(suffix, " ")
     flat = split.flatten().dictionary_encode().indices.to_numpy()
     sizes = np.asarray(split.value_lengths(), np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     word = np.full((len(sizes), LONGEST), -1, np.int64)
     word[owner, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    of = lang.dictionary_encode().indices.to_numpy().astype(np.int64)
-    order = np.lexsort([*word.T[::-1], of])
-    word, of, n = word[order], of[order], n[order]
+    keys = [((word[:, i] + 1) << 32) | (word[:, i + 1] + 1) for i in range(0, LONGEST, 2)]
+    order = np.lexsort(keys[::-1])
+    word, n = word[order], n[order]
     fresh = np.zeros(len(n), bool)  # first of the suffixes with an equal prefix
     fresh[:1] = True
-    fresh[1:] = (of[1:] != of[:-1]) | (word[1:, 0] != word[:-1, 0])
-    for depth in range(2, LONGEST + 1):
-        fresh[1:] |= word[1:, depth - 1] != word[:-1, depth - 1]
+    fresh[1:] = word[1:, 0] != word[:-1, 0]
+    for depth in range(1, LONGEST + 1):
+        if depth > 1:
+            fresh[1:] |= word[1:, depth - 1] != word[:-1, depth - 1]
         begin = np.flatnonzero(fresh)
         total = np.add.reduceat(n, begin)
-        deep = word[begin, depth - 1] >= 0  # (shorter suffixes come first, as a run of their own)
-        yield depth, order[begin[deep]], total[deep]
+        # (shorter suffixes come first, as a run of their own)
+        node = word[begin, depth - 1] >= 0 if depth > 1 else word[begin, 1] < 0
+        yield depth, order[begin[node]], total[node]
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """(lang, word, n of every word; lang, phrase, words, f of every phrase of
-    2 to ``LONGEST`` words that occurs ``least`` times): written tables."""
+    """(lang, n: words of each lang; lang, phrase, words, f of every phrase of
+    1 to ``LONGEST`` words that occurs ``least`` times): written tables."""
     ship_package(docs.sparkSession)
     rows = _rows(docs)
     counted = written(prefixes(rows), "phrase-prefixes")
-    words = written(
-        counted.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words"
-    )
-    base, splits, n_whole = deal(cell_counts(counted), least, budget)
+    n_words = counted.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+    dealt = vertical_partitioning(counted, least, budget)
 
     def nodes(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        lang, suffix = (table[c].combine_chunks() for c in ("lang", "suffix"))
-        if isinstance(lang, pa.ChunkedArray):
-            lang, suffix = lang.chunk(0), suffix.chunk(0)
+        whole = key[0].as_py() >= dealt.n_pairs or dealt.whole(key[0].as_py())
         langs, phrases, depths, totals = [], [], [], []
-        for depth, at, total in subtree(lang, suffix, table["n"].to_numpy()):
-            if key[0].as_py() < n_whole or depth == LONGEST:  # else a part of the total
-                at, total = at[total >= least], total[total >= least]
-            langs.append(lang.take(at))
-            cut = pc.list_slice(pc.split_pattern(suffix.take(at), " "), 0, depth)
-            phrases.append(pc.binary_join(cut, " "))
-            depths.append(np.full(len(at), depth))
-            totals.append(total)
+        rows = sorted(zip(table["lang"].to_pylist(), range(table.num_rows)))
+        for lang, some in groupby(rows, key=itemgetter(0)):
+            parts = [unpacked(table["packed"][i].as_py()) for _, i in some]
+            suffix, n = pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            for depth, at, total in subtree(suffix, n):
+                if whole or depth == LONGEST:  # else a part of the total
+                    at, total = at[total >= least], total[total >= least]
+                cut = pc.list_slice(pc.split_pattern(suffix.take(pa.array(at)), " "), 0, depth)
+                phrases.append(pc.binary_join(cut, pa.scalar(" ", pa.large_string())).cast(pa.string()))
+                langs += [lang] * len(at)
+                depths.append(np.full(len(at), depth))
+                totals.append(total)
         return pa.table(
             {
-                "lang": pa.concat_arrays(langs),
+                "lang": pa.array(langs, pa.string()),
                 "phrase": pa.concat_arrays(phrases),
                 "words": pa.array(np.concatenate(depths), pa.int32()),
                 "f": pa.array(np.concatenate(totals), pa.int64()),
             }
         )
 
-    leaves = (
-        suffixes(rows, base, splits)
-        .repartition("grp")
-        .groupBy("grp", "lang", "suffix")  # (no exchange: the group's rows are together)
-        .agg(F.sum("n").alias("n"))
-    )
-    found = leaves.groupBy("grp").applyInArrow(nodes, "lang string, phrase string, words int, f long")
+    found = suffixes(rows, dealt).repartition("grp").groupBy("grp").applyInArrow(nodes, "lang string, phrase string, words int, f long")
     frequent = found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return words, written(frequent, "phrase-counts")
+    return n_words, written(frequent, "phrase-counts")
 
 
 def collocations(docs: DataFrame, best: int = BEST, least: int = LEAST) -> DataFrame:
     """The ``best`` phrases of each lang: lang, rank (from 1), phrase, a (its
     occurrences), l, r (those of the parts of its weakest cut), n (words of
     the lang), score (two millionths of the share that a is of l and r)."""
-    words, frequent = phrase_counts(docs, least)
-    n_words = words.groupBy("lang").agg(F.sum("n").alias("n"))  # a row per lang
-    parts = written(
-        frequent.select("lang", F.col("phrase").alias("part"), "f").unionAll(
-            words.where(F.col("n") >= least).select("lang", F.col("word").alias("part"), F.col("n").alias("f"))
-        ),
-        "phrase-parts",
-    )
-    split = frequent.select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
+    n_words, frequent = phrase_counts(docs, least)
+    parts = frequent.select("lang", F.col("phrase").alias("part"), "f")
+    split = frequent.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     joined = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     cut = F.col("cut")
     halves = (
