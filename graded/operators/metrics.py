@@ -462,21 +462,47 @@ def class_weights(df: DataFrame, by=None, label: str = "label") -> DataFrame:
     )
 
 
-def length_profile(df: DataFrame, by=None, cols: Sequence[str] = ("prompt", "full", "answer")) -> DataFrame:
-    """Word-count profile (Python ``len(s.split())``) of text columns."""
+def length_profile(
+    df: DataFrame, by=None, cols: Sequence[str] = ("prompt", "full", "answer"), percentiles: Sequence[tuple[str, int]] = (("median", 50), ("p95", 95))
+) -> DataFrame:
+    """Word-count profile (Python ``len(s.split())``) of text columns, with
+    exact percentiles (linear between neighbours).
+
+    Rows become integer counts first: one grouped aggregation per (group,
+    column, length), summed map-side, so a group has as many rows as it has
+    different lengths, and percentiles come from running sums over those."""
     from graded.functions.text import n_words
 
     by = _by(by)
-    aggs = []
-    for c in cols:
-        n = n_words(F.col(c))
-        aggs += [
-            F.avg(n).alias(f"avg_words_{c}"),
-            F.min(n).alias(f"min_words_{c}"),
-            F.max(n).alias(f"max_words_{c}"),
-            F.sum(n).alias(f"sum_words_{c}"),
-        ]
-    return _agg(df, by, F.count(F.lit(1)).alias("n_rows"), *aggs)
+    sizes = F.array(*[F.struct(F.lit(c).alias("_col"), n_words(F.col(c)).alias("_len")) for c in cols])
+    counts = df.select(*by, F.explode(sizes).alias("_s")).groupBy(*by, "_s._col", "_s._len").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*by, "_col").orderBy("_len")
+    whole = Window.partitionBy(*by, "_col")
+    # (a null text has no length: its row counts, its length doesn't)
+    known = F.when(F.col("_len").isNotNull(), F.col("_n")).otherwise(0)
+    placed = counts.withColumn("_k", known).select(
+        "*",
+        F.sum("_k").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        F.sum("_k").over(whole).alias("_all"),
+    )
+
+    def at(place) -> Column:
+        """Length of the row at a 0-based place in order."""
+        return F.min(F.when((F.col("_k") > 0) & (F.col("_upto") > place), F.col("_len")))
+
+    aggs = [F.sum("_n").alias("n"), F.min("_len").alias("min"), F.max("_len").alias("max"), F.sum(F.col("_len") * F.col("_n")).alias("sum"), F.max("_all").alias("_all")]
+    for name, p in percentiles:
+        place = (F.col("_all") - 1) * p  # in hundredths
+        aggs += [at(F.floor(place / 100)).alias(f"{name}_lo"), at(F.ceil(place / 100)).alias(f"{name}_hi")]
+    told = placed.groupBy(*by, "_col").agg(*aggs)
+    values = {"avg": F.col("sum") / F.nullif(F.col("_all"), F.lit(0)), "min": F.col("min"), "max": F.col("max"), "sum": F.col("sum")}
+    for name, p in percentiles:
+        share = F.pmod((F.col("_all") - 1) * p, F.lit(100)) / 100
+        lo, hi = F.col(f"{name}_lo").cast("double"), F.col(f"{name}_hi").cast("double")
+        values[name] = lo + (hi - lo) * share
+    told = told.select(*by, "_col", "n", *[v.alias(f"_{k}") for k, v in values.items()])
+    one = lambda c, k: F.max(F.when(F.col("_col") == c, F.col(f"_{k}")))
+    return _agg(told, by, F.max("n").alias("n_rows"), *[one(c, k).alias(f"{k}_words_{c}") for c in cols for k in values])
 
 
 def count_by(df: DataFrame, by) -> DataFrame:

@@ -554,12 +554,14 @@ def _v2_sql(cap=512):
 
 def _v2_frames(spark, sf_dir, cap=512):
     c = load_corpus(spark, sf_dir)
-    prompts = c.select("example_id", render_prompt(FINETUNE_TEMPLATE, "text").alias("text"))
+    prompts = c.select("example_id", "label", render_prompt(FINETUNE_TEMPLATE, "text").alias("text"))
     targets = c.select("example_id", X.label_word("label").alias("text"))
     vocab = EN.build_vocabulary(prompts.select("text").unionByName(targets.select("text")))
-    pe = EN.encode(prompts, vocab, max_len=cap).select("example_id", F.col("input_ids").alias("p_ids"))
-    te = EN.encode(targets, vocab, max_len=5).select("example_id", F.col("input_ids").alias("t_ids"))
-    return pe.join(te, "example_id")
+    labels = spark.createDataFrame([(y,) for y in (0, 1)], "label int")
+    words = EN.encode(labels.select("label", X.label_word("label").alias("text")), vocab, key="label", max_len=5)
+    te = F.broadcast(words.select("label", F.col("input_ids").alias("t_ids")))  # a row per class
+    pe = EN.encode(prompts, vocab, key=["example_id", "label"], max_len=cap)
+    return pe.select("example_id", "label", F.col("input_ids").alias("p_ids")).join(te, "label").drop("label")
 
 
 @query("v2_causal_examples", _v2_sql())
@@ -1031,18 +1033,25 @@ def a20_strategy_rank(spark, sf_dir):
     return m.withColumn("rnk", F.rank().over(Window.partitionBy("prompt_name").orderBy(F.col("f1_mean").desc())))
 
 
+def _percentile_sql(x, p):
+    every = f"list({x} ORDER BY {x})"
+    lo, hi = (f"({every})[CAST({f}((count(*) - 1) * {p} / 100.0) AS BIGINT) + 1]" for f in ("floor", "ceil"))
+    return f"({lo}::DOUBLE + ({hi}::DOUBLE - {lo}::DOUBLE) * (((count(*) - 1) * {p} % 100) / 100.0))"
+
+
 @query(
     "a14_length_profile",
     "SELECT split, count(*) AS n_rows, "
     + ", ".join(
         f"avg({O.n_words(c)}) AS avg_words_{c}, CAST(min({O.n_words(c)}) AS INTEGER) AS min_words_{c}, "
-        f"CAST(max({O.n_words(c)}) AS INTEGER) AS max_words_{c}, CAST(sum({O.n_words(c)}) AS BIGINT) AS sum_words_{c}"
+        f"CAST(max({O.n_words(c)}) AS INTEGER) AS max_words_{c}, CAST(sum({O.n_words(c)}) AS BIGINT) AS sum_words_{c}, " + ", ".join(f"{_percentile_sql(O.n_words(c), p)} AS {n}_words_{c}" for n, p in (("median", 50), ("p95", 95)))
         for c in ("prompt", "full_text", "answer")
     )
     + f" FROM ({_E1_ROWS}) r GROUP BY split",
 )
 def a14_length_profile(spark, sf_dir):
-    """Word counts of prompt, full output and answer, per split."""
+    """Word counts of prompt, full output and answer, per split, with
+    exact median and 95th percentile."""
     return A.length_profile(_e1_rows(spark, sf_dir), ["split"], ("prompt", "full_text", "answer"))
 
 
@@ -1226,18 +1235,45 @@ def f4_linear_head_scores(spark, sf_dir):
     return SC.score(e, SC.LinearHead(HEAD_W, HEAD_B), ["vec_id", "label_bin"]).drop("error")
 
 
-@query(
-    "r12_fixed_batches",
-    "SELECT idx // 64 AS batch_no, count(*) AS n_rows, min(idx % 64) AS first_row, max(idx % 64) AS last_row FROM (SELECT row_number() OVER "
-    f"(ORDER BY {O.hash_key(42, 'example_id', 'copy_no')}, example_id, copy_no) - 1 AS idx FROM ({O.oversample(TRAIN_SQL)}) o) x GROUP BY 1",
-)
-def r12_fixed_batches(spark, sf_dir):
-    """Fixed 64-row batches of the shuffled train split, by R6's index."""
-    idx = F.col("idx")
-    rows = R.shuffle_index(R.oversample(_train(spark, sf_dir)), 42)
-    return rows.groupBy(F.floor(idx / 64).alias("batch_no")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.min(idx % 64).alias("first_row"), F.max(idx % 64).alias("last_row")
+def _shuffled_sql():
+    order = f"{O.hash_key(42, 'example_id', 'copy_no')}, example_id, copy_no"
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS idx FROM ({O.oversample(TRAIN_SQL)}) o"
+
+
+def _r12_sql():
+    rows = (
+        f"SELECT s.idx, s.label, {SWS.tokens('c.text')} AS words FROM ({_shuffled_sql()}) s "
+        f"JOIN ({O.corpus(split='train')}) c ON c.example_id = s.example_id"
     )
+    return (
+        "SELECT idx // 64 AS batch_no, count(*) AS n_rows, min(idx % 64) AS first_row, max(idx % 64) AS last_row, "
+        "sum(label)::BIGINT AS n_positive, max(len(words))::BIGINT AS longest, "
+        "len(list_distinct(flatten(list(words))))::BIGINT AS n_distinct_words "
+        f"FROM ({rows}) x GROUP BY 1"
+    )
+
+
+def _batch_summary(rows) -> dict:
+    """What padding and looking up a batch would cost."""
+    place = rows["idx"] % 64
+    return {
+        "n_rows": len(rows),
+        "first_row": int(place.iloc[0]),
+        "last_row": int(place.iloc[-1]),
+        "n_positive": int(rows["label"].sum()),
+        "longest": max(len(w) for w in rows["words"]),
+        "n_distinct_words": len({w for words in rows["words"] for w in words}),
+    }
+
+
+@query("r12_fixed_batches", _r12_sql())
+def r12_fixed_batches(spark, sf_dir):
+    """R12 + F2: a function over fixed 64-row batches of the shuffled,
+    oversampled train split, by R6's index; one result per batch."""
+    train = load_corpus(spark, sf_dir, split="train").select("example_id", "label", EN.tokens("text").alias("words"))
+    rows = R.shuffle_index(R.oversample(train), 42)
+    schema = "n_rows long, first_row long, last_row long, n_positive long, longest long, n_distinct_words long"
+    return SC.map_batches(rows, _batch_summary, schema, 64)
 
 
 def _text_sizes(row: dict) -> dict:

@@ -110,7 +110,7 @@ def test_vocabulary_with_few_hot_words(spark):
     for hot in (0, 1, 3, 10_000):
         got = {r.example_id: list(r.input_ids) for r in E.encode(df, vocab, hot_words=hot).collect()}
         assert got == want
-    plan = E.build_vocabulary(known, materialized=False)._jdf.queryExecution().optimizedPlan().toString()
+    plan = E.build_vocabulary(known)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
     # the shuffle on words sits above the filter that keeps open tokens only
     shuffled = E._lookup(df.selectExpr("example_id", "explode(split(text, ' ')) word"), vocab, 1)
