@@ -17,6 +17,7 @@ bucket without words says nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -40,100 +41,86 @@ def bucket(word) -> Column:
 
 
 @dataclass(frozen=True)
-class Sweep:
-    """``coefs``: bucket, w0, w1, ... (a column per cell; buckets without words
-    are left out). ``cells``: cell (its number), strategy, seed, n0, n1 (rows
-    drawn of each class), bias, status (``ok``, or why there is no model)."""
+class Cell:
+    """A cell of a sweep: its model's column, the rows drawn of each class, the
+    log odds of the classes (millionths; None without a model) and ``ok`` or
+    why there is no model."""
 
-    coefs: DataFrame
-    cells: DataFrame
-    n_cells: int
+    strategy: str
+    seed: int
+    column: int
+    n0: int
+    n1: int
+    bias: int | None
+    status: str
 
 
-def _log_share(count: Column, share: Column, total: Column) -> Column:
-    return F.log((count + F.lit(MU) * share) / (total + F.lit(MU)))
+@dataclass(frozen=True)
+class Sweep:
+    """``coefs``: bucket, w0, w1, ... (a column per model; buckets without words
+    are left out). Cells whose samples don't depend on the seed share one."""
 
+    coefs: DataFrame
+    cells: list[Cell]
+    n_columns: int
 
-def _millionths(x: Column) -> Column:
-    return F.floor(x * F.lit(float(SCALE)) + F.lit(0.5)).cast("long")
+    def table(self) -> DataFrame:
+        """strategy, seed, n0, n1, status, cell (its number): a row per cell."""
+        rows = [(c.strategy, c.seed, c.n0, c.n1, c.status, i) for i, c in enumerate(self.cells)]
+        schema = "strategy string, seed int, n0 long, n1 long, status string, cell int"
+        return self.coefs.sparkSession.createDataFrame(rows, schema)
 
 
 def fit_sweep(train: DataFrame, cells: Sequence[tuple[str, int]], weighted: bool = False, text: str = "text") -> Sweep:
     """``train``: example_id, label (0, 1), text. ``weighted`` gives the classes
     of every cell balanced weights (A13: rows / (classes x rows of the class))."""
-    k = range(len(cells))
-    rows = cell_copies(train, cells)
-    lab, times = F.col("label"), lambda i: F.col("copies")[i].cast("long")
-    drawn = rows.agg(*[F.sum(F.when(lab == y, times(i))).alias(f"n{i}_{y}") for i in k for y in (0, 1)])
+    models: dict[tuple, tuple[str, int]] = {}  # what a sample depends on -> a cell that has it
+    column = []
+    for st, sd in cells:
+        same = (st, sd if st in ("undersample", "balanced") else None)
+        models.setdefault(same, (st, sd))
+        column.append(list(models).index(same))
+    k = range(len(models))
+    rows = cell_copies(train.where(F.col("label").isin(0, 1)), list(models.values()))
+    # (expressions in SQL: a column call each is slow to build for many models)
+    copies = [F.expr(f"sum(cast(copies[{i}] as bigint)) as c{i}") for i in k]
     counts = materialize(
         rows.select("label", "copies", F.explode(tokens(text)).alias("word"))
-        .groupBy(bucket("word").alias("bucket"))
-        .agg(*[F.coalesce(F.sum(F.when(lab == y, times(i))), F.lit(0)).alias(f"c{i}_{y}") for i in k for y in (0, 1)]),
+        .groupBy(bucket("word").alias("bucket"), "label")
+        .agg(*copies),
         "sweep_counts",
     )
-    totals = counts.agg(*[F.coalesce(F.sum(f"c{i}_{y}"), F.lit(0)).alias(f"t{i}_{y}") for i in k for y in (0, 1)])
-    # one row of sizes per cell
-    sizes = materialize(
-        drawn.withColumn("_t", totals.select(F.struct("*").alias("t")).scalar()).select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(i).alias("cell"),
-                            F.lit(st).alias("strategy"),
-                            F.lit(sd).alias("seed"),
-                            *[F.coalesce(f"n{i}_{y}", F.lit(0)).cast("long").alias(f"n{y}") for y in (0, 1)],
-                            *[F.col(f"_t.t{i}_{y}").cast("long").alias(f"t{y}") for y in (0, 1)],
-                        )
-                        for i, (st, sd) in enumerate(cells)
-                    ]
-                )
-            )
-        ).select("*", *[_weight(y, weighted).alias(f"g{y}") for y in (0, 1)]),
-        "sweep_sizes",
-    )
-    one = sizes.agg(
-        F.struct(
-            *[
-                F.max(F.when(F.col("cell") == i, F.struct(*[F.col(f"{c}{y}").cast("double").alias(f"{c}{y}") for c in "tg" for y in (0, 1)]))).alias(f"s{i}")
-                for i in k
-            ]
-        ).alias("s")
+    # numbers of each class and model, two rows each
+    drawn = {r["label"]: r for r in rows.groupBy("label").agg(*copies).collect()}
+    totals = {r["label"]: r for r in counts.groupBy("label").agg(*[F.expr(f"sum(c{i}) as c{i}") for i in k]).collect()}
+    of = lambda found, y, i: int(found[y][f"c{i}"]) if y in found else 0
+    n = {(y, i): of(drawn, y, i) for y in (0, 1) for i in k}
+    weight = {
+        (y, i): (n[0, i] + n[1, i]) / (2.0 * n[y, i]) if weighted and n[y, i] else 1.0 for y in (0, 1) for i in k
+    }
+    total = {(y, i): float(of(totals, y, i)) * weight[y, i] for y in (0, 1) for i in k}
+    both = counts.groupBy("bucket").agg(
+        *[F.expr(f"coalesce(max(if(label = {y}, c{i}, null)), 0) as c{i}_{y}") for i in k for y in (0, 1)]
     )
 
-    def coef(i: int) -> Column:
-        size = lambda name: F.col(f"_s.s{i}.{name}")
-        c = {y: F.col(f"c{i}_{y}").cast("double") * size(f"g{y}") for y in (0, 1)}
-        t = {y: size(f"t{y}") * size(f"g{y}") for y in (0, 1)}
-        share = F.try_divide(c[0] + c[1], t[0] + t[1])  # (null in a cell without rows)
-        return F.when(share > 0, _millionths(_log_share(c[1], share, t[1]) - _log_share(c[0], share, t[0]))).otherwise(F.lit(0).cast("long"))
-
-    coefs = materialize(
-        counts.withColumn("_s", one.scalar()).select("bucket", *[F.coalesce(coef(i), F.lit(0)).alias(f"w{i}") for i in k]),
-        "sweep_coefs",
-    )
-    fine = (F.col("n0") > 0) & (F.col("n1") > 0)
-    bias = _millionths(F.log(F.col("n1") * F.col("g1")) - F.log(F.col("n0") * F.col("g0")))
-    described = sizes.select(
-        "cell",
-        "strategy",
-        "seed",
-        "n0",
-        "n1",
-        F.when(fine, bias).alias("bias"),
-        F.when(fine, F.lit("ok"))
-        .when((F.col("n0") == 0) & (F.col("n1") == 0), F.lit("failed: the sample can't be drawn"))
-        .otherwise(F.lit("failed: one class only"))
-        .alias("status"),
-    )
-    return Sweep(coefs, described, len(cells))
-
-
-def _weight(y: int, weighted: bool) -> Column:
-    if not weighted:
-        return F.lit(1.0)
-    own = F.col(f"n{y}").cast("double")
-    return F.when(own > 0, (F.col("n0") + F.col("n1")).cast("double") / (F.lit(2.0) * own)).otherwise(1.0)
+    def coef(i: int) -> str:
+        if not total[0, i] + total[1, i]:
+            return "0L"
+        c = {y: f"(cast(c{i}_{y} as double) * {weight[y, i]!r}D)" for y in (0, 1)}
+        share = f"({c[0]} + {c[1]}) / {total[0, i] + total[1, i]!r}D"
+        log = {y: f"ln(({c[y]} + {MU!r}D * ({share})) / ({total[y, i]!r}D + {MU!r}D))" for y in (0, 1)}
+        return f"if({share} > 0, cast(floor(({log[1]} - {log[0]}) * {float(SCALE)!r}D + 0.5D) as bigint), 0L)"
+
+    coefs = both.selectExpr("bucket", *[f"{coef(i)} as w{i}" for i in k])
+    described = []
+    for (st, sd), i in zip(cells, column, strict=True):
+        own = n[0, i], n[1, i]
+        bias = None
+        if all(own):
+            bias = math.floor((math.log(own[1] * weight[1, i]) - math.log(own[0] * weight[0, i])) * SCALE + 0.5)
+        status = "ok" if all(own) else "failed: one class only" if any(own) else "failed: the sample can't be drawn"
+        described.append(Cell(st, sd, i, *own, bias, status))
+    return Sweep(materialize(coefs, "sweep_coefs"), described, len(models))
 
 
 def _looked_up(words: DataFrame, sweep: Sweep) -> DataFrame:
@@ -143,7 +130,7 @@ def _looked_up(words: DataFrame, sweep: Sweep) -> DataFrame:
 
 
 def _sums(sweep: Sweep) -> list[Column]:
-    return [F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("long").alias(f"w{i}") for i in range(sweep.n_cells)]
+    return [F.expr(f"coalesce(sum(w{i}), 0L) as w{i}") for i in range(sweep.n_columns)]
 
 
 def margins(df: DataFrame, sweep: Sweep, keep: Sequence[str], prompts: Mapping[str, str] | None = None, text: str = "text") -> DataFrame:
@@ -156,28 +143,33 @@ def margins(df: DataFrame, sweep: Sweep, keep: Sequence[str], prompts: Mapping[s
     whatever the number of prompts and cells."""
     words = df.select(*keep, F.explode_outer(tokens(text)).alias("_word"))
     sums = _looked_up(words, sweep).groupBy(*keep).agg(*_sums(sweep))
-    spec = shifts(sweep, prompts)
-    own = F.array(*[F.col(f"w{i}") for i in range(sweep.n_cells)])
-    rows = sums.select(*keep, own.alias("_own"), F.explode(spec.scalar()).alias("_c"))
+    text_of = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    spec = [
+        f"struct({text_of(p)} as prompt_name, {text_of(c.strategy)} as strategy, {c.seed} as seed, w{c.column} + {shift}L as margin)"
+        for (p, i), shift in shifts(sweep, prompts).items()
+        for c in [sweep.cells[i]]
+    ]  # prompts x cells
+    schema = "array<struct<prompt_name:string,strategy:string,seed:int,margin:bigint>>"
+    rows = sums.select(*keep, F.expr(f"explode(cast(array({', '.join(spec)}) as {schema})) as _c"))
     name = [F.col("_c.prompt_name")] if prompts else []
-    margin = F.get(F.col("_own"), F.col("_c.cell")) + F.col("_c.shift")
-    return rows.select(*keep, *name, "_c.strategy", "_c.seed", margin.alias("margin"))
-
-
-def shifts(sweep: Sweep, prompts: Mapping[str, str] | None) -> DataFrame:
-    """One row with an array: what every fitted cell adds under every prompt."""
-    spark = sweep.cells.sparkSession
-    plain = prompts or {"": ""}
-    words = spark.createDataFrame([(n, outside(t)) for n, t in plain.items()], "prompt_name string, template string")
-    words = words.select("prompt_name", F.explode_outer(tokens("template")).alias("_word"))
-    own = F.array(*[F.col(f"w{i}") for i in range(sweep.n_cells)]).alias("own")
-    known = _looked_up(words, sweep).groupBy("prompt_name").agg(*_sums(sweep)).select("prompt_name", F.posexplode(own).alias("cell", "w"))
-    cells = sweep.cells.where("status = 'ok'")
-    return known.join(cells, "cell").agg(
-        F.sort_array(
-            F.collect_list(F.struct("cell", "prompt_name", "strategy", "seed", (F.col("bias") + F.col("w")).alias("shift")))
-        ).alias("cells")  # cells x prompts
-    )
+    return rows.select(*keep, *name, "_c.strategy", "_c.seed", "_c.margin")
+
+
+def shifts(sweep: Sweep, prompts: Mapping[str, str] | None = None) -> dict[tuple[str, int], int]:
+    """What every fitted cell (by its number) adds under every prompt."""
+    spark = sweep.coefs.sparkSession
+    plain = dict(prompts or {"": ""})
+    known = {}
+    if any(outside(t).strip() for t in plain.values()):
+        words = spark.createDataFrame([(n, outside(t)) for n, t in plain.items()], "prompt_name string, template string")
+        words = words.select("prompt_name", F.explode(tokens("template")).alias("_word"))
+        known = {r["prompt_name"]: r for r in _looked_up(words, sweep).groupBy("prompt_name").agg(*_sums(sweep)).collect()}
+    return {
+        (p, i): c.bias + (int(known[p][f"w{c.column}"]) if p in known else 0)
+        for p in plain
+        for i, c in enumerate(sweep.cells)
+        if c.bias is not None
+    }
 
 
 def outside(template: str) -> str:

@@ -9,16 +9,13 @@ Scale notes:
 * the counts are range-partitioned by (count descending, word); a word's id is
   its place in its partition plus the sizes of the partitions before it, one
   number per partition. No window sees words;
-* the ``HOT_WORDS`` most frequent words (of at most ``HOT_CHARS`` characters)
-  are one bounded value that every task has, an array of slots in which a word
-  is found by its hash. Texts are encoded inside their row; only words that
-  this leaves open are shuffled, and each of them is rarer than the hot ones.
+* the ``HOT_WORDS`` most frequent words (of at most ``HOT_CHARS`` characters:
+  a bounded table) are broadcast to the tokens. Only tokens that this leaves
+  open are shuffled, and each of their words is rarer than the hot ones.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +67,9 @@ def _lookup(tok: DataFrame, vocab: DataFrame, hot_words: int | None = None) -> D
     """Left join tokens to ids. Hot words are looked up by broadcast; only
     tokens of other words are shuffled."""
     v = vocab.select("word", "id")
-    is_hot = _is_hot(HOT_WORDS if hot_words is None else hot_words)
+    is_hot = (F.col("id") < FIRST_WORD_ID + (HOT_WORDS if hot_words is None else hot_words)) & (
+        F.length("word") <= HOT_CHARS
+    )
     j = tok.join(F.broadcast(v.filter(is_hot)), "word", "left")
     open_ = F.col("id").isNull() & F.col("word").isNotNull()
     found = j.filter(~open_)
@@ -78,29 +77,6 @@ def _lookup(tok: DataFrame, vocab: DataFrame, hot_words: int | None = None) -> D
     return found.unionByName(rest)
 
 
-def _slots(vocab: DataFrame, hot_words: int) -> tuple[Column, int]:
-    """The hot words as one constant: an array of slots, a word's slot by its
-    hash, each with the (word, id) that fall into it. ``hot_words`` words of
-    ``HOT_CHARS`` characters at most pass the driver, as in a broadcast."""
-    n = 1 << max(4, hot_words.bit_length())
-    slots: list[list] = [[] for _ in range(n)]
-    hot = vocab.where(_is_hot(hot_words)).select(_slot(F.col("word"), n).alias("slot"), "word", "id")
-    for row in hot.toLocalIterator():
-        slots[row["slot"]].append({"word": row["word"], "id": row["id"]})
-    # (a subquery isn't allowed where each word is looked up; this is folded
-    # into a constant before the query runs)
-    text = json.dumps(slots, ensure_ascii=False, separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<array<struct<word:string,id:int>>>"), n
-
-
-def _slot(word: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(n)).cast("int")
-
-
-def _is_hot(hot_words: int) -> Column:
-    return (F.col("id") < FIRST_WORD_ID + hot_words) & (F.length("word") <= HOT_CHARS)
-
-
 def encode(
     df: DataFrame,
     vocab: DataFrame,
@@ -111,39 +87,16 @@ def encode(
     hot_words: int | None = None,
 ) -> DataFrame:
     """V1: (key, input_ids, attention_mask) truncated at ``max_len``
-    (unknown words -> UNK_ID).
-
-    Words are looked up inside the row, in the hot words' slots; a text is never
-    a row per word. Only words that this leaves open leave their row: they are
-    joined to the rest of the vocabulary and come back as (place, id). Without
-    a rest they are unknown, and nothing is moved."""
+    (unknown words -> UNK_ID). Each re-aggregated array holds at most
+    ``max_len`` ids, so no group is unbounded; a text's ids are collected
+    before the exchange, which moves arrays, not tokens."""
     keys = [key] if isinstance(key, str) else list(key)
-    hot = HOT_WORDS if hot_words is None else hot_words
-    slots, n = _slots(vocab, hot)
-
-    def known(word: Column) -> Column:
-        hits = F.filter(F.get(slots, _slot(word, n)), lambda x: x["word"] == word)
-        return F.coalesce(F.get(hits, 0)["id"], F.lit(PAD_ID))
-
-    words = F.slice(tokens(text_col), 1, max_len)
-    # (no text: no words; a word's own id is never PAD_ID)
-    rows = df.select(*keys, F.coalesce(words, F.array().cast("array<string>")).alias("_words"))
-    rows = rows.select(*keys, "_words", F.transform("_words", known).alias("_ids"))
-    cold = vocab.where(~_is_hot(hot)).select("word", "id")
-    if not cold.take(1):
-        ids = F.transform("_ids", lambda i: F.when(i == PAD_ID, UNK_ID).otherwise(i))
-        enc = rows.select(*keys, ids.cast("array<int>").alias(out))
-        return enc.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out)))
-    place = F.transform("_ids", lambda i, at: F.struct(at.alias("pos"), i.alias("id")))
-    named = F.filter(F.transform("_words", lambda w, at: F.struct(at.alias("pos"), w.alias("word"))), lambda x: F.get(F.col("_ids"), x["pos"]) == PAD_ID)
-    # a written table, since it is read twice: texts are read and cut once
-    rows = materialize(rows.select(*keys, F.filter(place, lambda x: x["id"] != PAD_ID).alias("_known"), named.alias("_open")), "encoded")
-    left = rows.select(*keys, F.explode("_open").alias("_o")).select(*keys, "_o.pos", "_o.word")
-    left = left.join(cold, "word", "left").groupBy(*keys)  # at most max_len words of a row
-    left = left.agg(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))).alias("_rest"))
-    none = F.array().cast("array<struct<pos:int,id:int>>")
-    both = F.array_sort(F.concat("_known", F.coalesce("_rest", none)))
-    enc = rows.join(left, keys, "left").select(*keys, both.alias("_p"))
+    # the whole text is tokenized; only the first max_len tokens are exploded
+    # (posexplode_outer keeps texts without any token as one NULL row)
+    tok = df.select(*keys, F.posexplode_outer(F.slice(tokens(text_col), 1, max_len)).alias("pos", "word"))
+    j = _lookup(tok, vocab, hot_words).withColumn("id", F.coalesce(F.col("id"), F.lit(UNK_ID)))
+    item = F.when(F.col("word").isNotNull(), F.struct("pos", "id"))
+    enc = j.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_p"))
     enc = enc.select(*keys, F.col("_p.id").cast("array<int>").alias(out))
     return enc.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out)))
 

@@ -19,12 +19,14 @@ and no task ever holds more than one bucket of one group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graded.functions.text import _c
+from graded.session import materialize
 
 STRATEGIES = ("undersample", "oversample", "balanced", "normal")
 # Strategy abbreviations used in run names.
@@ -248,7 +250,7 @@ def cell_copies(
     array with the number of copies of the row in each cell's sample (0: not in
     it), the same that :func:`resample` gives as rows. Rows are neither copied
     nor moved: all cells' cut-off places come from one grouped pass over keys
-    and labels, as one row, and each row compares its own hashes with them.
+    and labels, two per cell, and each row compares its own hashes with them.
 
     A cell whose sample can't be drawn (R3 without a positive or with too few
     negatives) has 0 copies everywhere; rows of other labels have 0 too."""
@@ -256,44 +258,41 @@ def cell_copies(
         if strategy not in STRATEGIES:
             raise ValueError(f"Unsupported strategy: {strategy!r}")
     lab = F.col(label)
-    n1, n0 = F.count_if(lab == 1), F.count_if(lab == 0)
-    sizes = df.agg(F.struct(n1.alias("n1"), n0.alias("n0"), F.count(F.lit(1)).alias("n")).alias("s"))
-    keys = df.where(lab.isin(0, 1)).select(key, label).withColumn("_s", sizes.scalar())
-    s = {c: F.col(f"_s.{c}").cast("long") for c in ("n1", "n0", "n")}
-    neg_t = F.floor(s["n"].cast("double") * F.lit(float(neg_ratio))).cast("long")
-    pos_t = s["n"] - neg_t
     drawn = [(i, strategy, seed) for i, (strategy, seed) in enumerate(cells) if strategy in ("undersample", "balanced")]
-    target = (
-        F.when(F.col("_strategy") == "undersample", F.when(lab == 1, s["n1"]).otherwise(py_round(F.lit(float(ratio)) * s["n0"].cast("double"))))
-        .when(lab == 1, F.pmod(pos_t, F.greatest(s["n1"], F.lit(1))))
-        .otherwise(neg_t)
-    )
-    cuts = None
+    n0 = n1 = n = 0
+    cuts = {}
     if drawn:
-        spec = F.array(*[F.struct(F.lit(i).alias("_cell"), F.lit(st).alias("_strategy"), F.lit(sd).alias("_seed")) for i, st, sd in drawn])
-        d = keys.select("*", F.explode(spec).alias("_c")).select("*", "_c.*").withColumn("_target", target)
-        d = d.withColumn("_h", hash_key(F.col("_seed"), key))
+        keys = materialize(df.select(key, label), "sample_keys")
+        n0, n1, n = keys.agg(F.count_if(lab == 0), F.count_if(lab == 1), F.count(F.lit(1))).first()
+        neg_t = math.floor(n * float(neg_ratio))
+        under = round(float(ratio) * n0)  # (half to even, as in R1)
+        spec = F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("_cell"),
+                    F.lit(sd).alias("_seed"),
+                    F.lit(n1 if st == "undersample" else (n - neg_t) % max(n1, 1)).cast("long").alias("_t1"),
+                    F.lit(under if st == "undersample" else neg_t).cast("long").alias("_t0"),
+                )
+                for i, st, sd in drawn
+            ]
+        )
+        d = keys.where(lab.isin(0, 1)).select("*", F.explode(spec).alias("_c")).select(key, label, "_c.*")
+        d = d.withColumn("_target", F.when(lab == 1, F.col("_t1")).otherwise(F.col("_t0"))).withColumn("_h", hash_key(F.col("_seed"), key))
         g = ["_cell", label]
         _, _, cut, last = _cuts(d, g, "_h", (key,), None, None, 4, "_target")
-        both = cut.select(*g, "_n").join(last, g, "left")  # a row per cell and class
-        cuts = both.agg(
-            F.struct(
-                *[
-                    F.max(F.when((F.col("_cell") == i) & (lab == y), F.struct("_n", "_last"))).alias(f"c{i}_{y}")
-                    for i, _, _ in drawn
-                    for y in (0, 1)
-                ]
-            ).alias("c")
-        )
-    d = df.withColumn("_s", sizes.scalar())
-    if cuts is not None:
-        d = d.withColumn("_cuts", cuts.scalar())
+        # a row per cell and class
+        cuts = {(r["_cell"], r[label]): r for r in cut.select(*g, "_n").join(last, g, "left").collect()}
 
     def inside(i: int, y: int, seed: int) -> Column:
-        cut = F.col(f"_cuts.c{i}_{y}")
-        place = F.struct(hash_key(seed, key).alias("h"), F.col(key).alias("k0"))
-        kept = F.when(cut["_last"].isNull(), cut["_n"] > 0).otherwise(place <= cut["_last"])
-        return F.coalesce(kept.cast("long"), F.lit(0))
+        cut = cuts.get((i, y))
+        if cut is None or (cut["_last"] is None and cut["_n"] <= 0):
+            return F.lit(0)
+        if cut["_last"] is None:
+            return F.lit(1)
+        h, k = hash_key(seed, key), F.col(key)
+        kept = (h < F.lit(cut["_last"]["h"])) | ((h == F.lit(cut["_last"]["h"])) & (k <= F.lit(cut["_last"]["k0"])))
+        return kept.cast("int")
 
     def copies(i: int, strategy: str, seed: int) -> Column:
         if strategy == "normal":
@@ -302,12 +301,12 @@ def cell_copies(
             return F.when(lab == 1, int(factor)).when(lab == 0, 1)
         if strategy == "undersample":
             return F.when(lab == 1, 1).when(lab == 0, inside(i, 0, seed))
-        full = F.floor(pos_t / s["n1"]).cast("long")
-        can = (s["n1"] > 0) & (neg_t <= s["n0"])
-        return F.when(can & (lab == 1), full + inside(i, 1, seed)).when(can & (lab == 0), inside(i, 0, seed))
+        if not n1 or neg_t > n0:
+            return F.lit(0)
+        return F.when(lab == 1, F.lit((n - neg_t) // n1) + inside(i, 1, seed)).when(lab == 0, inside(i, 0, seed))
 
     made = [F.coalesce(copies(i, st, sd).cast("int"), F.lit(0)) for i, (st, sd) in enumerate(cells)]
-    return d.withColumn(out, F.array(*made)).drop("_s", "_cuts")
+    return df.withColumn(out, F.array(*made))
 
 
 # ---------------------------------------------------------------- R6-R11

@@ -23,45 +23,33 @@ from pyspark.sql import types as T
 
 from graded.operators import bayes as B
 from graded.operators.encode import tokens
+from graded.sources.versions import Files
 
 MAX_WORDS = 1024  # the model's context
 
 
-def _write(spark: SparkSession, path: str, raw: bytes) -> None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    final, part = fs_path(path), fs_path(path + ".tmp")
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
-    try:
-        out.write(bytearray(raw))
-    finally:
-        out.close()
-    if not fs.exists(final) and not fs.rename(part, final) and not fs.exists(final):
-        raise OSError(f"{path} can't be written")
-    fs.delete(part, False)
-
-
 def store(sweep: B.Sweep, cell: int, folder: str, template: str = "") -> str:
     """Write one fitted cell, for prompts of ``template``, into ``folder``;
     returns the file's path. ``BUCKETS`` numbers at most pass the driver."""
-    spark = sweep.cells.sparkSession
+    spark = sweep.coefs.sparkSession
+    if sweep.cells[cell].bias is None:
+        raise ValueError(f"cell {cell} has no model")
+    own = F.col(f"w{sweep.cells[cell].column}").alias("w")
     weights = np.zeros(B.BUCKETS, np.int64)
-    for row in sweep.coefs.select("bucket", F.col(f"w{cell}").alias("w")).where("w != 0").toLocalIterator():
+    for row in sweep.coefs.select("bucket", own).where("w != 0").collect():
         weights[row["bucket"]] = row["w"]
-    shifts = {c["cell"]: c["shift"] for c in B.shifts(sweep, {"": template}).first()["cells"]}
-    if cell not in shifts:
-        raise ValueError(f"cell {cell} has no model")
     body = io.BytesIO()
-    np.save(body, np.append(weights, shifts[cell]), allow_pickle=False)
+    np.save(body, np.append(weights, B.shifts(sweep, {"": template})["", cell]), allow_pickle=False)
     raw = body.getvalue()
     path = f"{folder.rstrip('/')}/{hashlib.sha256(raw).hexdigest()}.npy"
-    _write(spark, path, raw)
+    Files(spark, path).publish(path, raw)  # (a file of that name holds the same bytes)
     return path
 
 
-def word_buckets(text) -> Column:
-    """What the stored model reads of a text (null for a null one)."""
-    return F.transform(tokens(text), B.bucket)
+def word_buckets(text, max_words: int = MAX_WORDS) -> Column:
+    """What the stored model reads of a text (null for a null one): its words,
+    and one beyond the context of a longer one, which tells that it is."""
+    return F.transform(F.slice(tokens(text), 1, max_words + 1), B.bucket)
 
 
 @dataclass(frozen=True)
@@ -100,7 +88,7 @@ class Loaded:
             if words is None:
                 raise ValueError("no text")
             if len(words) > self.max_words:
-                raise ValueError(f"{len(words)} words are beyond the context of {self.max_words}")
+                raise ValueError(f"more than {self.max_words} words")
             margins.append(self.shift + int(self.weights[np.asarray(words, np.int64)].sum()))
         return pd.DataFrame({"answer": [B.spoken_text(m) for m in margins], "margin": margins})
 
@@ -117,4 +105,4 @@ def scored(df: DataFrame, model: StoredModel, keep: list[str], text: str = "text
     """F4 with a stored model: ``keep``, answer, margin, error."""
     from graded.operators.scoring import score
 
-    return score(df.withColumn("words", word_buckets(text)).select(*keep, "words"), model, keep)
+    return score(df.withColumn("words", word_buckets(text, model.max_words)).select(*keep, "words"), model, keep)

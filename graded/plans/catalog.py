@@ -940,7 +940,7 @@ def s4_metric_lines(spark, sf_dir):
 def s7_predictions_parquet(spark, sf_dir):
     """E6 prediction rows written partitioned by template, read back."""
     path = RU.write_predictions(_e6_all(spark, sf_dir), shared_path(spark, "predictions"))
-    return spark.read.parquet(path).select("template", "example_id", "text", "true_label", "pred_label", "reasoning")
+    return RU.read_predictions(spark, path).select("template", "example_id", "text", "true_label", "pred_label", "reasoning")
 
 
 @query(
@@ -1352,7 +1352,7 @@ def m3_strategy_sweep(spark, sf_dir):
     models = SW.fit(load_corpus(spark, sf_dir))
     rows = B.margins(_test(spark, sf_dir), models, ["example_id", "label"])
     done = A.evaluate(rows.withColumn("pred", B.decide("margin")), ["strategy", "seed"])
-    cells = materialize(models.cells.select("cell", "strategy", "seed", "status").join(done, ["strategy", "seed"], "left"), "m3_cells")
+    cells = materialize(models.table().select("cell", "strategy", "seed", "status").join(done, ["strategy", "seed"], "left"), "m3_cells")
     best = A.best_by(cells.where("status = 'ok'"), [], "cell", "f1_macro", "cell").select("best").scalar()
     return cells.withColumn("is_best", F.col("cell") == best).drop("cell")
 

@@ -57,7 +57,7 @@ def run_table(examples: DataFrame, models: B.Sweep, parser: str = "lenient", pro
     aggregation, and a row without metrics for a cell that has no model."""
     done = A.evaluate(sweep_rows(examples, models, parser, prompts), CELL)
     names = F.explode(F.array(*[F.lit(p) for p in prompts])).alias("prompt_name")
-    cells = models.cells.select("strategy", "seed", "status", names)
+    cells = models.table().select("strategy", "seed", "status", names)
     cells = cells.withColumn("checkpoint_path", causal_run_name(MODELS_DIR, "strategy", "seed"))
     return cells.join(done, CELL, "left").select(*CELL, "status", *A.A9_FIELDS)
 

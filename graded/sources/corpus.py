@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graded.session import table
+from graded.sources.records import read_csv
+from graded.sources.versions import current, write_version
 
 # Hex cut-offs of md5(doc_id) for the stand-in split
 # (train 54.7 %, validation 21.5 %, test 23.8 %).
@@ -64,8 +66,7 @@ def by_class(df: DataFrame, label: int, col: str = "label") -> DataFrame:
 
 
 #: Texts come back as they were: outer blanks kept, and an empty text told
-#: from a missing one. A multi-line file is read by one task, so a large corpus
-#: is stored as parquet or JSON.
+#: from a missing one.
 CSV_OPTIONS = {
     "header": True,
     "escape": '"',
@@ -86,14 +87,19 @@ CORPUS_SCHEMA = T.StructType(
 
 def write_labelled_corpus(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Store a corpus partitioned by split (one folder per split)."""
-    w = df.select("example_id", "text", "label", "split").write.mode("overwrite").partitionBy("split").format(fmt)
-    w.options(**({**CSV_OPTIONS, "emptyValue": '""'} if fmt == "csv" else {})).save(path)
+    w = df.select("example_id", "text", "label", "split").write.partitionBy("split").format(fmt)
+    write_version(df.sparkSession, path, w.options(**({**CSV_OPTIONS, "emptyValue": '""'} if fmt == "csv" else {})).save)
     return path
 
 
 def read_labelled_corpus(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None) -> DataFrame:
     """S1 for stored corpora (parquet, json or csv) with an explicit schema;
     the split filter prunes whole partition folders."""
-    r = spark.read.format(fmt).schema(CORPUS_SCHEMA)
-    df = r.options(**({**CSV_OPTIONS, "multiLine": True, "emptyValue": ""} if fmt == "csv" else {})).load(path)
+    path = current(spark, path)
+    if fmt == "csv":  # (texts hold line breaks; Spark's reader would take one task per file)
+        options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+        pruned = None if split is None else F.col("split") == split
+        df = read_csv(spark, path, CORPUS_SCHEMA, True, pruned, **options, emptyValue="", multiLine="true")
+    else:
+        df = spark.read.format(fmt).schema(CORPUS_SCHEMA).load(path)
     return df if split is None else df.filter(F.col("split") == split)

@@ -1,7 +1,9 @@
 """Run result sources and sinks.
 
 Sinks write to the shared folder (``spark.checkpoint.dir``); every writer
-is a plain DataFrame writer, so a lost executor only re-runs its tasks.
+is a plain DataFrame writer, so a lost executor only re-runs its tasks. A sink
+writes a new version and makes it the current one when it is whole
+(:mod:`graded.sources.versions`), so the result before stands until then.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 
 from graded.functions.naming import fixed_decimals
 from graded.operators.metrics import A9_FIELDS
+from graded.sources.versions import current, write_version
 
 RUN_TABLE_SCHEMA = T.StructType(
     [T.StructField("checkpoint_path", T.StringType(), True), T.StructField("max_samples", T.IntegerType(), True)]
@@ -42,7 +45,7 @@ def run_documents(metrics: DataFrame, run_col: str = "checkpoint_path", split_co
 def write_run_result(docs: DataFrame, path: str) -> str:
     """S3: one JSON document per run, partitioned by ``run_id`` (basename)."""
     out = docs.withColumn("run_id", F.element_at(F.split("checkpoint_path", "/"), -1))
-    out.write.mode("overwrite").partitionBy("run_id").json(path)
+    write_version(docs.sparkSession, path, out.write.partitionBy("run_id").json)
     return path
 
 
@@ -57,7 +60,7 @@ def read_run_result(spark: SparkSession, path: str) -> DataFrame:
             T.StructField("run_id", T.StringType()),
         ]
     )
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).json(current(spark, path))
 
 
 def collect_runs(docs: DataFrame, which: str = "test_metrics") -> DataFrame:
@@ -73,13 +76,13 @@ def write_metric_lines(metrics: DataFrame, path: str, run_col: str = "run") -> s
         F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in cols])).alias("kv"),
     )
     lines = long.select(run_col, F.concat(F.col("kv.k"), F.lit(": "), fixed_decimals("kv.v", 4)).alias("value"))
-    lines.write.mode("overwrite").partitionBy(run_col).text(path)
+    write_version(metrics.sparkSession, path, lines.write.partitionBy(run_col).text)
     return path
 
 
 def read_metric_lines(spark: SparkSession, path: str) -> DataFrame:
     """S4 source: (run, key, value) from ``key: value`` lines."""
-    t = spark.read.text(path)
+    t = spark.read.text(current(spark, path))
     parts = F.split("value", ": ", 2)
     return t.select(
         *[c for c in t.columns if c != "value"],
@@ -90,22 +93,27 @@ def read_metric_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_run_table(runs: DataFrame, path: str) -> str:
     """Run table as CSV with a header; NULL integers are written blank."""
-    runs.write.mode("overwrite").option("header", True).csv(path)
+    write_version(runs.sparkSession, path, runs.write.option("header", True).csv)
     return path
 
 
 def read_run_table(spark: SparkSession, path: str, schema: T.StructType = RUN_TABLE_SCHEMA, extra: tuple = ()) -> DataFrame:
     """Explicit schema, header row, blank integer -> NULL."""
     s = T.StructType([T.StructField(c, T.StringType(), True) for c in extra] + list(schema.fields))
-    return spark.read.schema(s).option("header", True).csv(path)
+    return spark.read.schema(s).option("header", True).csv(current(spark, path))
 
 
 def write_predictions(pred: DataFrame, path: str, by: str = "template") -> str:
     """Per-example prediction rows, partitioned by template."""
-    pred.write.mode("overwrite").partitionBy(by).parquet(path)
+    write_version(pred.sparkSession, path, pred.write.partitionBy(by).parquet)
     return path
 
 
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """The prediction rows last written."""
+    return spark.read.parquet(current(spark, path))
+
+
 def list_runs(runs: DataFrame, prefix: str = "", include: str | None = "seed42", exclude: str | None = "WL", col: str = "checkpoint_path") -> DataFrame:
     """Runs whose name starts with ``prefix``, contains ``include`` and
     does not contain ``exclude``."""

@@ -162,3 +162,21 @@ def test_class_weights_fixture(spark):
 
     w = {r.label: r.weight for r in A.class_weights(load_corpus(spark, SF01)).collect()}
     assert round(w[0], 6) == 0.573276 and round(w[1], 6) == 3.911765
+
+
+def test_length_percentiles_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes = {"a": rng.integers(0, 40, 333).tolist(), "b": [3], "c": rng.integers(0, 500, 20).tolist()}
+    rows = [(g, " ".join(["w"] * n), None if i % 3 == 0 else "x y") for g, s in sizes.items() for i, n in enumerate(s)]
+    df = spark.createDataFrame(rows, "g string, full string, answer string").repartition(5)
+    got = {r["g"]: r for r in A.length_profile(df, ["g"], ("full", "answer")).collect()}
+    for g, s in sizes.items():
+        r = got[g]
+        assert (r["n_rows"], r["min_words_full"], r["max_words_full"], r["sum_words_full"]) == (len(s), min(s), max(s), sum(s))
+        for name, p in (("median", 50), ("p95", 95)):
+            assert r[f"{name}_words_full"] == pytest.approx(np.percentile(s, p))
+        assert r["sum_words_answer"] in (None, 2 * sum(i % 3 != 0 for i in range(len(s))), 0)
+    whole = A.length_profile(df, None, ("full",)).first()
+    assert whole["median_words_full"] == pytest.approx(np.percentile(sum(sizes.values(), []), 50))
