@@ -58,6 +58,18 @@ def sort_key(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_KEY).cast("long"))
 
 
+def boxed(docs: DataFrame, **extra: Column) -> DataFrame:
+    """``row`` (all columns of a row as one struct) and the ``extra`` columns:
+    no column of the input can clash with one of the caller's."""
+    row = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    return docs.select(row.alias("row"), *[c.alias(n) for n, c in extra.items()])
+
+
+def unboxed(rows: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows as they were before :func:`boxed`, with ``new`` values."""
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in columns])
+
+
 def key_bounds(keys: DataFrame, col: str, n: int) -> list[int]:
     """At most ``n`` (itself at most 16,384) values of ``col``, ascending and
     the smallest first, that cut the rows into ranges of about equal counts.

@@ -12,7 +12,9 @@ leftmost non-overlapping matches of its pattern; a match shorter than the
 rule's least length is dropped after matching.
 
 Nulls: a null text counts as empty; a null id stays null. Repeated rows stay
-repeated rows. Extra columns are ignored.
+repeated rows. Very long texts with many findings take time in proportion to
+their length. Ledger rows that two scans at once wrote for one blob and rule
+count once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, written
+from .common import boxed, fresh_path, unboxed, written
+from .spans import found, masked
 
 
 @dataclass(frozen=True)
@@ -67,36 +70,14 @@ SPAN = "struct<start:int,end:int,kind:string,rule:string>"
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
-    """Array of a rule's spans in a text. The text between matches and the
-    matches themselves alternate, so running lengths give the offsets."""
-    pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(
-        F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x)).alias("gap"),
-        F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x)).alias(
-            "hit"
+    """Array of a rule's spans in a text, in time that grows with its length."""
+    hits = F.filter(found(text, rule.pattern, rule.group, context=False), lambda x: F.length(x["group"]) >= rule.least)
+    return F.transform(
+        hits,
+        lambda x: F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("rule")
         ),
-        F.transform(
-            F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)
-        ).alias("value"),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        found = F.struct(
-            begin.alias("start"),
-            (begin + x["hit"]).alias("end"),
-            F.lit(rule.kind).alias("kind"),
-            F.lit(rule.version).alias("rule"),
-        )
-        kept = x["value"] >= rule.least  # null after the last gap: no match there
-        return F.struct(
-            (begin + F.coalesce(x["hit"], F.lit(0))).alias("at"),
-            F.when(kept, F.concat(acc["out"], F.array(found))).otherwise(acc["out"]).alias("out"),
-        )
-
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def blob_of(text: Column) -> Column:
@@ -133,22 +114,24 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE_RULES
             .withColumn("rules", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))))
             .where(F.size("rules") > 0)
         )
-    found = F.concat(
-        *[
-            F.when(
-                F.array_contains("rules", r.version), spans_of(F.col("text"), r)
-            ).otherwise(F.array().cast(f"array<{SPAN}>"))
-            for r in rules
-        ]
-    )
-    todo.select("blob", "rules", found.alias("found")).write.mode("append").parquet(ledger_path)
+    none = F.array().cast(f"array<{SPAN}>")
+    own = F.concat(*[F.when(F.array_contains("rules", r.version), spans_of(F.col("text"), r)).otherwise(none) for r in rules])
+    todo.select("blob", "rules", own.alias("found")).write.mode("append").parquet(ledger_path)
 
-    # a blob has one row per scan in which it had unseen rules
+    # a blob has one row per scan in which it had unseen rules; two scans at
+    # once may both have one for a rule, whose findings count once
     current = _ledger(spark, ledger_path).where(F.arrays_overlap("rules", wanted))
-    found = F.filter("found", lambda x: F.array_contains(wanted, x["rule"]))
+    scans = current.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("rules", "found"))).alias("scans"))
+    start = F.struct(F.array().cast("array<string>").alias("seen"), none.alias("out"))
+
+    def merged(acc: Column, x: Column) -> Column:
+        fresh = F.filter(x["found"], lambda f: F.array_contains(wanted, f["rule"]) & ~F.array_contains(acc["seen"], f["rule"]))
+        return F.struct(F.array_union(acc["seen"], x["rules"]).alias("seen"), F.concat(acc["out"], fresh).alias("out"))
+
+    once = F.aggregate("scans", start, merged, lambda acc: acc["out"])
     ordered = F.sort_array(
         F.transform(
-            found,
+            once,
             lambda x: F.struct(
                 x["start"].alias("start"),
                 F.array_position(wanted, x["rule"]).alias("rank"),
@@ -158,12 +141,7 @@ def scan(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE_RULES
         )
     )
     # a written table, so that Spark can split a hot blob's paths in a join
-    return written(
-        current.groupBy("blob")
-        .agg(F.flatten(F.collect_list("found")).alias("found"))
-        .select("blob", ordered.alias("found")),
-        "secret-findings",
-    )
+    return written(scans.select("blob", ordered.alias("found")), "secret-findings")
 
 
 def as_text(found: Column, kinds: tuple[str, ...] | None = None) -> Column:
@@ -207,31 +185,15 @@ MASK = "[secret]"
 def redact(docs: DataFrame, ledger_path: str | None = None, mask: str = MASK) -> DataFrame:
     """The same rows and columns with every found span replaced by ``mask``
     (spans that overlap or touch are one), and ``n_chars`` set anew if there
-    is such a column. Texts without findings, null ones too, stay as they are."""
+    is such a column. Texts without findings, null ones too, stay as they are;
+    repeated rows stay repeated rows, and an empty table stays empty."""
     ledger = scan(docs, ledger_path or fresh_path(docs.sparkSession, "secret-ledger"))
-    hits = ledger.where(F.size("found") > 0).select(
-        F.col("blob").alias("__blob"), F.col("found").alias("__found")
-    )
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] > acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"])
-        first = (acc["at"] == 0) & (x["start"] == 0)
-        out = F.when(fresh | first, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate(
-        "__found",
-        start,
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
-    hit = F.col("__found").isNotNull()
-    joined = docs.withColumn("__blob", blob_of(F.col("text"))).join(hits, "__blob", "left")
-    out = joined.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
+    named = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(mask).alias("mask")))
+    hits = ledger.where(F.size("found") > 0).select("blob", named.alias("found"))
+    rows = boxed(docs, blob=blob_of(F.col("text"))).join(hits, "blob", "left")
+    hit = F.col("found").isNotNull()
+    new = {"text": F.when(hit, masked(F.col("row.text"), F.col("found"))).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        size = F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", size)
-    return out.select(*docs.columns)
+        rows = rows.withColumn("clean", new["text"])
+        new = {"text": F.col("clean"), "n_chars": F.when(hit, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))}
+    return unboxed(rows, docs.columns, **new)

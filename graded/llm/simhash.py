@@ -38,8 +38,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import NULL_KEY, ship_package, sort_key, written
+from .common import NULL_KEY, boxed, ship_package, sort_key, unboxed, written
 from .components import components
 
 WORDS = 3  # words of a shingle
@@ -258,16 +259,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The same columns, with one row of each component: that with the
-    smallest doc_id, of repeated ids that with the smallest hash of its text."""
+    smallest doc_id (a null one is the smallest), of repeated ids that with the
+    smallest hash of its text. Rows that repeat both an id and a text are told
+    apart by nothing that counts here: one of them stays, with the smallest
+    values of the other columns. Null texts are fingerprint zero, like empty
+    ones; an empty table stays empty."""
     keep = (
         labelled(docs, words)
         .groupBy("root")
         .agg(F.min(F.struct("key", "tie")).alias("first"))
-        .select(F.col("first.key").alias("__key"), F.col("first.tie").alias("__tie"))
-    )
-    rows = docs.withColumn("__key", sort_key(F.col("doc_id").cast("long"))).withColumn("__tie", F.xxhash64("text"))
-    return (
-        rows.join(keep, ["__key", "__tie"], "left_semi")
-        .dropDuplicates(["__key", "__tie"])
-        .select(*docs.columns)
+        .select("first.key", "first.tie")
     )
+    rows = boxed(docs, key=sort_key(F.col("doc_id").cast("long")), tie=F.xxhash64("text"))
+    kept = rows.join(keep, ["key", "tie"], "left_semi").groupBy("key", "tie")
+    ordered = all(_orderable(f.dataType) for f in docs.schema.fields)
+    return unboxed(kept.agg((F.min if ordered else F.first)("row").alias("row")), docs.columns)
+
+
+def _orderable(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.VariantType))

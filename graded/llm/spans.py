@@ -68,14 +68,22 @@ def add(a: Column, b: Column) -> Column:
 FOUND = "struct<start:int,end:int,value:string,group:string,before:string,after:string>"
 
 
-def found(text: Column, pattern: str, group: int = 0) -> Column:
+def found(text: Column, pattern: str, group: int = 0, context: bool = True) -> Column:
     """Array of the leftmost non-overlapping matches: start, end, value (the
     match), group (the group of that number), before and after (a few
-    characters around it). A pattern never matches an empty string."""
+    characters around it; null without ``context``). A pattern never matches an
+    empty string."""
     p = F.lit(pattern)
     none = F.array().cast(f"array<{FOUND}>")
 
     def placed(hits: Column, groups: Column, gaps: Column) -> Column:
+        def around(i: Column) -> dict[str, Column]:
+            if not context:
+                return dict.fromkeys(("before", "after"), F.lit(None).cast("string"))
+            ahead = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit("")))
+            behind = F.concat(F.coalesce(_last(F.get(hits, i - 1)), F.lit("")), F.get(gaps, i))
+            return {"before": _last(behind), "after": F.substring(ahead, 1, AFTER)}
+
         steps = F.transform(hits, lambda h, i: F.length(h) + F.length(F.get(gaps, i)))
         return let(
             running(steps, add),
@@ -86,8 +94,7 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
                     F.get(ends, i).alias("end"),
                     h.alias("value"),
                     F.get(groups, i).alias("group"),
-                    _last(F.concat(F.coalesce(_last(F.get(hits, i - 1)), F.lit("")), F.get(gaps, i))).alias("before"),
-                    F.substring(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(hits, i + 1), F.lit(""))), 1, AFTER).alias("after"),
+                    *[c.alias(n) for n, c in around(i).items()],
                 ),
             ),
         )

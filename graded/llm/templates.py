@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, ship_package, sort_key, written
+from .common import NULL_KEY, boxed, ship_package, sort_key, unboxed, written
 
 WINDOW = 8  # tokens
 LITERALS = 4  # of a window that are no placeholders, at least
@@ -371,7 +371,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same columns, without the rows that match a benchmark item."""
-    bad = matches(docs, items).select(F.col("key").alias("__key"), F.col("tie").alias("__tie")).distinct()
-    rows = docs.withColumn("__key", sort_key(F.col("doc_id").cast("long"))).withColumn("__tie", F.xxhash64("text"))
-    return rows.join(bad, ["__key", "__tie"], "left_anti").select(*docs.columns)
+    """The same columns, without the rows that match a benchmark item. A null
+    or empty text matches none; rows that repeat an id and a text go together;
+    without documents or items nothing goes."""
+    bad = matches(docs, items).select("key", "tie").distinct()
+    rows = boxed(docs, key=sort_key(F.col("doc_id").cast("long")), tie=F.xxhash64("text"))
+    return unboxed(rows.join(bad, ["key", "tie"], "left_anti"), docs.columns)

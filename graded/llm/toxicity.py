@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import boxed, ship_package, unboxed
 
 SAMPLE = 3000  # labelled rows of each class
 SAMPLE_CHARS = 20_000  # longer texts aren't in the sample
@@ -268,11 +268,10 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The same columns, without the rows that are predicted toxic."""
+    """The same columns, without the rows that are predicted toxic. A null text
+    is scored as an empty one; equal texts go together; an empty table stays
+    empty."""
     ship_package(docs.sparkSession)
     model = fit_on(docs, labels)
-    return (
-        docs.withColumn("__score", score(F.coalesce(F.col("text"), F.lit("")), model))
-        .where(F.col("__score") < REJECT)
-        .select(*docs.columns)
-    )
+    rows = boxed(docs, score=score(F.coalesce(F.col("text"), F.lit("")), model))
+    return unboxed(rows.where(F.col("score") < REJECT), docs.columns)

@@ -3,8 +3,11 @@ ties, repeated rows, and extra columns whose names clash with internal ones."""
 
 import random
 
-CLASH = "key long, tie long, fp long, hash long, range int, blob string, found string, pos int, host string, digest string"
-CLASH_VALUES = (1, 2, 3, 4, 5, "b", "f", 6, "h", "d")
+CLASH = (
+    "key long, tie long, fp long, hash long, range int, blob string, found string, pos int, host string, digest string, "
+    "row string, score double, clean string, __key long, __tie long, __score double, __blob string, __found string"
+)
+CLASH_VALUES = (1, 2, 3, 4, 5, "b", "f", 6, "h", "d", "r", 0.5, "c", 99, 98, 0.25, "bb", "ff")
 
 
 def words(rng, n, size=4000):
