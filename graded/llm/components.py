@@ -1,6 +1,8 @@
 """Connected components of an edge table, by alternating large and small
-stars. Every round is two joins on a node; hot nodes only aggregate. Rounds are
-written tables in the shared folder, so a lost executor repeats one round."""
+stars. Every round is two joins of the edges with each node's smallest
+neighbour; those are written tables, like the rounds themselves, so that Spark
+can split the edges of a hot node in the join, and a lost executor repeats one
+step."""
 
 from __future__ import annotations
 
@@ -18,13 +20,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     node itself, is."""
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if large:
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-low")
         kept = both.where("v > u")
         return (
             kept.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         )
     down = both.where("v < u")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = written(down.groupBy("u").agg(F.min("v").alias("m")), "components-low")
     linked = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = low.select("u", F.col("m").alias("v"))
     return linked.unionAll(own).where("u != v").distinct()

@@ -19,7 +19,7 @@ of its pages with that verdict. A host is blocked if its distrust exceeds
 ``RATIO`` times its trust; a host that neither reaches is allowed.
 
 Both ranks are one table of (kind, node, rank); a round is one join with the
-edges and one sum, and every ``CUT`` rounds a table is written to the shared
+edges and one sum, and every round is a table written to the shared
 folder. Edges are summed per host pair before anything else, so a host with a
 third of all links is a few rows.
 
@@ -40,7 +40,6 @@ from .common import written
 
 DAMPING = 0.85
 ROUNDS = 16
-CUT = 4  # rounds between written tables
 RATIO = 1.25
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)<a\s[^>]*?\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -182,8 +181,10 @@ def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS) -> DataF
     in the seeds; both kinds keep the scale of their seeds, so a host with as
     many allowed as blocked pages starts even."""
     start = written(start, "seeds")
-    out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
-    into = edges.groupBy("dst").agg(F.sum("weight").alias("all"))
+    # (written tables on both sides of each join: a host that a third of all
+    # hosts link to is then a large partition, which Spark splits)
+    out = written(edges.groupBy("src").agg(F.sum("weight").alias("all")), "host-out")
+    into = written(edges.groupBy("dst").agg(F.sum("weight").alias("all")), "host-in")
     along = edges.join(out, "src").select(
         F.lit("trust").alias("kind"), F.col("src").alias("node"), F.col("dst").alias("to"), (F.col("weight") / F.col("all")).alias("p")
     )
@@ -198,7 +199,7 @@ def propagate(edges: DataFrame, start: DataFrame, rounds: int = ROUNDS) -> DataF
             "kind", F.col("to").alias("node"), (F.col("p") * F.col("rank") * DAMPING).alias("rank")
         )
         rank = moved.unionAll(base).groupBy("kind", "node").agg(F.round(F.sum("rank"), 12).alias("rank"))
-        if n % CUT == 0 and n < rounds:
+        if n < rounds:
             rank = written(rank, "host-ranks")
     return rank
 
