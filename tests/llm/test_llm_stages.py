@@ -58,3 +58,41 @@ def test_one_row_stays_of_rows_that_repeat_id_and_text(spark):
     docs = spark.createDataFrame([(1, same, "b"), (1, same, "a"), (2, same, "c"), (3, "other words here", None)], "doc_id long, text string, source string")
     for n in (1, 4):
         assert sorted(map(tuple, simhash.keep_one(docs.repartition(n)).collect())) == [(1, same, "a"), (3, "other words here", None)]
+
+
+def test_toxicity_scores_equal_a_plain_loop(spark):
+    """Lengths of every window under both dictionaries, one by one, and the
+    logistic score of their differences."""
+    import math
+    import re
+
+    import zstandard
+
+    rows = [*learnable(spark), (200, None), (201, ""), (202, "Vile calm HATEFUL garden é flower awful " * 40)]
+    docs = messy.documents(spark, rows)
+    model = toxicity.fit_on(docs, labels(spark))
+    assert model.constant is None
+
+    def length(content, data):
+        settings = zstandard.ZstdCompressionParameters.from_level(
+            3, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+            min_match=5, window_log=15, hash_log=13, chain_log=13,
+        )
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=settings)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=settings).compress(data))
+
+    def plain(text):
+        found = re.findall(r"\w+", (text or "").lower())
+        windows = [b"#" * 64 + f" {' '.join(found[i : i + 4])} ".encode() for i in range(0, len(found), 4)]
+        gains = [length(model.ordinary, w) - length(model.toxic, w) for w in windows] or [0]
+        n = len(gains)
+        x = [sum(gains) / n, *[sum(g >= s for g in gains) / n for s in (1, 3, 4, 5)], math.log1p(n)]
+        z = sum(w * (v - c) / s for w, v, c, s in zip(model.weights, x, model.centre, model.scale)) + model.weights[-1]
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in toxicity.scored(docs, labels(spark)).collect()}
+    for i, text in rows:
+        score = plain(text)
+        assert got[i][0] == pytest.approx(score, abs=1e-9)
+        assert got[i][1] == (got[i][0] >= 0.7)
