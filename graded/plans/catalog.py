@@ -1395,7 +1395,7 @@ def stream_a1_confusion(spark, sf_dir):
     ans.write.mode("overwrite").parquet(src)
     sink, ck = shared_path(spark, "stream_sink"), shared_path(spark, "stream_checkpoint")
     ST.run_to_table(ST.confusion_stream(spark, src), sink, ck)
-    return spark.read.parquet(sink)
+    return ST.read_table(spark, sink)
 
 
 # ------------------------------------------------------------------ V6 collate, P9/P10 valid filters
