@@ -9,20 +9,21 @@ follow from there. A suffix can therefore take part in a repeat only if its
 first ``RIGHT`` words are those of another document's kept suffix: a count of
 their hashes drops all other suffixes before any text moves.
 
-What is left is sorted by its words (a range exchange, so that equal suffixes
-are neighbours and no task has more than its range), and neighbours are
+What is left is dealt by that hash, so that suffixes with the same first
+``RIGHT`` words meet in one task, and sorted by its words there: neighbours are
 compared. For each number of words ``j`` to the left, suffixes that share
 their next ``PASSAGE - j`` words are one run of neighbours; those of a run that
-also share the ``j`` words before them are one passage of ``PASSAGE`` words.
-The largest ``j`` and the smallest are how far the match extends to the left
-and to the right. The intervals of a document are joined to spans.
-
-A run may be cut by the edge of a range. All rows of the runs at the edges meet
-again in a second comparison. Runs of more than ``EDGE`` rows don't take part
-in the sort: there the hash of every passage of ``PASSAGE`` words is made whose
-first minimiser begins such a run, and passages of two documents or more are
-found by a count of those hashes, however large the run. (A passage's first
-minimiser depends on its words alone, so equal passages go the same way.)
+also share the ``j`` words before them are one passage of ``PASSAGE`` words, a
+*class*: the documents that have it, the smallest of which names it. A passage
+is looked at where its first minimiser lies, so in every document at the same
+place in it and once. A match extends to the left and to the right as far as
+its passages reach; the intervals of a document and class are joined to spans.
+
+Runs of more than ``EDGE`` rows with the same first words don't take part in the
+sort: there the hash of every passage whose first minimiser begins such a run is
+made, and classes are found by grouping those hashes, however large the run.
+(A passage's first minimiser depends on its words alone, so equal passages go
+the same way, and both ways give the same rows.)
 
 Nulls: a null text has no words; a null doc_id counts as an id of its own that
 sorts first. Rows that repeat an id and a text are one document. Texts shorter
@@ -40,18 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_KEY, fresh_path, ship_package, sort_key, written
+from .common import NULL_KEY, ship_package, sort_key, written
 
 PASSAGE = 50  # words
 SPAN = 32  # grams that a minimiser is taken from
 GRAM = 5  # words
 LEFT = SPAN - 1
 RIGHT = PASSAGE - LEFT
-EDGE = 2000  # rows of a run that is sorted; larger ones are counted by hashes
+EDGE = 50_000  # rows of a run that is sorted (30 MB); larger ones are counted by hashes
 CHUNK = 30_000  # rows compared at a time, and at least one run
 BITS = 24  # the bitmap of large runs has 2^BITS bits (2 MB)
 MEMORY = 400_000  # remembered words, then the memory starts anew
-BATCH = 2000  # texts at a time
+BATCH = 2_000_000  # characters at a time, and at least one text
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
@@ -110,15 +111,37 @@ def minimisers(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     for j in range(GRAM):
         gram = gram * BASE + code[j : j + n]
     gram = _mix(gram)
-    lowest = np.lib.stride_tricks.sliding_window_view(gram, SPAN)
-    first = np.arange(len(lowest))
-    inside = owner[first] == owner[first + SPAN + GRAM - 2]
-    return first[inside], first[inside] + lowest[inside].argmin(axis=1)
+    # the smallest of 1, 2, 4, ... grams from each on (the first of equal ones)
+    low, at, width = gram, np.arange(n), 1
+    while width < SPAN:
+        step = min(width, SPAN - width)
+        less = low[step:] < low[:-step]
+        low, at, width = np.where(less, low[step:], low[:-step]), np.where(less, at[step:], at[:-step]), width + step
+    first = np.flatnonzero(owner[: len(at)] == owner[SPAN + GRAM - 2 : SPAN + GRAM - 2 + len(at)])
+    return first, at[first]
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of about ``BATCH`` characters at a time, with their texts (the
+    third column; none: empty)."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH, "right")))
+            some = batch.slice(a, b - a)
+            yield some, [t or "" for t in some.column(2).to_pylist()]
+            a = b
 
 
-def kept_suffixes(code: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Word indices at which suffixes are kept."""
-    return np.unique(minimisers(code, owner)[1])
+def kept_suffixes(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word indices at which suffixes are kept, and the least and the most words
+    to the left of each with which a passage has its first minimiser there.
+    (Those lie in a row, and depend on the passage's words alone.)"""
+    start, at = minimisers(code, owner)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+    last = np.append(begin[1:], len(at)) - 1
+    return at[begin], at[begin] - start[last], at[begin] - start[begin]
 
 
 def prefix_hashes(code: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -136,31 +159,32 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def sample(rows: DataFrame) -> DataFrame:
-    """key, tie, pos (word), hash of the first ``RIGHT`` words of every kept
-    suffix that has as many."""
+    """key, tie, pos (word), lo, hi (words to the left), and a hash of the first
+    ``RIGHT`` words of every kept suffix that has as many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                some = batch.slice(a, BATCH)
-                code, owner = words.codes([t or "" for t in some.column(2).to_pylist()])
-                at = kept_suffixes(code, owner)
-                at = at[at + RIGHT <= len(code)]
-                at = at[owner[at] == owner[at + RIGHT - 1]]
-                begins = np.searchsorted(owner, np.arange(some.num_rows))
-                who = pa.array(owner[at])
-                yield pa.record_batch(
-                    [
-                        some.column(0).take(who),
-                        some.column(1).take(who),
-                        pa.array((at - begins[owner[at]]).astype(np.int32)),
-                        pa.array(prefix_hashes(code, at, RIGHT).view(np.int64)),
-                    ],
-                    ["key", "tie", "pos", "hash"],
-                )
-
-    return rows.mapInArrow(run, "key long, tie long, pos int, hash long")
+        for some, texts in _batches(batches):
+            code, owner = words.codes(texts)
+            at, lo, hi = kept_suffixes(code, owner)
+            fits = at + RIGHT <= len(code)
+            fits[fits] = owner[at[fits]] == owner[at[fits] + RIGHT - 1]
+            at, lo, hi = at[fits], lo[fits], hi[fits]
+            begins = np.searchsorted(owner, np.arange(some.num_rows))
+            who = pa.array(owner[at])
+            yield pa.record_batch(
+                [
+                    some.column(0).take(who),
+                    some.column(1).take(who),
+                    pa.array((at - begins[owner[at]]).astype(np.int32)),
+                    pa.array(lo.astype(np.int8)),
+                    pa.array(hi.astype(np.int8)),
+                    pa.array(prefix_hashes(code, at, RIGHT).view(np.int64)),
+                ],
+                ["key", "tie", "pos", "lo", "hi", "hash"],
+            )
+
+    return rows.mapInArrow(run, "key long, tie long, pos int, lo byte, hi byte, hash long")
 
 
 def _bitmap(hashes: DataFrame) -> np.ndarray | None:
@@ -185,66 +209,70 @@ def passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for batch in batches:
-            for a in range(0, batch.num_rows, BATCH):
-                some = batch.slice(a, BATCH)
-                code, owner = words.codes([t or "" for t in some.column(2).to_pylist()])
-                start, at = minimisers(code, owner)
-                fits = start + PASSAGE <= len(code)
-                start, at = start[fits], at[fits]
-                fits = owner[start] == owner[start + PASSAGE - 1]
-                start, at = start[fits], at[fits]
-                spot = (prefix_hashes(code, at, RIGHT) >> np.uint64(64 - BITS)).astype(np.int64)
-                start = start[(bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0]
-                begins = np.searchsorted(owner, np.arange(some.num_rows))
-                one = prefix_hashes(code, start, PASSAGE).view(np.int64)
-                two = prefix_hashes(_mix(code), start, PASSAGE).view(np.int64)
-                for b in np.array_split(np.arange(len(start)), len(start) // 50_000 + 1):
-                    who = pa.array(owner[start[b]])
-                    yield pa.record_batch(
-                        [
-                            some.column(0).take(who),
-                            some.column(1).take(who),
-                            pa.array((start[b] - begins[owner[start[b]]]).astype(np.int32)),
-                            pa.array(one[b]),
-                            pa.array(two[b]),
-                        ],
-                        ["key", "tie", "start", "one", "two"],
-                    )
+        for some, texts in _batches(batches):
+            code, owner = words.codes(texts)
+            start, at = minimisers(code, owner)
+            fits = start + PASSAGE <= len(code)
+            start, at = start[fits], at[fits]
+            fits = owner[start] == owner[start + PASSAGE - 1]
+            start, at = start[fits], at[fits]
+            spot = (prefix_hashes(code, at, RIGHT) >> np.uint64(64 - BITS)).astype(np.int64)
+            start = start[(bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0]
+            begins = np.searchsorted(owner, np.arange(some.num_rows))
+            one = prefix_hashes(code, start, PASSAGE).view(np.int64)
+            two = prefix_hashes(_mix(code), start, PASSAGE).view(np.int64)
+            for b in np.array_split(np.arange(len(start)), len(start) // 50_000 + 1):
+                who = pa.array(owner[start[b]])
+                yield pa.record_batch(
+                    [
+                        some.column(0).take(who),
+                        some.column(1).take(who),
+                        pa.array((start[b] - begins[owner[start[b]]]).astype(np.int32)),
+                        pa.array(one[b]),
+                        pa.array(two[b]),
+                    ],
+                    ["key", "tie", "start", "one", "two"],
+                )
 
     return rows.mapInArrow(run, "key long, tie long, start int, one long, two long")
 
 
+FOUND = "key long, tie long, start int, end int, class_key long, class_tie long, class_start int, partner long"
+
+
 def counted_passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """key, tie, start, end, partner: the passages of large runs that two
-    documents or more have."""
-    made = passages(rows, bitmap)
-    # (a written table, so that Spark can split a hot passage's rows in the join)
-    repeated = written(
+    """``FOUND``: the passages of large runs that two documents or more have."""
+    # (written tables: texts are read once, and Spark can split a hot passage's
+    # rows in the joins)
+    made = written(passages(rows, bitmap), "hot-passages")
+    doc, place = F.struct("key", "tie"), F.struct("key", "tie", "start")
+    groups = written(
         made.groupBy("one", "two")
-        .agg(
-            F.min("key").alias("low"),
-            F.max("key").alias("high"),
-            (F.min("tie") != F.max("tie")).alias("texts"),
-        )
-        .where("low != high or texts")
-        .select("one", "two", "low", "high"),
-        "hot-passages",
+        .agg(F.min(place).alias("low"), F.min(doc).alias("first"), F.max(doc).alias("last"))
+        .where("first != last")
+        .select("one", "two", "low"),
+        "hot-groups",
     )
-    return made.join(repeated, ["one", "two"]).select(
+    members = made.join(groups, ["one", "two"])
+    own = (F.col("key") == F.col("low.key")) & (F.col("tie") == F.col("low.tie"))
+    second = written(members.where(~own).groupBy("one", "two").agg(F.min("key").alias("second")), "hot-seconds")
+    return members.join(second, ["one", "two"]).select(
         "key",
         "tie",
         "start",
         (F.col("start") + PASSAGE).alias("end"),
-        F.when(F.col("key") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("partner"),
+        F.col("low.key").alias("class_key"),
+        F.col("low.tie").alias("class_tie"),
+        F.col("low.start").alias("class_start"),
+        F.when(own, F.col("second")).otherwise(F.col("low.key")).alias("partner"),
     )
 
 
-SUFFIX = "key long, tie long, pos int, right string, left string"
+SUFFIX = "key long, tie long, pos int, lo byte, hi byte, hash long, right string, left string"
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
-    """``rows``: key, tie, text, places (word indices). The words right of
+    """``rows``: key, tie, text, places (word index, lo, hi, hash). The words right of
     each place, ``PASSAGE`` at most, and those left of it, ``LEFT`` at most,
     nearest first."""
 
@@ -252,18 +280,21 @@ def cut_out(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for n in range(batch.num_rows):
                 words = words_of(batch.column(2)[n].as_py() or "")
-                places = sorted(set(batch.column(3)[n].as_py()))
+                places = sorted({(x["pos"], x["lo"], x["hi"], x["hash"]) for x in batch.column(3)[n].as_py()})
                 for a in range(0, len(places), 5000):
-                    some = places[a : a + 5000]
+                    some = [x[0] for x in places[a : a + 5000]]
                     yield pa.record_batch(
                         [
                             pa.array([batch.column(0)[n].as_py()] * len(some), pa.int64()),
                             pa.array([batch.column(1)[n].as_py()] * len(some), pa.int64()),
                             pa.array(some, pa.int32()),
+                            pa.array([x[1] for x in places[a : a + 5000]], pa.int8()),
+                            pa.array([x[2] for x in places[a : a + 5000]], pa.int8()),
+                            pa.array([x[3] for x in places[a : a + 5000]], pa.int64()),
                             pa.array([" ".join(words[p : p + PASSAGE]) for p in some], pa.string()),
                             pa.array([" ".join(words[max(0, p - LEFT) : p][::-1]) for p in some], pa.string()),
                         ],
-                        ["key", "tie", "pos", "right", "left"],
+                        ["key", "tie", "pos", "lo", "hi", "hash", "right", "left"],
                     )
 
     return rows.select("key", "tie", "text", "places").mapInArrow(run, SUFFIX)
@@ -287,51 +318,58 @@ def shared_words(right: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.logical_and.accumulate(same, axis=1).sum(axis=1)])
 
 
-def compare(right: np.ndarray, left: np.ndarray, who: np.ndarray):
+def compare(
+    right: np.ndarray, left: np.ndarray, who: np.ndarray, pos: np.ndarray, lo: np.ndarray, hi: np.ndarray
+) -> tuple[np.ndarray, ...]:
     """For sorted suffixes (word numbers to the right, to the left, document
-    number): words that the longest repeats extend to the left, to the right
-    (-1 without a repeat), and the smallest other document's number."""
+    number in order of documents, first word, least and most words to the left):
+    the passages that two documents or more have, each at its first minimiser,
+    those of a suffix with the same smallest documents as one. Arrays of
+    suffix, words to the left, words to the right, the suffix of the passage's
+    first document, and the number of the smallest document beside the own."""
     n = len(who)
     common = shared_words(right)
-    back = np.full(n, -1)
-    ahead = np.full(n, -1)
-    other = np.full(n, np.iinfo(np.int64).max)
-    lefts = np.arange(n, dtype=np.uint64) * 0
+    lefts = np.zeros(n, dtype=np.uint64)
     whole = np.ones(n, dtype=bool)  # rows that have j words to the left
     lengths = (right >= 0).sum(axis=1)
+    hits = []
     for j in range(LEFT + 1):
         if j:
             whole &= left[:, j - 1] >= 0
             lefts = _mix(lefts * BASE + left[:, j - 1].astype(np.uint64) + np.uint64(1))
-        size = PASSAGE - j
-        run = np.cumsum(common < size)
-        rows = np.flatnonzero(whole & (lengths >= size))
+        run = np.cumsum(common < PASSAGE - j)
+        rows = np.flatnonzero(whole & (lengths >= PASSAGE - j) & (lo <= j) & (j <= hi))
         if not len(rows):
             continue
-        order = rows[np.lexsort((who[rows], lefts[rows], run[rows]))]
+        order = rows[np.lexsort((pos[rows], who[rows], lefts[rows], run[rows]))]
         edge = (np.diff(run[order]) != 0) | (np.diff(lefts[order].view(np.int64)) != 0)
         begin = np.concatenate([[0], np.flatnonzero(edge) + 1])
         group = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
-        last = np.append(begin[1:], len(order)) - 1
-        low, high = who[order[begin]], who[order[last]]
-        hit = (low != high)[group]
-        found = order[hit]
-        back[found] = j
-        ahead[found] = np.where(ahead[found] < 0, size, ahead[found])
-        partner = np.where(low[group] == who[order], high[group], low[group])[hit]
-        other[found] = np.minimum(other[found], partner)
-    return back, ahead, other
-
-
-FOUND = "key long, tie long, start int, end int, partner long"
-
-
-def _compare_sorted(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[pa.RecordBatch]:
-    """Intervals found in sorted rows, and (with ``edges``) the rows of the
-    runs at the first and last row, which neighbour ranges may continue."""
-    names = ["key", "tie", "start", "end", "partner", "pos", "right", "left"]
+        first = order[begin]
+        other = who[order] != who[first][group]
+        second = np.minimum.reduceat(np.where(other, who[order], n), begin)
+        hit = (second < n)[group]
+        found, of = order[hit], group[hit]
+        partner = np.where(other[hit], who[first][of], second[of])
+        if len(found):
+            hits.append(np.stack([found, first[of], partner, np.full(len(found), j)]))
+    if not hits:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    found, first, partner, j = np.concatenate(hits, axis=1)
+    # equal ones but for j are one interval: they lie at the same distance
+    order = np.lexsort((j, partner, first, found))
+    found, first, partner, j = found[order], first[order], partner[order], j[order]
+    new = np.append(True, (np.diff(found) != 0) | (np.diff(first) != 0) | (np.diff(partner) != 0))
+    begin = np.flatnonzero(new)
+    last = np.append(begin[1:], len(found)) - 1
+    return found[begin], j[last], PASSAGE - j[begin], first[begin], partner[begin]
+
+
+def _compare_sorted(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Intervals (``FOUND``) of sorted suffixes, about ``chunk`` rows at a time:
+    up to the last run that is whole, the rest waits."""
+    names = ["key", "tie", "start", "end", "class_key", "class_tie", "class_start", "partner"]
     held: pa.Table | None = None
-    first_run = True
 
     def spans(table: pa.Table, right: np.ndarray, codes: dict[str, int]) -> pa.RecordBatch:
         left = _matrix(table["left"].combine_chunks(), LEFT, codes)
@@ -342,72 +380,35 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[
         who[order] = np.concatenate([[0], np.cumsum(changed)])
         of = np.empty(who.max() + 1, dtype=np.int64)
         of[who] = key
-        back, ahead, other = compare(right, left, who)
-        hit = np.flatnonzero(back >= 0)
-        pos = table["pos"].to_numpy()[hit]
-        nothing = pa.nulls(len(hit))
+        pos = table["pos"].to_numpy()
+        hit, back, ahead, first, other = compare(
+            right, left, who, pos, table["lo"].to_numpy(), table["hi"].to_numpy()
+        )
         return pa.record_batch(
             [
                 pa.array(key[hit]),
                 pa.array(tie[hit]),
-                pa.array((pos - back[hit]).astype(np.int32)),
-                pa.array((pos + ahead[hit]).astype(np.int32)),
-                pa.array(of[other[hit]]),
-                nothing.cast(pa.int32()),
-                nothing.cast(pa.string()),
-                nothing.cast(pa.string()),
+                pa.array((pos[hit] - back).astype(np.int32)),
+                pa.array((pos[hit] + ahead).astype(np.int32)),
+                pa.array(key[first]),
+                pa.array(tie[first]),
+                pa.array((pos[first] - back).astype(np.int32)),
+                pa.array(of[other]),
             ],
             names,
         )
 
-    def edge_rows(table: pa.Table, common: np.ndarray, front: bool) -> pa.RecordBatch:
-        """The rows of the run at the front or at the back."""
-        cuts = np.flatnonzero(common[1:] < RIGHT) + 1
-        if front:
-            some = table.slice(0, int(cuts[0]) if len(cuts) else table.num_rows)
-        else:
-            some = table.slice(int(cuts[-1]) if len(cuts) else 0)
-        some = some.combine_chunks()
-        nothing = pa.nulls(some.num_rows)
-        return pa.record_batch(
-            [
-                some["key"].combine_chunks(),
-                some["tie"].combine_chunks(),
-                nothing.cast(pa.int32()),
-                nothing.cast(pa.int32()),
-                nothing.cast(pa.int64()),
-                some["pos"].combine_chunks(),
-                some["right"].combine_chunks(),
-                some["left"].combine_chunks(),
-            ],
-            names,
-        )
-
-    def work(table: pa.Table, final: bool):
-        """Compare up to the last run that is whole; the rest waits."""
-        nonlocal first_run
+    def work(table: pa.Table, final: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
         codes: dict[str, int] = {}
         right = _matrix(table["right"].combine_chunks(), PASSAGE, codes)
-        common = shared_words(right)
-        cut = table.num_rows
-        if not final:
-            cuts = np.flatnonzero(common[1:] < RIGHT) + 1
-            if not len(cuts):
-                return [], table
-            cut = int(cuts[-1])
-        out = []
-        if edges and first_run:
-            out.append(edge_rows(table.slice(0, cut), common[:cut], True))
-        first_run = False
-        out.append(spans(table.slice(0, cut), right[:cut], codes))
-        if edges and final:
-            out.append(edge_rows(table, common, False))
-        return out, table.slice(cut)
+        cuts = np.flatnonzero(shared_words(right)[1:] < RIGHT) + 1
+        end = table.num_rows if final else int(cuts[-1]) if len(cuts) else 0
+        return [spans(table.slice(0, end), right[:end], codes)] if end else [], table.slice(end)
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None or not held.num_rows else pa.concat_tables([held, table])
-        if held.num_rows >= CHUNK:
+        if held.num_rows >= chunk:
             out, held = work(held, False)
             yield from out
     if held is not None and held.num_rows:
@@ -416,16 +417,19 @@ def _compare_sorted(batches: Iterator[pa.RecordBatch], edges: bool) -> Iterator[
 
 
 def intervals(docs: DataFrame) -> DataFrame:
-    """key, tie, start, end (words), partner: repeats found at kept suffixes.
-    They overlap; together they cover all that repeats."""
+    """``FOUND``: every passage of ``PASSAGE`` words that two documents or more
+    have, in each of them: first word, end, the smallest of those documents
+    (the passage's class) and where the passage stands in it, and the smallest
+    other document. Passages of a suffix that agree in these are one interval."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = _documents(docs)
-    kept = sample(rows)
+    # (written tables: texts are read once, and Spark can split a hot hash's
+    # rows in the join)
+    kept = written(sample(rows), "suffix-sample")
     # documents, not rows, are counted: a suffix that repeats in one document
     # alone stays out (the smallest and the largest document differ)
     doc = F.struct("key", "tie")
-    # (a written table, so that Spark can split a hot hash's rows in the join)
     repeated = written(
         kept.groupBy("hash")
         .agg(F.min(doc).alias("low"), F.max(doc).alias("high"), F.count("*").alias("n"))
@@ -436,55 +440,48 @@ def intervals(docs: DataFrame) -> DataFrame:
     places = (
         kept.join(repeated.where(F.col("n") <= EDGE), "hash", "left_semi")
         .groupBy("key", "tie")
-        .agg(F.collect_list("pos").alias("places"))  # a text's own minimisers
+        .agg(F.collect_list(F.struct("pos", "lo", "hi", "hash")).alias("places"))  # a text's own minimisers
     )
     suffixes = cut_out(rows.join(places, ["key", "tie"]).dropDuplicates(["key", "tie"]))
-    order = ["right", "left", "key", "tie", "pos"]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = FOUND + ", pos int, right string, left string"
-    path = fresh_path(spark, "suffix-intervals")
-    (
-        suffixes.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(lambda it: _compare_sorted(it, True), schema)
-        .write.parquet(path)
-    )
-    out = spark.read.schema(schema).parquet(path)
-    # the rows at edges meet by their first words
-    prefix = F.array_join(F.slice(F.split("right", " "), 1, RIGHT), " ")
-    again = (
-        out.where("start is null")
-        .select("key", "tie", "pos", "right", "left")
-        .distinct()
-        .repartition(n, F.xxhash64(prefix))
-        .sortWithinPartitions(*order)
-        .mapInArrow(lambda it: _compare_sorted(it, False), schema)
+    n, chunk = int(spark.conf.get("spark.sql.shuffle.partitions")), CHUNK
+    found = (
+        suffixes.repartition(n, "hash")  # no run has more than EDGE rows
+        .sortWithinPartitions("right", "left", "key", "tie", "pos")
+        .mapInArrow(lambda it: _compare_sorted(it, chunk), FOUND)
     )
-    columns = ["key", "tie", "start", "end", "partner"]
-    found = out.where("start is not null").select(*columns).unionAll(again.select(*columns))
     large = _bitmap(repeated.where(F.col("n") > EDGE))
     return found if large is None else found.unionAll(counted_passages(rows, large))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start_word, end_word (exclusive), n_words, partner_id (the
-    smallest other document's id that shares some of it): a row per span."""
+    """doc_id, start_word, end_word (exclusive), n_words, partner_id, class_id,
+    class_start: a row per span of a document whose passages have the same
+    class. ``partner_id`` is the smallest other document that has them;
+    ``class_id`` the smallest of all that do, the document itself included, and
+    ``class_start`` the word of that document at which the span's words stand
+    in it. So every document is linked to its classes, none is left out, and
+    two documents share a passage just where their spans of one class meet in
+    the class's words."""
     found = intervals(docs)
-    per_doc = Window.partitionBy("key", "tie").orderBy("start", "end")
+    same = ["key", "tie", "class_key", "class_tie", "partner", "away"]
+    per_doc = Window.partitionBy(*same).orderBy("start", "end")
     before = per_doc.rowsBetween(Window.unboundedPreceding, -1)
     upto = per_doc.rowsBetween(Window.unboundedPreceding, 0)
     fresh = F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True))
     null = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
     return (
-        found.withColumn("fresh", fresh.cast("int"))
+        found.withColumn("away", F.col("class_start") - F.col("start"))
+        .withColumn("fresh", fresh.cast("int"))
         .withColumn("span", F.sum("fresh").over(upto))
-        .groupBy("key", "tie", "span")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("partner").alias("partner"))
+        .groupBy(*same, "span")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
         .select(
             null("key").alias("doc_id"),
             F.col("start").cast("long").alias("start_word"),
             F.col("end").cast("long").alias("end_word"),
             (F.col("end") - F.col("start")).cast("long").alias("n_words"),
             null("partner").alias("partner_id"),
+            null("class_key").alias("class_id"),
+            (F.col("start") + F.col("away")).cast("long").alias("class_start"),
         )
     )

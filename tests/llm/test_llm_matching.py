@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from graded.llm import components, simhash, suffixes, templates
+from pyspark.sql import Row
 
 
 def plain_fingerprint(text):
@@ -145,7 +146,7 @@ def passages(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("partitions,chunk,edge", [(8, 30_000, 2000), (60, 30_000, 2000), (5, 40, 2000)])
+@pytest.mark.parametrize("partitions,chunk,edge", [(8, 30_000, 2000), (60, 30_000, 2000), (5, 40, 2000), (1, 30_000, 2000), (3, 200, 15), (2, 30_000, 0)])
 def test_repeated_passages_equal_all_windows(spark, monkeypatch, partitions, chunk, edge):
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
     monkeypatch.setattr(suffixes, "EDGE", edge)
@@ -158,7 +159,46 @@ def test_repeated_passages_equal_all_windows(spark, monkeypatch, partitions, chu
         spark.conf.set("spark.sql.shuffle.partitions", was)
     got = {(r.doc_id, q) for r in found for q in range(r.start_word, r.end_word)}
     assert got == plain_repeats(rows)
-    assert all(r.n_words >= suffixes.PASSAGE and r.partner_id != r.doc_id for r in found)
+    assert sorted(map(str, found)) == sorted(map(str, plain_spans(rows)))
+
+
+def plain_spans(rows):
+    """The rows of ``repeated_passages`` from all windows."""
+    null = lambda i: suffixes.NULL_KEY if i is None else i
+    docs = {(null(i), xxhash64_of(t)): suffixes.words_of(t or "") for i, t in rows}
+    where = {}
+    for d, w in docs.items():
+        for p in range(len(w) - suffixes.PASSAGE + 1):
+            where.setdefault(tuple(w[p : p + suffixes.PASSAGE]), []).append((*d, p))
+    pieces = {}
+    for places in where.values():
+        members = sorted({d[:2] for d in places})
+        if len(members) > 1:
+            first = min(places)
+            for *d, p in places:
+                partner = members[1] if tuple(d) == members[0] else members[0]
+                pieces.setdefault((*d, *first[:2], partner[0], first[2] - p), []).append(p)
+    out = []
+    for (key, _, low, _, partner, away), starts in pieces.items():
+        starts.sort()
+        begin = end = None
+        for p in [*starts, None]:
+            if begin is not None and (p is None or p > end):
+                open_ = lambda k: None if k == suffixes.NULL_KEY else k
+                out.append(Row(doc_id=open_(key), start_word=begin, end_word=end, n_words=end - begin, partner_id=open_(partner), class_id=open_(low), class_start=begin + away))
+                begin = None
+            if p is not None:
+                begin = p if begin is None else begin
+                end = p + suffixes.PASSAGE
+    return out
+
+
+def xxhash64_of(text):
+    """Spark's xxhash64 of a string (null: its seed)."""
+    import xxhash
+
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - 2**64 if h >= 2**63 else h
 
 
 @pytest.mark.parametrize("n,edge,partitions", [(300, 20, 8), (12_000, 2000, 3)])
