@@ -58,6 +58,12 @@ def sort_key(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(NULL_KEY).cast("long"))
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Delete everything that :func:`fresh_path` named, when no result that
+    reads one of those tables is needed any more (end of a job)."""
+    drop_path(spark, fresh_path(spark, "").rsplit("/", 1)[0])
+
+
 def boxed(docs: DataFrame, **extra: Column) -> DataFrame:
     """``row`` (all columns of a row as one struct) and the ``extra`` columns:
     no column of the input can clash with one of the caller's."""

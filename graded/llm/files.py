@@ -7,13 +7,20 @@ so a file with its final name is always complete, and a task that runs again
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import pyarrow.fs as pafs
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and its path there. Hadoop's names of an
+    object store (``s3a``, ``s3n``) are the store's own (``s3``)."""
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
+
+
 def put_file(folder: str, name: str, parts: list[bytes]) -> None:
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     temporary = f"{path}/.{name}.{uuid.uuid4().hex}.tmp"
     with fs.open_output_stream(temporary, compression=None) as out:
@@ -23,6 +30,6 @@ def put_file(folder: str, name: str, parts: list[bytes]) -> None:
 
 
 def get_file(folder: str, name: str) -> bytes:
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = file_system(folder)
     with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
         return f.read()

@@ -96,3 +96,29 @@ def test_toxicity_scores_equal_a_plain_loop(spark):
         score = plain(text)
         assert got[i][0] == pytest.approx(score, abs=1e-9)
         assert got[i][1] == (got[i][0] >= 0.7)
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    from graded.llm import common
+
+    common.written(spark.range(3).toDF("a"), "dropped")
+    folder = common.fresh_path(spark, "").rsplit("/", 1)[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    common.drop_written(spark)
+    assert not os.path.exists(folder)
+
+
+def test_object_stores_are_opened_by_their_own_name(monkeypatch):
+    from graded.llm import files
+
+    seen = []
+
+    class Store:
+        from_uri = staticmethod(seen.append)
+
+    monkeypatch.setattr(files, "pafs", type("pafs", (), {"FileSystem": Store}))
+    for folder in ("s3a://b/x", "s3n://b/x", "s3://b/x", "file:///x/s3a://y"):
+        files.file_system(folder)
+    assert seen == ["s3://b/x", "s3://b/x", "s3://b/x", "file:///x/s3a://y"]
