@@ -13,12 +13,15 @@ before it), and kept if its score reaches its kind's threshold.
 No table says where personal data is, so the trees learn from the texts
 themselves: candidates of a sound shape with free edges are taken as true,
 those of an unsound one as false, and so are true ones that are damaged (a
-wrong check digit, a part out of range, letters glued to it). The sample is
-``DOCUMENTS`` texts of at most ``LENGTH`` characters, those of smallest hash
-that have candidates; half of it is learnt from, half sets the thresholds: for
-each kind the lowest score above which ``PRECISION`` of the candidates are
-true. The trees become one SQL expression, so all texts are scored in a single
-scan without an exchange.
+wrong check digit, a part out of range, letters glued to it). Every candidate
+of every text counts, a repeated text's once; half of the texts are learnt
+from, half set the thresholds: for each kind the lowest score, in steps of
+1/``STEPS``, above which ``PRECISION`` of the candidates are true. Candidates
+of equal features are one example with their number as its weight, so the trees
+pass over far fewer rows than there are candidates. (As always, Spark ML's trees
+take the places where a feature may be split from a sample of the examples;
+gains, leaves and scores come from all of them.) The trees become one SQL
+expression, so all texts are scored in a single scan without an exchange.
 
 Nulls: a null text is empty; a null id stays null. Repeated rows stay repeated
 rows. Very long texts are scanned whole, in time that grows with their length.
@@ -38,12 +41,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .spans import found, masked
 
-DOCUMENTS = 1500
-LENGTH = 20_000
 PRECISION = 0.995
 TREES = 12
 DEPTH = 4
 SEED = 13
+STEPS = 8192  # of a score: so many thresholds are compared (a power of two, so that no score is rounded)
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -67,7 +69,7 @@ NARROW = {
 }
 
 #: What a text must hold to have any candidate at all, a cheap test.
-ANY = r"@|[0-9]{2}|[\[({]at[\])}]"
+ANY = r"@|[0-9][\x20.-]?[0-9]|\+[0-9]|[\[({]at[\])}]"
 
 #: Words before a value that tell its kind.
 CUES = {
@@ -88,8 +90,8 @@ def luhn(number: Column) -> Column:
     """Whether the digits' check digit is right."""
     each = F.transform(
         F.split(F.reverse(number), "(?<=.)(?=.)"),
-        lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(
-            2 * c.cast("int") - F.when(c.cast("int") > 4, F.lit(9)).otherwise(0)
+        lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(  # (no digit: null)
+            2 * c.try_cast("int") - F.when(c.try_cast("int") > 4, F.lit(9)).otherwise(0)
         ),
     )
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
@@ -190,26 +192,16 @@ def _sound(kind: Column, value: Column) -> Column:
     )
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """text, order (its hash) of the ``DOCUMENTS`` texts of smallest hash, each
-    once, among those that may have candidates: their number says up to which
-    hash that many lie, and only texts up to there are gathered."""
-    text = F.col("text").cast("string")
-    texts = docs.select(text.alias("text"), F.xxhash64(text).alias("order")).where(F.length("text") <= LENGTH)
-    some = texts.where(F.col("text").rlike(ANY))
-    n = some.agg(F.approx_count_distinct("order", 0.02).alias("n")).first()["n"]
-    share = min(1.0, 1.5 * DOCUMENTS / max(n, 1))  # (more than enough, whatever the estimate's error)
-    cut = min(2**63 - 1, int(-(2**63) + share * 2**64))
-    near = texts.where(F.col("order") <= cut).where(F.col("text").rlike(ANY))
-    return near.groupBy("order").agg(F.min("text").alias("text")).orderBy("order").limit(DOCUMENTS)
-
-
 def examples(docs: DataFrame) -> DataFrame:
     """kind, features, label, learn (whether it is learnt from, else it sets
-    thresholds): a written table of candidates of the sample."""
-    few = sample(docs)
-    proposed = F.concat(*[candidates(F.col("text"), k, base) for k in KINDS for base in (True, False)])
-    rows = few.select((F.col("order") % 2 == 0).alias("learn"), F.explode(proposed).alias("c")).select("learn", "c.*")
+    thresholds), n (candidates of these features): a written table of the
+    candidates of all texts. Of a text its hash and its candidates move."""
+    text = F.col("text").cast("string")
+    proposed = F.concat(*[candidates(text, k, base) for k in KINDS for base in (True, False)])
+    few = F.transform(proposed, lambda c: F.struct(*[c[n].alias(n) for n in ("kind", "value", "before", "after")]))
+    texts = docs.where(text.rlike(ANY)).select(F.xxhash64(text).alias("order"), few.alias("found"))
+    texts = texts.where(F.size("found") > 0).groupBy("order").agg(F.min("found").alias("found"))
+    rows = texts.select((F.col("order") % 2 == 0).alias("learn"), F.explode("found").alias("c")).select("learn", "c.*")
     free = ~F.col("before").rlike(r"[\p{L}0-9_]$") & ~F.col("after").rlike(r"^[\p{L}0-9_]")
     sound = _sound(F.col("kind"), F.col("value"))
     label = F.when(sound & free, F.lit(1.0)).when(~sound, F.lit(0.0))  # (null: neither)
@@ -236,7 +228,9 @@ def examples(docs: DataFrame) -> DataFrame:
     variants = F.when(F.col("label") == 1, F.concat(own, damaged)).otherwise(own)
     rows = rows.select("learn", "kind", F.explode(variants).alias("v")).select("learn", "kind", "v.*")
     made = features(F.col("kind"), F.col("value"), F.col("before"), F.col("after"))
-    return written(rows.select("learn", "kind", "label", made.alias("features")), "pii-examples")
+    same = ["learn", "kind", "label", "features"]
+    rows = rows.select("learn", "kind", "label", made.alias("features"))
+    return written(rows.groupBy(*same).agg(F.count("*").alias("n")), "pii-examples")
 
 
 @dataclass(frozen=True)
@@ -264,23 +258,25 @@ def as_sql(model: GBTClassificationModel) -> str:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """None if the sample doesn't hold both classes."""
+    """None if the texts learnt from don't hold both classes."""
     rows = examples(docs)
-    learnt = rows.where("learn").select("label", array_to_vector("features").alias("features"))
+    learnt = rows.where("learn").select("label", F.col("n").cast("double").alias("n"), array_to_vector("features").alias("features"))
     if learnt.select("label").distinct().count() < 2:
         return None
-    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, labelCol="label", featuresCol="features")
+    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, labelCol="label", featuresCol="features", weightCol="n")
     score = as_sql(booster.fit(learnt))
-    scored = rows.where("not learn").select("kind", "label", F.expr(f"transform(array(features), f -> {score})[0]").alias("score"))
-    # (trees give few different scores, and the sample is bounded)
-    steps = scored.groupBy("kind", "score").agg(F.sum("label").alias("true"), F.count("*").alias("all")).collect()
+    step = F.expr(f"cast(floor({STEPS} * transform(array(features), f -> {score})[0]) as int)").alias("step")
+    scored = rows.where("not learn").select("kind", "label", "n", step)
+    # at most STEPS + 1 rows for a kind, however many candidates
+    true = F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("true")
+    steps = scored.groupBy("kind", "step").agg(true, F.sum("n").alias("all")).collect()
     thresholds = {}
     for kind in KINDS:
         true = total = 0
-        for row in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["score"]):
+        for row in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"]):
             true, total = true + row["true"], total + row["all"]
             if true >= PRECISION * total:
-                thresholds[kind] = row["score"]
+                thresholds[kind] = row["step"] / STEPS
     return Model(score, thresholds)
 
 

@@ -300,6 +300,21 @@ def test_base_spans_stay_and_rows_too(spark, model):
         assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(b.startswith(k) for b in base) for k in pii.KINDS]
 
 
+def test_base_spans_of_single_digits(spark):
+    rows = [(1, "on 1.2.3.4 the"), (2, "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 x"), (3, "+1 2 3 4 5 6 7 8"), (4, "x 1 y 2")]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(messy.documents(spark, rows), pii.Model("0D", {})).collect()}
+    assert got == {i: ",".join(plain_base(t)) for i, t in rows} and [i for i in got if got[i]] == [1, 2, 3]
+
+
+def test_every_text_gives_examples(spark):
+    rows = [(i, f"le {i // 250 + 1}.{i % 250}.1.2 la") for i in range(4000)]
+    rows += [(4000, "on " * 10_000 + "+1 (212) 555-0100 the"), (4001, "de bo@mail.example.com la"), (4002, "de bo@mail.example.com la")]
+    made = pii.examples(messy.documents(spark, rows)).where("label = 1")
+    # a base and a narrow candidate of each; a text that repeats counts once
+    n = {r["kind"]: r["n"] for r in made.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    assert n == {"ip": 2 * 4000, "phone": 2, "email": 1}
+
+
 def test_personal_data_of_an_empty_table(spark):
     assert pii.report(messy.empty(spark)).count() == 0
     assert pii.fit(messy.documents(spark, [(1, None), (2, "")])) is None
