@@ -50,12 +50,17 @@ def py_round(x: Column) -> Column:
     return (f + F.when(d > 0.5, 1).when(d < 0.5, 0).otherwise(F.pmod(f, F.lit(2)))).cast("long")
 
 
-def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool) -> DataFrame:
+def _attach(d: DataFrame, small: DataFrame, groups: list[str], grouped: bool, few: bool = False) -> DataFrame:
     """Attach per-group parameters. With group keys: an equi-join to the table
     of one row per group; dealt out by its keys first, so that AQE has its
     measured size and broadcasts it unless there are very many groups.
+    ``few``: there are a handful of groups at most, whatever the input. Their
+    table is broadcast, since a join dealt by so few keys would put all rows
+    (a cached frame, too) into as few tasks.
     Without: the single row is a scalar subquery evaluated once -- no join at
     all."""
+    if grouped and few:
+        return d.join(F.broadcast(small), groups, "inner")  # a row per group
     if grouped:
         return d.join(small.repartition(*groups), groups, "inner")
     cols = [c for c in small.columns if c not in groups]
@@ -117,12 +122,14 @@ def flag_top_n(
     bucket_hex: int = 4,
     hash_col: str | None = None,
     n_col: str | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Add boolean ``out``: row is among the n smallest (h, keys) of its group.
 
     ``n`` is an int; or ``n_col`` names a per-group column already on the
     rows; or ``n_from_total(total_col) -> Column`` derives n from the group
-    size. Sizes and bucket counts come from one aggregation pass.
+    size. Sizes and bucket counts come from one aggregation pass. ``few``: the
+    groups are a handful at most, whatever the input (two classes).
     """
     g = list(groups) or ["_g"]
     d = df if groups else df.withColumn("_g", F.lit(0))
@@ -131,7 +138,7 @@ def flag_top_n(
         d = d.withColumn(h, hash_key(seed, *keys))
     d, place, cut, last = _cuts(d, g, h, keys, n, n_from_total, bucket_hex, n_col)
     if groups:
-        d = _attach(d, cut.select(*g, "_n").join(last, g, "left"), g, True)
+        d = _attach(d, cut.select(*g, "_n").join(last, g, "left"), g, True, few)
     else:
         d = _attach(_attach(d, cut.select(*g, "_n"), g, False), last, g, False)
     keep = F.when(F.col("_last").isNull(), F.col("_n") > 0).otherwise(place <= F.col("_last"))
@@ -157,7 +164,7 @@ def undersample(df: DataFrame, ratio: float = 0.7, seed=42, groups: Sequence[str
     Both classes go through one grouped pass (target = all positives)."""
     lab = F.col(label)
     target = lambda t: F.when(lab == 1, t).otherwise(py_round(F.lit(float(ratio)) * t.cast("double")))
-    out = flag_top_n(df.filter(lab.isin(0, 1)), [*groups, label], seed=seed, n_from_total=target)
+    out = flag_top_n(df.filter(lab.isin(0, 1)), [*groups, label], seed=seed, n_from_total=target, few=not groups)
     return _with_copy(out.filter(F.col("_sel")).drop("_sel"))
 
 
@@ -209,7 +216,7 @@ def balance(df: DataFrame, neg_ratio: float = 0.5, seed=42, groups: Sequence[str
     # one grouped pass over both classes: positives draw r extra copies,
     # negatives draw neg_t rows
     d = d.withColumn("_target", F.when(F.col(label) == 1, F.col("_r")).otherwise(F.col("_neg_t")))
-    d = flag_top_n(d, [*g, label], seed=seed, n_col="_target")
+    d = flag_top_n(d, [*g, label], seed=seed, n_col="_target", few=not g)
     copies = F.when(F.col(label) == 1, F.col("_q") + F.col("_sel").cast("int")).otherwise(F.col("_sel").cast("int"))
     d = d.withColumn("_copies", copies).drop("_sel", "_target")
     return _explode_copies(d).drop("_q", "_r", "_neg_t")

@@ -96,3 +96,15 @@ def test_length_batches_bounded(spark):
     b = R.length_batches(o, 8, 42, 5)
     sizes = [r["count"] for r in b.groupBy("batch").count().collect()]
     assert max(sizes) <= 8 and sum(sizes) == o.count()
+
+
+def test_cached_samples_stay_in_many_partitions(spark):
+    # the two classes' table must not deal all rows by class into two tasks
+    df = spark.range(4000).selectExpr("id AS example_id", "CAST(id % 3 = 0 AS INT) AS label").repartition(8)
+    for strategy in ("undersample", "balanced"):
+        rows = R.resample(df, strategy, 42).persist()
+        try:
+            sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            rows.unpersist()
+        assert len(sizes) == 8 and max(sizes) < sum(sizes) / 4, (strategy, sizes)
