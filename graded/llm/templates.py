@@ -74,6 +74,25 @@ def token_of(raw: str) -> tuple[int, int, int, str, int]:
     """(hash of the literal, kind by itself, flags, value, hash of the value
     with its sign, or of an operator) of a raw token.
     Flags: 1 could be a name, 2 could be a unit, 4 ends a sentence, 8 empty."""
+    if raw.isalpha():
+        return _word(raw, 0)
+    if raw[-1:] in (".", ",") and raw[:-1].isalpha():
+        return _word(raw[:-1], 4 if raw[-1] == "." else 0)
+    return _any_token(raw)
+
+
+def _word(bare: str, flags: int) -> tuple[int, int, int, str, int]:
+    """A token of letters alone: most are, and it needs no pattern."""
+    value = bare.lower()
+    if bare[0].isupper() and (len(bare) == 1 or not any(map(str.isupper, bare[1:]))):
+        flags |= 1
+    if value in UNITS:
+        flags |= 2
+    code = _short_hash(value)
+    return code, LITERAL, flags, value, code
+
+
+def _any_token(raw: str) -> tuple[int, int, int, str, int]:
     ends = 4 if _END.search(raw) else 0
     bare = _EDGES.sub("", raw)
     if raw == "%":
@@ -92,7 +111,8 @@ def token_of(raw: str) -> tuple[int, int, int, str, int]:
         if value in UNITS:
             flags |= 2
     sign = _SIGN.search(raw[: raw.index(bare) + 1]) if bare[0].isdigit() else None
-    return _short_hash(value), kind, flags, value, _short_hash((sign[0] if sign else "") + value)
+    code = _short_hash(value)
+    return code, kind, flags, value, _short_hash(sign[0] + value) if sign else code
 
 
 def _short_hash(text: str) -> int:

@@ -336,3 +336,11 @@ def test_templates_against_plain_windows(spark):
             if hit and hit >= templates.SHARE * len(ours):
                 want[d, i] = (len(ours), hit)
     assert got == want and want
+
+
+def test_words_of_letters_need_no_pattern():
+    rng = random.Random(4)
+    letters = "aAbZéÉßǅ二ªⅣ٣5²%.,:;!?\"')]-+$€_İıſ"
+    raws = ["The", "km", "km.", "%", "5", "I", "aB", "é.", "x,", "...", "-5", "USA", "٣"]
+    raws += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(20_000)]
+    assert [templates.token_of(r) for r in raws] == [templates._any_token(r) for r in raws]
