@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, ship_package, sort_key, written
@@ -53,6 +53,7 @@ CHUNK = 30_000  # rows compared at a time, and at least one run
 BITS = 24  # the bitmap of large runs has 2^BITS bits (2 MB)
 MEMORY = 400_000  # remembered words, then the memory starts anew
 BATCH = 2_000_000  # characters at a time, and at least one text
+PLACES = 20_000  # suffixes cut out at a time (10 MB)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
@@ -75,31 +76,42 @@ class Words:
     def __init__(self):
         self._memory: dict[str, int] = {}
 
-    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text number) of each word."""
-        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        split = pc.utf8_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self._memory) > MEMORY:
             self._memory.clear()
         known = self._memory
-        for w in distinct:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w.encode())
-        table = np.array([known[w] for w in distinct], dtype=np.uint64)
+        found = list(map(known.get, distinct))
+        for n, h in enumerate(found):
+            if h is None:
+                w = distinct[n]
+                known[w] = found[n] = xxhash.xxh64_intdigest(w.encode())
+        table = np.fromiter(found, dtype=np.uint64, count=len(found))
         at = coded.indices.to_numpy()
         owner = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
-        empty = np.array([w == "" for w in distinct], dtype=bool)
+        empty = pc.equal(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
         if empty.any():
             kept = ~empty[at]
             at, owner = at[kept], owner[kept]
         return table[at], owner
 
 
+def all_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words that :class:`Words` counts, of all texts in one array, and
+    where each text's begin (one more entry than texts)."""
+    split = pc.utf8_split_whitespace(texts)
+    flat, begins = split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])
+    kept = pc.not_equal(pc.binary_length(flat), 0)
+    upto = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+    return flat.filter(kept), upto[begins]
+
+
 def words_of(text: str) -> list[str]:
-    """The words that :class:`Words` counts."""
-    split = pc.utf8_split_whitespace(pa.array([text], pa.large_string()))
-    return [w for w in split.flatten().to_pylist() if w]
+    """The words of one text."""
+    return all_words(pa.array([text], pa.large_string()))[0].to_pylist()
 
 
 def minimisers(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +133,7 @@ def minimisers(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, at[first]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Rows of about ``BATCH`` characters at a time, with their texts (the
     third column; none: empty)."""
     for batch in batches:
@@ -130,7 +142,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         while a < batch.num_rows:
             b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH, "right")))
             some = batch.slice(a, b - a)
-            yield some, [t or "" for t in some.column(2).to_pylist()]
+            yield some, pc.fill_null(some.column(2), "").cast(pa.large_string())
             a = b
 
 
@@ -187,6 +199,11 @@ def sample(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, tie long, pos int, lo byte, hi byte, hash long")
 
 
+def _document() -> Column:
+    """A hash of a document (key, tie)."""
+    return F.xxhash64("key", "tie")
+
+
 def _bitmap(hashes: DataFrame) -> np.ndarray | None:
     """Bits of the leading ``BITS`` bits of each hash; None without hashes.
     At most 2^BITS / 64 rows are collected, whatever the number of hashes."""
@@ -194,30 +211,38 @@ def _bitmap(hashes: DataFrame) -> np.ndarray | None:
     cells = (
         hashes.groupBy(F.shiftright(spot, 6).alias("cell"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(hash, {64 - BITS}) & 63))")).alias("bits"))
-        .collect()
+        .toArrow()
     )
     out = np.zeros(2 ** (BITS - 6), dtype=np.uint64)
-    for c in cells:
-        out[c["cell"]] = np.int64(c["bits"]).view(np.uint64)
-    return out if cells else None
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().view(np.uint64)
+    return out if cells.num_rows else None
 
 
-def passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """key, tie, start (word), one, two (a hash of 128 bits): every passage of
-    ``PASSAGE`` words whose first minimiser's ``RIGHT`` words are in the bitmap.
-    A bit set by another hash gives passages more to count, not wrong ones."""
+def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash's bit is set."""
+    spot = (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def passages(rows: DataFrame, bitmap: np.ndarray, docs: np.ndarray) -> DataFrame:
+    """key, tie, start (word), hash, one, two (a hash of 128 bits): every passage
+    of ``PASSAGE`` words in a document whose bit is in ``docs`` and whose first
+    minimiser's ``RIGHT`` words are in ``bitmap``; ``hash`` is theirs. A bit set
+    by another hash gives passages that the caller drops by ``hash``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for some, texts in _batches(batches):
+        some_docs = (b.filter(pa.array(_set(docs, b.column(3).to_numpy().view(np.uint64)))) for b in batches)
+        for some, texts in _batches(some_docs):
             code, owner = words.codes(texts)
             start, at = minimisers(code, owner)
             fits = start + PASSAGE <= len(code)
             start, at = start[fits], at[fits]
             fits = owner[start] == owner[start + PASSAGE - 1]
             start, at = start[fits], at[fits]
-            spot = (prefix_hashes(code, at, RIGHT) >> np.uint64(64 - BITS)).astype(np.int64)
-            start = start[(bitmap[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) > 0]
+            hashes = prefix_hashes(code, at, RIGHT)
+            hot = _set(bitmap, hashes)
+            start, hashes = start[hot], hashes[hot].view(np.int64)
             begins = np.searchsorted(owner, np.arange(some.num_rows))
             one = prefix_hashes(code, start, PASSAGE).view(np.int64)
             two = prefix_hashes(_mix(code), start, PASSAGE).view(np.int64)
@@ -228,23 +253,30 @@ def passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
                         some.column(0).take(who),
                         some.column(1).take(who),
                         pa.array((start[b] - begins[owner[start[b]]]).astype(np.int32)),
+                        pa.array(hashes[b]),
                         pa.array(one[b]),
                         pa.array(two[b]),
                     ],
-                    ["key", "tie", "start", "one", "two"],
+                    ["key", "tie", "start", "hash", "one", "two"],
                 )
 
-    return rows.mapInArrow(run, "key long, tie long, start int, one long, two long")
+    return rows.select("key", "tie", "text", _document().alias("doc")).mapInArrow(
+        run, "key long, tie long, start int, hash long, one long, two long"
+    )
 
 
 FOUND = "key long, tie long, start int, end int, class_key long, class_tie long, class_start int, partner long"
 
 
-def counted_passages(rows: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """``FOUND``: the passages of large runs that two documents or more have."""
+def counted_passages(rows: DataFrame, kept: DataFrame, large: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """``FOUND``: the passages of large runs that two documents or more have.
+    ``large``: the hashes of those runs, one for ``EDGE`` rows of ``kept`` at
+    most; only texts with such a suffix are looked at."""
     # (written tables: texts are read once, and Spark can split a hot passage's
     # rows in the joins)
-    made = written(passages(rows, bitmap), "hot-passages")
+    hashes = F.broadcast(large.select("hash"))
+    docs = _bitmap(kept.join(hashes, "hash", "left_semi").select(_document().alias("hash")))
+    made = written(passages(rows, bitmap, docs).join(hashes, "hash", "left_semi").drop("hash"), "hot-passages")
     doc, place = F.struct("key", "tie"), F.struct("key", "tie", "start")
     groups = written(
         made.groupBy("one", "two")
@@ -276,26 +308,36 @@ def cut_out(rows: DataFrame) -> DataFrame:
     each place, ``PASSAGE`` at most, and those left of it, ``LEFT`` at most,
     nearest first."""
 
+    def joined(words: pa.Array, begin: np.ndarray, count: np.ndarray, step: int) -> pa.Array:
+        """``count`` words from each index on, ahead (``step`` 1) or back (-1)."""
+        ends = np.cumsum(count)
+        at = np.repeat(begin - step * (ends - count), count) + step * np.arange(ends[-1])
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], ends]), words.take(pa.array(at)))
+        return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                words = words_of(batch.column(2)[n].as_py() or "")
-                places = sorted({(x["pos"], x["lo"], x["hi"], x["hash"]) for x in batch.column(3)[n].as_py()})
-                for a in range(0, len(places), 5000):
-                    some = [x[0] for x in places[a : a + 5000]]
-                    yield pa.record_batch(
-                        [
-                            pa.array([batch.column(0)[n].as_py()] * len(some), pa.int64()),
-                            pa.array([batch.column(1)[n].as_py()] * len(some), pa.int64()),
-                            pa.array(some, pa.int32()),
-                            pa.array([x[1] for x in places[a : a + 5000]], pa.int8()),
-                            pa.array([x[2] for x in places[a : a + 5000]], pa.int8()),
-                            pa.array([x[3] for x in places[a : a + 5000]], pa.int64()),
-                            pa.array([" ".join(words[p : p + PASSAGE]) for p in some], pa.string()),
-                            pa.array([" ".join(words[max(0, p - LEFT) : p][::-1]) for p in some], pa.string()),
-                        ],
-                        ["key", "tie", "pos", "lo", "hi", "hash", "right", "left"],
-                    )
+        for some, texts in _batches(batches):
+            words, begins = all_words(texts)
+            lists = some.column(3)
+            owner = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy())
+            pos, lo, hi, hashed = lists.flatten().flatten()
+            place = pos.to_numpy()
+            order = np.lexsort((place, owner))
+            for a in range(0, len(order), PLACES):
+                b = order[a : a + PLACES]
+                who, at = owner[b], begins[owner[b]] + place[b]
+                row, index = pa.array(who), pa.array(b)
+                ahead, back = np.minimum(begins[who + 1] - at, PASSAGE), np.minimum(place[b], LEFT)
+                yield pa.record_batch(
+                    [
+                        some.column(0).take(row),
+                        some.column(1).take(row),
+                        *[c.take(index) for c in (pos, lo, hi, hashed)],
+                        joined(words, at, ahead, 1),
+                        joined(words, at - 1, back, -1),
+                    ],
+                    ["key", "tie", "pos", "lo", "hi", "hash", "right", "left"],
+                )
 
     return rows.select("key", "tie", "text", "places").mapInArrow(run, SUFFIX)
 
@@ -449,8 +491,9 @@ def intervals(docs: DataFrame) -> DataFrame:
         .sortWithinPartitions("right", "left", "key", "tie", "pos")
         .mapInArrow(lambda it: _compare_sorted(it, chunk), FOUND)
     )
-    large = _bitmap(repeated.where(F.col("n") > EDGE))
-    return found if large is None else found.unionAll(counted_passages(rows, large))
+    large = repeated.where(F.col("n") > EDGE)
+    bitmap = _bitmap(large)
+    return found if bitmap is None else found.unionAll(counted_passages(rows, kept, large, bitmap))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

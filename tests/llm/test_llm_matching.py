@@ -5,6 +5,7 @@ import re
 
 import messy
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from graded.llm import components, simhash, suffixes, templates
@@ -224,6 +225,61 @@ def test_repeats_that_extend_left_of_a_large_run(spark, monkeypatch, n, edge, pa
     assert {r.doc_id: r.partner_id for r in found if r.doc_id >= n} == {i: i ^ 1 for i in range(n, n + 60)}
 
 
+class Tasks:
+    """Stands for a table of one partition: runs a task's function here."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+def test_suffixes_of_many_texts_are_cut_out_at_once():
+    rng = random.Random(5)
+    texts = [None, "", "  \n", *(rng.choice([" ", "\n ", "\u2003"]).join(messy.words(rng, rng.randrange(20, 300)).split()) for _ in range(200))]
+    places = [sorted(rng.sample(range(n - 18), min(n - 18, 6))) if (n := len(suffixes.words_of(t or ""))) > 18 else [] for t in texts]
+    given = [[{"pos": p, "lo": 0, "hi": p % 32, "hash": p * 7} for p in reversed(x)] for x in places]
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("lo", pa.int8()), ("hi", pa.int8()), ("hash", pa.int64())]))
+    n = len(texts)
+    batch = pa.record_batch(
+        [pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array(texts, pa.string()), pa.array(given, kind)],
+        ["key", "tie", "text", "places"],
+    )
+    made = suffixes.cut_out(Tasks(batch))
+    want = []
+    for i, (t, x) in enumerate(zip(texts, places, strict=True)):
+        w = (t or "").split()
+        for p in x:
+            right, left = " ".join(w[p : p + 50]), " ".join(w[max(0, p - 31) : p][::-1])
+            want.append({"key": i, "tie": i, "pos": p, "lo": 0, "hi": p % 32, "hash": p * 7, "right": right, "left": left})
+    assert [r for b in made for r in b.to_pylist()] == want
+    assert len(made) == 1  # not one for each text
+
+
+def test_large_runs_look_at_their_own_texts_only(spark):
+    rng = random.Random(6)
+    notice = messy.words(rng, 60)
+    rows = [(i, f"{messy.words(rng, 40)} {notice} {messy.words(rng, 40)}") for i in range(12)]
+    rows += [(100 + i, messy.words(rng, 200)) for i in range(30)]
+    rows += [(200 + i, rows[20][1]) for i in range(3)]
+    docs = suffixes._documents(messy.documents(spark, rows))
+    kept = suffixes.sample(docs).cache()
+    large = kept.groupBy("hash").count().where("count >= 12").cache()
+    every = np.full(2 ** (suffixes.BITS - 6), 2**64 - 1, dtype=np.uint64)
+    exact = suffixes._bitmap(large)
+    own = suffixes._bitmap(kept.join(large, "hash", "left_semi").select(suffixes._document().alias("hash")))
+    read = {r.key for r in suffixes.passages(docs, every, own).select("key").distinct().collect()}
+    assert read == set(range(12))
+    # bits that other hashes set change no row
+    some = suffixes.counted_passages(docs, kept, large, exact).collect()
+    assert sorted(map(str, suffixes.counted_passages(docs, kept, large, every).collect())) == sorted(map(str, some))
+    assert {r.key for r in some} == set(range(12))
+
+
 def test_repeats_need_two_documents(spark):
     rng = random.Random(4)
     p = messy.words(rng, 80)
