@@ -3,14 +3,17 @@
 A byte-level BPE first cuts a text by a fixed pattern; merges never cross a
 cut. A space that is followed by a character other than white space always
 starts a new piece there, so a text may be split at such spaces ("chunks") and
-each distinct chunk encoded once. Texts with other white-space runs are cut by
-the pattern directly.
+each distinct chunk of many texts cut once. Without an apostrophe, pieces are
+the runs of letters, of numbers, of white space and of other characters, seen
+from all chunks' characters in one array. Chunks with one are cut by the
+pattern, like texts with other white-space runs.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,24 @@ import regex
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _PIECES = regex.compile(PATTERN)
+SPACE = 3  # number of white space in ``kinds``
 # white space after a space, or a space that ends the text
-_ODD_SPACE = regex.compile(r" (?:\s|$)")
+_ODD_SPACE = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)"
 KEEP = 64  # characters; longer chunks are rare and aren't remembered
 MEMORY = 400_000  # remembered chunks, and as many pieces
 
 
+@cache
+def kinds() -> np.ndarray:
+    """The kind of each code point, as the pattern sees it."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(len(every), dtype=np.uint8)
+    for n, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = n
+    return out
+
+
 class _Memory:
     """A bounded mapping: it takes what comes until it is full, and keeps it.
     The strings that most texts share come early."""
@@ -41,6 +56,12 @@ class _Memory:
         self.known.update(zip(keys, ids, strict=True))
         return [k for n, k in enumerate(keys) if n >= room or len(k) > KEEP]
 
+    def keep(self, keys: list[str], ids: list[bytes]) -> None:
+        """Add ids as far as there is room."""
+        room = self._size - len(self.known)
+        if room > 0:
+            self.known.update((k, x) for k, x in zip(keys[:room], ids) if len(k) <= KEEP)
+
     def forget(self, keys: list[str]) -> None:
         pop = self.known.pop
         for k in keys:
@@ -89,6 +110,45 @@ class ChunkEncoder:
                 return True
         return False
 
+    def _encode_runs(self, chunks: pa.Array) -> list[bytes]:
+        """Ids of chunks without an apostrophe, each with a space before it."""
+        if not len(chunks):
+            return []
+        none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+        spaced = pc.binary_join_element_wise(none, chunks, space)
+        size = pc.utf8_length(spaced).to_numpy().astype(np.int64)
+        begins = np.cumsum(size) - size
+        whole = pa.LargeListArray.from_arrays(pa.array([0, len(spaced)], pa.int64()), spaced)
+        text = pc.binary_join(whole, none)[0].as_buffer()
+        points = np.frombuffer(str(text, "utf-8").encode("utf-32-le"), dtype="<u4")
+        kind = kinds()[points]
+        more = begins[size > 1]
+        kind[more] = kind[more + 1]  # the space goes with what follows it
+        opens = np.zeros(len(points), dtype=bool)
+        opens[begins] = True
+        new = opens.copy()
+        new[1:] |= kind[1:] != kind[:-1]
+        # of white space before something else, the last character stands alone
+        new[:-1] |= (kind[:-1] == SPACE) & new[1:] & ~opens[1:]
+        start = np.flatnonzero(new)
+        width = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF).astype(np.int64))
+        offsets = np.concatenate([[0], width[start[1:] - 1], width[-1:]])
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), text)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self._pieces.known
+        ids = list(map(known.get, distinct))
+        at = [n for n, x in enumerate(ids) if x is None]
+        todo = [distinct[n] for n in at]
+        learnt = self._encode_pieces(todo)
+        for n, x in zip(at, learnt, strict=True):
+            ids[n] = x
+        self._pieces.keep(todo, learnt)
+        flat, ends = gather(ids, coded.indices.to_numpy(), 4, "<u4")
+        raw = flat.tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[np.searchsorted(start, begins)]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+
     def _learn(self, cuts: list[list[str]]) -> list[bytes]:
         """Ids of these cut texts or chunks."""
         known = self._pieces.known
@@ -103,29 +163,36 @@ class ChunkEncoder:
         """All ids one after another, and where each text's begin (one more
         entry than texts: the last is the number of ids)."""
         known = self._chunks.known
-        odd = [n for n, t in enumerate(texts) if _ODD_SPACE.search(t) or self._has_special(t)]
-        plain = list(texts)
-        for n in odd:
-            plain[n] = ""
-        split = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        given = pa.array(texts, pa.large_string())
+        unusual = pc.match_substring_regex(given, _ODD_SPACE)
+        for special in self._specials:
+            unusual = pc.or_(unusual, pc.match_substring(given, special))
+        odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False))
+        first = np.flatnonzero(~unusual.to_numpy(zero_copy_only=False))
+        split = pc.split_pattern(pc.if_else(unusual, "", given) if len(odd) else given, " ")
         starts = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
         at = coded.indices.to_numpy().astype(np.int64)
         # the first chunk has no space before it, all others have
-        heads = [self._cut(texts[n]) for n in odd]
-        odd_set = set(odd)
-        first = [n for n in range(len(texts)) if n not in odd_set]
-        heads += [_PIECES.findall(distinct[at[starts[n]]]) for n in first]
-
-        ids = list(map(known.get, distinct))
-        todo = [c for c, x in zip(distinct, ids, strict=True) if x is None]
-        learnt = self._learn([*map(_cut_chunk, todo), *heads])
-        extra = self._chunks.learn(todo, learnt[: len(todo)])
-        ids = [known[c] if x is None else x for c, x in zip(distinct, ids, strict=True)]
+        heads = distinct.take(pa.array(at[starts[first]])).to_pylist()
+        cuts = [self._cut(texts[n]) for n in odd.tolist()] + list(map(_PIECES.findall, heads))
+
+        quoted = pc.match_substring(distinct, "'")
+        chunks = distinct.filter(quoted).to_pylist()
+        ids = list(map(known.get, chunks))
+        todo = [c for c, x in zip(chunks, ids, strict=True) if x is None]
+        learnt = self._learn([*[_PIECES.findall(" " + c) for c in todo], *cuts])
+        self._chunks.keep(todo, learnt[: len(todo)])
+        new = iter(learnt)
+        ids = [next(new) if x is None else x for x in ids]
+        ids += self._encode_runs(distinct.filter(pc.invert(quoted)))
         ids += learnt[len(todo) :]
-        self._chunks.forget(extra)
-        at[starts[np.array([*odd, *first], dtype=np.int64)]] = len(distinct) + np.arange(len(texts))
+        place = np.empty(len(distinct), dtype=np.int64)
+        kept = quoted.to_numpy(zero_copy_only=False)
+        place[np.concatenate([np.flatnonzero(kept), np.flatnonzero(~kept)])] = np.arange(len(distinct))
+        at = place[at]
+        at[starts[np.concatenate([odd, first])]] = len(distinct) + np.arange(len(texts))
         flat, ends = gather(ids, at, 4, "<u4")
         return flat, np.concatenate([[0], ends])[starts]
 
@@ -143,16 +210,6 @@ def gather(parts: list[bytes], at: np.ndarray, width: int, dtype: str) -> tuple[
     return items[shift], ends
 
 
-def _cut_chunk(chunk: str) -> list[str]:
-    """Pieces of a chunk and the space before it. A run of letters is one
-    piece, and a full stop or comma after it another."""
-    if chunk.isalpha():
-        return [" " + chunk]
-    if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
-        return [" " + chunk[:-1], chunk[-1]]
-    return _PIECES.findall(" " + chunk)
-
-
 def read_tokenizer(path: str) -> dict:
     """A tokenizer file, on the machine that calls this. The path is the same
     on every machine, like any installed file."""

@@ -44,6 +44,7 @@ MAGIC = b"WVLT0001"
 SHARD_IDS = 4_000_000  # a file rolls over between documents once it has as many
 BLOCK = 8192  # bytes of a plane in one compressed block
 BITS = 8 * BLOCK
+PIECES = 800_000  # remembered pieces (160 MB)
 
 
 class WaveletMatrix:
@@ -206,7 +207,7 @@ class LibraryEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.width = max(1, (self._tokenizer.get_vocab_size() - 1).bit_length())
-        self._chunks = ChunkEncoder(self._pieces, special_ids(read_tokenizer(path)))
+        self._chunks = ChunkEncoder(self._pieces, special_ids(read_tokenizer(path)), PIECES)
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)

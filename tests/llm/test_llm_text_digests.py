@@ -9,7 +9,8 @@ from collections import Counter
 import messy
 import numpy as np
 import pytest
-from graded.llm import bpe, secret_scan, syncmers, wavelet
+import regex
+from graded.llm import bpe, pretokens, secret_scan, syncmers, wavelet
 from graded.llm.catalog import tokenizer_path
 from graded.llm.common import fresh_path
 
@@ -55,6 +56,30 @@ def test_lockstep_and_single_pieces_agree():
         assert np.frombuffer(ids, dtype="<u4").tolist() == bpe.encode_one(p, merges)
 
 
+def test_chunks_are_cut_from_arrays_as_the_pattern_cuts(monkeypatch):
+    number = {}
+    asked = []
+
+    def encode(pieces):
+        asked.extend(pieces)
+        return [number.setdefault(p, len(number)).to_bytes(4, "little") for p in pieces]
+
+    chunks = pretokens.ChunkEncoder(encode, {"<|endoftext|>": 50256})
+    plain = [t for t in odd_texts(800) if "<|endoftext|>" not in t]
+    plain += ["a b\n\nc d.\n e1,2½x \u4e00\u3000\n\u85f0", "x\u0085y z\u00a0\u00a0w v\n\n", "\n\nfirst of", "it's don't 'tis"]
+    texts = [plain[n] for n in np.random.default_rng(0).permutation(len(plain))]
+    flat, starts = chunks.encode(texts)
+    word = {n: p for p, n in number.items()}
+    for t, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        assert [word[x] for x in flat[a:b].tolist()] == pretokens._PIECES.findall(t), repr(t)
+    # only first chunks and those with an apostrophe meet the pattern
+    seen = []
+    pattern = type("Pattern", (), {"findall": staticmethod(lambda t: seen.append(t) or regex.findall(pretokens.PATTERN, t))})
+    monkeypatch.setattr(pretokens, "_PIECES", pattern)
+    chunks.encode(["one two, three.\nFour 5 six-seven she'd"] * 3)
+    assert set(seen) == {"one", " she'd"}
+
+
 def test_bpe_memory_turns_over():
     small = bpe.Bpe(tokenizer_path())
     small._chunks._chunks._size = small._chunks._pieces._size = 5
