@@ -110,10 +110,11 @@ class ChunkEncoder:
                 return True
         return False
 
-    def _encode_runs(self, chunks: pa.Array) -> list[bytes]:
-        """Ids of chunks without an apostrophe, each with a space before it."""
+    def _encode_runs(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks without an apostrophe, each with a space before it,
+        one after another, and their number in each."""
         if not len(chunks):
-            return []
+            return np.empty(0, dtype="<u4"), np.empty(0, dtype=np.int64)
         none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
         spaced = pc.binary_join_element_wise(none, chunks, space)
         size = pc.utf8_length(spaced).to_numpy().astype(np.int64)
@@ -145,9 +146,8 @@ class ChunkEncoder:
             ids[n] = x
         self._pieces.keep(todo, learnt)
         flat, ends = gather(ids, coded.indices.to_numpy(), 4, "<u4")
-        raw = flat.tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[np.searchsorted(start, begins)]).tolist()
-        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(start, begins)]
+        return flat, np.diff(cuts, append=len(flat))
 
     def _learn(self, cuts: list[list[str]]) -> list[bytes]:
         """Ids of these cut texts or chunks."""
@@ -159,11 +159,11 @@ class ChunkEncoder:
         self._pieces.forget(extra)
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and where each text's begin (one more
         entry than texts: the last is the number of ids)."""
         known = self._chunks.known
-        given = pa.array(texts, pa.large_string())
+        given = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         unusual = pc.match_substring_regex(given, _ODD_SPACE)
         for special in self._specials:
             unusual = pc.or_(unusual, pc.match_substring(given, special))
@@ -176,7 +176,7 @@ class ChunkEncoder:
         at = coded.indices.to_numpy().astype(np.int64)
         # the first chunk has no space before it, all others have
         heads = distinct.take(pa.array(at[starts[first]])).to_pylist()
-        cuts = [self._cut(texts[n]) for n in odd.tolist()] + list(map(_PIECES.findall, heads))
+        cuts = list(map(self._cut, given.take(pa.array(odd)).to_pylist())) + list(map(_PIECES.findall, heads))
 
         quoted = pc.match_substring(distinct, "'")
         chunks = distinct.filter(quoted).to_pylist()
@@ -186,23 +186,34 @@ class ChunkEncoder:
         self._chunks.keep(todo, learnt[: len(todo)])
         new = iter(learnt)
         ids = [next(new) if x is None else x for x in ids]
-        ids += self._encode_runs(distinct.filter(pc.invert(quoted)))
         ids += learnt[len(todo) :]
-        place = np.empty(len(distinct), dtype=np.int64)
-        kept = quoted.to_numpy(zero_copy_only=False)
-        place[np.concatenate([np.flatnonzero(kept), np.flatnonzero(~kept)])] = np.arange(len(distinct))
-        at = place[at]
-        at[starts[np.concatenate([odd, first])]] = len(distinct) + np.arange(len(texts))
-        flat, ends = gather(ids, at, 4, "<u4")
+        runs, sizes = self._encode_runs(distinct.filter(pc.invert(quoted)))
+        if chunks:
+            place = np.empty(len(distinct), dtype=np.int64)
+            kept = quoted.to_numpy(zero_copy_only=False)
+            place[np.flatnonzero(~kept)] = np.arange(len(sizes))
+            place[np.flatnonzero(kept)] = len(sizes) + np.arange(len(chunks))
+            at = place[at]
+        at[starts[np.concatenate([odd, first])]] = len(distinct) + np.arange(len(given))
+        items = np.concatenate([runs, np.frombuffer(b"".join(ids), dtype="<u4")])
+        flat, ends = picked(items, np.concatenate([sizes, lengths(ids) // 4]), at)
         return flat, np.concatenate([[0], ends])[starts]
 
 
+def lengths(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+
+
 def gather(parts: list[bytes], at: np.ndarray, width: int, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """``parts[at[0]] + parts[at[1]] + ...`` as an array of items of ``width``
     bytes, and the number of items up to and with each."""
-    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // width
+    return picked(np.frombuffer(b"".join(parts), dtype=dtype), lengths(parts) // width, at)
+
+
+def picked(items: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``items`` are runs of these sizes. The runs ``at[0]``, ``at[1]``, ...
+    one after another, and the number of items up to and with each."""
     begin = np.cumsum(sizes) - sizes
-    items = np.frombuffer(b"".join(parts), dtype=dtype)
     n = sizes[at]
     ends = np.cumsum(n)
     shift = np.repeat(begin[at] - (ends - n), n)

@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_KEY, fresh_path, key_bounds, range_count, range_of, ship_package, sort_key, written
+from .bpe import byte_symbols
 from .files import get_file, put_file
-from .pretokens import ChunkEncoder, read_tokenizer, special_ids
+from .pretokens import KEEP, ChunkEncoder, read_tokenizer, special_ids
 
 MAGIC = b"WVLT0001"
 SHARD_IDS = 4_000_000  # a file rolls over between documents once it has as many
 BLOCK = 8192  # bytes of a plane in one compressed block
 BITS = 8 * BLOCK
 PIECES = 800_000  # remembered pieces (160 MB)
+JOINED = 256  # pieces in one text for the library
 
 
 class WaveletMatrix:
@@ -195,7 +197,11 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
 
 
 class LibraryEncoder:
-    """Ids by the tokenizers library, each distinct piece encoded by it."""
+    """Ids by the tokenizers library, each distinct piece encoded by it.
+
+    Short pieces of a space and other characters go to it many in one text: it
+    starts a piece at each of those spaces, and of a piece's ids the first one
+    alone begins with a space. So the text's ids are dealt to its pieces."""
 
     def __init__(self, path: str):
         import os
@@ -207,21 +213,44 @@ class LibraryEncoder:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self.width = max(1, (self._tokenizer.get_vocab_size() - 1).bit_length())
-        self._chunks = ChunkEncoder(self._pieces, special_ids(read_tokenizer(path)), PIECES)
+        spec = read_tokenizer(path)
+        vocab, space = spec["model"]["vocab"], byte_symbols()[32]
+        self._spaced = np.zeros(1 << self.width, dtype=bool)
+        self._spaced[[i for s, i in vocab.items() if s.startswith(space)]] = True
+        self._chunks = ChunkEncoder(self._pieces, special_ids(spec), PIECES)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after another, and how many each text has."""
+        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), dtype="<u4"), np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`_library`, for pieces of a space and other characters."""
+        flat, _ = self._library(["".join(pieces[a : a + JOINED]) for a in range(0, len(pieces), JOINED)])
+        first = np.flatnonzero(self._spaced[flat])
+        if len(first) != len(pieces):  # a vocabulary without a space, or a special token with one
+            return self._library(pieces)
+        return flat, np.diff(first, append=len(flat))
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        ends = (4 * np.cumsum([len(x) for x in ids], dtype=np.int64)).tolist()
-        raw = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joins = [p[0] == " " and 1 < len(p) <= KEEP and not p[1].isspace() for p in pieces]
+        out: list[list[bytes]] = []
+        for encode, some in (
+            (self._joined, list(compress(pieces, joins))),
+            (self._library, [p for p, j in zip(pieces, joins) if not j]),
+        ):
+            flat, sizes = encode(some)
+            raw, ends = flat.tobytes(), (4 * np.cumsum(sizes)).tolist()
+            out.append([raw[a:b] for a, b in zip([0, *ends], ends)])
+        together, alone = map(iter, out)
+        return [next(together if j else alone) for j in joins]
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self._chunks.encode(texts)
 
 
 _LOADED: dict[str, LibraryEncoder] = {}  # one per worker and path
-BATCH = 2000  # texts encoded at a time
+BATCH = 2500  # texts encoded at a time, of however many ranges
 END_ID = 0
 
 
@@ -269,29 +298,26 @@ def write_shards(
             return row
 
         for batch in batches:
-            at = batch.column("range").to_numpy()
-            # a new range begins where the number changes
-            cuts = [0, *(np.nonzero(np.diff(at))[0] + 1).tolist(), len(at)]
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if now is not None and at[a] != now:
-                    if held:
-                        yield close()
-                    part = 0
-                now = int(at[a])
-                for c in range(a, b, BATCH):
-                    some = batch.slice(c, min(BATCH, b - c))
-                    flat, starts = encoder.encode(some.column("text").to_pylist())
-                    more, n = _with_ends(flat, starts, end_id)
-                    key = some.column("key").to_numpy()
+            for c in range(0, batch.num_rows, BATCH):
+                some = batch.slice(c, BATCH)
+                flat, starts = encoder.encode(some.column("text"))
+                more, n = _with_ends(flat, starts, end_id)
+                key, at = some.column("key").to_numpy(), some.column("range").to_numpy()
+                ends = np.cumsum(n)
+                # a new range begins where the number changes
+                cuts = [0, *(np.nonzero(np.diff(at))[0] + 1).tolist(), len(at)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if now is not None and at[a] != now:
+                        if held:
+                            yield close()
+                        part = 0
+                    now = int(at[a])
                     # roll over between documents
-                    done = 0
-                    ends = np.cumsum(n)
-                    while done < len(n):
+                    done = a
+                    while done < b:
                         before = int(ends[done - 1]) if done else 0
                         upto = int(np.searchsorted(ends, before + shard_ids - held)) + 1
-                        upto = min(max(upto, done + 1), len(n))
+                        upto = min(max(upto, done + 1), b)
                         keys.append(key[done:upto])
                         counts.append(n[done:upto])
                         ids.append(more[before : int(ends[upto - 1])])

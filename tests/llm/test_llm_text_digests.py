@@ -144,6 +144,51 @@ def test_wavelet_shards(spark, library):
     assert wavelet.write_and_read(empty, tokenizer_path()).count() == 0
 
 
+class Counting:
+    """A tokenizer that notes how many texts it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_pieces_go_to_the_library_many_in_one_text(library):
+    plain = [f"word{n} {n * n} é{n}x, it's --{n}" for n in range(3000)]
+    for texts, most in ((plain, 500), (odd_texts(), None)):
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        for dealt in (True, False):  # with no id known to begin with a space, pieces go one by one
+            encoder = wavelet.LibraryEncoder(tokenizer_path())
+            encoder._spaced[:] &= dealt
+            encoder._tokenizer = counting = Counting(encoder._tokenizer)
+            flat, starts = encoder.encode(texts)
+            got = [flat[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            assert got == want
+            n_pieces = len(encoder._chunks._pieces.known)
+            if most and dealt:
+                heads = len({p for t in texts for p in pretokens._PIECES.findall(t) if p[0] != " "})
+                assert counting.texts < heads + n_pieces / 50
+            elif most:
+                assert counting.texts >= n_pieces - 1
+    assert wavelet.LibraryEncoder(tokenizer_path()).encode([])[0].tolist() == []
+
+
+def test_wavelet_shards_of_many_batches(spark, library):
+    texts = [(n, f"it is {n % 97} of\n{n}" * (n % 4)) for n in range(9000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    start, want = 0, []
+    for (n, _), e in zip(texts, library.encode_batch([t for _, t in texts], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids + [0], dtype="<u4")
+        want.append((n, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    for shard_ids in (wavelet.SHARD_IDS, 3000):
+        folder = fresh_path(spark, "wavelet-test")
+        manifest = wavelet.write_shards(docs, tokenizer_path(), folder, shard_ids)
+        assert sorted(tuple(r) for r in wavelet.read_shards(manifest, folder).collect()) == want
+
+
 RULES = (
     ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
